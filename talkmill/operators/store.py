@@ -121,7 +121,7 @@ def merge_vectors(
     existing = spark.read.parquet(path).join(touched, ["namespace", "bucket"], "left_semi")
     merged = upsert_vectors(existing, incoming, replace_video)
     write_vectors(merged, staging)
-    write_vectors(spark.read.parquet(staging), path)
+    write_vectors(spark.read.schema(merged.schema).parquet(staging), path)
 
 
 def registry_rows(files: DataFrame, version: Column) -> DataFrame:

@@ -1,0 +1,359 @@
+"""Whole pipelines and streaming jobs over videos derived from documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talkmill.functions.text import word_count
+from talkmill.functions.timing import SEGMENTS_TYPE
+from talkmill.operators import transcripts as tr
+from talkmill.operators.model import hashing_embedder
+from talkmill.plans import ingest as ing
+from talkmill.plans import quality, questions
+from talkmill.queries import answers as ans
+from talkmill.queries import chunks as chq
+from talkmill.queries import inputs as inp
+from talkmill.queries import sql
+from talkmill.queries import tables as tab
+from talkmill.queries.inputs import words_sql
+from talkmill.queries.registry import query
+from talkmill.queries.scalars import MEDIA_SQL, TITLE_SQL, label_sql
+from talkmill.session import scratch_dir
+from talkmill.streaming import chunk_live_segments, stream_ingest
+
+DIM = 64
+
+# Kinds of videos: a third is recorded speech, the rest has a model transcript, captions, both
+# or neither. A few requests are invalid.
+URL_SPARK = """case when doc_id%50=7 then '' when doc_id%3=0 then concat('https://www.loom.com/share/v',doc_id)
+  else concat('https://youtu.be/v',doc_id,'?si=x') end"""
+
+
+def ingest_inputs(spark, sf):
+    docs = inp.documents(spark, sf).selectExpr("*", f"{URL_SPARK} as video_url")
+    youtube, loom = docs.where("doc_id%3 <> 0"), docs.where("doc_id%3 = 0")
+    requests = docs.selectExpr("video_url", "source as company_name")
+    timed = inp.timed_texts(spark, sf)
+    model = (
+        youtube.where("doc_id%7 <> 0")
+        .join(timed, "doc_id")
+        .selectExpr(
+            "video_url", "'gemini_raw_api_analysis' as method", "'YouTube Video' as title",
+            "t as transcription", "'' as summary", "'Unknown' as duration", "'en' as language",
+        )
+        .withColumn("word_count", word_count("transcription"))
+    )
+    captions = youtube.where("doc_id%5 = 0").selectExpr("video_url", f"{tab.CAPTION_CASES} as items")
+    segs = chq.rough_segments(spark, sf).groupBy("doc_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("seg_idx", "text", "start", "end"))),
+            lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end")),
+        ).alias("segments")
+    )
+    asr = (
+        loom.where("doc_id%12 <> 0")
+        .join(segs, "doc_id")
+        .select(
+            "video_url",
+            "text",
+            F.col("lang").alias("language"),
+            F.when(F.expr("doc_id%9 = 0"), F.array().cast(SEGMENTS_TYPE))
+            .otherwise(F.col("segments"))
+            .alias("segments"),
+        )
+    )
+    pages = (
+        inp.table(spark, sf, "pages")
+        .selectExpr("page_id as doc_id", f"{inp.SHARE_CASE} as html")
+        .join(loom.select("doc_id", "video_url"), "doc_id")
+        .selectExpr("doc_id as page_id", "video_url as url", "html")
+    )
+    return requests, model, captions, asr, pages
+
+
+def ingested(spark, sf, mode=ing.STANDARD):
+    return ing.ingest(*ingest_inputs(spark, sf), hashing_embedder(DIM), DIM, mode)
+
+
+def ingest_ctes(mode: str) -> list[str]:
+    """CTEs ``chunks`` (all chunks with their video) and ``info`` (one row per request)."""
+    if mode == ing.STANDARD:
+        loom = [sql.fold("lsegs", "doc_id", 600, 30, p="lc"), sql.windows("ltext", "doc_id", 600, 200, "lw")]
+        lsegs = f"select * from ({chq.VALID}) where doc_id%3=0 and doc_id%50<>7 and doc_id%9<>0 and doc_id%12<>0"
+    else:
+        loom = [sql.fold_fixed("lsegs", "doc_id", p="lc"), sql.windows("ltext", "doc_id", 500, 50, "lw")]
+        lsegs = f"select * from ({chq.ROUGH}) where doc_id%3=0 and doc_id%50<>7 and doc_id%9<>0 and doc_id%12<>0"
+    marked = f"regexp_matches(text,'{sql.P1}') or regexp_matches(text,'{sql.P2}') or regexp_matches(text,'{sql.P3}')"
+    method = "loom_transcription" + ("" if mode == ing.STANDARD else "_lightweight")
+    return [
+        sql.cte("timed", inp.TIMED),
+        sql.cte("cap", f"select * from ({tab.CAPTIONS}) where doc_id%5=0 and doc_id%3<>0 and doc_id%50<>7"),
+        sql.cte("captext", "select doc_id, string_agg(text,' ' order by pos) as c from cap group by doc_id"),
+        sql.cte(
+            "info",
+            f"""select doc_id, source as company, lang,
+              case when doc_id%3=0 then 'loom' else 'youtube' end as route,
+              case when doc_id%3=0 then 'https://www.loom.com/share/v'||doc_id else 'https://youtu.be/v'||doc_id||'?si=x' end as video_url,
+              case when doc_id%3=0 then case when doc_id%12<>0 then text end
+                when doc_id%7<>0 then t when c is not null then c
+                else 'Video ID: v'||doc_id||chr(10)||chr(10)||'{tr.PLACEHOLDER}' end as text,
+              case when doc_id%3=0 then case when m is not null then coalesce(ti,'Unknown') else 'Loom Video - v'||doc_id end
+                when doc_id%7<>0 or c is not null then 'YouTube Video' else 'YouTube Video v'||doc_id end as title,
+              case when doc_id%3=0 then lang else 'en' end as language,
+              case when doc_id%3=0 then '{method}' else 'gemini_transcription' end as method
+            from documents join timed using (doc_id) left join captext using (doc_id)
+            left join (select page_id as doc_id, {MEDIA_SQL} as m, {TITLE_SQL} as ti from ({inp.SHARES})) using (doc_id)
+            where doc_id%50<>7""",
+        ),
+        sql.cte("capsegs", 'select doc_id, pos as seg_idx, text, start, "end" from cap'),
+        sql.cte("rest", "select doc_id, text from info where route='youtube' and doc_id not in (select doc_id from cap)"),
+        sql.cte("marked", f"select doc_id, text as t from rest where {marked}"),
+        sql.cte("plain", f"select doc_id, text from rest where not ({marked})"),
+        sql.cte("lsegs", lsegs),
+        sql.cte("ltext", "select doc_id, text from info where route='loom' and doc_id%9=0 and text is not null"),
+        sql.fold("capsegs", "doc_id", p="yc"),
+        sql.inline("marked", "doc_id"),
+        sql.windows("plain", "doc_id", p="yw"),
+        *loom,
+        sql.cte(
+            "chunks",
+            """select i.company, i.video_url, i.title, i.route, i.language, i.doc_id, i.text as transcription,
+                i.company||'_'||i.video_url||'_'||k.chunk_index as id, k.chunk_index, k.text, k.start, k."end"
+              from info i join (
+                select doc_id, chunk_index, text, start, "end" from yc_chunks
+                union all select doc_id, chunk_index, text, start, "end" from i_chunks
+                union all select doc_id, chunk_index, text, 0.0, 0.0 from yw_chunks
+                union all select doc_id, chunk_index, text, start, "end" from lc_chunks
+                """
+            + "union all select doc_id, chunk_index, text, 0.0, 0.0 from lw_chunks) k using (doc_id)",
+        ),
+    ]
+
+
+VECTOR_SQL = f""" select lower(company) as namespace, id, text, start, "end", title,
+  {words_sql('transcription')} as word_count, language,
+  case when route='loom' then 'loom_video' else 'youtube_gemini' end as source_type from chunks"""
+REPORT_SQL = f""" select video_url, company as company_name, text is not null as success,
+    case when text is not null then title end as title, coalesce(n, 0) as chunks_created,
+    coalesce(n, 0) as vectors_stored, case when text is not null then {words_sql('text')} end as word_count,
+    case when text is not null then method end as method,
+    case when text is null then 'Unable to extract video transcription. The video may not have captions or may be private.' end as error
+  from info left join (select doc_id, count(*) as n from chunks group by 1) using (doc_id)"""
+VECTOR_COLUMNS = [
+    "namespace", "id", "metadata.text", "metadata.start", "metadata.end", "metadata.title",
+    "metadata.word_count", "metadata.language", "metadata.source_type",
+]
+REPORT_COLUMNS = [
+    "video_url", "company_name", "success", "title", "chunks_created", "vectors_stored",
+    "word_count", "method", "error",
+]
+
+
+@query("q1_ingest", sql.with_ctes(*ingest_ctes(ing.STANDARD)) + VECTOR_SQL)
+def q1(spark, sf):
+    return ingested(spark, sf).vectors.select(*VECTOR_COLUMNS)
+
+
+@query("q1_ingest_report", sql.with_ctes(*ingest_ctes(ing.STANDARD)) + REPORT_SQL)
+def q1_report(spark, sf):
+    return ingested(spark, sf).report.select(*REPORT_COLUMNS)
+
+
+@query("q2_ingest_fixed30", sql.with_ctes(*ingest_ctes(ing.FIXED30)) + VECTOR_SQL)
+def q2(spark, sf):
+    return ingested(spark, sf, ing.FIXED30).vectors.select(*VECTOR_COLUMNS)
+
+
+def found_ctes(k: int) -> list[str]:
+    """CTE ``found``: best ``k`` chunks per question by hashed embeddings."""
+    return [
+        sql.cte("asked", inp.QUESTIONS),
+        sql.hashed("chunks", "id", p="cv"),
+        sql.hashed("asked", "question_id", "question", p="qv"),
+        sql.cte(
+            "dots",
+            """select q.question_id, c.id, sum(qv.v * cv.v) / (any_value(qv.nn) * any_value(cv.nn)) as s
+              from asked q join chunks c on c.company = q.company_name
+              join qv_vec qv on qv.question_id = q.question_id
+              join cv_vec cv on cv.id = c.id and cv.b = qv.b group by all""",
+        ),
+        sql.cte(
+            "found",
+            f"""select q.question_id, q.company_name, q.question, c.*, round(coalesce(s, 0.0), 6) as score,
+                (row_number() over (partition by q.question_id
+                  order by round(coalesce(s, 0.0), 6) desc, c.id))::int as rank
+              from asked q join chunks c on c.company = q.company_name
+              left join dots d on d.question_id = q.question_id and d.id = c.id
+              qualify rank <= {k}""",
+        ),
+    ]
+
+
+@query(
+    "q3_search",
+    sql.with_ctes(*ingest_ctes(ing.STANDARD), *found_ctes(5))
+    + " select question_id, rank, id, score, text, video_url, title, chunk_index from found",
+)
+def q3(spark, sf):
+    vectors = ingested(spark, sf).vectors
+    return questions.search(inp.questions(spark, sf), vectors, hashing_embedder(DIM), DIM)
+
+
+def length_reranker():
+    return lambda prompts: [f"Chunk {len(p or '') % 8}" for p in prompts]
+
+
+def length_answerer():
+    return lambda prompts: [f"- chars: {len(p)} [source](x)\n1. done" for p in prompts]
+
+
+def length_summarizer():
+    return lambda prompts: [f"  {len(p)} chars\n" for p in prompts]
+
+
+SNIPPET = ans.SNIPPET_SQL
+CLEANED = f"""substr({inp.trim_sql("replace(replace(text, chr(10), ' '), '  ', ' ')")}, 1, 500)"""
+SYSTEM_CHARS = len(ans.an.SYSTEM_OPENING) + len(ans.an.SYSTEM_PROMPT)
+ASK_SQL = f"""
+prompts as (
+  select question_id, count(*) as cnt,
+    length('Question: '||any_value(question)||chr(10)||chr(10)||'Here are the chunks:'||chr(10)
+      ||string_agg(rank||'. [video] '||chr(10)||{SNIPPET}||chr(10)||chr(10), '' order by rank)
+      ||'{ans.an.RERANK_CLOSING}') % 8 as pick,
+    {SYSTEM_CHARS} + length(any_value(company_name)) + 2 + length('Video Content:'||chr(10)
+      ||string_agg('Video Content: '||{CLEANED}, chr(10)||chr(10) order by rank)
+      ||chr(10)||chr(10)||'Question: '||any_value(question)||'{ans.an.ANSWER_CLOSING}') as chars,
+    string_agg({label_sql('title', 'video_url')}, ' | ' order by rank) as sources,
+    min(case when rank <= 3 and (start > 0 or "end" > 0) then start end) as s3,
+    max(case when rank <= 3 and (start > 0 or "end" > 0) then "end" end) as e3
+  from found group by question_id),
+best as (
+  select p.question_id, p.chars, p.sources, f.video_url,
+    case when f.start = 0 and f."end" = 0 then coalesce(s3, 0.0) else f.start end as s1,
+    case when f.start = 0 and f."end" = 0 then coalesce(e3, 0.0) else f."end" end as e1
+  from prompts p join found f on f.question_id = p.question_id
+    and f.rank = case when pick between 1 and cnt then pick else 1 end)
+select question_id, '• chars: '||chars||chr(10)||' '||chr(10)||'1. done' as answer, sources, video_url,
+  round(case when e1 > s1 then greatest(0.0, s1-0.3) else s1 end, 6) as start,
+  round(case when e1 > s1 then e1+0.3 else e1 end, 6) as "end" from best"""
+
+
+@query("q4_ask", sql.with_ctes(*ingest_ctes(ing.STANDARD), *found_ctes(6)) + "," + ASK_SQL)
+def q4(spark, sf):
+    """Questions to answers with stand-in models that reply by the length of the prompt."""
+    out = questions.ask(
+        inp.questions(spark, sf),
+        ingested(spark, sf).vectors,
+        ans.registry(spark, sf),
+        hashing_embedder(DIM),
+        length_reranker,
+        length_answerer,
+        DIM,
+    )
+    return out.select(
+        "question_id",
+        "answer",
+        F.array_join("sources", " | ").alias("sources"),
+        "video_url",
+        F.round("start", 6).alias("start"),
+        F.round("end", 6).alias("end"),
+    )
+
+
+@query(
+    "q5_summarize",
+    f"""select session_id, true as success, length({ans.PROMPT_SQL})||' chars' as summary,
+      company_name, buyer_name, qa_count from ({ans.SESSIONS})""",
+)
+def q5(spark, sf):
+    return questions.summarize(inp.qa_pairs(spark, sf), length_summarizer)
+
+
+@query(
+    "q6_quality_report",
+    sql.with_ctes(*ingest_ctes(ing.STANDARD))
+    + f""" select company as company_name, n_videos, words, chars, coalesce(with_ts, 0) as with_ts,
+        coalesce(total, 0) as total, round(avg_duration, 6) as avg_duration,
+        round(avg_chars, 6) as avg_chars, coalesce(total, 0) as vector_count
+      from (select company, count(*) as n_videos, sum({words_sql('text')})::bigint as words,
+              sum(length(text))::bigint as chars from info where text is not null group by 1)
+      left join (select company, count_if(start > 0 or "end" > 0)::bigint as with_ts, count(*) as total,
+              avg("end" - start) as avg_duration, avg(length(text)) as avg_chars from chunks group by 1)
+        using (company)""",
+)
+def q6(spark, sf):
+    out = ingested(spark, sf)
+    texts = out.prepared.where("transcription is not null").select(
+        "company_name", "word_count", F.length("transcription").alias("n_chars")
+    )
+    report = quality.quality_report(out.chunks, texts, out.vectors)
+    return report.withColumn("avg_duration", F.round("avg_duration", 6)).withColumn(
+        "avg_chars", F.round("avg_chars", 6)
+    )
+
+
+# --- streams -----------------------------------------------------------------------------
+
+
+def document_stream(spark, sf):
+    schema = inp.documents(spark, sf).schema
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    )
+
+
+@query(
+    "t1_stream_ingest",
+    sql.with_ctes(sql.windows("documents", "doc_id"))
+    + """ select lower(source) as namespace, source||'_https://youtu.be/'||doc_id||'_'||chunk_index as id, w.text
+          from w_chunks w join documents using (doc_id)""",
+)
+def t1(spark, sf):
+    """Documents as a stream of transcripts; the result is the table it leaves."""
+    work = scratch_dir(spark, "stream-ingest")
+    stream = document_stream(spark, sf).selectExpr(
+        "concat('https://youtu.be/', doc_id) as video_url", "source as company_name",
+        "cast(null as string) as title", "text as transcription", "'Unknown' as duration",
+        "lang as language", "cast(null as int) as word_count",
+        f"cast(null as {SEGMENTS_TYPE}) as segments", "timestamp_seconds(1700000000 + doc_id) as run_ts",
+    )
+    job = stream_ingest(
+        stream, f"{work}/store", f"{work}/checkpoint", hashing_embedder(DIM), DIM, available_now=True
+    )
+    job.awaitTermination()
+    return spark.read.parquet(f"{work}/store").select("namespace", "id", "metadata.text")
+
+
+@query(
+    "t2_stream_chunk_segments",
+    sql.with_ctes(sql.cte("src", inp.SEG), sql.fold("src", "doc_id"))
+    + """ select doc_id::varchar as video_url, 'chunk' as kind, chunk_index, text, start, "end" from f_chunks""",
+)
+def t2(spark, sf):
+    """Lines of documents as live captions; equals the batch fold."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    work = scratch_dir(spark, "live-chunks")
+    lines = (
+        document_stream(spark, sf)
+        .selectExpr("cast(doc_id as string) as video_url", "split(text, '\n') as lines")
+        .select("video_url", F.size("lines").alias("n"), F.posexplode("lines").alias("p", "text"))
+        .selectExpr(
+            "video_url", "cast(p as bigint) as seg_idx", "text", "p*5.5D as start", "(p+1)*5.5D as end",
+            "p = n - 1 as is_last", "timestamp_seconds(1700000000 + p) as event_ts",
+        )
+    )
+    job = (
+        chunk_live_segments(lines)
+        .writeStream.format("parquet")
+        .option("path", f"{work}/chunks")
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return spark.read.parquet(f"{work}/chunks")
+
+

@@ -63,7 +63,7 @@ def fold_fixed(src: str, key: str, duration: float = 30, p: str = "x") -> str:
     return f"""
 {p}_seg as (
   select {key}, row_number() over (partition by {key} order by seg_idx) - 1 as pos,
-    {trim_sql('text')} as text, start as s0, "end" as e0
+    {trim_sql('text')} as text, start as s0, coalesce("end", 0.0) as e0
   from {src} where {trim_sql('text')} <> ''),
 {p}_walk as (
   select {key}, pos, text, s0, e0, 0 as cid, s0 as sx from {p}_seg where pos = 0
@@ -74,7 +74,7 @@ def fold_fixed(src: str, key: str, duration: float = 30, p: str = "x") -> str:
   from {p}_walk w join {p}_seg s on s.{key} = w.{key} and s.pos = w.pos + 1),
 {p}_chunks as (
   select {key}, cid::int as chunk_index, string_agg(text, ' ' order by pos) as text,
-    min_by(s0, pos) as start, coalesce(max_by(e0, pos), 0.0) as "end"
+    min_by(s0, pos) as start, max_by(e0, pos) as "end"
   from {p}_walk group by {key}, cid)"""
 
 

@@ -327,17 +327,17 @@ LINES = f"select doc_id, seg_idx, text from ({inp.SEG})"
 
 @query(
     "e1_batch_model",
-    f"select doc_id, seg_idx, upper(text) as reply from ({LINES})",
+    f"select doc_id, seg_idx, length(text)||':'||text as reply from ({LINES})",
 )
 def e1(spark, sf):
-    """The hook with a stand-in model (upper case), on every line."""
+    """The hook with a stand-in model, on every line."""
     rows = inp.segment_rows(spark, sf).select("doc_id", "seg_idx", "text")
-    out = mo.batch_model(rows, "text", "reply", upper_model, "string")
+    out = mo.batch_model(rows, "text", "reply", length_model, "string")
     return out.select("doc_id", "seg_idx", "reply")
 
 
-def upper_model():
-    return lambda texts: [t.upper() for t in texts]
+def length_model():
+    return lambda texts: [f"{len(t)}:{t}" for t in texts]
 
 
 def failing_model():
