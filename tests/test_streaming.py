@@ -1,0 +1,80 @@
+import datetime as dt
+
+from talkmill.functions.timing import SEGMENTS_TYPE
+from talkmill.operators.model import hashing_embedder
+from talkmill.streaming import chunk_live_segments, read_transcript_stream, stream_ingest
+
+LIVE = (
+    "video_url string, seg_idx bigint, text string, start double, end double, "
+    "is_last boolean, event_ts timestamp"
+)
+ARRIVING = (
+    "video_url string, company_name string, title string, transcription string, duration string, "
+    f"language string, word_count int, segments {SEGMENTS_TYPE}, run_ts timestamp"
+)
+
+
+def write(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_live_chunks_over_batches_late_rows_and_idle_videos(spark, tmp_path):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    ts = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+
+    def run():
+        segments = spark.readStream.schema(LIVE).parquet(src)
+        job = (
+            chunk_live_segments(segments, 12, 1000, watermark="10 seconds", idle_ms=30_000)
+            .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+            .trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        return sorted((r.video_url, r.kind, r.chunk_index, r.text) for r in rows if r.kind == "chunk"), [
+            r.text for r in rows if r.kind == "late"
+        ]
+
+    write(spark, [("v", 0, " hello ", 1.0, 2.0, False, ts(0)), ("v", 1, " ", 2.0, 3.0, False, ts(1))], LIVE, src)
+    assert run() == ([], [])
+    write(
+        spark,
+        [("v", 3, "tail", 5.0, 6.0, False, ts(4)), ("v", 2, "world!", 3.0, 4.0, False, ts(3)),
+         ("v", 1, "again", 2.0, 3.0, False, ts(4)), ("w", 0, "one", 0.0, 1.0, True, ts(4))],
+        LIVE, src,
+    )
+    chunks, late = run()
+    assert chunks == [("v", "chunk", 0, "hello world!"), ("w", "chunk", 0, "one")] and late == ["again"]
+    # Time passes in another video; the open chunk of the idle one is given out.
+    write(spark, [("x", 0, "later", 0.0, 1.0, True, ts(500))], LIVE, src)
+    chunks, _ = run()
+    assert ("v", "chunk", 1, "tail") in chunks
+
+
+def test_ingest_stream_merges_runs_and_restarts(spark, tmp_path):
+    src, store, ck = (str(tmp_path / n) for n in ("in", "store", "ck"))
+    ts = lambda h: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=h)
+
+    def run():
+        stream = read_transcript_stream(spark, src, ARRIVING)
+        stream_ingest(stream, store, ck, hashing_embedder(16), 16, available_now=True).awaitTermination()
+        return sorted((r.namespace, r.id, r.metadata.text) for r in spark.read.parquet(store).collect())
+
+    def row(url, text, minute, segments=None):
+        return (url, "Acme Co", "T", text, "Unknown", "en", 1, segments, ts(minute))
+
+    write(spark, [row("u1", "[00:01] a\n[00:02] b", 0), row("u2", "plain", 0), row("u2", "plain", 0)], ARRIVING, src)
+    first = run()
+    assert first == [
+        ("acme-co", "Acme Co_u1_0", "a"), ("acme-co", "Acme Co_u1_1", "b"), ("acme-co", "Acme Co_u2_0", "plain"),
+    ]
+    assert run() == first
+    write(spark, [row("u2", "newest", 9), row("u2", "newer", 5), row("u3", "x", 9, [("seg", 0.0, 1.0)])], ARRIVING, src)
+    second = run()
+    assert second == first[:2] + [("acme-co", "Acme Co_u2_0", "newest"), ("acme-co", "Acme Co_u3_0", "seg")]
+
+
