@@ -25,10 +25,10 @@ WHITESPACE = "".join(
     )
 )
 
-# The same set inside a regex character class (valid for Java and RE2 alike).
+# The same set inside a regex character class; one range test rules out most letters.
 WS = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    r"\s\x{1c}-\x{1f}\x{85}\x{a0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
 
 BULLET = rf"[{WS}]*[-•][{WS}]+"
@@ -58,8 +58,12 @@ def is_blank(s: Column | str) -> Column:
 
 
 def word_count(s: Column | str) -> Column:
-    """Number of blank-separated tokens."""
-    return F.regexp_count(col(s), F.lit(f"[^{WS}]+"))
+    """Number of blank-separated tokens (splitting is several times faster than counting
+    regex matches, which builds every match)."""
+    return let(
+        strip(s),
+        lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+"))),
+    )
 
 
 def snippet(s: Column | str, n: int = SNIPPET_CHARS) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import basename, col
 from talkmill.functions.urls import namespace_of, vector_id
+from talkmill.schemas import CHUNK_VECTORS
 
 BUCKETS = 16
 YOUTUBE_SOURCE, LOOM_SOURCE = "youtube_gemini", "loom_video"
@@ -102,6 +104,13 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> Non
     )
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return len(spark.read.parquet(path).columns) > 0
+    except AnalysisException:
+        return False
+
+
 def merge_vectors(
     spark: SparkSession,
     path: str,
@@ -110,18 +119,24 @@ def merge_vectors(
     buckets: int = BUCKETS,
     replace_video: bool = False,
 ) -> None:
-    """Upsert into a stored table, rewriting only the partitions that receive rows.
+    """Upsert into a stored table (made when it is not there), rewriting only the
+    partitions that receive rows.
 
-    The merged partitions go to ``staging`` first: the table is never overwritten while
-    it is read, and a job that dies in between is repeated from the same inputs with the
-    same result.
+    The new rows are written as they come first, so a model behind them is called once and
+    all that follows is an ordinary batch. The merged partitions are staged as well: the
+    table is never overwritten while it is read, and a job that dies in between is repeated
+    from the same inputs with the same result.
     """
-    incoming = with_bucket(incoming, buckets)
+    incoming.write.mode("overwrite").parquet(f"{staging}/incoming")
+    incoming = with_bucket(spark.read.schema(CHUNK_VECTORS).parquet(f"{staging}/incoming"), buckets)
+    if not table_exists(spark, path):
+        write_vectors(latest_wins(incoming, ["namespace", "id"], "version"), path)
+        return
     touched = incoming.select("namespace", "bucket").distinct()
     existing = spark.read.parquet(path).join(touched, ["namespace", "bucket"], "left_semi")
-    merged = upsert_vectors(existing, incoming, replace_video)
-    write_vectors(merged, staging)
-    write_vectors(spark.read.schema(merged.schema).parquet(staging), path)
+    write_vectors(upsert_vectors(existing, incoming, replace_video), f"{staging}/merged")
+    merged = spark.read.schema(f"{CHUNK_VECTORS}, bucket int").parquet(f"{staging}/merged")
+    write_vectors(merged, path)
 
 
 def registry_rows(files: DataFrame, version: Column) -> DataFrame:

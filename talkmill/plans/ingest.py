@@ -41,7 +41,7 @@ def youtube_transcripts(
 ) -> DataFrame:
     """Best transcript per request; captions, where there are any, supply the timing."""
     timed = captions.select("video_url", caption_segments("items").alias("segments"))
-    texts = timed.where(F.size("segments") > 0).select(
+    texts = timed.select(
         "video_url",
         F.array_join(F.transform("segments", lambda s: s["text"]), " ").alias("transcription"),
     )
@@ -159,18 +159,25 @@ def ingest(
     checked = validate_requests(requests)
     valid = checked.where("reason is null").drop("reason")
     prepared = prepare(valid, model_transcripts, captions, asr, pages, mode)
-    chunked = chunk_prepared(prepared, mode)
+    # The count is taken before the explode, which then need not carry the whole array.
+    chunked = chunk_prepared(prepared, mode).withColumn("n_chunks", F.size("chunks"))
     chunks = chunking.explode_chunks(
         chunked,
         F.col("chunks"),
         *["video_url", "company_name", "route", "title", "duration", "language", "word_count"],
+        "n_chunks",
     )
     batch = EMBED_BATCH if mode == STANDARD else LIGHT_EMBED_BATCH
     embedded = embed(chunks, "text", embedder, dim, batch)
     vectors = vector_rows(embedded, F.lit(version))
-    counted = chunked.withColumn("chunks_created", F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint"))
-    stored = embedded.groupBy("video_url", "company_name").agg(F.count("*").alias("vectors_stored"))
+    # Each vector row knows how many chunks its video has, so chunking is not repeated.
+    made = embedded.groupBy("video_url", "company_name").agg(
+        F.max("n_chunks").cast("bigint").alias("chunks_created"),
+        F.count("*").alias("vectors_stored"),
+    )
     report = ingest_report(
-        counted.join(stored, ["video_url", "company_name"], "left").fillna(0, ["vectors_stored"])
+        prepared.join(made, ["video_url", "company_name"], "left").fillna(
+            0, ["chunks_created", "vectors_stored"]
+        )
     )
     return Ingested(prepared, chunks, vectors, report, checked.where("reason is not null"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import WHITESPACE, WS
+from talkmill.functions.text import WHITESPACE
+from talkmill.sources.readers import spread
 
 SEGMENT_SECONDS = 5.5
 
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def segment_arrays(spark, sf):
@@ -180,7 +181,11 @@ def vectors(spark, sf):
 
 VECTORS = "select 'label-'||label as namespace, vec_id as id, embedding from embeddings"
 
-WS_SQL = WS
+# Blanks in a character class of the SQL side.
+WS_SQL = (
+    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 BLANKS_SQL = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 
 

@@ -286,7 +286,7 @@ def q6(spark, sf):
     texts = out.prepared.where("transcription is not null").select(
         "company_name", "word_count", F.length("transcription").alias("n_chars")
     )
-    report = quality.quality_report(out.chunks, texts, out.vectors)
+    report = quality.quality_report(out.chunks, texts)
     return report.withColumn("avg_duration", F.round("avg_duration", 6)).withColumn(
         "avg_chars", F.round("avg_chars", 6)
     )

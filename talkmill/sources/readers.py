@@ -28,6 +28,14 @@ def read_table(spark: SparkSession, source: str | DataFrame, fmt: str, schema: s
     return spark.read.format(fmt).schema(schema).load(source)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table that is read in fewer splits than there are cores to all
+    cores; a table with more splits is returned as it is. For heavy row-local work on
+    small tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_transcript_logs(logs: DataFrame, value: str = "value") -> DataFrame:
     """Whole log texts to one row per transcript; other columns are kept."""
     text = F.col(value)

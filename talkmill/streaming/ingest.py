@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from talkmill.functions.urls import route_source
 from talkmill.operators.chunking import explode_chunks
 from talkmill.operators.model import EMBEDDING_DIM, BatchFn, embed
-from talkmill.operators.store import latest_wins, merge_vectors, vector_rows, with_bucket, write_vectors
+from talkmill.operators.store import latest_wins, merge_vectors, vector_rows
 from talkmill.plans.ingest import STANDARD, chunk_prepared
 
 KEEP = ["video_url", "company_name", "route", "title", "duration", "language", "word_count"]
@@ -49,25 +48,13 @@ def stream_ingest(
     chunked = chunk_prepared(once.withColumn("route", route_source("video_url")), mode)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         newest = latest_wins(batch, ["company_name", "video_url"], "run_ts")
         chunks = explode_chunks(newest, F.col("chunks"), *KEEP, "run_ts")
         rows = vector_rows(embed(chunks, "text", embedder, dim), F.unix_micros("run_ts"))
-        staging = f"{checkpoint}/staging/{batch_id}"
-        if _exists(spark, store):
-            merge_vectors(spark, store, rows, staging)
-        else:
-            write_vectors(with_bucket(rows), store)
+        merge_vectors(spark, store, rows, f"{checkpoint}/staging/{batch_id}")
 
     writer = chunked.writeStream.foreachBatch(merge).option(
         "checkpointLocation", f"{checkpoint}/progress"
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return len(spark.read.parquet(path).columns) > 0
-    except AnalysisException:
-        return False
