@@ -112,3 +112,14 @@ def validate_segments(segments: Column | str) -> Column:
         )
 
     return F.filter(F.transform(col(segments), one), lambda s: s["text"] != "")
+
+
+def dropped_lines(text: Column | str) -> Column:
+    """Non-blank lines that :func:`parse_inline_timestamps` leaves out: lines before the
+    first timestamp and lines in another format."""
+    text = col(text)
+    rest = text
+    for pattern in reversed(TIMED_LINE):
+        rest = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "")).otherwise(rest)
+    lines = F.filter(F.split(rest, "\n"), lambda line: strip(line) != "")
+    return F.when(has_inline_timestamps(text), F.size(lines)).otherwise(0)

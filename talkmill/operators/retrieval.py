@@ -17,6 +17,7 @@ TOP_K, SEARCH_K = 6, 5
 BROADCAST_BYTES = 64 << 20
 CELL_QUESTIONS, CELL_VECTORS = 4_096, 16_384
 MAX_PRUNE_VALUES = 256
+VECTOR_BLOCK = 4_096
 
 
 def topk_per_question(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
@@ -81,6 +82,13 @@ def _ordered(table: pa.Table, names: list[str]) -> list[pa.RecordBatch]:
     return table.select(names).combine_chunks().to_batches()
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches in slices small enough for a few matrices of their size."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, VECTOR_BLOCK):
+            yield batch.slice(lo, VECTOR_BLOCK)
+
+
 def _scan(
     questions: DataFrame, vectors: DataFrame, k: int, dim: int, schema: T.StructType, prune: bool
 ) -> DataFrame:
@@ -96,11 +104,16 @@ def _scan(
         )
     if prune and len(groups) <= MAX_PRUNE_VALUES:
         vectors = vectors.where(F.col("namespace").isin(sorted(groups)))
+    elif prune:
+        # At most as many names as questions, whose size was checked.
+        names_table = pa.table({"namespace": pa.array(sorted(groups), pa.string())})
+        asked_names = vectors.sparkSession.createDataFrame(names_table)
+        vectors = vectors.join(F.broadcast(asked_names), "namespace", "left_semi")
     out, carried = schema.names, schema.names[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, BestMatches] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             codes = batch.column("namespace").dictionary_encode()
             which = codes.indices.to_numpy(zero_copy_only=False)
             matrix = to_matrix(batch.column("embedding"), dim)
@@ -165,7 +178,9 @@ def _cells(
         if len(asked) and len(stored):
             ids = asked.column("question_id").combine_chunks()
             best = BestMatches(ids, to_matrix(asked.column("embedding"), dim), k)
-            best.offer(to_matrix(stored.column("embedding"), dim), stored.select(carried))
+            for batch in pieces(stored.to_batches()):
+                payload = pa.Table.from_batches([batch.select(carried)])
+                best.offer(to_matrix(batch.column("embedding"), dim), payload)
             table = best.result()
             if table is not None:
                 return table.select(out)

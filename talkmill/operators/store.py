@@ -11,6 +11,7 @@ from talkmill.functions.urls import namespace_of, vector_id
 from talkmill.schemas import CHUNK_VECTORS
 
 BUCKETS = 16
+MAX_FILTERED_NAMESPACES = 200
 YOUTUBE_SOURCE, LOOM_SOURCE = "youtube_gemini", "loom_video"
 
 
@@ -111,6 +112,25 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def touched_partitions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows of the stored partitions that receive rows.
+
+    While these are few they become a literal partition filter, so no other file is even
+    listed for reading; beyond that a semi-join keeps the same rows.
+    """
+    touched = incoming.groupBy("namespace").agg(F.collect_set("bucket").alias("buckets"))
+    names = touched.limit(MAX_FILTERED_NAMESPACES + 1).collect()
+    if len(names) > MAX_FILTERED_NAMESPACES:
+        pairs = incoming.select("namespace", "bucket").distinct()
+        return stored.join(pairs, ["namespace", "bucket"], "left_semi")
+    wanted = F.lit(False)
+    for row in names:
+        wanted = wanted | (
+            (F.col("namespace") == row["namespace"]) & F.col("bucket").isin(row["buckets"])
+        )
+    return stored.where(wanted)
+
+
 def merge_vectors(
     spark: SparkSession,
     path: str,
@@ -132,8 +152,7 @@ def merge_vectors(
     if not table_exists(spark, path):
         write_vectors(latest_wins(incoming, ["namespace", "id"], "version"), path)
         return
-    touched = incoming.select("namespace", "bucket").distinct()
-    existing = spark.read.parquet(path).join(touched, ["namespace", "bucket"], "left_semi")
+    existing = touched_partitions(spark.read.parquet(path), incoming)
     write_vectors(upsert_vectors(existing, incoming, replace_video), f"{staging}/merged")
     merged = spark.read.schema(f"{CHUNK_VECTORS}, bucket int").parquet(f"{staging}/merged")
     write_vectors(merged, path)

@@ -19,6 +19,7 @@ from talkmill.operators.transcripts import select_transcript
 from talkmill.sources.readers import caption_segments
 
 STANDARD, FIXED30 = "standard", "fixed30"
+KEYS = ["video_url", "company_name"]
 
 # How a successful ingest names its method.
 YOUTUBE_METHOD = "gemini_transcription"
@@ -150,15 +151,20 @@ def ingest(
     dim: int = EMBEDDING_DIM,
     mode: str = STANDARD,
     version: int = 1,
+    embedded_path: str | None = None,
 ) -> Ingested:
     """Plan an ingest of many requests.
 
-    The report compares the chunks made with the vectors made, per request. Vectors are
-    counted where they are made, so write them first when the model is expensive.
+    The transcript, caption, speech and page tables hold one row per video (``latest_wins``
+    makes them so). A video asked for twice by a company is made once and reported twice.
+
+    With ``embedded_path`` the embedded chunks are written there at once and vectors and
+    report are read from that table, so the model is called exactly once per chunk;
+    without it everything stays a plan and each use of a result runs the model.
     """
     checked = validate_requests(requests)
-    valid = checked.where("reason is null").drop("reason")
-    prepared = prepare(valid, model_transcripts, captions, asr, pages, mode)
+    valid = checked.where("reason is null").select(*KEYS)
+    prepared = prepare(valid.distinct(), model_transcripts, captions, asr, pages, mode)
     # The count is taken before the explode, which then need not carry the whole array.
     chunked = chunk_prepared(prepared, mode).withColumn("n_chunks", F.size("chunks"))
     chunks = chunking.explode_chunks(
@@ -169,15 +175,17 @@ def ingest(
     )
     batch = EMBED_BATCH if mode == STANDARD else LIGHT_EMBED_BATCH
     embedded = embed(chunks, "text", embedder, dim, batch)
+    if embedded_path is not None:
+        embedded.write.mode("overwrite").parquet(embedded_path)
+        embedded = embedded.sparkSession.read.schema(embedded.schema).parquet(embedded_path)
     vectors = vector_rows(embedded, F.lit(version))
     # Each vector row knows how many chunks its video has, so chunking is not repeated.
-    made = embedded.groupBy("video_url", "company_name").agg(
+    made = embedded.groupBy(*KEYS).agg(
         F.max("n_chunks").cast("bigint").alias("chunks_created"),
         F.count("*").alias("vectors_stored"),
     )
-    report = ingest_report(
-        prepared.join(made, ["video_url", "company_name"], "left").fillna(
-            0, ["chunks_created", "vectors_stored"]
-        )
+    outcomes = ingest_report(
+        prepared.join(made, KEYS, "left").fillna(0, ["chunks_created", "vectors_stored"])
     )
+    report = valid.join(outcomes, KEYS)
     return Ingested(prepared, chunks, vectors, report, checked.where("reason is not null"))

@@ -17,10 +17,18 @@ from talkmill.operators.retrieval import (
     similarity_topk,
     similarity_topk_unscoped,
 )
+from talkmill.session import scratch_dir
 
 REPLY_BATCH = 100
 
 
+def pin(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared scratch folder. Survives lost executors."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def embed_questions(
     questions: DataFrame, embedder: Callable[[], BatchFn], dim: int = EMBEDDING_DIM
 ) -> DataFrame:
@@ -37,8 +45,12 @@ def retrieve(
     k: int = TOP_K,
     scope: str = "namespace",
 ) -> DataFrame:
-    """Best k stored chunks per question, with metadata."""
-    asked = embed_questions(questions, embedder, dim)
+    """Best k stored chunks per question, with metadata.
+
+    The embedded questions are written once and read back: the search looks at them more
+    than once, and the model must not be called again for that.
+    """
+    asked = pin(embed_questions(questions, embedder, dim), "questions")
     if scope == "global":
         flat = vectors.withColumn("company", F.col("metadata.company"))
         return similarity_topk_unscoped(asked, flat, k, ("metadata",)).select(

@@ -19,7 +19,7 @@ from talkmill.queries.inputs import words_sql
 from talkmill.queries.registry import query
 from talkmill.queries.scalars import MEDIA_SQL, TITLE_SQL, label_sql
 from talkmill.session import scratch_dir
-from talkmill.streaming import chunk_live_segments, stream_ingest
+from talkmill.streaming import chunk_live_segments, rocksdb_state, stream_ingest
 
 DIM = 64
 
@@ -30,20 +30,23 @@ URL_SPARK = """case when doc_id%50=7 then '' when doc_id%3=0 then concat('https:
 
 
 def ingest_inputs(spark, sf):
+    """Every document is a request; what its video lacks is null or empty, not left out."""
     docs = inp.documents(spark, sf).selectExpr("*", f"{URL_SPARK} as video_url")
-    youtube, loom = docs.where("doc_id%3 <> 0"), docs.where("doc_id%3 = 0")
+    loom = F.col("video_url").contains("loom.com")
     requests = docs.selectExpr("video_url", "source as company_name")
-    timed = inp.timed_texts(spark, sf)
     model = (
-        youtube.where("doc_id%7 <> 0")
-        .join(timed, "doc_id")
+        docs.where(~loom)
+        .join(inp.timed_texts(spark, sf), "doc_id")
         .selectExpr(
             "video_url", "'gemini_raw_api_analysis' as method", "'YouTube Video' as title",
-            "t as transcription", "'' as summary", "'Unknown' as duration", "'en' as language",
+            "case when doc_id%7 <> 0 then t end as transcription", "'' as summary",
+            "'Unknown' as duration", "'en' as language",
         )
         .withColumn("word_count", word_count("transcription"))
     )
-    captions = youtube.where("doc_id%5 = 0").selectExpr("video_url", f"{tab.CAPTION_CASES} as items")
+    captions = docs.where(~loom).selectExpr(
+        "video_url", f"case when doc_id%5 = 0 then {tab.CAPTION_CASES} else array() end as items"
+    )
     segs = chq.rough_segments(spark, sf).groupBy("doc_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seg_idx", "text", "start", "end"))),
@@ -51,11 +54,11 @@ def ingest_inputs(spark, sf):
         ).alias("segments")
     )
     asr = (
-        loom.where("doc_id%12 <> 0")
+        docs.where(loom)
         .join(segs, "doc_id")
         .select(
             "video_url",
-            "text",
+            F.expr("case when doc_id%12 <> 0 then text end").alias("text"),
             F.col("lang").alias("language"),
             F.when(F.expr("doc_id%9 = 0"), F.array().cast(SEGMENTS_TYPE))
             .otherwise(F.col("segments"))
@@ -65,7 +68,7 @@ def ingest_inputs(spark, sf):
     pages = (
         inp.table(spark, sf, "pages")
         .selectExpr("page_id as doc_id", f"{inp.SHARE_CASE} as html")
-        .join(loom.select("doc_id", "video_url"), "doc_id")
+        .join(docs.where(loom).select("doc_id", "video_url"), "doc_id")
         .selectExpr("doc_id as page_id", "video_url as url", "html")
     )
     return requests, model, captions, asr, pages
@@ -331,10 +334,6 @@ def t1(spark, sf):
 )
 def t2(spark, sf):
     """Lines of documents as live captions; equals the batch fold."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     work = scratch_dir(spark, "live-chunks")
     lines = (
         document_stream(spark, sf)
@@ -345,15 +344,16 @@ def t2(spark, sf):
             "p = n - 1 as is_last", "timestamp_seconds(1700000000 + p) as event_ts",
         )
     )
-    job = (
-        chunk_live_segments(lines)
-        .writeStream.format("parquet")
-        .option("path", f"{work}/chunks")
-        .option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
+    with rocksdb_state(spark):
+        job = (
+            chunk_live_segments(lines)
+            .writeStream.format("parquet")
+            .option("path", f"{work}/chunks")
+            .option("checkpointLocation", f"{work}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        job.awaitTermination()
     return spark.read.parquet(f"{work}/chunks")
 
 

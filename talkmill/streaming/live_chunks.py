@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,6 +35,21 @@ STATE = T.StructType(
 CHUNK, LATE = "chunk", "late"
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB; the setting is put back after."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 class LiveChunker(StatefulProcessor):
     """State per video: the open chunk and the last segment seen. A chunk is emitted by
     the same rule as in the batch fold, at the end mark of the video, or after a time
@@ -105,7 +121,7 @@ def chunk_live_segments(
     """Stream of chunks (and ``late`` segments) from a stream of
     ``video_url, seg_idx, text, start, end, is_last, event_ts``.
 
-    Needs the RocksDB state store provider.
+    Needs the RocksDB state store provider (see :func:`rocksdb_state`).
     """
     return (
         segments.withWatermark("event_ts", watermark)

@@ -2,7 +2,7 @@ import datetime as dt
 
 from talkmill.functions.timing import SEGMENTS_TYPE
 from talkmill.operators.model import hashing_embedder
-from talkmill.streaming import chunk_live_segments, read_transcript_stream, stream_ingest
+from talkmill.streaming import chunk_live_segments, rocksdb_state, read_transcript_stream, stream_ingest
 
 LIVE = (
     "video_url string, seg_idx bigint, text string, start double, end double, "
@@ -19,21 +19,17 @@ def write(spark, rows, schema, path):
 
 
 def test_live_chunks_over_batches_late_rows_and_idle_videos(spark, tmp_path):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     ts = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
 
     def run():
         segments = spark.readStream.schema(LIVE).parquet(src)
-        job = (
+        with rocksdb_state(spark):
+            (
             chunk_live_segments(segments, 12, 1000, watermark="10 seconds", idle_ms=30_000)
             .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-            .trigger(availableNow=True).start()
-        )
-        job.awaitTermination()
+            .trigger(availableNow=True).start().awaitTermination()
+            )
         rows = spark.read.parquet(out).collect()
         return sorted((r.video_url, r.kind, r.chunk_index, r.text) for r in rows if r.kind == "chunk"), [
             r.text for r in rows if r.kind == "late"

@@ -168,3 +168,9 @@ def test_vector_id_keeps_raw_values(spark):
         ur.namespace_of(F.lit("Acme Co")).alias("n"),
     ).first()
     assert tuple(row) == ("Acme Co_u_3", "acme-co")
+
+
+def test_dropped_lines_are_counted(spark):
+    values = ["intro\n[00:01] a\nplain\n\n[00:00:09] b", "no marks\nat all", "[3] x", None]
+    got = apply(spark, values, ti.dropped_lines("s"))
+    assert got == [3, 0, 0, 0]
