@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ WS = (
     r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
 
+# Decimal digits of all scripts and what they stand for, from the character database.
+_DIGITS = [chr(c) for c in range(0x660, sys.maxunicode + 1) if chr(c).isdecimal()]
+DIGITS, ASCII_DIGITS = "".join(_DIGITS), "".join(str(int(c)) for c in _DIGITS)
+
 BULLET = rf"[{WS}]*[-•][{WS}]+"
 STEP = rf"[{WS}]*\p{{Nd}}+\.[{WS}]+"
 SOURCE_LINK = r"\[source\]\([^)]+\)"
@@ -53,6 +59,11 @@ def strip(s: Column | str) -> Column:
     return F.btrim(col(s), F.lit(WHITESPACE))
 
 
+def to_number(s: Column, kind: str) -> Column:
+    """Number of a run of digits of any script, null when there is none."""
+    return F.nullif(F.translate(s, DIGITS, ASCII_DIGITS), F.lit("")).try_cast(kind)
+
+
 def is_blank(s: Column | str) -> Column:
     return F.coalesce(strip(s), F.lit("")) == ""
 
@@ -135,11 +146,11 @@ def source_label(title: Column | str, video_url: Column | str, label_by_id: bool
 
 def span_start(source: Column | str) -> Column:
     """Start second of a source name such as ``name [120-180]``."""
-    return F.nullif(F.regexp_extract(col(source), SPAN, 1), F.lit("")).try_cast("double")
+    return to_number(F.regexp_extract(col(source), SPAN, 1), "double")
 
 
 def span_end(source: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(col(source), SPAN, 2), F.lit("")).try_cast("double")
+    return to_number(F.regexp_extract(col(source), SPAN, 2), "double")
 
 
 def mmss(seconds: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import WHITESPACE, WS, col, let, strip, word_count
+from talkmill.functions.text import WHITESPACE, WS, col, let, strip, to_number, word_count
 
 SEGMENTS_TYPE = "array<struct<text:string,start:double,end:double>>"
 
@@ -22,7 +22,7 @@ def clock_to_seconds(clock: Column | str) -> Column:
     return F.aggregate(
         F.split(col(clock), ":"),
         F.lit(0).cast("long"),
-        lambda total, part: total * 60 + part.try_cast("long"),
+        lambda total, part: total * 60 + to_number(part, "long"),
     )
 
 

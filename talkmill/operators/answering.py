@@ -16,6 +16,7 @@ from talkmill.functions.text import (
     span_end,
     span_start,
     strip_sources,
+    to_number,
 )
 
 CONTEXT_CHUNKS, SPAN_CHUNKS = 6, 3
@@ -96,7 +97,7 @@ def build_rerank_prompt(question: Column | str, chunks: Column | str) -> Column:
 
 def pick_reranked(reply: Column | str, count: Column) -> Column:
     """1-based rank named by the reply; 1 when it names none or one out of range."""
-    named = F.nullif(F.regexp_extract(col(reply), r"\p{Nd}+", 0), F.lit("")).try_cast("bigint")
+    named = to_number(F.regexp_extract(col(reply), r"\p{Nd}+", 0), "bigint")
     return F.when(named.between(1, count), named).otherwise(1).cast("int")
 
 

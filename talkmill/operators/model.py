@@ -54,13 +54,22 @@ def batch_model(
                     ok = False
                 results.extend(got if ok else [default] * len(part))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(results, type=arrow_type)],
+                [*batch.columns, _column(results, arrow_type)],
                 names=[*batch.schema.names, out_col],
             )
 
     return df.mapInArrow(run, schema)
 
 
+def _column(results: list, arrow_type: pa.DataType) -> pa.Array:
+    """Results as an Arrow column; numpy vectors are laid end to end instead of boxed."""
+    if results and all(isinstance(r, np.ndarray) for r in results):
+        ends = np.cumsum([0] + [len(r) for r in results], dtype=np.int32)
+        flat = pa.array(np.concatenate(results).astype(np.float32))
+        return pa.ListArray.from_arrays(pa.array(ends), flat)
+    return pa.array(results, type=arrow_type)
+
+
 def _parse(out_type: str) -> T.DataType:
     if out_type == "array<float>":
         return T.ArrayType(T.FloatType())
@@ -100,7 +109,8 @@ def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
         def run(texts: list[str]) -> list[np.ndarray]:
             counts = np.zeros((len(texts), dim))
             for row, text in enumerate(texts):
-                np.add.at(counts[row], [slot(t) for t in (text or "").lower().split()], 1.0)
+                found = [slot(t) for t in (text or "").lower().split()]
+                counts[row] = np.bincount(found, minlength=dim) if found else 0.0
             norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return list((counts / np.where(norms == 0, 1.0, norms)).astype(np.float32))
 

@@ -55,14 +55,17 @@ ROUGH = f"""select doc_id, company, seg_idx, text, ({ROUGH_START})::double as st
     ({ROUGH_END})::double as "end" from ({inp.SEG})"""
 
 
+ROUGH_ARRAY = """transform(split(text,'\n'), (c,p) -> struct(c as text,
+  cast(case when p%7=3 then -2.0 else p*5.5 end as double) as start,
+  cast(case p%5 when 0 then p*5.5 when 1 then null when 2 then p*5.5-1 when 3 then p*5.5+45
+    else (p+1)*5.5 end as double) as end))"""
+
+
 def rough_segments(spark, sf):
-    return inp.segment_rows(spark, sf).selectExpr(
-        "doc_id",
-        "company",
-        "seg_idx",
-        "text",
-        f"cast({ROUGH_START} as double) as start",
-        f"cast({ROUGH_END.replace(chr(34), '`')} as double) as end",
+    return (
+        inp.documents(spark, sf)
+        .selectExpr("doc_id", "source as company", f"posexplode({ROUGH_ARRAY}) as (seg_idx, s)")
+        .select("doc_id", "company", "seg_idx", "s.text", "s.start", "s.end")
     )
 
 

@@ -36,34 +36,21 @@ def ingest_inputs(spark, sf):
     requests = docs.selectExpr("video_url", "source as company_name")
     model = (
         docs.where(~loom)
-        .join(inp.timed_texts(spark, sf), "doc_id")
         .selectExpr(
             "video_url", "'gemini_raw_api_analysis' as method", "'YouTube Video' as title",
-            "case when doc_id%7 <> 0 then t end as transcription", "'' as summary",
-            "'Unknown' as duration", "'en' as language",
+            f"case when doc_id%7 <> 0 then {inp.TIMED_SPARK} end as transcription",
+            "'' as summary", "'Unknown' as duration", "'en' as language",
         )
         .withColumn("word_count", word_count("transcription"))
     )
     captions = docs.where(~loom).selectExpr(
         "video_url", f"case when doc_id%5 = 0 then {tab.CAPTION_CASES} else array() end as items"
     )
-    segs = chq.rough_segments(spark, sf).groupBy("doc_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("seg_idx", "text", "start", "end"))),
-            lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end")),
-        ).alias("segments")
-    )
-    asr = (
-        docs.where(loom)
-        .join(segs, "doc_id")
-        .select(
-            "video_url",
-            F.expr("case when doc_id%12 <> 0 then text end").alias("text"),
-            F.col("lang").alias("language"),
-            F.when(F.expr("doc_id%9 = 0"), F.array().cast(SEGMENTS_TYPE))
-            .otherwise(F.col("segments"))
-            .alias("segments"),
-        )
+    asr = docs.where(loom).selectExpr(
+        "video_url",
+        "case when doc_id%12 <> 0 then text end as text",
+        "lang as language",
+        f"case when doc_id%9 = 0 then cast(array() as {SEGMENTS_TYPE}) else {chq.ROUGH_ARRAY} end as segments",
     )
     pages = (
         inp.table(spark, sf, "pages")

@@ -44,16 +44,16 @@ SEG = """select doc_id, source as company, (p-1)::int as seg_idx, c as text,
                generate_subscripts(string_split(text,chr(10)),1) p from documents)"""
 
 
+TIMED_SPARK = """array_join(transform(split(text,'\n'), (c,p) -> concat(
+  case doc_id%4
+    when 0 then format_string('[%02d:%02d:%02d] ', p*7 div 3600, p*7 div 60 % 60, p*7%60)
+    when 1 then format_string('[%02d:%02d] ', p*7 div 60, p*7%60)
+    when 2 then format_string('[%d] ', p*7) else '' end, c)), '\n')"""
+
+
 def timed_texts(spark, sf):
     """Documents whose lines carry one of four timestamp styles (the fourth is none)."""
-    return documents(spark, sf).selectExpr(
-        "doc_id",
-        """array_join(transform(split(text,'\n'), (c,p) -> concat(
-            case doc_id%4
-              when 0 then format_string('[%02d:%02d:%02d] ', p*7 div 3600, p*7 div 60 % 60, p*7%60)
-              when 1 then format_string('[%02d:%02d] ', p*7 div 60, p*7%60)
-              when 2 then format_string('[%d] ', p*7) else '' end, c)), '\n') as t""",
-    )
+    return documents(spark, sf).selectExpr("doc_id", f"{TIMED_SPARK} as t")
 
 
 TIMED = """select doc_id, array_to_string(list_transform(string_split(text,chr(10)), lambda c,i: (

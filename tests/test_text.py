@@ -158,8 +158,10 @@ def test_segment_repair(spark):
 
 
 def test_clock(spark):
-    got = apply(spark, ["01:02:03", "02:03", "75", "x"], ti.clock_to_seconds("s"))
-    assert got == [3723, 123, 75, None]
+    values = ["01:02:03", "02:03", "75", "x", "٠١:٣٠", "𝟏𝟐"]
+    assert apply(spark, values, ti.clock_to_seconds("s")) == [3723, 123, 75, None, 90, 12]
+    lines = apply(spark, ["[٠١:٣٠] a"], ti.parse_inline_timestamps("s"))[0]
+    assert [(x.text, x.start, x.end) for x in lines] == [("a", 90.0, 93.0)]
 
 
 def test_vector_id_keeps_raw_values(spark):
