@@ -28,7 +28,8 @@ def clock_to_seconds(clock: Column | str) -> Column:
 
 def has_inline_timestamps(text: Column | str) -> Column:
     text = col(text)
-    return text.rlike(TIMED_LINE[0]) | text.rlike(TIMED_LINE[1]) | text.rlike(TIMED_LINE[2])
+    found = text.rlike(TIMED_LINE[0]) | text.rlike(TIMED_LINE[1]) | text.rlike(TIMED_LINE[2])
+    return text.contains("[") & found
 
 
 def parse_inline_timestamps(text: Column | str) -> Column:

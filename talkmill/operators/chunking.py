@@ -35,14 +35,18 @@ def _clean(segments: Column, missing_end: Column | None = None) -> Column:
     return F.filter(F.transform(segments, one), lambda s: s["text"] != "")
 
 
+def texts_between(segs: Column, first: Column, last: Column) -> Column:
+    """Texts at positions ``first`` to ``last``. Picks them one by one: a slice would copy
+    the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(segs, i)["text"])
+
+
 def _spans_to_chunks(segs: Column, spans: Column, clamp: bool) -> Column:
     """Join the texts of each ``[first, last]`` index span."""
 
     def one(span: Column) -> Column:
         first, last = F.get(segs, span["first"]), F.get(segs, span["last"])
-        texts = F.transform(
-            F.slice(segs, span["first"] + 1, span["last"] - span["first"] + 1), lambda s: s["text"]
-        )
+        texts = texts_between(segs, span["first"], span["last"])
         start = F.greatest(F.lit(0.0), first["start"]) if clamp else first["start"]
         end = F.greatest(first["start"], last["end"]) if clamp else last["end"]
         return F.struct(

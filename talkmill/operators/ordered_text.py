@@ -9,7 +9,7 @@ PIECE_ROWS = 1024
 
 
 def _ordered_join(order: Column, text: Column, sep: str) -> Column:
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
+    pairs = F.sort_array(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
     return F.array_join(F.transform(pairs, lambda p: p["t"]), sep)
 
 

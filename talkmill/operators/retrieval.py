@@ -55,7 +55,10 @@ def similarity_topk(
     if scope == "global":
         questions = questions.withColumn("namespace", F.lit(""))
         vectors = vectors.withColumn("namespace", F.lit(""))
-    questions = questions.select("question_id", "namespace", "embedding")
+    # Aliases give the columns identities of their own: both sides may stem from one table.
+    questions = questions.select(
+        *[F.col(c).alias(c) for c in ("question_id", "namespace", "embedding")]
+    )
     questions = questions.where(F.col("embedding").isNotNull())
     size = questions.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 0

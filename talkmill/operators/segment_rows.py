@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import strip
+from talkmill.functions.text import let, strip
 from talkmill.functions.timing import bounded_end
 from talkmill.operators.chunking import (
     CHUNK_SIZE,
@@ -26,6 +26,7 @@ from talkmill.operators.chunking import (
     explode_chunks,
     fold_segments,
     fold_segments_fixed,
+    texts_between,
 )
 
 BLOCK_ROWS = 4096
@@ -80,7 +81,7 @@ def _groups(segments: DataFrame, keys: list[str], idx: str, missing_end: Column,
 
 def _collect(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "block").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "text", "start", "end"))).alias("segs")
+        F.sort_array(F.collect_list(F.struct("idx", "text", "start", "end"))).alias("segs")
     )
 
 
@@ -173,8 +174,6 @@ def _own_chunks(segs: Column, entry: Column, own: Column, fold) -> Column:
     The number of segments of each chunk follows from the lengths of the texts: chunk
     texts are the segment texts joined by single blanks.
     """
-    from talkmill.functions.text import let
-
     tail = F.slice(segs, entry + 1, F.greatest(F.size(segs) - entry, F.lit(0)))
     budget = F.aggregate(
         F.slice(segs, entry + 1, F.greatest(own - entry, F.lit(0))),
@@ -182,7 +181,8 @@ def _own_chunks(segs: Column, entry: Column, own: Column, fold) -> Column:
         lambda acc, s: acc + F.length(s["text"]) + 1,
     )
 
-    def keep(chunks: Column) -> Column:
+    def keep(both: Column) -> Column:
+        chunks, own_chars = both["chunks"], both["budget"]
         # Characters used before each chunk; it starts inside the block while they do
         # not exceed the characters of the block's own segments.
         used = F.aggregate(
@@ -190,12 +190,12 @@ def _own_chunks(segs: Column, entry: Column, own: Column, fold) -> Column:
             F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")),
             lambda acc, c: F.struct(
                 (acc["sum"] + F.length(c["text"]) + 1).alias("sum"),
-                F.when(acc["sum"] < budget, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+                F.when(acc["sum"] < own_chars, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
             ),
         )
         return F.slice(chunks, F.lit(1), used["n"])
 
-    return let(fold(tail), keep)
+    return let(F.struct(fold(tail).alias("chunks"), budget.alias("budget")), keep)
 
 
 def jumps(
@@ -433,8 +433,6 @@ def _parts(segs: Column, entry: str, base: str, duration: float) -> Column:
             cid.alias("cid"),
         )
 
-    from talkmill.functions.text import let
-
     slim = F.transform(segs, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start")))
     runs = F.aggregate(slim, zero, step, lambda acc: acc["runs"])
 
@@ -443,12 +441,7 @@ def _parts(segs: Column, entry: str, base: str, duration: float) -> Column:
             stop = F.coalesce(F.get(rs, i + 1)["first"], F.size(segs))
             return F.struct(
                 r["cid"].alias("cid"),
-                F.array_join(
-                    F.transform(
-                        F.slice(segs, r["first"] + 1, stop - r["first"]), lambda s: s["text"]
-                    ),
-                    " ",
-                ).alias("text"),
+                F.array_join(texts_between(segs, r["first"], stop - 1), " ").alias("text"),
                 F.get(segs, r["first"])["start"].alias("start"),
                 F.get(segs, stop - 1)["end"].alias("end"),
             )

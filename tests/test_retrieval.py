@@ -56,6 +56,16 @@ def test_best_matches_equal_brute_force(spark, way, scope):
     assert all(r.metadata.n == str(int(r.id[2:])) for r in got)
 
 
+@pytest.mark.parametrize("way", WAYS)
+def test_both_sides_from_one_table(spark, way):
+    stored, *_ = tables(spark)
+    stored = stored.where("namespace = 'ns1'").cache()
+    asked = stored.withColumnRenamed("id", "question_id")
+    got = rt.similarity_topk(asked, stored, 1, **WAYS[way]).collect()
+    usable = stored.where(F.exists("embedding", lambda x: x != 0)).count()
+    assert len(got) == usable and all(r.score == 1.0 for r in got)
+
+
 def test_no_questions_and_no_vectors(spark):
     stored, questions, *_ = tables(spark)
     assert rt.similarity_topk(questions.limit(0), stored, 3).count() == 0
