@@ -30,9 +30,11 @@ STATE = T.StructType(
         T.StructField("end", T.DoubleType()),
         T.StructField("next_index", T.IntegerType()),
         T.StructField("last_idx", T.LongType()),
+        T.StructField("timer", T.LongType()),
     ]
 )
 CHUNK, LATE = "chunk", "late"
+NOTHING_OPEN = ("", 0.0, 0.0, 0, -1, 0)
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -66,7 +68,7 @@ class LiveChunker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         got = pd.concat(list(rows)).sort_values("seg_idx", kind="stable")
-        text, start, end, index, last = self.open.get() or ("", 0.0, 0.0, 0, -1)
+        text, start, end, index, last, timer = self.open.get() or NOTHING_OPEN
         out = []
         for seg in got.itertuples(index=False):
             if seg.seg_idx <= last:
@@ -86,20 +88,22 @@ class LiveChunker(StatefulProcessor):
             if text and (full or bool(seg.is_last)):
                 out.append(self._chunk(key, index, text, start, end))
                 text, index = "", index + 1
-        self.open.update((text, start, end, index, last))
-        for timer in self.handle.listTimers():
+        # The timer is kept in the state: asking for the timers of a key costs a call.
+        if timer:
             self.handle.deleteTimer(timer)
+            timer = 0
         if text:
             newest = int(got["event_ts"].max().timestamp() * 1000)
-            now = max(newest, timerValues.getCurrentWatermarkInMs())
-            self.handle.registerTimer(now + self.idle_ms)
+            timer = max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.open.update((text, start, end, index, last, timer))
         if out:
             yield pd.DataFrame(out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        text, start, end, index, last = self.open.get() or ("", 0.0, 0.0, 0, -1)
+        text, start, end, index, last, _ = self.open.get() or NOTHING_OPEN
         if text:
-            self.open.update(("", 0.0, 0.0, index + 1, last))
+            self.open.update(("", 0.0, 0.0, index + 1, last, 0))
             out = [self._chunk(key, index, text, start, end)]
             yield pd.DataFrame(out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
 
