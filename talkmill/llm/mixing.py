@@ -158,7 +158,7 @@ def tilts(sized: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
 
 def copies_of(tilt: Column, size: Column, scale: Column, drawn: Column, shift: Column, cap: int) -> Column:
     whole = F.floor(rate(tilt, size, scale, cap) + drawn + shift)
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cap), whole)), F.lit(0)).cast("long")
+    return F.when((size > 0) & whole.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(cap), whole))).otherwise(0).cast("long")
 
 
 def shifts(sized: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:

@@ -122,16 +122,19 @@ def links(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def groups(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``fp, component_id`` for every fingerprint of ``found (doc_id, fp)``: the smallest doc_id
-    reachable over links; null where every document reached has a null id."""
+    """``fp, root, component_id`` for every fingerprint of ``found (doc_id, fp)``: the fingerprint
+    that stands for its group, and the smallest doc_id reachable over links, which is null where
+    every document reached has a null id."""
     classes = saved(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     pairs = saved(links(classes, threshold), "simhash-links")
     roots = components(pairs)
     members = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "least")
     smallest = members.groupBy("root").agg(F.min("least").alias("smallest"))
-    joined = members.join(smallest, "root").select(F.col("node").alias("fp"), F.lit(True).alias("linked"), "smallest")
+    joined = members.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
     return classes.join(joined, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("smallest")).otherwise(F.col("least")).alias("component_id")
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNotNull(), F.col("smallest")).otherwise(F.col("least")).alias("component_id"),
     )
 
 
@@ -148,42 +151,42 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, the one with the smallest doc_id;
-    columns unchanged. Of rows that share that id the one with the smallest text hash stays, and
-    one of fully equal rows. Rows without an id cannot be named and all stay."""
+    """One row of ``docs`` for each group of near-duplicates, one with the smallest doc_id;
+    columns unchanged. Of several rows of a group with that id the one with the smallest text
+    hash stays. Rows without an id cannot be named and all stay."""
     found = saved(fingerprints(docs, shingle), "simhash-fingerprints")
     grouped = saved(found.join(groups(found, threshold), "fp"), "simhash-grouped")
+    named = grouped.where(F.col("doc_id").isNotNull())
     repeated = saved(
-        grouped.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"),
-        "simhash-repeated",
+        named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "simhash-repeated"
     )
-    dropped = saved(grouped.where("doc_id <> component_id").select("doc_id").join(repeated, "doc_id", "left_anti"), "simhash-dropped")
-    single = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = saved(named.where("doc_id <> component_id").select("doc_id"), "simhash-dropped")
     if repeated.isEmpty():
-        return single
-    single = single.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(_one_of_repeated(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), grouped, shingle))
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # An id that several rows share says too little; those rows are told apart by their texts.
+    single = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti").select(docs.columns)
+    shared = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    return single.unionByName(_one_of_repeated(shared, grouped.join(repeated, "doc_id", "left_semi"), shingle))
 
 
 def _one_of_repeated(rows: DataFrame, grouped: DataFrame, shingle: int) -> DataFrame:
-    """Of the rows whose id occurs more than once, the one that stands for its group."""
+    """Of rows whose ids occur more than once, those that stand for their groups."""
     own = T.StructType([*rows.schema, T.StructField("__fp", T.LongType())])
 
     def mark(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])
 
-    of = grouped.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__key"), F.col("component_id").alias("__group")).distinct()
+    best = grouped.where("doc_id = component_id").select(
+        F.col("doc_id").alias("__id"), F.col("fp").alias("__key"), F.col("root").alias("__root")
+    )
     marked = rows.mapInArrow(mark, own)
-    best = Window.partitionBy("__group").orderBy(F.xxhash64("text"), "text")
+    first = Window.partitionBy("__root").orderBy(F.xxhash64("text"), "text")
     return (
-        marked.join(of, (marked["doc_id"] == of["__id"]) & (marked["__fp"] == of["__key"]))
-        .where("doc_id = __group")
-        .withColumn("__rank", F.row_number().over(best))
+        marked.join(best.distinct(), (marked["doc_id"] == best["__id"]) & (marked["__fp"] == best["__key"]))
+        .withColumn("__rank", F.row_number().over(first))
         .where("__rank = 1")
         .select(rows.columns)
     )

@@ -51,7 +51,7 @@ def usable(embedding: Column) -> Column:
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
 def _borders(rows: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def _scan(cells: DataFrame, ids: np.ndarray, q: np.ndarray, edges, k: int) -> Da
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                own = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                own = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, len(dims))
                 lower, upper = bounds(q, low_of[dims, own], high_of[dims, own])
                 same = ids[:, None] == part.column(1).to_numpy(zero_copy_only=False)[None, :]
                 lower[same] = upper[same] = -np.inf
