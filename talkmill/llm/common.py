@@ -46,12 +46,15 @@ def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield begin, len(sizes)
 
 
-def worker_value(key: Any, make: Callable[[], Any]) -> Any:
+def worker_value(key: Any, make: Callable[[], Any], large: bool = False) -> Any:
     """A value kept by a Python worker over its tasks (tokenizers, word caches). The caller
-    bounds its size; results never depend on what it holds."""
+    bounds its size; results never depend on what it holds. Of ``large`` ones a worker keeps the
+    last only, as operators that follow each other in one worker don't need each other's."""
     home = sys.modules.setdefault("talkmill_worker_values", types.ModuleType("talkmill_worker_values"))
-    values = home.__dict__.setdefault("values", {})
+    values = home.__dict__.setdefault("large" if large else "small", {})
     if key not in values:
+        if large:
+            values.clear()
         values[key] = make()
     return values[key]
 

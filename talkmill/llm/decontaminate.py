@@ -46,7 +46,7 @@ class Words(dict):
 
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased word tokens of all texts in a row, and where each text ends."""
-    words = worker_value("decontamination words", Words)
+    words = worker_value("decontamination words", Words, large=True)
     if len(words) > KEPT_WORDS:
         words.clear()
     tokens = [TOKEN.findall(t.lower()) for t in texts]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,13 @@ from talkmill.llm.common import SLICE_CHARS, slices, worker_value
 
 #: Ids of a segment; a single longer document gets a larger one.
 SEGMENT_IDS = 1 << 20
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps, in about 150 MB.
+KEPT_PIECES = 700_000
+#: A character that encodes to one id which nothing else yields.
+MARK = "\x01"
+TAILS = ".,;:!?"
+#: Up to here a letter lower-cases to one letter.
+PLAIN = "\u00ff"
 
 LENGTH_TABLE = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASK_TABLE = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -35,12 +42,17 @@ MASK_TABLE = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 def encode_ranks(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    v = values.astype("<u4")
+    v = values.astype(np.uint32)
     width = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = width - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < width[:, None]]
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    begin = np.cumsum(width, dtype=np.int64) - width
+    data = np.empty(int(begin[-1]) + int(width[-1]) if len(v) else 0, np.uint8)
+    data[begin] = v & 0xFF
+    for k in (1, 2, 3):
+        more = np.flatnonzero(width > k)
+        data[begin[more] + k] = v[more] >> 8 * k & 0xFF
     return control.tobytes(), data.tobytes()
 
 
@@ -54,6 +66,13 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``ranks, control, data`` of a segment's ids; equally frequent ids rank by number."""
+    if len(ids) and int(ids.max()) < SEGMENT_IDS:
+        counts = np.bincount(ids)
+        found = np.flatnonzero(counts)
+        order = found[np.argsort(-counts[found], kind="stable")]
+        rank = np.zeros(len(counts), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return order.astype("<u4").tobytes(), *encode_ranks(rank[ids])
     found, where, n = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.uint32)
@@ -65,57 +84,120 @@ def unpack(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ranks, "<u4")[decode_ranks(control, data, n)]
 
 
+class Pieces(dict):
+    """Place of each piece; a new piece gets the next place and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+
 class Encoder:
     """Ids of texts, piece by piece.
 
     The tokenizer drops white space and no token spans a blank, so a text's ids are those of its
     blank-separated pieces in order. Pieces come again and again: a worker keeps the ids of up to
-    ``KEPT_PIECES`` and gives the others to the library in one batch.
+    ``KEPT_PIECES``. New ones go to the library in one text, between marks that no other piece can
+    yield; one that is a known piece and a full stop, say, is put together from the two.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self.mark = self.plain(MARK)
+        self.tails = {c: self.plain(c) for c in TAILS}
         self.reset()
 
+    def plain(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def reset(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = Pieces()
         self.pool = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.batch(pieces, add_special_tokens=False)]
-        size = np.array([len(f) for f in found], np.int64)
-        used = int(self.ends[-1])
+    def learn(self) -> None:
+        """Ids of the pieces that ``places`` has noted, at the pool's end."""
+        pieces, self.places.new = self.places.new, []
+        begin, used = len(self.ends) - 1, int(self.ends[-1])
+        whole, joined, heads, tails = [], [], [], []
+        for i, p in enumerate(pieces):
+            if p[-1:] in self.tails and p[-2:-1].isalnum() and p[-2] <= PLAIN:
+                head = self.places.get(p[:-1], begin)
+                if head < begin:
+                    joined.append(i)
+                    heads.append(head)
+                    tails.append(self.tails[p[-1]][0])
+                    continue
+            whole.append(i)
+        ids, n = self._encoded([pieces[i] for i in whole])
+        whole, joined, heads = (np.array(x, np.int64) for x in (whole, joined, heads))
+        size = np.zeros(len(pieces), np.int64)
+        size[whole] = n
+        size[joined] = self.ends[heads + 1] - self.ends[heads] + 1
+        first = used + np.cumsum(size) - size
         need = used + int(size.sum())
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool[:used], np.zeros(max(need, 2 * len(self.pool)) - used, np.uint32)])
-        self.pool[used:need] = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
-        begin = len(self.ends) - 1
-        self.ends = np.concatenate([self.ends, used + np.cumsum(size)])
-        self.places.update(zip(pieces, range(begin, begin + len(pieces))))
+        self.pool[_runs(first[whole], n)] = ids
+        self.pool[_runs(first[joined], size[joined] - 1)] = self.pool[_runs(self.ends[heads], size[joined] - 1)]
+        self.pool[first[joined] + size[joined] - 1] = tails
+        self.ends = np.concatenate([self.ends, first + size])
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        if len(self.mark) == 1 and not any(MARK in p for p in pieces):
+            ids = np.array(self.plain("".join(f"{p} {MARK} " for p in pieces)), np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(pieces):
+                n = np.diff(np.concatenate([[-1], marks])) - 1
+                return ids[ids != self.mark[0]], n
+        found = [self.plain(p) for p in pieces]
+        return np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in a row, and how many each text has."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [self.cut(t) for t in texts]
         if len(self.places) > KEPT_PIECES:
             self.reset()
-        known = self.places
-        new = list({p for own in pieces for p in own if p not in known})
-        if new:
-            self.learn(new)
         n = [len(own) for own in pieces]
-        place = np.fromiter((known[p] for own in pieces for p in own), np.int64, sum(n))
+        place = np.fromiter(map(self.places.__getitem__, chain.from_iterable(pieces)), np.int64, sum(n))
+        if self.places.new:
+            self.learn()
         size = self.ends[place + 1] - self.ends[place]
-        first = np.cumsum(size) - size
-        ids = self.pool[np.arange(int(size.sum())) + np.repeat(self.ends[place] - first, size)]
+        ids = self.pool[_runs(self.ends[place], size)]
         bound = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[bound])
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Pieces between blanks and line feeds; Latin text is lower-cased as the tokenizer would,
+        so that fewer are different. Special tokens are told by case, so texts that may hold one
+        stay as they are."""
+        if "<|" not in text and latin(text):
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are Latin-1."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of runs given by their first position and length."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
 
 def encoder(path: str) -> Encoder:
-    return worker_value(("token encoder", path), lambda: Encoder(path))
+    return worker_value(("token encoder", path), lambda: Encoder(path), large=True)
 
 
 SEGMENTS = (
