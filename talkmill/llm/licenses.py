@@ -51,6 +51,9 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+#: Words that all texts hold; they only steer which terms :meth:`Space.anchors` takes.
+EVERYDAY = frozenset("a and any are as be by can either except following from in into is it may not of or that the this to under with without you".split())
+
 SENTENCE = r"[\r\n]+|(?<=[.!?])\s+"
 SEPARATOR = r"[^a-z0-9.+-]+"
 
@@ -78,11 +81,12 @@ class Space:
 
     def anchors(self, threshold: float) -> list[str]:
         """Terms of which a sentence must hold one to reach ``threshold`` with any template: the
-        cosine is at most the length of the template's vector on the shared terms."""
+        cosine is at most the length of the template's vector on the shared terms. Any terms will
+        do that leave too little of the vector; everyday words are left out where they can be."""
         out: set[str] = set()
         for _, vector in self.vectors:
             rest = 1.0
-            for term, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+            for term, weight in sorted(vector.items(), key=lambda x: (x[0] in EVERYDAY, -x[1], x[0])):
                 if rest < threshold**2:
                     break
                 out.add(term)
@@ -91,7 +95,7 @@ class Space:
 
 
 def _terms(sentence: Column) -> Column:
-    cut = F.transform(F.split(sentence, SEPARATOR), lambda t: F.regexp_replace(t, r"\.+$", ""))
+    cut = F.transform(F.split(sentence, SEPARATOR), lambda t: F.rtrim(t, F.lit(".")))
     return F.filter(cut, lambda t: t != "")
 
 
@@ -108,6 +112,16 @@ def _map(values: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def _within_reach(terms: Column, space: Space, threshold: float) -> Column:
+    """Whether a window can reach ``threshold`` at all. Unknown terms weigh the most, so with s the
+    sum of squared counts of the known terms and o the number of unknown ones the squared cosine is
+    at most s / (s + o)."""
+    known = F.filter(terms, lambda t: t.isin(list(space.idf)))
+    often = F.transform(known, lambda t: F.size(F.filter(known, lambda u: u == t)))
+    squares = F.aggregate(often, F.lit(0), lambda a, b: a + b)
+    return squares >= threshold**2 * (squares + F.size(terms) - F.size(known)) - 1e-9
+
+
 def _match(terms: Column, space: Space) -> Column:
     """Best ``(cosine, name)`` of one window; equal cosines go to the later name."""
     weight = lambda t: F.coalesce(F.try_element_at(_map(space.idf), t), F.lit(space.unknown))
@@ -129,15 +143,23 @@ def _match(terms: Column, space: Space) -> Column:
 def own_licenses(docs: DataFrame, directory: Column, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, directory, license, score, is_file`` of every row; null and 0 without a match."""
     space = Space()
-    anchor = "(?<![a-z0-9.+-])(?:" + "|".join(map(re.escape, space.anchors(threshold))) + ")(?![a-z0-9+-])"
+    anchors = space.anchors(threshold)
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select(
+
+    def anchored(part: Column) -> Column:
+        return F.exists(F.split(part, SEPARATOR), lambda t: F.rtrim(t, F.lit(".")).isin(anchors))
+
+    # Texts without any anchor are done; the others are cut into sentences.
+    flagged = docs.select("doc_id", directory.alias("directory"), text.alias("text"), anchored(F.lower(text)).alias("flag"))
+    sentences = F.filter(F.split(F.lower("text"), SENTENCE), anchored)
+    held = flagged.select(
         "doc_id",
-        directory.alias("directory"),
-        F.regexp_count(text, F.lit(r"\S+")).alias("all_words"),
-        F.filter(F.split(F.lower(text), SENTENCE), lambda s: s.rlike(anchor)).alias("sentences"),
+        "directory",
+        F.when(F.col("flag"), sentences).otherwise(F.array().cast("array<string>")).alias("sentences"),
+        F.when(F.col("flag"), F.regexp_count("text", F.lit(r"\S+"))).otherwise(0).alias("all_words"),
     )
-    cut = held.withColumn("windows", F.flatten(F.transform("sentences", lambda s: _windows(_terms(s)))))
+    windows = F.flatten(F.transform("sentences", lambda s: _windows(_terms(s))))
+    cut = held.withColumn("windows", F.filter(windows, lambda w: _within_reach(w, space, threshold)))
     scored = cut.withColumn(
         "matches", F.filter(F.transform("windows", lambda w: _match(w, space)), lambda m: m["cosine"] >= threshold)
     )
