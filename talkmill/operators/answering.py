@@ -27,6 +27,7 @@ NOTHING_FOUND = (
     "I couldn't find relevant information to answer your question. "
     "Please try rephrasing or ensure videos have been processed."
 )
+EMBEDDING_FAILED = "Failed to create question embedding."
 ANSWER_FAILED = "Failed to generate answer."
 NO_INFO_PHRASES = [
     "I do not have that information",
@@ -198,16 +199,16 @@ def with_buffer(span: Column) -> Column:
 def resolve_video_url(best: DataFrame, registry: DataFrame, key: str = "question_id") -> DataFrame:
     """Add ``resolved_url``: stored URL, original URL, registry entry, or the source itself.
 
-    ``best`` has a ``best`` metadata struct. Rows that need no lookup get a key of their
-    own, so they spread over the join instead of meeting in one null group.
+    ``best`` has a ``best`` metadata struct. Rows that need no lookup, or have no name to look
+    up, get a key of their own, so they spread over the join instead of meeting in one group.
     """
     m = F.col("best")
     direct = F.coalesce(
         F.nullif(m["video_url"], F.lit("")), F.nullif(m["original_video_url"], F.lit(""))
     )
-    lookup = F.when(direct.isNull(), source_name(m["source"])).otherwise(
-        F.concat(F.lit("\u0000"), F.col(key).cast("string"))
-    )
+    named = F.nullif(source_name(m["source"]), F.lit(""))
+    alone = F.concat(F.lit("\u0000"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    lookup = F.when(direct.isNull(), F.coalesce(named, alone)).otherwise(alone)
     names = registry.select(
         F.col("video_name").alias("_name"), F.nullif("video_url", F.lit("")).alias("_mapped")
     )
@@ -223,27 +224,31 @@ def resolve_video_url(best: DataFrame, registry: DataFrame, key: str = "question
 def assemble_answers(
     collected: DataFrame, registry: DataFrame, same_video_only: bool = False
 ) -> DataFrame:
-    """Final answers from ``collected`` plus ``rerank_reply`` and ``raw_answer`` columns."""
+    """Final answers from ``collected`` plus ``rerank_reply`` and ``raw_answer`` columns, and
+    ``unembedded`` where the question's embedding may have failed."""
     count = n_chunks("chunks")
+    lost = F.col("unembedded") if "unembedded" in collected.columns else F.lit(False)
     prepared = collected.select(
         "question_id",
         "chunks",
+        lost.alias("unembedded"),
         clean_answer("raw_answer").alias("clean"),
         F.get("chunks", pick_reranked("rerank_reply", count) - 1)["metadata"].alias("best"),
     )
     located = resolve_video_url(prepared, registry)
-    empty = n_chunks("chunks") == 0
-    failed = ~empty & F.col("clean").isNull()
+    lost = F.col("unembedded")
+    empty = (n_chunks("chunks") == 0) & ~lost
+    failed = ~empty & ~lost & F.col("clean").isNull()
     located = located.select(
         "question_id",
         F.when(empty, NOTHING_FOUND).otherwise(F.col("clean")).alias("answer"),
         F.when(empty, F.array().cast("array<string>"))
-        .when(~failed, source_list("chunks"))
+        .when(~failed & ~lost, source_list("chunks"))
         .alias("sources"),
-        (~empty & ~failed & ~is_no_info_answer("clean")).alias("_located"),
+        (~empty & ~failed & ~lost & ~is_no_info_answer("clean")).alias("_located"),
         "resolved_url",
         playback_span(F.col("best"), "chunks", same_video_only).alias("_span"),
-        F.when(failed, ANSWER_FAILED).alias("error"),
+        F.when(lost, EMBEDDING_FAILED).when(failed, ANSWER_FAILED).alias("error"),
     )
     shown = lambda c, name: F.when(F.col("_located"), c).alias(name)
     return located.select(

@@ -27,40 +27,58 @@ def batch_model(
     out_type: str,
     batch_size: int = EMBED_BATCH,
     default=None,
+    error_col: str | None = None,
 ) -> DataFrame:
     """Append ``out_col = fn(texts)``, calling ``fn`` on at most ``batch_size`` texts.
 
-    ``factory`` runs once per task (load the model there). A batch that fails, or that
-    returns another number of results, gets ``default`` in every row, as the job must
-    not die for one bad call. Rows, order and all other columns stay as they are; the
-    data crosses to Python as Arrow batches.
+    ``factory`` runs once per task (load the model there). Null texts never reach the model and
+    get null. A batch that fails, or that returns another number of results, is tried again text
+    by text; only texts that fail alone get ``default``, and ``error_col``, if named, says why.
+    Rows, order and all other columns stay as they are; the data crosses to Python as Arrow
+    batches.
 
     Model calls may not be repeatable: write the result before using it twice.
     """
     arrow_type = pa.list_(pa.float32()) if "array<float>" in out_type else pa.string()
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, _parse(out_type))])
+    added = [T.StructField(out_col, _parse(out_type))]
+    if error_col:
+        added.append(T.StructField(error_col, T.StringType()))
+    schema = T.StructType(df.schema.fields + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = factory()
         for batch in batches:
             texts = batch.column(in_col).to_pylist()
-            results: list = []
-            for i in range(0, len(texts), batch_size):
-                part = texts[i : i + batch_size]
-                try:
-                    got = list(fn(part))
-                    ok = len(got) == len(part)
-                except Exception:
-                    ok = False
-                results.extend(got if ok else [default] * len(part))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, _column(results, arrow_type)],
-                names=[*batch.schema.names, out_col],
-            )
+            results: list = [None] * len(texts)
+            errors: list[str | None] = [None] * len(texts)
+            asked = [i for i, t in enumerate(texts) if t is not None]
+            for begin in range(0, len(asked), batch_size):
+                part = asked[begin : begin + batch_size]
+                for i, (result, error) in zip(part, _replies(fn, [texts[i] for i in part], default)):
+                    results[i], errors[i] = result, error
+            columns, names = [*batch.columns, _column(results, arrow_type)], [*batch.schema.names, out_col]
+            if error_col:
+                columns.append(pa.array(errors, pa.string()))
+                names.append(error_col)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def _replies(fn: BatchFn, texts: list[str], default) -> list[tuple]:
+    """``(result, error)`` of each text."""
+    try:
+        got = list(fn(texts))
+        if len(got) == len(texts):
+            return [(g, None) for g in got]
+        error = f"{len(got)} results for {len(texts)} texts"
+    except Exception as e:
+        error = f"{type(e).__name__}: {e}"
+    if len(texts) == 1:
+        return [(default, error)]
+    return [_replies(fn, [t], default)[0] for t in texts]
+
+
 def _column(results: list, arrow_type: pa.DataType) -> pa.Array:
     """Results as an Arrow column; numpy vectors are laid end to end instead of boxed."""
     if results and all(isinstance(r, np.ndarray) for r in results):
@@ -86,10 +104,11 @@ def embed(
     batch_size: int = EMBED_BATCH,
     out_col: str = "embedding",
 ) -> DataFrame:
-    """Embed a text column; failed batches get zero vectors, flagged as ``is_zero``."""
+    """Embed a text column. Texts whose call fails get zero vectors and null texts null ones,
+    both flagged as ``is_zero``; ``embed_error`` says why a call failed."""
     zero = np.zeros(dim, dtype=np.float32)
-    out = batch_model(df, text, out_col, factory, "array<float>", batch_size, default=zero)
-    return out.withColumn("is_zero", is_zero(out_col))
+    out = batch_model(df, text, out_col, factory, "array<float>", batch_size, zero, "embed_error")
+    return out.withColumn("is_zero", F.coalesce(is_zero(out_col), F.lit(True)))
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
@@ -98,19 +117,16 @@ def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
     def factory() -> BatchFn:
         slots: dict[str, int] = {}
 
-        def slot(token: str) -> int:
-            found = slots.get(token)
-            if found is None:
-                found = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-                if len(slots) < 1_000_000:
-                    slots[token] = found
-            return found
-
         def run(texts: list[str]) -> list[np.ndarray]:
-            counts = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                found = [slot(t) for t in (text or "").lower().split()]
-                counts[row] = np.bincount(found, minlength=dim) if found else 0.0
+            tokens = [t.lower().split() for t in texts]
+            if len(slots) > 1_000_000:
+                slots.clear()
+            for token in {t for own in tokens for t in own}.difference(slots):
+                slots[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+            n = [len(own) for own in tokens]
+            found = np.fromiter((slots[t] for own in tokens for t in own), np.int64, sum(n))
+            rows = np.repeat(np.arange(len(texts)), n)
+            counts = np.bincount(rows * dim + found, minlength=len(texts) * dim).reshape(-1, dim).astype(float)
             norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return list((counts / np.where(norms == 0, 1.0, norms)).astype(np.float32))
 
@@ -119,25 +135,28 @@ def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
     return factory
 
 
+#: What tells a chunk from all others: two companies may ingest the same video.
+CHUNK_KEY = ["company_name", "video_url", "chunk_index"]
+
+
 def zip_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Attach separately made embeddings to their chunks by position."""
-    return chunks.join(
-        embeddings.select("video_url", "chunk_index", "embedding"), ["video_url", "chunk_index"]
-    )
+    return chunks.join(embeddings.select(*CHUNK_KEY, "embedding"), CHUNK_KEY)
 
 
 def missing_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks that did not get a vector."""
-    return chunks.join(embeddings, ["video_url", "chunk_index"], "left_anti")
+    return chunks.join(embeddings, CHUNK_KEY, "left_anti")
 
 
 def count_check(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Per video: number of chunks, number of vectors, and whether they agree."""
-    side = lambda df, name: df.groupBy("video_url").agg(F.count("*").alias(name))
+    """Per video of a company: number of chunks, number of vectors, and whether they agree."""
+    key = CHUNK_KEY[:2]
+    side = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
     counts: Column = F.coalesce("n_vectors", F.lit(0))
     return (
         side(chunks, "n_chunks")
-        .join(side(embeddings, "n_vectors"), "video_url", "left")
+        .join(side(embeddings, "n_vectors"), key, "left")
         .withColumn("n_vectors", counts)
         .withColumn("complete", F.col("n_chunks") == F.col("n_vectors"))
     )

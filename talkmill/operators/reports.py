@@ -76,8 +76,9 @@ def chunk_counts(requests: DataFrame, chunks: DataFrame, vectors: DataFrame) ->
     )
 
 
-def ingest_report(counted: DataFrame) -> DataFrame:
-    """One outcome row per request. A failure is reported as one, with its raw error."""
+def ingest_report(counted: DataFrame, *more: str) -> DataFrame:
+    """One outcome row per request, with the columns named in ``more``. A failure is reported as
+    one, with its raw error."""
     reason = failure_reason("video_url", "transcription", "chunks_created", "vectors_stored")
     judged = counted.withColumn("original_error", reason)
     ok = F.col("original_error").isNull()
@@ -95,6 +96,7 @@ def ingest_report(counted: DataFrame) -> DataFrame:
         classify_error("original_error").alias("error"),
         "original_error",
         F.when(~ok, SUGGESTION).alias("suggestion"),
+        *more,
     )
 
 

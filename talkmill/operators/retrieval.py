@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.functions.text import col
-from talkmill.operators.topk_kernel import BestMatches, to_matrix
+from talkmill.operators.model import EMBEDDING_DIM
+from talkmill.operators.topk_kernel import EXACT_DIGITS, BestMatches, to_matrix
 
 TOP_K, SEARCH_K = 6, 5
-BROADCAST_BYTES = 64 << 20
-CELL_QUESTIONS, CELL_VECTORS = 4_096, 16_384
+#: Bytes of the questions that travel with the tasks at a time.
+SLICE_BYTES = 64 << 20
 MAX_PRUNE_VALUES = 256
 VECTOR_BLOCK = 4_096
 
@@ -30,59 +32,73 @@ def topk_per_question(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def of_length(df: DataFrame, dim: int) -> DataFrame:
+    """Rows whose embedding has ``dim`` components."""
+    return df.where(F.coalesce(F.size("embedding"), F.lit(-1)) == dim)
+
+
+def wrong_length(df: DataFrame, dim: int) -> DataFrame:
+    """Quarantine: rows without an embedding of ``dim`` components, with a ``reason``."""
+    found = F.concat(F.lit("embedding has "), F.size("embedding"), F.lit(f" components, not {dim}"))
+    reason = F.when(F.col("embedding").isNull(), "no embedding").otherwise(found)
+    return df.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).withColumn("reason", reason)
+
+
 def similarity_topk(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = TOP_K,
     carry: tuple[str, ...] = (),
     scope: str = "namespace",
-    broadcast_bytes: int = BROADCAST_BYTES,
-    cell_questions: int = CELL_QUESTIONS,
-    cell_vectors: int = CELL_VECTORS,
+    dim: int = EMBEDDING_DIM,
+    digits: int = EXACT_DIGITS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Exact best-k matches ``(question_id, rank, id, score, *carry)``.
 
     ``questions(question_id, namespace, embedding)`` are compared with the
     ``vectors(namespace, id, embedding, *carry)`` of their namespace, or with all of
-    them when ``scope='global'``. Vectors without length never match.
-
-    The question side is measured first. While it is small (the usual case) it travels
-    with the tasks and the vectors are read once, without any shuffle. Otherwise both
-    sides meet in cells of bounded size: a namespace with many rows is cut into more
-    cells, so no task ever holds a whole namespace. Both ways keep only the best k per
-    task, never all pairs.
+    them when ``scope='global'``. Vectors without length never match, and rows whose
+    embedding has not ``dim`` components take no part (:func:`wrong_length` gives them).
+
+    Questions go in slices of ``slice_bytes``; each slice travels with the tasks and the ids and
+    embeddings of the vectors are read once for it, without any shuffle. A task keeps the best k
+    per question and nothing else. The carried columns are joined to the winners only.
+    Scores are compared to ``digits`` decimals; at the default that is as far as sums of doubles
+    agree whatever their order, so that equal vectors tie and go by the smaller id.
     """
-    if scope == "global":
-        questions = questions.withColumn("namespace", F.lit(""))
-        vectors = vectors.withColumn("namespace", F.lit(""))
     # Aliases give the columns identities of their own: both sides may stem from one table.
-    questions = questions.select(
+    asked = of_length(questions, dim).select(
         *[F.col(c).alias(c) for c in ("question_id", "namespace", "embedding")]
     )
-    questions = questions.where(F.col("embedding").isNotNull())
-    size = questions.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    n, dim = size["n"], size["dim"] or 0
-    questions = questions.where(F.size("embedding") == dim)
-    vectors = vectors.select("namespace", "id", "embedding", *carry).where(
-        F.size("embedding") == dim
-    )
-    payload = [vectors.schema[c] for c in ("id", *carry)]
+    stored = of_length(vectors, dim).select("namespace", "id", "embedding")
+    if scope == "global":
+        asked = asked.withColumn("namespace", F.lit(""))
+        stored = stored.withColumn("_home", F.col("namespace")).withColumn("namespace", F.lit(""))
+    else:
+        stored = stored.withColumn("_home", F.col("namespace"))
     schema = T.StructType(
         [
-            questions.schema["question_id"],
+            asked.schema["question_id"],
             T.StructField("score", T.DoubleType()),
-            *payload,
+            stored.schema["id"],
+            stored.schema["_home"],
         ]
     )
-    if n * dim * 8 <= broadcast_bytes:
-        found = _scan(questions, vectors, k, dim, schema, prune=scope != "global")
-    else:
-        found = _cells(questions, vectors, k, dim, schema, cell_questions, cell_vectors)
-    return topk_per_question(found, k).select("question_id", "rank", "id", "score", *carry)
-
-
-def _ordered(table: pa.Table, names: list[str]) -> list[pa.RecordBatch]:
-    return table.select(names).combine_chunks().to_batches()
+    parts = max(1, -(-asked.count() * dim * 8 // slice_bytes))
+    slices = [
+        asked if parts == 1 else asked.where(F.pmod(F.xxhash64("namespace", "question_id"), F.lit(parts)) == i)
+        for i in range(parts)
+    ]
+    found = reduce(
+        DataFrame.unionByName,
+        [_scan(part, stored, k, dim, digits, schema, prune=scope != "global") for part in slices],
+    )
+    best = topk_per_question(found, k).select("question_id", "rank", "id", "_home", "score")
+    if not carry:
+        return best.drop("_home")
+    payload = vectors.select(F.col("namespace").alias("_home"), "id", *carry)
+    return best.join(payload, ["_home", "id"]).select("question_id", "rank", "id", "score", *carry)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +109,25 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(
-    questions: DataFrame, vectors: DataFrame, k: int, dim: int, schema: T.StructType, prune: bool
+    questions: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    dim: int,
+    digits: int,
+    schema: T.StructType,
+    prune: bool,
 ) -> DataFrame:
-    """Small question set: one pass over the vectors, best k per task."""
+    """One slice of questions: one pass over the vectors, best k per task."""
     asked = questions.toArrow()
     groups: dict[str, tuple[pa.Array, np.ndarray]] = {}
-    names = np.array(asked.column("namespace").to_pylist(), dtype=object)
-    for name in set(names.tolist()) - {None}:
-        rows = asked.filter(pa.array(names == name))
+    codes = asked.column("namespace").combine_chunks().dictionary_encode()
+    if isinstance(codes, pa.ChunkedArray):
+        codes = codes.combine_chunks()
+    which = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(which, kind="stable")
+    bounds = np.searchsorted(which[order], np.arange(len(codes.dictionary) + 1))
+    for code, name in enumerate(codes.dictionary.to_pylist()):
+        rows = asked.take(pa.array(order[bounds[code] : bounds[code + 1]]))
         groups[name] = (
             rows.column("question_id").combine_chunks(),
             to_matrix(rows.column("embedding"), dim),
@@ -108,11 +135,11 @@ def _scan(
     if prune and len(groups) <= MAX_PRUNE_VALUES:
         vectors = vectors.where(F.col("namespace").isin(sorted(groups)))
     elif prune:
-        # At most as many names as questions, whose size was checked.
+        # At most as many names as questions, whose bytes the slice bounds.
         names_table = pa.table({"namespace": pa.array(sorted(groups), pa.string())})
         asked_names = vectors.sparkSession.createDataFrame(names_table)
         vectors = vectors.join(F.broadcast(asked_names), "namespace", "left_semi")
-    out, carried = schema.names, schema.names[2:]
+    out = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, BestMatches] = {}
@@ -120,12 +147,12 @@ def _scan(
             codes = batch.column("namespace").dictionary_encode()
             which = codes.indices.to_numpy(zero_copy_only=False)
             matrix = to_matrix(batch.column("embedding"), dim)
-            payload = pa.Table.from_batches([batch.select(carried)])
+            payload = pa.Table.from_batches([batch.select(["id", "_home"])])
             for code, name in enumerate(codes.dictionary.to_pylist()):
                 if name not in groups:
                     continue
                 if name not in best:
-                    best[name] = BestMatches(*groups[name], k)
+                    best[name] = BestMatches(*groups[name], k, digits)
                 if len(codes.dictionary) == 1:
                     best[name].offer(matrix, payload)
                 else:
@@ -134,80 +161,27 @@ def _scan(
         for matches in best.values():
             table = matches.result()
             if table is not None:
-                yield from _ordered(table, out)
+                yield from table.select(out).combine_chunks().to_batches()
 
     return vectors.mapInArrow(run, schema)
 
 
-def _cells(
-    questions: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    dim: int,
-    schema: T.StructType,
-    cell_questions: int,
-    cell_vectors: int,
-) -> DataFrame:
-    """Large question set: cogroup (namespace, question block, vector block) cells.
-
-    Only namespaces that need more than one block are listed, and there are at most
-    ``questions / cell_questions + vectors / cell_vectors`` of them, so the list is small
-    enough to broadcast.
-    """
-    blocks = lambda df, name, size: df.groupBy("namespace").agg(
-        F.ceil(F.count("*") / size).cast("int").alias(name)
-    )
-    cut = F.broadcast(
-        blocks(questions, "q_blocks", cell_questions)
-        .join(blocks(vectors, "v_blocks", cell_vectors), "namespace")
-        .where("q_blocks > 1 or v_blocks > 1")
-    )
-
-    def spread(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        count = lambda c: F.coalesce(F.col(c), F.lit(1))
-        return (
-            df.join(cut, "namespace", "left")
-            .withColumn(own, F.pmod(F.xxhash64(key), count(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), count(other_n) - 1)))
-            .drop("q_blocks", "v_blocks")
-        )
-
-    q = spread(questions, "question_id", "qb", "q_blocks", "vb", "v_blocks")
-    v = spread(vectors, "id", "vb", "v_blocks", "qb", "q_blocks")
-    out, carried = schema.names, schema.names[2:]
-
-    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        empty = stored.select(carried).slice(0, 0)
-        if len(asked) and len(stored):
-            ids = asked.column("question_id").combine_chunks()
-            best = BestMatches(ids, to_matrix(asked.column("embedding"), dim), k)
-            for batch in pieces(stored.to_batches()):
-                payload = pa.Table.from_batches([batch.select(carried)])
-                best.offer(to_matrix(batch.column("embedding"), dim), payload)
-            table = best.result()
-            if table is not None:
-                return table.select(out)
-        return (
-            empty.append_column("score", pa.array([], pa.float64()))
-            .append_column("question_id", asked.column("question_id").slice(0, 0))
-            .select(out)
-        )
-
-    cell = ["namespace", "qb", "vb"]
-    return q.groupBy(*cell).cogroup(v.groupBy(*cell)).applyInArrow(run, schema)
-
-
 def company_filter(company: Column | str, stored_company: Column | str) -> Column:
     """Case-insensitive company test; a missing stored company counts as empty."""
     return F.lower(F.coalesce(col(stored_company), F.lit(""))) == F.lower(col(company))
 
 
 def similarity_topk_unscoped(
-    questions: DataFrame, vectors: DataFrame, k: int = TOP_K, carry: tuple[str, ...] = ()
+    questions: DataFrame,
+    vectors: DataFrame,
+    k: int = TOP_K,
+    carry: tuple[str, ...] = (),
+    dim: int = EMBEDDING_DIM,
+    digits: int = EXACT_DIGITS,
 ) -> DataFrame:
     """Best k over all namespaces first, company filter second (fewer than k may remain)."""
     carry = tuple(dict.fromkeys((*carry, "company")))
-    found = similarity_topk(questions, vectors, k, carry, scope="global")
+    found = similarity_topk(questions, vectors, k, carry, "global", dim, digits)
     asked = questions.select("question_id", "company_name")
     return found.join(asked, "question_id").where(company_filter("company_name", "company"))
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import basename, col
 from talkmill.functions.urls import namespace_of, vector_id
 from talkmill.schemas import CHUNK_VECTORS
+from talkmill.session import dir_exists, remove_dir
 
 BUCKETS = 16
-MAX_FILTERED_NAMESPACES = 200
+#: Partitions that a merge reads by folder.
+MAX_FOLDERS = 2_000
+#: Fixed value: characters that folder names of partitions escape.
+ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
 YOUTUBE_SOURCE, LOOM_SOURCE = "youtube_gemini", "loom_video"
 
 
@@ -61,27 +66,46 @@ def vector_rows(embedded: DataFrame, version: Column, source: Column | str = "ro
     )
 
 
-def upsert_vectors(
-    existing: DataFrame, incoming: DataFrame, replace_video: bool = False
-) -> DataFrame:
+def newest_rows(incoming: DataFrame) -> DataFrame:
+    """One row per id of a batch: the highest version; of equal versions the one with the larger
+    content hash, so that the order of rows does not matter."""
+    marked = incoming.withColumn("_mark", F.xxhash64("embedding", "metadata"))
+    return latest_wins(marked, ["namespace", "id"], "version", "_mark").drop("_mark")
+
+
+def upsert_vectors(existing: DataFrame, incoming: DataFrame, replace_video: bool = False) -> DataFrame:
     """State of the vector table after an upsert by ``(namespace, id)``.
 
-    A video that now has fewer chunks keeps its old tail ids, as an upsert only touches
-    the ids it is given; ``replace_video`` drops all older rows of re-ingested videos.
+    The last write wins: a stored row gives way to an incoming one of the same or a newer
+    version, and an incoming row to a stored one that is newer still (a late run). Only the ids
+    and versions of the two sides meet, never their vectors. ``existing`` holds an id once.
+
+    A video that now has fewer chunks keeps its old tail ids, as an upsert only touches the ids
+    it is given; ``replace_video`` drops the rows of re-ingested videos that are not newer than
+    the incoming run, and the incoming rows of videos whose stored run is newer.
     """
+    incoming = newest_rows(incoming)
     if replace_video:
-        videos = incoming.select(
-            "namespace", F.col("metadata.video_url").alias("_video")
-        ).distinct()
-        existing = existing.join(
-            videos,
-            (existing.namespace == videos.namespace)
-            & (existing.metadata.video_url == videos._video),
-            "left_anti",
-        )
-    return latest_wins(
-        existing.unionByName(incoming, allowMissingColumns=True), ["namespace", "id"], "version"
-    )
+        existing, incoming = _whole_videos(existing, incoming)
+    key = ["namespace", "id"]
+    version = lambda df, name: df.select(*key, F.col("version").alias(name))
+    kept = existing.join(version(incoming, "_new"), key, "left").where("_new is null or version > _new")
+    added = incoming.join(version(existing, "_old"), key, "left").where("_old is null or version >= _old")
+    return kept.drop("_new").unionByName(added.drop("_old"), allowMissingColumns=True)
+
+
+def _whole_videos(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the rows of videos for which the other side has the run that counts."""
+    video = F.coalesce("metadata.video_url", F.lit(""))
+    key = ["namespace", "_video"]
+
+    def runs(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("namespace", video.alias("_video")).agg(F.max("version").alias(name))
+
+    mine, theirs = runs(incoming, "_new"), runs(existing, "_old")
+    stale = existing.withColumn("_video", video).join(mine, key, "left").where("_new is null or version > _new")
+    fresh = incoming.withColumn("_video", video).join(theirs, key, "left").where("_old is null or version >= _old")
+    return stale.drop("_video", "_new"), fresh.drop("_video", "_old")
 
 
 def with_bucket(vectors: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -105,30 +129,41 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> Non
     )
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return len(spark.read.parquet(path).columns) > 0
-    except AnalysisException:
-        return False
+def partition_folder(namespace: str | None, bucket: int) -> str:
+    """Folder of a partition, with the escapes that the partition layout prescribes."""
+    if not namespace:
+        name = "__HIVE_DEFAULT_PARTITION__"
+    else:
+        name = "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 0x20 else c for c in namespace)
+    return f"namespace={name}/bucket={bucket}"
+
+
+def stored_buckets(spark: SparkSession, path: str, buckets: int) -> int:
+    """The bucket count of a stored table: what it was made with, else ``buckets``, noted now."""
+    note = f"{path}/_layout"
+    if dir_exists(spark, note):
+        return spark.read.schema("buckets int").json(note).first()["buckets"]
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(note)
+    return buckets
 
 
-def touched_partitions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of the stored partitions that receive rows.
+def touched_rows(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
+    """Stored rows of the partitions that receive rows.
 
-    While these are few they become a literal partition filter, so no other file is even
-    listed for reading; beyond that a semi-join keeps the same rows.
+    Up to ``MAX_FOLDERS`` of them are read by folder, so that nothing else of the store is even
+    listed; a batch that touches more is joined on the partition columns, with equal results.
     """
-    touched = incoming.groupBy("namespace").agg(F.collect_set("bucket").alias("buckets"))
-    names = touched.limit(MAX_FILTERED_NAMESPACES + 1).collect()
-    if len(names) > MAX_FILTERED_NAMESPACES:
-        pairs = incoming.select("namespace", "bucket").distinct()
-        return stored.join(pairs, ["namespace", "bucket"], "left_semi")
-    wanted = F.lit(False)
-    for row in names:
-        wanted = wanted | (
-            (F.col("namespace") == row["namespace"]) & F.col("bucket").isin(row["buckets"])
-        )
-    return stored.where(wanted)
+    pairs = incoming.select("namespace", "bucket").distinct()
+    named = pairs.limit(MAX_FOLDERS + 1).collect()
+    columns = f"{CHUNK_VECTORS}, bucket int"
+    reader = spark.read.schema(columns).option("basePath", path)
+    if len(named) > MAX_FOLDERS:
+        return reader.parquet(path).join(pairs, ["namespace", "bucket"], "left_semi")
+    folders = [f"{path}/{partition_folder(r['namespace'], r['bucket'])}" for r in named]
+    there = [f for f in folders if dir_exists(spark, f)]
+    if not there:
+        return spark.createDataFrame([], columns)
+    return reader.parquet(*there)
 
 
 def merge_vectors(
@@ -145,17 +180,18 @@ def merge_vectors(
     The new rows are written as they come first, so a model behind them is called once and
     all that follows is an ordinary batch. The merged partitions are staged as well: the
     table is never overwritten while it is read, and a job that dies in between is repeated
-    from the same inputs with the same result.
+    from the same inputs with the same result. Each run stages under a name of its own below
+    ``staging`` and removes it after the commit. ``buckets`` counts when the table is made;
+    later merges keep to the number it was made with.
     """
-    incoming.write.mode("overwrite").parquet(f"{staging}/incoming")
-    incoming = with_bucket(spark.read.schema(CHUNK_VECTORS).parquet(f"{staging}/incoming"), buckets)
-    if not table_exists(spark, path):
-        write_vectors(latest_wins(incoming, ["namespace", "id"], "version"), path)
-        return
-    existing = touched_partitions(spark.read.parquet(path), incoming)
-    write_vectors(upsert_vectors(existing, incoming, replace_video), f"{staging}/merged")
-    merged = spark.read.schema(f"{CHUNK_VECTORS}, bucket int").parquet(f"{staging}/merged")
-    write_vectors(merged, path)
+    work = f"{staging.rstrip('/')}/run-{uuid.uuid4().hex}"
+    incoming.write.parquet(f"{work}/incoming")
+    buckets = stored_buckets(spark, path, buckets)
+    incoming = with_bucket(spark.read.schema(CHUNK_VECTORS).parquet(f"{work}/incoming"), buckets)
+    merged = upsert_vectors(touched_rows(spark, path, incoming), incoming, replace_video)
+    merged.write.parquet(f"{work}/merged")
+    write_vectors(spark.read.schema(f"{CHUNK_VECTORS}, bucket int").parquet(f"{work}/merged"), path)
+    remove_dir(spark, work)
 
 
 def registry_rows(files: DataFrame, version: Column) -> DataFrame:
@@ -168,8 +204,11 @@ def registry_rows(files: DataFrame, version: Column) -> DataFrame:
 
 
 def upsert_registry(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Latest entry per video name."""
-    return latest_wins(existing.unionByName(incoming), ["video_name"], "version", "video_url")
+    """Latest entry per video name; of equal versions the incoming one, and within one side the
+    larger URL."""
+    side = lambda df, n: df.withColumn("_side", F.lit(n))
+    both = side(existing, 0).unionByName(side(incoming, 1))
+    return latest_wins(both, ["video_name"], "version", "_side", "video_url").drop("_side")
 
 
 def merge_registry(left: DataFrame, right: DataFrame) -> DataFrame:

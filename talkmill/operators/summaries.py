@@ -14,6 +14,7 @@ SUMMARY_OPENING = (
     "Based on the following questions and answers from a video demo session, "
     "create a concise summary."
 )
+SUMMARY_FAILED = "Summary generation failed: "
 SUMMARY_SYSTEM = "You are a helpful assistant that creates concise summaries of demo sessions."
 
 

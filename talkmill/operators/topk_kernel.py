@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 QUESTION_BLOCK = 256
-SCORE_DIGITS = 6
+#: Decimals to which sums of doubles agree in whatever order they are added.
+EXACT_DIGITS = 12
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -30,16 +31,16 @@ class BestMatches:
     """Running best-k per question over any number of vector blocks.
 
     Memory is bounded by questions x k rows plus one block, whatever the number of
-    vectors. Scores are rounded so that equal vectors tie wherever they are computed;
-    ties go to the smaller id, so the result does not depend on block order.
+    vectors and of ties. Scores are rounded so that equal vectors tie wherever they are
+    computed; ties go to the smaller id, so the result does not depend on block order.
     """
 
-    def __init__(self, question_ids: pa.Array, questions: np.ndarray, k: int):
+    def __init__(self, question_ids: pa.Array, questions: np.ndarray, k: int, digits: int = EXACT_DIGITS):
         self.ids = question_ids
         unit, usable = unit_rows(questions)
         self.rows = np.nonzero(usable)[0]
         self.unit = unit[self.rows]
-        self.k = k
+        self.k, self.digits = k, digits
         self.floor = np.full(len(self.rows), -np.inf)
         self.kept: pa.Table | None = None
         self.pending: list[pa.Table] = []
@@ -53,13 +54,18 @@ class BestMatches:
         n = len(unit)
         if n == 0:
             return
+        # By id, so that the first of equal scores are those with the smaller ids.
+        order = pc.sort_indices(payload, sort_keys=[("id", "ascending")])
+        unit, payload = unit[order.to_numpy()], payload.take(order)
         for lo in range(0, len(self.unit), QUESTION_BLOCK):
-            scores = np.round(self.unit[lo : lo + QUESTION_BLOCK] @ unit.T, SCORE_DIGITS) + 0.0
-            floor = self.floor[lo : lo + QUESTION_BLOCK]
+            scores = np.round(self.unit[lo : lo + QUESTION_BLOCK] @ unit.T, self.digits) + 0.0
+            picked = scores >= self.floor[lo : lo + QUESTION_BLOCK, None]
             if n > self.k:
-                kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
-                floor = np.maximum(floor, kth)
-            q, v = np.nonzero(scores >= floor[:, None])
+                kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k, None]
+                above, equal = scores > kth, scores == kth
+                equal &= np.cumsum(equal, axis=1) <= self.k - above.sum(axis=1, keepdims=True)
+                picked &= above | equal
+            q, v = np.nonzero(picked)
             found = payload.take(pa.array(v))
             found = found.append_column("_q", pa.array(q + lo))
             found = found.append_column("score", pa.array(scores[q, v]))

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import is_blank, word_count
 from talkmill.functions.urls import youtube_video_id
 from talkmill.operators.ordered_text import join_texts
-from talkmill.sources.readers import LOG_HEADERS, SUMMARY_MARK, TRANSCRIPT_MARK
+from talkmill.sources.readers import (
+    LOG_HEADERS,
+    LOG_SEPARATOR,
+    NAME_MARK,
+    SUMMARY_MARK,
+    TRANSCRIPT_MARK,
+)
 
 # Fixed value: text of the record that stands in for a video without any transcript.
 PLACEHOLDER = (
@@ -106,16 +112,21 @@ def render_log() -> Column:
     )
 
 
-def write_transcript_logs(transcripts: DataFrame, path: str, partition: str | None = None) -> None:
-    """Write rendered logs, one record per transcript (``lineSep`` keeps records apart)."""
-    rows = transcripts.select(*([partition] if partition else []), render_log().alias("value"))
-    writer = rows.write.mode("append").option("lineSep", LOG_SEPARATOR)
-    (writer.partitionBy(partition) if partition else writer).text(path)
-
+def log_name(run_ts: Column, video_id: Column) -> Column:
+    """File name of a log: the video and the time of its run."""
+    return F.concat(F.coalesce(video_id, F.lit("video")), F.lit("_"), F.date_format(run_ts, "yyyyMMdd_HHmmss"), F.lit(".txt"))
 
-LOG_SEPARATOR = "\x1e\n"
 
+def write_transcript_logs(transcripts: DataFrame, path: str, partition: str | None = None) -> None:
+    """Write rendered logs, many to a file (one file per log would be far too many).
 
-def read_rendered_logs(spark, path: str) -> DataFrame:
-    """Read what :func:`write_transcript_logs` wrote; files split between records."""
-    return spark.read.option("lineSep", LOG_SEPARATOR).text(path)
+    A record separator stands between them, and each begins with its own file name where
+    ``transcripts`` has a column ``file_name``; ``scan_transcript_logs`` reads both back.
+    """
+    value = render_log()
+    if "file_name" in transcripts.columns:
+        name = F.coalesce(F.concat(F.lit(NAME_MARK), F.col("file_name"), F.lit("\n")), F.lit(""))
+        value = F.concat(name, value)
+    rows = transcripts.select(*([partition] if partition else []), value.alias("value"))
+    writer = rows.write.mode("append").option("lineSep", LOG_SEPARATOR)
+    (writer.partitionBy(partition) if partition else writer).text(path)

@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import word_count
-from talkmill.functions.timing import fill_segment_end, validate_segments
-from talkmill.functions.urls import loom_video_id, page_media_url, page_title, route_source
+from talkmill.functions.timing import dropped_lines, fill_segment_end, validate_segments
+from talkmill.functions.urls import (
+    canonical_video_id,
+    is_youtube_host,
+    loom_video_id,
+    page_media_url,
+    page_title,
+    route_source,
+)
 from talkmill.operators import chunking
 from talkmill.operators.model import EMBED_BATCH, EMBEDDING_DIM, LIGHT_EMBED_BATCH, BatchFn, embed
 from talkmill.operators.reports import ingest_report, validate_requests
@@ -37,10 +44,17 @@ class Ingested:
     quarantine: DataFrame
 
 
+def one_per_video(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per video: of several the one whose ``order`` columns come first, nulls last."""
+    first = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+
+
 def youtube_transcripts(
     requests: DataFrame, model_transcripts: DataFrame, captions: DataFrame
 ) -> DataFrame:
     """Best transcript per request; captions, where there are any, supply the timing."""
+    captions = one_per_video(captions, "video_url", "items")
     timed = captions.select("video_url", caption_segments("items").alias("segments"))
     texts = timed.select(
         "video_url",
@@ -52,6 +66,8 @@ def youtube_transcripts(
         requests.join(best, "video_url", "left")
         .join(timed, "video_url", "left")
         .withColumn("method", F.lit(YOUTUBE_METHOD))
+        # Links that only look like the site's, in a query string say, are failures.
+        .withColumn("transcription", F.when(is_youtube_host("video_url"), F.col("transcription")))
     )
 
 
@@ -60,7 +76,7 @@ def video_info_defaults(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
     A request whose URL holds no video id gets a null ``video_id``.
     """
-    info = pages.select(
+    info = one_per_video(pages, "url", "page_id", "html").select(
         F.col("url").alias("video_url"),
         page_media_url("html").alias("_media"),
         page_title("html").alias("_title"),
@@ -85,7 +101,7 @@ def loom_transcripts(
     segments = F.col("segments")
     if mode == STANDARD:
         segments = validate_segments(fill_segment_end(segments))
-    spoken = asr.select(
+    spoken = one_per_video(asr, "video_url", "text", "language", "segments").select(
         "video_url",
         F.lit(LOOM_METHOD if mode == STANDARD else LOOM_LIGHT_METHOD).alias("method"),
         F.col("text").alias("transcription"),
@@ -141,6 +157,12 @@ def chunk_prepared(prepared: DataFrame, mode: str = STANDARD) -> DataFrame:
     )
 
 
+def same_videos(valid: DataFrame) -> DataFrame:
+    """``valid`` with ``chosen_url``: of a company's links to one video, the smallest."""
+    links = Window.partitionBy("company_name", canonical_video_id("video_url"))
+    return valid.withColumn("chosen_url", F.min("video_url").over(links))
+
+
 def ingest(
     requests: DataFrame,
     model_transcripts: DataFrame,
@@ -150,21 +172,28 @@ def ingest(
     embedder: Callable[[], BatchFn],
     dim: int = EMBEDDING_DIM,
     mode: str = STANDARD,
-    version: int = 1,
+    *,
+    version: int,
     embedded_path: str | None = None,
+    canonical_ids: bool = False,
 ) -> Ingested:
     """Plan an ingest of many requests.
 
-    The transcript, caption, speech and page tables hold one row per video (``latest_wins``
-    makes them so). A video asked for twice by a company is made once and reported twice.
+    Of several captions, speech outputs or pages of one video one is taken, by a fixed order. A
+    video asked for twice by a company is made once and reported twice; with ``canonical_ids``
+    that also holds for links that differ only in their form. ``version`` orders runs: later runs
+    need a version at least as high, or their rows do not replace what is stored.
 
     With ``embedded_path`` the embedded chunks are written there at once and vectors and
-    report are read from that table, so the model is called exactly once per chunk;
-    without it everything stays a plan and each use of a result runs the model.
+    report are read from that table, so the model is called exactly once per chunk, and the
+    report counts failed embeddings (``zero_vectors``). Without it everything stays a plan: each
+    use of the vectors runs the model, and the report counts chunks without running it.
     """
     checked = validate_requests(requests)
     valid = checked.where("reason is null").select(*KEYS)
-    prepared = prepare(valid.distinct(), model_transcripts, captions, asr, pages, mode)
+    valid = same_videos(valid) if canonical_ids else valid.withColumn("chosen_url", F.col("video_url"))
+    wanted = valid.select(F.col("chosen_url").alias("video_url"), "company_name").distinct()
+    prepared = prepare(wanted, model_transcripts, captions, asr, pages, mode)
     # The count is taken before the explode, which then need not carry the whole array.
     chunked = chunk_prepared(prepared, mode).withColumn("n_chunks", F.size("chunks"))
     chunks = chunking.explode_chunks(
@@ -175,17 +204,45 @@ def ingest(
     )
     batch = EMBED_BATCH if mode == STANDARD else LIGHT_EMBED_BATCH
     embedded = embed(chunks, "text", embedder, dim, batch)
+    counted = with_oddities(chunked)
     if embedded_path is not None:
         embedded.write.mode("overwrite").parquet(embedded_path)
         embedded = embedded.sparkSession.read.schema(embedded.schema).parquet(embedded_path)
-    vectors = vector_rows(embedded, F.lit(version))
-    # Each vector row knows how many chunks its video has, so chunking is not repeated.
-    made = embedded.groupBy(*KEYS).agg(
-        F.max("n_chunks").cast("bigint").alias("chunks_created"),
-        F.count("*").alias("vectors_stored"),
-    )
+        # Each embedded row knows how many chunks its video has, so chunking is not repeated.
+        made = embedded.groupBy(*KEYS).agg(
+            F.max("n_chunks").cast("bigint").alias("chunks_created"),
+            F.count("*").alias("vectors_stored"),
+            F.count_if("is_zero").alias("zero_vectors"),
+        )
+        counted = with_oddities(prepared).join(made, KEYS, "left")
+    else:
+        created = F.greatest(F.col("n_chunks"), F.lit(0)).cast("bigint")
+        counted = counted.select(
+            "*",
+            created.alias("chunks_created"),
+            created.alias("vectors_stored"),
+            F.lit(None).cast("bigint").alias("zero_vectors"),
+        )
     outcomes = ingest_report(
-        prepared.join(made, KEYS, "left").fillna(0, ["chunks_created", "vectors_stored"])
+        counted.fillna(0, ["chunks_created", "vectors_stored"]), "zero_vectors", "dropped_lines", "bad_spans"
+    ).withColumnRenamed("video_url", "chosen_url")
+    report = valid.join(outcomes, ["chosen_url", "company_name"]).drop("chosen_url")
+    return Ingested(
+        prepared, chunks, vector_rows(embedded, F.lit(version)), report, checked.where("reason is not null")
+    )
+
+
+def with_oddities(prepared: DataFrame) -> DataFrame:
+    """Counts of what the source holds but chunks do not show: lines of a timed transcript that
+    carry another timestamp format, and segments that end before they start."""
+    untimed = F.coalesce(F.size("segments"), F.lit(0)) <= 0
+    youtube = F.col("route") == "youtube"
+    return prepared.select(
+        "*",
+        F.when(youtube & untimed, dropped_lines("transcription")).otherwise(0).alias("dropped_lines"),
+        F.coalesce(F.size(F.filter("segments", bad_span)), F.lit(0)).alias("bad_spans"),
     )
-    report = valid.join(outcomes, KEYS)
-    return Ingested(prepared, chunks, vectors, report, checked.where("reason is not null"))
+
+
+def bad_span(segment):
+    return segment["end"] < segment["start"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.text import strip
 from talkmill.functions.urls import namespace_of
 from talkmill.operators import answering, summaries
 from talkmill.operators.model import EMBEDDING_DIM, BatchFn, batch_model, embed
@@ -17,6 +18,7 @@ from talkmill.operators.retrieval import (
     similarity_topk,
     similarity_topk_unscoped,
 )
+from talkmill.operators.topk_kernel import EXACT_DIGITS
 from talkmill.session import scratch_dir
 
 REPLY_BATCH = 100
@@ -44,6 +46,7 @@ def retrieve(
     dim: int = EMBEDDING_DIM,
     k: int = TOP_K,
     scope: str = "namespace",
+    digits: int = EXACT_DIGITS,
 ) -> DataFrame:
     """Best k stored chunks per question, with metadata.
 
@@ -51,12 +54,20 @@ def retrieve(
     than once, and the model must not be called again for that.
     """
     asked = pin(embed_questions(questions, embedder, dim), "questions")
+    return best_chunks(asked, vectors, dim, k, scope, digits)
+
+
+def best_chunks(
+    asked: DataFrame, vectors: DataFrame, dim: int, k: int, scope: str, digits: int = EXACT_DIGITS
+) -> DataFrame:
+    """Matches of questions that have their embedding."""
+    asked = asked.where("not is_zero")
     if scope == "global":
         flat = vectors.withColumn("company", F.col("metadata.company"))
-        return similarity_topk_unscoped(asked, flat, k, ("metadata",)).select(
+        return similarity_topk_unscoped(asked, flat, k, ("metadata",), dim, digits).select(
             "question_id", "rank", "id", "score", "metadata"
         )
-    return similarity_topk(asked, vectors, k, ("metadata",))
+    return similarity_topk(asked, vectors, k, ("metadata",), dim=dim, digits=digits)
 
 
 def search(
@@ -65,8 +76,9 @@ def search(
     embedder: Callable[[], BatchFn],
     dim: int = EMBEDDING_DIM,
     k: int = SEARCH_K,
+    digits: int = EXACT_DIGITS,
 ) -> DataFrame:
-    return search_results(retrieve(questions, vectors, embedder, dim, k))
+    return search_results(retrieve(questions, vectors, embedder, dim, k, digits=digits))
 
 
 def rerank_prompts(collected: DataFrame) -> DataFrame:
@@ -97,16 +109,25 @@ def ask(
     k: int = TOP_K,
     scope: str = "namespace",
     same_video_only: bool = False,
+    digits: int = EXACT_DIGITS,
 ) -> DataFrame:
     """Answer many questions at once.
 
     ``answerer`` gets the system and the user prompt as one text, separated by a blank
-    line. A failed rerank falls back to the first match, a failed answer is an error row.
+    line. A failed rerank falls back to the first match; a failed answer and a failed embedding
+    of the question are error rows. Models are only asked about questions that have matches, and
+    a call that fails fails one question.
     """
-    matches = retrieve(questions, vectors, embedder, dim, k, scope)
-    collected = answer_prompts(rerank_prompts(answering.collect_matches(questions, matches)))
-    prompted = collected.withColumn(
-        "prompt", F.concat("system_prompt", F.lit("\n\n"), "user_prompt")
+    asked = pin(embed_questions(questions, embedder, dim), "questions")
+    matches = best_chunks(asked, vectors, dim, k, scope, digits)
+    collected = answer_prompts(rerank_prompts(answering.collect_matches(asked, matches)))
+    prompted = collected.join(asked.select("question_id", F.col("is_zero").alias("unembedded")), "question_id")
+    prompted = prompted.withColumn(
+        "prompt",
+        F.when(
+            answering.n_chunks("chunks") > 0,
+            F.concat(F.coalesce("system_prompt", F.lit("")), F.lit("\n\n"), F.coalesce("user_prompt", F.lit(""))),
+        ),
     )
     replied = batch_model(
         prompted, "rerank_prompt", "rerank_reply", reranker, "string", REPLY_BATCH
@@ -116,16 +137,22 @@ def ask(
 
 
 def summary_prompts(pairs: DataFrame) -> DataFrame:
+    """One prompt per session: the system message, a blank line, and the session."""
     return summaries.format_qa_session(pairs).withColumn(
-        "prompt", summaries.build_summary_prompt("qa_text", "company_name", "buyer_name")
+        "prompt",
+        F.concat(
+            F.lit(summaries.SUMMARY_SYSTEM + "\n\n"),
+            summaries.build_summary_prompt("qa_text", "company_name", "buyer_name"),
+        ),
     )
 
 
 def summarize(pairs: DataFrame, summarizer: Callable[[], BatchFn]) -> DataFrame:
-    """One summary per session; a failed model call leaves ``success`` false."""
-    out = batch_model(summary_prompts(pairs), "prompt", "reply", summarizer, "string", REPLY_BATCH)
-    from talkmill.functions.text import strip
-
+    """One summary per session; a failed model call leaves ``success`` false and says why in
+    ``error``, for that session alone."""
+    out = batch_model(
+        summary_prompts(pairs), "prompt", "reply", summarizer, "string", REPLY_BATCH, error_col="cause"
+    )
     return out.select(
         "session_id",
         F.col("reply").isNotNull().alias("success"),
@@ -133,4 +160,6 @@ def summarize(pairs: DataFrame, summarizer: Callable[[], BatchFn]) -> DataFrame:
         "company_name",
         "buyer_name",
         "qa_count",
+        F.when(F.col("reply").isNull(), F.concat(F.lit(summaries.SUMMARY_FAILED), F.coalesce("cause", F.lit("no reply"))))
+        .alias("error"),
     )

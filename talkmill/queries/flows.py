@@ -19,13 +19,20 @@ from talkmill.queries.inputs import words_sql
 from talkmill.queries.registry import query
 from talkmill.queries.scalars import MEDIA_SQL, TITLE_SQL, label_sql
 from talkmill.session import scratch_dir
-from talkmill.streaming import chunk_live_segments, rocksdb_state, stream_ingest
+from talkmill.streaming import (
+    chunk_live_segments,
+    read_transcript_stream,
+    rocksdb_state,
+    stream_ingest,
+)
 
 DIM = 64
 
 # Kinds of videos: a third is recorded speech, the rest has a model transcript, captions, both
 # or neither. A few requests are invalid.
-URL_SPARK = """case when doc_id%50=7 then '' when doc_id%3=0 then concat('https://www.loom.com/share/v',doc_id)
+# Some links name the site in their query only; these are failures.
+URL_SPARK = """case when doc_id%50=7 then '' when doc_id%50=11 and doc_id%3<>0 then concat('https://other.example/?u=youtu.be/v',doc_id)
+  when doc_id%3=0 then concat('https://www.loom.com/share/v',doc_id)
   else concat('https://youtu.be/v',doc_id,'?si=x') end"""
 
 
@@ -62,7 +69,7 @@ def ingest_inputs(spark, sf):
 
 
 def ingested(spark, sf, mode=ing.STANDARD):
-    return ing.ingest(*ingest_inputs(spark, sf), hashing_embedder(DIM), DIM, mode)
+    return ing.ingest(*ingest_inputs(spark, sf), hashing_embedder(DIM), DIM, mode, version=1)
 
 
 def ingest_ctes(mode: str) -> list[str]:
@@ -77,15 +84,16 @@ def ingest_ctes(mode: str) -> list[str]:
     method = "loom_transcription" + ("" if mode == ing.STANDARD else "_lightweight")
     return [
         sql.cte("timed", inp.TIMED),
-        sql.cte("cap", f"select * from ({tab.CAPTIONS}) where doc_id%5=0 and doc_id%3<>0 and doc_id%50<>7"),
+        sql.cte("cap", f"select * from ({tab.CAPTIONS}) where doc_id%5=0 and doc_id%3<>0 and doc_id%50 not in (7, 11)"),
         sql.cte("captext", "select doc_id, string_agg(text,' ' order by pos) as c from cap group by doc_id"),
         sql.cte(
             "info",
             f"""select doc_id, source as company, lang,
               case when doc_id%3=0 then 'loom' else 'youtube' end as route,
-              case when doc_id%3=0 then 'https://www.loom.com/share/v'||doc_id else 'https://youtu.be/v'||doc_id||'?si=x' end as video_url,
+              case when doc_id%3=0 then 'https://www.loom.com/share/v'||doc_id
+                when doc_id%50=11 then 'https://other.example/?u=youtu.be/v'||doc_id else 'https://youtu.be/v'||doc_id||'?si=x' end as video_url,
               case when doc_id%3=0 then case when doc_id%12<>0 then text end
-                when doc_id%7<>0 then t when c is not null then c
+                when doc_id%50=11 then null when doc_id%7<>0 then t when c is not null then c
                 else 'Video ID: v'||doc_id||chr(10)||chr(10)||'{tr.PLACEHOLDER}' end as text,
               case when doc_id%3=0 then case when m is not null then coalesce(ti,'Unknown') else 'Loom Video - v'||doc_id end
                 when doc_id%7<>0 or c is not null then 'YouTube Video' else 'YouTube Video v'||doc_id end as title,
@@ -96,7 +104,7 @@ def ingest_ctes(mode: str) -> list[str]:
             where doc_id%50<>7""",
         ),
         sql.cte("capsegs", 'select doc_id, pos as seg_idx, text, start, "end" from cap'),
-        sql.cte("rest", "select doc_id, text from info where route='youtube' and doc_id not in (select doc_id from cap)"),
+        sql.cte("rest", "select doc_id, text from info where route='youtube' and text is not null and doc_id not in (select doc_id from cap)"),
         sql.cte("marked", f"select doc_id, text as t from rest where {marked}"),
         sql.cte("plain", f"select doc_id, text from rest where not ({marked})"),
         sql.cte("lsegs", lsegs),
@@ -186,19 +194,37 @@ def found_ctes(k: int) -> list[str]:
 )
 def q3(spark, sf):
     vectors = ingested(spark, sf).vectors
-    return questions.search(inp.questions(spark, sf), vectors, hashing_embedder(DIM), DIM)
+    return questions.search(inp.questions(spark, sf), vectors, hashing_embedder(DIM), DIM, digits=6)
+
+
+def refusing(when, reply):
+    """A stand-in model that fails for a whole batch when it holds a text it refuses."""
+
+    def factory():
+        def run(texts):
+            if any(when(t) for t in texts):
+                raise ValueError("no")
+            return [reply(t) for t in texts]
+
+        return run
 
+    return factory
 
-def length_reranker():
-    return lambda prompts: [f"Chunk {len(p or '') % 8}" for p in prompts]
 
+length_reranker = refusing(lambda p: len(p) % 11 == 3, lambda p: f"Chunk {len(p) % 8}")
+length_answerer = refusing(lambda p: len(p) % 13 == 5, lambda p: f"- chars: {len(p)} [source](x)\n1. done")
+length_summarizer = refusing(lambda p: len(p) % 7 == 3, lambda p: f"  {len(p)} chars\n")
 
-def length_answerer():
-    return lambda prompts: [f"- chars: {len(p)} [source](x)\n1. done" for p in prompts]
 
+def question_embedder():
+    inner = hashing_embedder(DIM)()
 
-def length_summarizer():
-    return lambda prompts: [f"  {len(p)} chars\n" for p in prompts]
+    def run(texts):
+        if any(t.startswith("refuse ") for t in texts):
+            raise ValueError("no")
+        return inner(texts)
+
+    return run
 
 
 SNIPPET = ans.SNIPPET_SQL
@@ -209,7 +235,7 @@ prompts as (
   select question_id, count(*) as cnt,
     length('Question: '||any_value(question)||chr(10)||chr(10)||'Here are the chunks:'||chr(10)
       ||string_agg(rank||'. [video] '||chr(10)||{SNIPPET}||chr(10)||chr(10), '' order by rank)
-      ||'{ans.an.RERANK_CLOSING}') % 8 as pick,
+      ||'{ans.an.RERANK_CLOSING}') as asked_chars,
     {SYSTEM_CHARS} + length(any_value(company_name)) + 2 + length('Video Content:'||chr(10)
       ||string_agg('Video Content: '||{CLEANED}, chr(10)||chr(10) order by rank)
       ||chr(10)||chr(10)||'Question: '||any_value(question)||'{ans.an.ANSWER_CLOSING}') as chars,
@@ -222,23 +248,37 @@ best as (
     case when f.start = 0 and f."end" = 0 then coalesce(s3, 0.0) else f.start end as s1,
     case when f.start = 0 and f."end" = 0 then coalesce(e3, 0.0) else f."end" end as e1
   from prompts p join found f on f.question_id = p.question_id
-    and f.rank = case when pick between 1 and cnt then pick else 1 end)
+    and f.rank = case when asked_chars % 11 <> 3 and asked_chars % 8 between 1 and cnt then asked_chars % 8 else 1 end)
 select question_id, '• chars: '||chars||chr(10)||' '||chr(10)||'1. done' as answer, sources, video_url,
   round(case when e1 > s1 then greatest(0.0, s1-0.3) else s1 end, 6) as start,
-  round(case when e1 > s1 then e1+0.3 else e1 end, 6) as "end" from best"""
+  round(case when e1 > s1 then e1+0.3 else e1 end, 6) as "end", null as error from best where chars % 13 <> 5
+union all select question_id, null, null, null, null, null, '{ans.an.ANSWER_FAILED}' from best where chars % 13 = 5
+union all select 1000000 + question_id, '{ans.an.NOTHING_FOUND.replace("'", "''")}', '', null, null, null, null from asked
+union all select 2000000 + question_id, null, null, null, null, null, '{ans.an.EMBEDDING_FAILED}' from asked"""
 
 
 @query("q4_ask", sql.with_ctes(*ingest_ctes(ing.STANDARD), *found_ctes(6)) + "," + ASK_SQL)
 def q4(spark, sf):
-    """Questions to answers with stand-in models that reply by the length of the prompt."""
+    """Questions to answers with stand-in models that reply by the length of the prompt and fail
+    for some. Beside every question stand one of a company without videos and one that the
+    embedding model refuses."""
+    asked = inp.questions(spark, sf)
+    asked = asked.unionByName(
+        asked.selectExpr("1000000 + question_id as question_id", "'Nobody' as company_name", "question")
+    ).unionByName(
+        asked.selectExpr(
+            "2000000 + question_id as question_id", "company_name", "concat('refuse ', question) as question"
+        )
+    )
     out = questions.ask(
-        inp.questions(spark, sf),
+        asked,
         ingested(spark, sf).vectors,
         ans.registry(spark, sf),
-        hashing_embedder(DIM),
+        question_embedder,
         length_reranker,
         length_answerer,
         DIM,
+        digits=6,
     )
     return out.select(
         "question_id",
@@ -247,15 +287,19 @@ def q4(spark, sf):
         "video_url",
         F.round("start", 6).alias("start"),
         F.round("end", 6).alias("end"),
+        "error",
     )
 
 
 @query(
     "q5_summarize",
-    f"""select session_id, true as success, length({ans.PROMPT_SQL})||' chars' as summary,
-      company_name, buyer_name, qa_count from ({ans.SESSIONS})""",
+    f"""select session_id, n%7 <> 3 as success, case when n%7 <> 3 then n||' chars' end as summary,
+      company_name, buyer_name, qa_count,
+      case when n%7 = 3 then '{ans.su.SUMMARY_FAILED}ValueError: no' end as error
+      from (select *, {len(ans.su.SUMMARY_SYSTEM) + 2} + length({ans.PROMPT_SQL}) as n from ({ans.SESSIONS}))""",
 )
 def q5(spark, sf):
+    """A model that refuses some prompts: those sessions fail, and not those beside them."""
     return questions.summarize(inp.qa_pairs(spark, sf), length_summarizer)
 
 
@@ -286,10 +330,9 @@ def q6(spark, sf):
 
 
 def document_stream(spark, sf):
+    """The table as a stream, whether it is one file or a folder of files."""
     schema = inp.documents(spark, sf).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
+    return read_transcript_stream(spark, f"{sf}/documents.parquet", schema)
 
 
 @query(
@@ -308,7 +351,7 @@ def t1(spark, sf):
         f"cast(null as {SEGMENTS_TYPE}) as segments", "timestamp_seconds(1700000000 + doc_id) as run_ts",
     )
     job = stream_ingest(
-        stream, f"{work}/store", f"{work}/checkpoint", hashing_embedder(DIM), DIM, available_now=True
+        stream, f"{work}/store", f"{work}/checkpoint", hashing_embedder(DIM), DIM, available_now=True, buckets=2
     )
     job.awaitTermination()
     return spark.read.parquet(f"{work}/store").select("namespace", "id", "metadata.text")

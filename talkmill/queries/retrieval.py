@@ -10,6 +10,10 @@ from talkmill.queries.registry import query
 from talkmill.schemas import METADATA
 
 
+# Components of the stored vectors, and the decimals to which both engines compare scores.
+DIM, DIGITS = 64, 6
+
+
 def topk_sql(k: int, scoped: bool = True) -> str:
     on = "q.namespace = v.namespace" if scoped else "true"
     return f"""select q.id as question_id, v.id, v.namespace,
@@ -28,7 +32,7 @@ def asked(spark, sf):
     f"select question_id, rank, id, score from ({topk_sql(6)})",
 )
 def j1(spark, sf):
-    return rt.similarity_topk(asked(spark, sf), inp.vectors(spark, sf), 6)
+    return rt.similarity_topk(asked(spark, sf), inp.vectors(spark, sf), 6, dim=DIM, digits=DIGITS)
 
 
 @query(
@@ -36,14 +40,14 @@ def j1(spark, sf):
     f"select question_id, rank, id, score from ({topk_sql(6)})",
 )
 def j1_large(spark, sf):
-    """The way taken when the questions are too many to travel with the tasks."""
+    """The way taken when the questions are too many to travel with the tasks at once."""
     return rt.similarity_topk(
         asked(spark, sf),
         inp.vectors(spark, sf),
         6,
-        broadcast_bytes=0,
-        cell_questions=32,
-        cell_vectors=16,
+        dim=DIM,
+        digits=DIGITS,
+        slice_bytes=DIM * 8 * 4_000,
     )
 
 
@@ -56,7 +60,7 @@ def j2(spark, sf):
     """Best six of all vectors first; then only those of the asking company remain."""
     questions = asked(spark, sf).withColumn("company_name", F.upper("namespace"))
     stored = inp.vectors(spark, sf).withColumn("company", F.col("namespace"))
-    return rt.similarity_topk_unscoped(questions, stored, 6).select(
+    return rt.similarity_topk_unscoped(questions, stored, 6, dim=DIM, digits=DIGITS).select(
         "question_id", "rank", "id", "score"
     )
 
@@ -97,7 +101,7 @@ def stored_with_metadata(spark, sf):
         case when id%5 = 0 then 0 else id end::int as chunk_index from ({topk_sql(5)})""",
 )
 def p13(spark, sf):
-    found = rt.similarity_topk(asked(spark, sf), stored_with_metadata(spark, sf), 5, ("metadata",))
+    found = rt.similarity_topk(asked(spark, sf), stored_with_metadata(spark, sf), 5, ("metadata",), dim=DIM, digits=DIGITS)
     return rt.search_results(found)
 
 
@@ -111,5 +115,5 @@ def p13(spark, sf):
         count(*) over (partition by question_id) as chunks_count from ({topk_sql(6)})""",
 )
 def p14(spark, sf):
-    found = rt.similarity_topk(asked(spark, sf), stored_with_metadata(spark, sf), 6, ("metadata",))
+    found = rt.similarity_topk(asked(spark, sf), stored_with_metadata(spark, sf), 6, ("metadata",), dim=DIM, digits=DIGITS)
     return rt.match_debug(found).withColumn("metadata_keys", F.array_join("metadata_keys", ","))

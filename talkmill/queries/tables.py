@@ -14,6 +14,7 @@ from talkmill.queries import inputs as inp
 from talkmill.queries import sql
 from talkmill.queries.inputs import words_sql
 from talkmill.queries.registry import query
+from talkmill.session import scratch_dir
 from talkmill.sources import readers as rd
 
 DIM = 64
@@ -39,12 +40,36 @@ LOG_TEXT = """'YouTube Video URL: '||video_url||chr(10)||chr(10)||'Title: '||tit
   '--- TRANSCRIPTION ---'||chr(10)||transcription"""
 
 
+RUN_TS_SPARK = "timestamp_seconds(1700000000 + doc_id)"
+NAME_SQL = "'v'||doc_id||'_'||strftime(to_timestamp(1700000000 + doc_id) at time zone 'UTC', '%Y%m%d_%H%M%S')||'.txt'"
+
+
+def written_logs(spark, sf):
+    """All documents as logs, written by the sink."""
+    folder = scratch_dir(spark, "logs")
+    name = tr.log_name(F.expr(RUN_TS_SPARK), F.concat(F.lit("v"), F.col("doc_id")))
+    tr.write_transcript_logs(log_records(spark, sf).withColumn("file_name", name), folder)
+    return folder
+
+
 @query(
     "s1_scan_transcript_logs",
+    f"select {NAME_SQL} as file_name, 1700000000 + doc_id as run_second, video_url, title, duration, language, word_count, "
+    f"method, summary, transcription from ({LOGS})",
+)
+def s1(spark, sf):
+    """Write logs and read the folder back into records."""
+    return rd.scan_transcript_logs(spark, written_logs(spark, sf)).withColumn(
+        "run_second", F.unix_seconds("run_ts")
+    ).drop("run_ts")
+
+
+@query(
+    "s1_parse_transcript_logs",
     f"select doc_id, video_url, title, duration, language, word_count, method, summary, "
     f"transcription from ({LOGS})",
 )
-def s1(spark, sf):
+def s1_parse(spark, sf):
     """Parse rendered logs (with CRLF line ends in the header) back into records."""
     crlf = F.when(
         F.col("doc_id") % 2 == 0,
@@ -170,27 +195,41 @@ def stored_chunks(spark, sf, docs, size, version):
     "k1_upsert_vectors",
     sql.with_ctes(
         sql.cte("again", "select * from documents where doc_id in (select doc_id from labels)"),
+        sql.cte("third", "select * from documents where doc_id in (select doc_id from labels where quality = 1)"),
         sql.windows("documents", "doc_id", 1000, 200, "a"),
         sql.windows("again", "doc_id", 2000, 200, "b"),
+        sql.windows("third", "doc_id", 1500, 200, "c"),
         sql.cte(
             "rows",
-            f"""select 1 as version, doc_id, chunk_index, text from a_chunks
-                union all select 2, doc_id, chunk_index, text from b_chunks""",
+            f"""select 1 as run, 1 as version, doc_id, chunk_index, text from a_chunks
+                union all select 2, 2, doc_id, chunk_index, text from b_chunks
+                union all select 3, 2, doc_id, chunk_index, text from c_chunks
+                union all select 4, 1, doc_id, chunk_index, text from b_chunks""",
         ),
     )
     + f""" select lower(source) as namespace, source||'_https://youtu.be/'||doc_id||'_'||chunk_index as id,
         version::bigint as version, text, 'Unknown' as title, 'youtube_gemini' as source_type,
         null::double as duration
       from rows join (select doc_id, source from documents) using (doc_id)
-      qualify row_number() over (partition by doc_id, chunk_index order by version desc) = 1""",
+      qualify row_number() over (partition by doc_id, chunk_index order by version desc, run desc) = 1""",
 )
 def k1(spark, sf):
-    """Ingest all documents, then again (larger chunks) those that got labels since."""
-    docs = inp.documents(spark, sf)
-    again = docs.join(inp.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    first = stored_chunks(spark, sf, docs, 1000, 1)
-    second = stored_chunks(spark, sf, again, 2000, 2)
-    return st.upsert_vectors(first, second).select(
+    """A table on disk after four merges: all documents, a newer run of those that have labels, a
+    run of the same version for some of these, and an old run that comes late."""
+    docs, labels = inp.documents(spark, sf), inp.table(spark, sf, "labels")
+    among = lambda rows: docs.join(rows.select("doc_id"), "doc_id", "left_semi")
+    runs = [
+        (docs, 1000, 1),
+        (among(labels), 2000, 2),
+        (among(labels.where("quality = 1")), 1500, 2),
+        (among(labels), 2000, 1),
+    ]
+    work = scratch_dir(spark, "vector-store")
+    for rows, size, version in runs:
+        st.merge_vectors(
+            spark, f"{work}/store", stored_chunks(spark, sf, rows, size, version), f"{work}/staging", buckets=2
+        )
+    return spark.read.parquet(f"{work}/store").select(
         "namespace", "id", "version", "metadata.text", "metadata.title", "metadata.source_type",
         "metadata.duration",
     )
@@ -224,6 +263,19 @@ def k3(spark, sf):
     return log_records(spark, sf).select("doc_id", tr.render_log().alias("value"))
 
 
+@query(
+    "k3_written_log_files",
+    f"select {NAME_SQL} as file_name, {LOG_TEXT} as value from ({LOGS})",
+)
+def k3_files(spark, sf):
+    """Records as they stand in the files that the sink wrote."""
+    raw = spark.read.text(written_logs(spark, sf), lineSep=rd.LOG_SEPARATOR)
+    return raw.select(
+        F.regexp_extract("value", f"^{rd.NAME_MARK}([^\n]*)\n", 1).alias("file_name"),
+        F.regexp_replace("value", f"^{rd.NAME_MARK}[^\n]*\n", "").alias("value"),
+    )
+
+
 def requests(spark, sf):
     """Every document and every label is a request; labelled ones come twice per company."""
     docs = inp.documents(spark, sf)
@@ -314,7 +366,9 @@ def j4(spark, sf):
 )
 def j5(spark, sf):
     _, chunks, vectors = counted_requests(spark, sf)
-    by_doc = lambda df: df.selectExpr("concat('d', doc_id) as video_url", "chunk_index", "doc_id")
+    by_doc = lambda df: df.selectExpr(
+        "concat('d', doc_id) as video_url", "'c' as company_name", "chunk_index", "doc_id"
+    )
     return mo.missing_vectors(by_doc(chunks), by_doc(vectors).drop("doc_id")).select(
         "doc_id", "chunk_index"
     )
@@ -327,17 +381,26 @@ LINES = f"select doc_id, seg_idx, text from ({inp.SEG})"
 
 @query(
     "e1_batch_model",
-    f"select doc_id, seg_idx, length(text)||':'||text as reply from ({LINES})",
+    f"""select doc_id, seg_idx, case when seg_idx%5 = 3 then null when contains(text, 'e,') then 'failed'
+          else length(text)||':'||text end as reply,
+        case when seg_idx%5 <> 3 and contains(text, 'e,') then 'ValueError: no' end as error from ({LINES})""",
 )
 def e1(spark, sf):
-    """The hook with a stand-in model, on every line."""
+    """The hook with a stand-in model, on every line: nulls are passed over, and a text that the
+    model refuses fails alone."""
     rows = inp.segment_rows(spark, sf).select("doc_id", "seg_idx", "text")
-    out = mo.batch_model(rows, "text", "reply", length_model, "string")
-    return out.select("doc_id", "seg_idx", "reply")
+    rows = rows.withColumn("text", F.when(F.col("seg_idx") % 5 != 3, F.col("text")))
+    out = mo.batch_model(rows, "text", "reply", length_model, "string", default="failed", error_col="error")
+    return out.select("doc_id", "seg_idx", "reply", "error")
 
 
 def length_model():
-    return lambda texts: [f"{len(t)}:{t}" for t in texts]
+    def run(texts):
+        if any("e," in t for t in texts):
+            raise ValueError("no")
+        return [f"{len(t)}:{t}" for t in texts]
+
+    return run
 
 
 def failing_model():
@@ -357,34 +420,41 @@ def failing_model():
     f"{DIM} as dim from documents",
 )
 def e2(spark, sf):
-    """A model that refuses texts of several lines; batches of one show each refusal."""
-    out = mo.embed(inp.documents(spark, sf), "text", failing_model, DIM, batch_size=1)
+    """A model that refuses texts of several lines: these fail, and not those beside them."""
+    out = mo.embed(inp.documents(spark, sf), "text", failing_model, DIM, batch_size=8)
     return out.select("doc_id", "is_zero", F.size("embedding").alias("dim"))
 
 
 @query(
     "e3_zip_embeddings",
-    f"""select vec_id, label, list_sum(embedding::double[]) as total from embeddings""",
+    f"""select vec_id, label, company_name, list_sum(embedding::double[]) * f as total
+        from embeddings, (values ('one', 1.0), ('two', 2.0)) c(company_name, f)""",
 )
 def e3(spark, sf):
+    """Two companies hold the same videos; each chunk gets its own company's vector."""
     emb = inp.table(spark, sf, "embeddings")
-    chunks = emb.selectExpr(
-        "concat('v', label) as video_url", "vec_id as chunk_index", "label", "vec_id"
-    )
-    vectors = emb.selectExpr("concat('v', label) as video_url", "vec_id as chunk_index", "embedding")
+    company = F.explode(F.array(F.lit("one"), F.lit("two")))
+    both = emb.selectExpr("concat('v', label) as video_url", "vec_id as chunk_index", "label", "vec_id", "embedding")
+    both = both.withColumn("company_name", company)
+    factor = F.when(F.col("company_name") == "two", 2.0).otherwise(1.0).cast("float")
+    vectors = both.withColumn("embedding", F.transform("embedding", lambda x: x * factor))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return mo.zip_embeddings(chunks, vectors).select("vec_id", "label", total.alias("total"))
+    return mo.zip_embeddings(both.drop("embedding"), vectors.drop("label", "vec_id")).select(
+        "vec_id", "label", "company_name", total.alias("total")
+    )
 
 
 @query(
     "e3_count_check",
-    f"""select video_url, n_chunks, n_vectors, n_chunks = n_vectors as complete from (
-      select label::varchar as video_url, count(*) as n_chunks,
-        count_if(vec_id in (select doc_id from labels))::bigint as n_vectors from embeddings group by label)""",
+    f"""select video_url, company_name, n_chunks, n_vectors, n_chunks = n_vectors as complete from (
+      select label::varchar as video_url, 'c'||vec_id%2 as company_name, count(*) as n_chunks,
+        count_if(vec_id in (select doc_id from labels))::bigint as n_vectors from embeddings group by all)""",
 )
 def e3_check(spark, sf):
     emb = inp.table(spark, sf, "embeddings")
-    chunks = emb.selectExpr("cast(label as string) as video_url", "vec_id as doc_id")
+    chunks = emb.selectExpr(
+        "cast(label as string) as video_url", "concat('c', vec_id % 2) as company_name", "vec_id as doc_id"
+    )
     vectors = chunks.join(inp.table(spark, sf, "labels"), "doc_id", "left_semi")
     return mo.count_check(chunks, vectors)
 

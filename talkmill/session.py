@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,23 @@ def local_session(name: str, cores: int | str = 8, memory: str = "8g") -> SparkS
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the shared folder the cluster names in
-    ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
+    """A new folder name under the shared folder that the cluster names in
+    ``spark.checkpoint.dir``. Where it is unset, a session that is one local process (tests, the
+    benchmark) gets a temporary one; a cluster, whose machines share none, gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="talkmill-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dir_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -21,6 +21,11 @@ LOG_HEADERS = {
 }
 
 
+#: Between the records of a file of many logs, and before the file name that a record carries.
+LOG_SEPARATOR = "\x1e\n"
+NAME_MARK = "Log File: "
+
+
 def read_table(spark: SparkSession, source: str | DataFrame, fmt: str, schema: str) -> DataFrame:
     """A path in one of Spark's formats, or a DataFrame that is passed through."""
     if isinstance(source, DataFrame):
@@ -28,14 +33,6 @@ def read_table(spark: SparkSession, source: str | DataFrame, fmt: str, schema: s
     return spark.read.format(fmt).schema(schema).load(source)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table that is read in fewer splits than there are cores to all
-    cores; a table with more splits is returned as it is. For heavy row-local work on
-    small tables."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def parse_transcript_logs(logs: DataFrame, value: str = "value") -> DataFrame:
     """Whole log texts to one row per transcript; other columns are kept."""
     text = F.col(value)
@@ -68,14 +65,17 @@ def parse_transcript_logs(logs: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scan_transcript_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Read a folder of log files; the run time comes from the file name."""
-    stamp = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8}_\d{6})", 1)
-    files = spark.read.text(path, wholetext=True).select(
-        "value",
-        F.col("_metadata.file_name").alias("file_name"),
-        F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss")).alias("run_ts"),
+    """Read a folder of logs: files of one log each, whose name tells the run time, or files of
+    many as :func:`write_transcript_logs` makes them, whose records carry their file name."""
+    files = spark.read.text(path, lineSep=LOG_SEPARATOR).select("value", F.col("_metadata.file_name").alias("_file"))
+    named = F.regexp_extract("value", f"^{NAME_MARK}([^\r\n]*)\r?\n", 1)
+    records = files.where(F.length("value") > 0).select(
+        F.regexp_replace("value", f"^{NAME_MARK}[^\r\n]*\r?\n", "").alias("value"),
+        F.coalesce(F.nullif(named, F.lit("")), F.col("_file")).alias("file_name"),
     )
-    return parse_transcript_logs(files)
+    stamp = F.regexp_extract("file_name", r"(\d{8}_\d{6})", 1)
+    run = F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss"))
+    return parse_transcript_logs(records.select("value", "file_name", run.alias("run_ts")))
 
 
 def scan_caption_items(source, spark: SparkSession | None = None, fmt: str = "json") -> DataFrame:

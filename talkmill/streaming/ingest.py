@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from talkmill.functions.urls import route_source
 from talkmill.operators.chunking import explode_chunks
 from talkmill.operators.model import EMBEDDING_DIM, BatchFn, embed
-from talkmill.operators.store import latest_wins, merge_vectors, vector_rows
+from talkmill.operators.store import BUCKETS, latest_wins, merge_vectors, vector_rows
 from talkmill.plans.ingest import STANDARD, chunk_prepared
 
 KEEP = ["video_url", "company_name", "route", "title", "duration", "language", "word_count"]
@@ -20,7 +20,11 @@ KEEP = ["video_url", "company_name", "route", "title", "duration", "language", "
 def read_transcript_stream(
     spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
+    """Rows of a file or of a folder of files; ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``
+    bound what a batch holds after a backlog."""
+    # A single file is only taken by pattern; this one matches just the path, file or folder.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(pattern)
 
 
 def stream_ingest(
@@ -32,6 +36,8 @@ def stream_ingest(
     mode: str = STANDARD,
     watermark: str = "1 hour",
     available_now: bool = False,
+    replace_video: bool = False,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Start the job. ``transcripts`` has ``video_url, company_name, title, transcription,
     duration, language, word_count, segments`` and the event time ``run_ts``.
@@ -40,6 +46,8 @@ def stream_ingest(
     row-local and runs on the stream; choosing among runs of one video and the merge run
     per batch. The version of a row is the time of its run, so a batch that is repeated
     after a failure leaves the same state, and late old runs do not replace newer ones.
+    ``replace_video`` drops rows of a video that its newest run no longer has. ``buckets`` counts
+    when the table is made.
     """
     spark = transcripts.sparkSession
     once = transcripts.withWatermark("run_ts", watermark).dropDuplicatesWithinWatermark(
@@ -51,7 +59,7 @@ def stream_ingest(
         newest = latest_wins(batch, ["company_name", "video_url"], "run_ts")
         chunks = explode_chunks(newest, F.col("chunks"), *KEEP, "run_ts")
         rows = vector_rows(embed(chunks, "text", embedder, dim), F.unix_micros("run_ts"))
-        merge_vectors(spark, store, rows, f"{checkpoint}/staging/{batch_id}")
+        merge_vectors(spark, store, rows, f"{checkpoint}/staging", buckets, replace_video)
 
     writer = chunked.writeStream.foreachBatch(merge).option(
         "checkpointLocation", f"{checkpoint}/progress"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ STATE = T.StructType(
     ]
 )
 CHUNK, LATE = "chunk", "late"
+INPUT = ["seg_idx", "text", "start", "end", "is_last", "event_ts"]
 NOTHING_OPEN = ("", 0.0, 0.0, 0, -1, 0)
 
 
@@ -67,25 +69,34 @@ class LiveChunker(StatefulProcessor):
         self.open = handle.getValueState("open", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        got = pd.concat(list(rows)).sort_values("seg_idx", kind="stable")
+        """Rows of a video in one batch come in any order: their numbers are sorted, and each
+        text is let go once it is folded, so a task holds one copy of the batch's rows."""
+        parts = [{c: part[c].to_numpy() for c in INPUT} for part in rows]
+        got = {c: np.concatenate([p[c] for p in parts]) for c in INPUT}
+        parts.clear()
+        order = np.argsort(got["seg_idx"], kind="stable")
+        seg_idx = got["seg_idx"][order].tolist()
+        texts = got["text"][order].tolist()
+        starts, ends = (got[c][order].astype(float).tolist() for c in ("start", "end"))
+        lasts = got["is_last"][order].tolist()
+        newest_event = got["event_ts"].max()
         text, start, end, index, last, timer = self.open.get() or NOTHING_OPEN
+        cap, size = self.cap, self.size
         out = []
-        for seg in got.itertuples(index=False):
-            if seg.seg_idx <= last:
-                out.append((key[0], LATE, None, seg.text, seg.start, seg.end))
+        for i, idx in enumerate(seg_idx):
+            said, texts[i] = texts[i], None
+            if idx <= last:
+                out.append((key[0], LATE, None, said, starts[i], ends[i]))
                 continue
-            last = int(seg.seg_idx)
-            said = (seg.text or "").strip(WHITESPACE)
+            last, full = int(idx), False
+            said = (said or "").strip(WHITESPACE)
             if said:
-                s = 0.0 if pd.isna(seg.start) else float(seg.start)
-                e = s if pd.isna(seg.end) else float(seg.end)
+                s = 0.0 if starts[i] != starts[i] else starts[i]
+                end = s if ends[i] != ends[i] else ends[i]
                 start, text = (start, f"{text} {said}") if text else (s, said)
-                end = e
                 timed = start != 0 or not self.zero_start_compat
-                full = len(text) >= self.size or (timed and end - start >= self.cap)
-            else:
-                full = False
-            if text and (full or bool(seg.is_last)):
+                full = len(text) >= size or (timed and end - start >= cap)
+            if text and (full or bool(lasts[i])):
                 out.append(self._chunk(key, index, text, start, end))
                 text, index = "", index + 1
         # The timer is kept in the state: asking for the timers of a key costs a call.
@@ -93,7 +104,7 @@ class LiveChunker(StatefulProcessor):
             self.handle.deleteTimer(timer)
             timer = 0
         if text:
-            newest = int(got["event_ts"].max().timestamp() * 1000)
+            newest = int(pd.Timestamp(newest_event).timestamp() * 1000)
             timer = max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
             self.handle.registerTimer(timer)
         self.open.update((text, start, end, index, last, timer))

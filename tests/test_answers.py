@@ -129,6 +129,43 @@ def test_ask_survives_failing_models(spark):
     rows = {r.question_id: r for r in bad.collect()}
     assert rows[1].error == an.ANSWER_FAILED and rows[2].error is None
 
+    def touchy(refused, reply):
+        def factory():
+            def run(texts):
+                if any(refused in t for t in texts):  # raises for null as well
+                    raise RuntimeError("no")
+                return [reply] * len(texts)
+
+            return run
+
+        return factory
+
+    def picky_embedder():
+        inner = embedder()
+
+        def run(texts):
+            if any("unreadable" in t for t in texts):
+                raise RuntimeError("no")
+            return inner(texts)
+
+        return run
+
+    asked = asked.union(
+        spark.createDataFrame(
+            [(3, "Acme Co", "unreadable"), (4, "Acme Co", "blue two"), (5, "Acme Co", "sky five"), (6, "Acme Co", None)], asked.schema
+        )
+    ).coalesce(1)
+    mixed = pq.ask(
+        asked, stored, registry(spark), picky_embedder, touchy("blue two", "Chunk 2"), touchy("sky five", "fine"), 32
+    )
+    rows = {r.question_id: r for r in mixed.collect()}
+    assert (rows[1].answer, rows[1].error, rows[1].video_url) == ("fine", None, "b")
+    assert (rows[2].answer, rows[2].error) == (an.NOTHING_FOUND, None)
+    assert (rows[3].answer, rows[3].error) == (None, an.EMBEDDING_FAILED)
+    assert (rows[4].answer, rows[4].error, rows[4].video_url) == ("fine", None, "b")  # first match: the blue one
+    assert (rows[5].answer, rows[5].error) == (None, an.ANSWER_FAILED)
+    assert rows[6].error == an.EMBEDDING_FAILED
+
 
 def test_sessions(spark):
     rows = [
@@ -138,12 +175,25 @@ def test_sessions(spark):
     pairs = spark.createDataFrame(rows, QA_PAIRS)
     got = {r.session_id: r for r in pq.summary_prompts(pairs).collect()}
     assert got[1].qa_text == "Q: q0\nA: a0\n\nQ: q1\nA: a1" and got[1].qa_count == 2
-    assert got[2].prompt.splitlines()[1:] == [
+    assert got[2].prompt.startswith(su.SUMMARY_SYSTEM + "\n\n")
+    assert got[2].prompt.splitlines()[3:] == [
         "        ", "        Questions and Answers:", "        Q: q", "A: a", "        ",
         "        Company: Unknown", "        Buyer: Unknown", "        ", "        Summary:",
     ]
     assert su.quarantined_pairs(pairs).count() == 1
 
+    def no_first():
+        def run(prompts):
+            if any("Q: q0" in p for p in prompts):
+                raise RuntimeError("too long")
+            return [" fine "] * len(prompts)
+
+        return run
+
+    rows = {r.session_id: r for r in pq.summarize(pairs.coalesce(1), no_first).collect()}
+    assert (rows[1].success, rows[1].summary, rows[1].error) == (False, None, su.SUMMARY_FAILED + "RuntimeError: too long")
+    assert (rows[2].success, rows[2].summary, rows[2].error) == (True, "fine", None)
+
 
 def test_error_messages_and_failures(spark):
     rows = [

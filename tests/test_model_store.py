@@ -8,7 +8,7 @@ from talkmill.operators import transcripts as tr
 from talkmill.sources import readers as rd
 
 
-def test_failed_batches_get_defaults_and_keep_order(spark):
+def test_only_what_fails_alone_gets_the_default(spark):
     def picky():
         def run(texts):
             if "bad" in texts:
@@ -19,11 +19,23 @@ def test_failed_batches_get_defaults_and_keep_order(spark):
 
         return run
 
-    values = ["a", "b", "bad", "c", "short", "d", "e"]
+    values = ["a", "b", "bad", "c", "short", "d", None, "e"]
     df = spark.createDataFrame(list(enumerate(values)), "i int, t string").coalesce(1)
-    out = mo.batch_model(df, "t", "r", picky, "string", batch_size=2, default="?").collect()
-    assert [r.r for r in out] == ["A", "B", "?", "?", "?", "?", "E"]
-    assert [r.t for r in out] == values
+    for size in (2, 3, 100):
+        out = mo.batch_model(df, "t", "r", picky, "string", batch_size=size, default="?", error_col="e").collect()
+        assert [r.r for r in out] == ["A", "B", "?", "C", "?", "D", None, "E"]
+        assert [r.t for r in out] == values
+        assert {r.t: r.e for r in out if r.e} == {"bad": "RuntimeError: no", "short": "0 results for 1 texts"}
+
+
+def test_null_texts_never_reach_the_model(spark):
+    def touchy():
+        return lambda texts: [len(t) * "x" for t in texts]
+
+    df = spark.createDataFrame([(None,), ("ab",), (None,)], "t string").coalesce(1)
+    assert [r.r for r in mo.batch_model(df, "t", "r", touchy, "string").collect()] == [None, "xx", None]
+    rows = mo.embed(df, "t", mo.hashing_embedder(4), 4).collect()
+    assert [(r.embedding is None, r.is_zero) for r in rows] == [(True, True), (False, False), (True, True)]
 
 
 def test_embed_flags_failed_rows(spark):
@@ -72,20 +84,113 @@ def test_upsert_keeps_stale_tail_unless_replaced(spark):
     assert [s[2] for s in state(st.upsert_vectors(old, new, replace_video=True))] == ["new0"]
 
 
+def test_upsert_orders_of_one_batch_and_of_equal_versions(spark):
+    old = vectors(spark, [("a", "u", 0, "old0", 3), ("a", "u", 1, "old1", 3), ("a", "u", 2, "old2", 3)])
+    new = vectors(spark, [("a", "u", 0, "same", 3), ("a", "u", 1, "late", 2), ("a", "u", 3, "first", 1)])
+    texts = {r.id: r.metadata.text for r in st.upsert_vectors(old, new).collect()}
+    assert texts == {"a_u_0": "same", "a_u_1": "old1", "a_u_2": "old2", "a_u_3": "first"}
+    # The same id twice with one version: the larger content hash, whatever the order of rows.
+    twice = [("a", "u", 0, "x", 4), ("a", "u", 0, "y", 4), ("a", "u", 0, "z", 4)]
+    found = {
+        tuple(r.metadata.text for r in st.upsert_vectors(old.limit(0), vectors(spark, rows)).collect())
+        for rows in (twice, twice[::-1])
+    }
+    assert len(found) == 1 and len(found.pop()) == 1
+
+
+def test_late_older_run_leaves_newer_rows(spark):
+    old = vectors(spark, [("a", "u", 0, "new0", 5), ("a", "v", 0, "v0", 1), ("a", "v", 1, "v1", 1)])
+    late = vectors(spark, [("a", "u", 0, "x", 2), ("a", "u", 1, "y", 2), ("a", "v", 0, "w0", 2)])
+    got = {r.id: r.metadata.text for r in st.upsert_vectors(old, late, replace_video=True).collect()}
+    assert got == {"a_u_0": "new0", "a_v_0": "w0"}
+
+
+def stored_texts(spark, path):
+    return {r.id: r.metadata.text for r in spark.read.parquet(path).collect()}
+
+
 def test_merge_on_disk_touches_only_its_partitions_and_repeats(spark, tmp_path):
     path = str(tmp_path / "store")
     first = vectors(spark, [(c, f"u{i}", j, f"v1-{c}{i}{j}", 1) for c in "abc" for i in range(4) for j in range(2)])
-    st.write_vectors(st.with_bucket(first, 4), path)
+    st.merge_vectors(spark, path, first, str(tmp_path / "staging"), 4)
     files = {f for f in (tmp_path / "store").rglob("*.parquet")}
     new = vectors(spark, [("a", "u1", 0, "v2", 2), ("a", "u9", 0, "fresh", 2), ("a", "u1", 0, "older", 1)])
-    for attempt in range(2):
-        st.merge_vectors(spark, path, new, str(tmp_path / f"staging{attempt}"), 4)
-        texts = {r.id: r.metadata.text for r in spark.read.parquet(path).collect()}
+    for _ in range(2):
+        st.merge_vectors(spark, path, new, str(tmp_path / "staging"))
+        texts = stored_texts(spark, path)
         assert len(texts) == 25 and texts["a_u1_0"] == "v2" and texts["a_u9_0"] == "fresh"
         assert texts["a_u1_1"] == "v1-a11" and texts["b_u1_0"] == "v1-b10"
     kept = {f for f in (tmp_path / "store").rglob("*.parquet")}
     untouched = {f for f in files if "namespace=a" not in str(f)}
     assert untouched and untouched <= kept
+    assert not list((tmp_path / "staging").iterdir()), "each run removes what it staged"
+
+
+def test_staging_folder_used_before_reverts_nothing(spark, tmp_path):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "staging")
+    for version in (1, 2, 3):
+        name = staging if version < 3 else f"{staging}-other"
+        st.merge_vectors(spark, path, vectors(spark, [("a", "u", 0, f"v{version}", version)]), name, 2)
+    st.merge_vectors(spark, path, vectors(spark, [("b", "w", 0, "b", 1)]), staging, 2)
+    assert stored_texts(spark, path) == {"a_u_0": "v3", "b_w_0": "b"}
+
+
+def test_equal_version_on_disk_is_the_later_write(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for text in ("one", "two"):
+        st.merge_vectors(spark, path, vectors(spark, [("a", "u", i, f"{text}{i}", 1) for i in range(3)]), str(tmp_path / "s"), 2)
+    assert set(stored_texts(spark, path).values()) == {"two0", "two1", "two2"}
+
+
+def test_bucket_count_is_the_tables_own(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = vectors(spark, [("a", f"u{i}", 0, "x", 1) for i in range(30)])
+    st.merge_vectors(spark, path, rows, str(tmp_path / "s"), 3)
+    st.merge_vectors(spark, path, rows, str(tmp_path / "s"), 16)
+    assert spark.read.parquet(path).select("bucket").distinct().count() == 3
+    assert spark.read.parquet(path).count() == 30
+
+
+def test_odd_namespaces_on_disk(spark, tmp_path):
+    path = str(tmp_path / "store")
+    names = ["a/b", "50%", "x=y", "{q}", "a b", "é", "", "c:d*?"]
+    rows = [(n, "u", i, n, 1) for i, n in enumerate(names)]
+    for _ in range(2):
+        st.merge_vectors(spark, path, vectors(spark, rows), str(tmp_path / "s"), 1)
+    assert sorted(stored_texts(spark, path).values()) == sorted(names)
+
+
+def test_merge_into_a_store_of_many_partitions_reads_few_folders(spark, tmp_path):
+    path = str(tmp_path / "store")
+    many = vectors(spark, [(f"c{i}", f"u{j}", 0, "x", 1) for i in range(125) for j in range(12)])
+    st.merge_vectors(spark, path, many, str(tmp_path / "s"), 8)
+    assert sum(1 for _ in (tmp_path / "store").glob("*/*")) > 700
+    new = st.with_bucket(vectors(spark, [("c7", "u1", 0, "y", 2), ("nobody", "u1", 0, "y", 2)]), 8)
+    found = st.touched_rows(spark, path, new)
+    assert all("namespace=c7/" in f for f in found.inputFiles()) and len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1
+
+
+def test_touching_very_many_partitions_reads_the_same(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    first = vectors(spark, [(f"c{i}", "u", 0, "x", 1) for i in range(6)])
+    st.merge_vectors(spark, path, first, str(tmp_path / "s"), 2)
+    new = st.with_bucket(vectors(spark, [(f"c{i}", "u", 0, "y", 2) for i in range(3)]), 2)
+    by_folder = sorted(r.id for r in st.touched_rows(spark, path, new).collect())
+    monkeypatch.setattr(st, "MAX_FOLDERS", 1)
+    assert sorted(r.id for r in st.touched_rows(spark, path, new).collect()) == by_folder == ["c0_u_0", "c1_u_0", "c2_u_0"]
+
+
+def test_keys_hold_the_company(spark):
+    chunks = spark.createDataFrame(
+        [("a", "u", 0, "ta"), ("b", "u", 0, "tb"), ("b", "u", 1, "tb1")], "company_name string, video_url string, chunk_index int, text string"
+    )
+    found = spark.createDataFrame(
+        [("a", "u", 0, [1.0]), ("b", "u", 0, [2.0])], "company_name string, video_url string, chunk_index int, embedding array<float>"
+    )
+    assert sorted((r.text, r.embedding) for r in mo.zip_embeddings(chunks, found).collect()) == [("ta", [1.0]), ("tb", [2.0])]
+    assert [r.text for r in mo.missing_vectors(chunks, found).collect()] == ["tb1"]
+    got = {r.company_name: (r.n_chunks, r.n_vectors, r.complete) for r in mo.count_check(chunks, found).collect()}
+    assert got == {"a": (1, 1, True), "b": (2, 1, False)}
 
 
 def test_registry(spark):
@@ -98,6 +203,8 @@ def test_registry(spark):
     rows = st.registry_rows(files, F.lit(2))
     merged = st.upsert_registry(left.withColumn("version", F.lit(1)), rows)
     assert sorted((r.video_name, r.video_url) for r in merged.collect()) == [("a.mp4", "1"), ("b.mp4", "new")]
+    same = st.upsert_registry(left.withColumn("version", F.lit(2)), st.registry_rows(files, F.lit(2)).withColumn("video_url", F.lit("0")))
+    assert ("b.mp4", "0") in {(r.video_name, r.video_url) for r in same.collect()}, "equal versions: the later write"
 
 
 LOG = """YouTube Video URL: https://youtu.be/abc?si=1
@@ -135,9 +242,19 @@ def test_logs_round_trip(spark, tmp_path):
         "language string, word_count int, method string",
     )
     tr.write_transcript_logs(df, str(tmp_path / "logs"))
-    back = rd.parse_transcript_logs(tr.read_rendered_logs(spark, str(tmp_path / "logs")))
-    got = {r.video_url: (r.title, r.transcription, r.summary, r.word_count) for r in back.collect()}
+    got = {
+        r.video_url: (r.title, r.transcription, r.summary, r.word_count)
+        for r in rd.scan_transcript_logs(spark, str(tmp_path / "logs")).collect()
+    }
     assert got == {"u1": ("T", "a\nb", "", 2), "u2": ("Unknown", "c", "S", None)}
+    run = F.to_timestamp(F.lit("2025-08-12 13:01:52"))
+    named = df.withColumn("file_name", tr.log_name(run, F.col("video_url")))
+    tr.write_transcript_logs(named, str(tmp_path / "named"))
+    back = {r.file_name: (str(r.run_ts), r.transcription) for r in rd.scan_transcript_logs(spark, str(tmp_path / "named")).collect()}
+    assert back == {
+        "u1_20250812_130152.txt": ("2025-08-12 13:01:52", "a\nb"),
+        "u2_20250812_130152.txt": ("2025-08-12 13:01:52", "c"),
+    }
 
 
 def test_json_sources(spark, tmp_path):

@@ -1,5 +1,8 @@
 """Whole pipelines on hand-made videos, and the shape of plans that must hold at scale."""
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from talkmill import schemas
@@ -11,12 +14,13 @@ from talkmill.plans import ingest as ing
 
 LOOM = "https://www.loom.com/share/a1"
 TUBE = "https://youtu.be/x1"
+FAKE = "https://other/?u=youtu.be/abc"
 
 
-def run(spark, mode=ing.STANDARD, **options):
+def run(spark, mode=ing.STANDARD, version=1, **options):
     requests = spark.createDataFrame(
         [(TUBE, "Acme"), (TUBE, "Acme"), (TUBE, "Beta"), (LOOM, "Acme"), ("https://loom.com/one", "Acme"),
-         ("https://nowhere/z", "Acme"), ("", "Acme"), (None, "Acme")],
+         ("https://nowhere/z", "Acme"), (FAKE, "Acme"), ("", "Acme"), (None, "Acme")],
         "video_url string, company_name string",
     )
     model = spark.createDataFrame(
@@ -29,8 +33,11 @@ def run(spark, mode=ing.STANDARD, **options):
         [(LOOM, "hello you", None, [("hello", 0.0, 0.0), ("you", 31.0, 29.0)]), ("https://loom.com/one", "x", "en", [])],
         schemas.ASR_OUTPUT,
     )
-    pages = spark.createDataFrame([(1, LOOM, '"videoUrl":"https://cdn/a.mp4" "title":"Demo"')], schemas.SHARE_PAGES)
-    return ing.ingest(requests, model, captions, asr, pages, hashing_embedder(16), 16, mode, **options)
+    # Two pages, speech outputs and model rows of one video: one of each counts.
+    page = '"videoUrl":"https://cdn/a.mp4" "title":"Demo"'
+    pages = spark.createDataFrame([(1, LOOM, page), (2, LOOM, page), (3, None, page)], schemas.SHARE_PAGES)
+    asr = asr.union(asr.limit(1))
+    return ing.ingest(requests, model, captions, asr, pages, hashing_embedder(16), 16, mode, version=version, **options)
 
 
 def outcome(report):
@@ -43,6 +50,7 @@ def outcome(report):
 EXPECTED = [
     ("https://loom.com/one", "Acme", False, 0, 0, "Failed to extract transcription"),
     ("https://nowhere/z", "Acme", False, 0, 0, "Failed to extract transcription"),
+    (FAKE, "Acme", False, 0, 0, "Failed to extract transcription"),
     (LOOM, "Acme", True, 1, 1, None),
     (TUBE, "Acme", True, 2, 2, None),
     (TUBE, "Acme", True, 2, 2, None),
@@ -77,15 +85,51 @@ def test_model_runs_once_when_its_output_is_kept(spark, tmp_path):
         assert "MapInArrow" not in plan
 
 
-def test_merge_reads_only_touched_partitions(spark, tmp_path):
+def test_counts_need_no_model_when_nothing_is_kept(spark):
+    report = run(spark).report
+    assert "MapInArrow" not in report._jdf.queryExecution().toString()
+
+
+def test_report_tells_oddities(spark, tmp_path):
+    out = run(spark, embedded_path=str(tmp_path / "e"))
+    rows = {(r.video_url, r.company_name): r for r in out.report.collect()}
+    assert rows[LOOM, "Acme"].bad_spans == 0 and rows[LOOM, "Acme"].zero_vectors == 0
+    assert rows[TUBE, "Acme"].dropped_lines == 0
+    raw = run(spark, ing.FIXED30).report.where(F.col("video_url") == LOOM).first()
+    assert raw.bad_spans == 1 and raw.zero_vectors is None
+
+
+def test_links_of_one_video_can_be_made_one(spark):
+    requests = spark.createDataFrame(
+        [("https://youtu.be/abc", "A"), ("https://www.youtube.com/watch?v=abc", "A"), ("https://youtu.be/abc", "B")],
+        "video_url string, company_name string",
+    )
+    got = {(r.video_url, r.company_name): r.chosen_url for r in ing.same_videos(requests).collect()}
+    assert got["https://www.youtube.com/watch?v=abc", "A"] == got["https://youtu.be/abc", "A"]
+    assert got["https://youtu.be/abc", "B"] == "https://youtu.be/abc"
+    plain, one = run(spark), run(spark, canonical_ids=True)
+    assert outcome(plain.report) == outcome(one.report)
+
+
+def test_reingest_with_the_same_version_replaces(spark, tmp_path):
     path = str(tmp_path / "store")
-    st.write_vectors(st.with_bucket(run(spark).vectors, 4), path)
-    new = st.with_bucket(run(spark).vectors.where("namespace = 'beta'"), 4)
-    found = st.touched_partitions(spark.read.parquet(path), new)
-    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    assert "namespace" in filters and "bucket" in filters and "Filter (" not in plan
-    assert found.select("namespace").distinct().collect()[0][0] == "beta"
+    for _ in range(2):
+        st.merge_vectors(spark, path, run(spark).vectors, str(tmp_path / "staging"), 2)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_folders_must_be_shared_on_a_cluster():
+    from talkmill.session import scratch_dir
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert scratch_dir(session("spark://host:7077", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    assert "talkmill-" in scratch_dir(session("local[4]", None), "x")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(session(master, None), "x")
 
 
 def test_text_chunking_needs_no_shuffle_and_reads_two_columns(spark, tmp_path):

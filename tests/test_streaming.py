@@ -74,3 +74,31 @@ def test_ingest_stream_merges_runs_and_restarts(spark, tmp_path):
     assert second == first[:2] + [("acme-co", "Acme Co_u2_0", "newest"), ("acme-co", "Acme Co_u3_0", "seg")]
 
 
+
+
+def test_one_file_and_a_folder_of_files_are_read_whole(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id")
+    rows.repartition(4).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    single = next((tmp_path / "one").glob("*.parquet"))
+    for name, path in (("folder", tmp_path / "folder.parquet"), ("single", single)):
+        for bound in ({}, {"maxFilesPerTrigger": "1"}):
+            table = f"read_{name}_{len(bound)}"
+            job = read_transcript_stream(spark, str(path), "id bigint", **bound).writeStream.format("memory")
+            job.queryName(table).trigger(availableNow=True).start().awaitTermination()
+            assert spark.table(table).count() == 200
+
+
+def test_stream_leaves_no_staging_and_can_replace_videos(spark, tmp_path):
+    src, store, ck = (str(tmp_path / n) for n in ("in", "store", "ck"))
+    row = lambda text, minute: (
+        "u1", "A", "T", text, "Unknown", "en", 1, None, dt.datetime(2025, 1, 1) + dt.timedelta(minutes=minute)
+    )
+    for text, minute in (("[00:01] a\n[00:02] b", 0), ("[00:01] c", 5)):
+        write(spark, [row(text, minute)], ARRIVING, src)
+        stream = read_transcript_stream(spark, src, ARRIVING)
+        stream_ingest(
+            stream, store, ck, hashing_embedder(16), 16, available_now=True, replace_video=True, buckets=2
+        ).awaitTermination()
+    assert [r.metadata.text for r in spark.read.parquet(store).collect()] == ["c"]
+    assert not list((tmp_path / "ck" / "staging").iterdir())
