@@ -25,12 +25,15 @@ from talkmill.llm.common import slices, worker_value
 
 #: Fixed value: the pattern by which the vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker keeps for pieces, split words, token pairs and beginnings of words.
-KEPT_UNITS, KEPT_WORDS, KEPT_PAIRS, KEPT_STEMS = 300_000, 350_000, 400_000, 60_000
+#: Entries that a worker keeps for units, split words (twice), token pairs and beginnings of words,
+#: in about 350 MB.
+KEPT_UNITS, KEPT_WORDS, KEPT_PAIRS, KEPT_STEMS = 800_000, 250_000, 300_000, 60_000
 #: Bytes of a word's beginning whose states are kept: words share them often.
 STEM = 5
 #: Letters beyond are counted by the tokenizer itself, since versions of the letter tables differ.
-PLAIN = "ɏ"
+PLAIN = "\u024f"
+#: Marks that are one token behind a word.
+TAILS = ".,;:!?"
 SLICE = 1 << 19
 
 
@@ -42,6 +45,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(moved)}
 
 
+class Units(dict):
+    """Place of the counts of each unit, a piece of text behind ``lead``; new ones are added."""
+
+    def __init__(self, counter: Counter, lead: str) -> None:
+        self.counter, self.lead = counter, lead
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = self.counter.add(self.lead + piece)
+        return place
+
+
 class Counter:
     """Prefix counts with one vocabulary; one per worker."""
 
@@ -67,7 +81,7 @@ class Counter:
         self.reset()
 
     def reset(self) -> None:
-        self.units: dict[str, int] = {}
+        self.units = [Units(self, ""), Units(self, " ")]
         self.pool = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 12, np.int64)
         self.used = self.filled = 0
@@ -131,6 +145,9 @@ class Counter:
         """Counts at each character of a text without special tokens."""
         if unit[1:].isalpha() and max(unit) <= PLAIN and (unit[0] == " " or unit[0].isalpha()):
             return self.chain(unit)  # the common case: a blank and letters
+        if unit[-1] in TAILS and unit[1:-1].isalpha() and max(unit) <= PLAIN and (unit[0] == " " or unit[0].isalpha()):
+            own = self.chain(unit[:-1])
+            return own + bytes([own[-1] + 1]) if isinstance(own, bytes) and own[-1] < 255 else [*own, own[-1] + 1]
         if max(unit) > PLAIN:
             return self._by_tokenizer(unit) if len(unit) <= 64 else self._long(unit)
         return self._by_pattern(unit)
@@ -172,15 +189,14 @@ class Counter:
         self.used += len(counts)
         self.ends[place + 1] = self.used
         self.filled += 1
-        self.units[unit] = place
         return place
 
     def pieces(self, text: str) -> list[str]:
-        """``text`` cut where a blank follows a non-blank."""
+        """``text`` cut where a blank follows a non-blank; all but the first without that blank."""
         if text[:1] != " " and not self.blank_pair.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + r for r in rest]]
-        return self.cut.split(text)
+            return text.split(" ")
+        first, *rest = self.cut.split(text)
+        return [first, *(r[1:] for r in rest)]
 
     def spans(self, text: str):
         """Parts between special tokens, each with whether a special token ends it."""
@@ -195,50 +211,48 @@ class Counter:
 
     def prefix_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts at every character of all texts in one array, and where each text ends."""
-        units, sizes, specials = [], [], []
-        known, at = self.units, 0
-        if len(known) > KEPT_UNITS:
+        if sum(map(len, self.units)) > KEPT_UNITS:
             self.reset()
-            known = self.units
-        owner_ends = []
-        for text in texts:
+        first_units, units = self.units
+        places: list[np.ndarray] = []
+        specials: list[tuple[int, str, str]] = []
+        ends, at = np.zeros(len(texts), np.int64), 0
+        for i, text in enumerate(texts):
             for part, special in self.spans(text):
                 if part:
-                    for piece in self.pieces(part):
-                        place = known.get(piece)
-                        units.append(self.add(piece) if place is None else place)
-                        sizes.append(len(piece))
+                    own = self.pieces(part)
+                    found = np.fromiter(map(units.__getitem__, own), np.int64, len(own)) if len(own) > 1 else np.zeros(1, np.int64)
+                    found[0] = first_units[own[0]]
+                    places.append(found)
                     at += len(part)
                 if special:
                     specials.append((at, part, special))
-                    units.append(-1)
-                    sizes.append(len(special))
+                    places.append(np.array([-len(special)], np.int64))
                     at += len(special)
-            owner_ends.append(at)
-        ends = np.array(owner_ends, np.int64)
-        if not units:
+            ends[i] = at
+        if not places:
             return np.zeros(0, np.int64), ends
-        place, size = np.array(units, np.int64), np.array(sizes, np.int64)
-        begin = np.where(place < 0, 0, self.ends[np.maximum(place, 0)])
-        total = np.where(place < 0, 1, self.pool[np.maximum(self.ends[np.maximum(place, 0) + 1] - 1, 0)])
+        place = np.concatenate(places)
+        known = np.maximum(place, 0)
+        size = np.where(place < 0, -place, self.ends[known + 1] - self.ends[known])
+        begin = np.where(place < 0, 0, self.ends[known])
+        total = np.where(place < 0, 1, self.pool[self.ends[known + 1] - 1])
         first = np.cumsum(size) - size
         text_first = np.concatenate([[0], ends[:-1]])
         before = np.cumsum(total) - total
         # Counting starts anew in each text: take off what stood before its first unit.
         head = np.searchsorted(first, text_first)
         offset = np.append(before, before[-1] + total[-1])[head]
-        own = np.searchsorted(text_first, first, side="right") - 1
-        base = before - offset[own]
+        base = before - offset[np.searchsorted(text_first, first, side="right") - 1]
         where = np.arange(int(size.sum())) + np.repeat(begin - first, size)
         counts = np.repeat(base, size) + self.pool[np.minimum(where, len(self.pool) - 1)]
         for start, part, special in specials:
             # A prefix that ends inside a special token is ordinary text going on from the part.
-            stem = part + special[:-1]
-            extra = self.library_prefixes(stem, len(part))
-            upto = counts[start - len(part) - 1] if len(part) < start and not self._starts(start - len(part), text_first) else 0
+            extra = self.stem_prefixes(part + special[:-1], len(part))
+            opened = start - len(part)
+            upto = 0 if self._starts(opened, text_first) else counts[opened - 1]
             counts[start : start + len(special) - 1] = upto + np.array(extra)
-            done = (counts[start - 1] if part else upto) + 1
-            counts[start + len(special) - 1] = done
+            counts[start + len(special) - 1] = (counts[start - 1] if part else upto) + 1
         return counts, ends
 
     @staticmethod
@@ -246,11 +260,11 @@ class Counter:
         i = np.searchsorted(text_first, at)
         return bool(i < len(text_first) and text_first[i] == at)
 
-    def library_prefixes(self, text: str, after: int) -> list[int]:
+    def stem_prefixes(self, text: str, after: int) -> list[int]:
         """Counts of the prefixes of ``text`` longer than ``after``, piece by piece."""
-        out, base = [], 0
-        at = 0
-        for piece in self.pieces(text):
+        out, base, at = [], 0, 0
+        first, *rest = self.pieces(text)
+        for piece in (first, *(" " + r for r in rest)):
             if at + len(piece) > after:
                 own = self.unit_counts(piece)
                 out += [base + n for n in own[max(0, after - at) :]]
@@ -260,7 +274,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    return worker_value(("prefix counter", path), lambda: Counter(path))
+    return worker_value(("prefix counter", path), lambda: Counter(path), large=True)
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
