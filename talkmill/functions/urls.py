@@ -9,6 +9,7 @@ from talkmill.functions.text import col, let
 
 NETLOC = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
+# Fixed value: where a link holds the id of a video.
 YOUTUBE_ID = r"(?:youtube\.com/watch\?v=|youtu\.be/)([a-zA-Z0-9_-]+)"
 
 # How share pages carry their media link and title, in order of trust.

@@ -34,7 +34,7 @@ def batch_model(
     ``factory`` runs once per task (load the model there). Null texts never reach the model and
     get null. A batch that fails, or that returns another number of results, is tried again text
     by text; only texts that fail alone get ``default``, and ``error_col``, if named, says why.
-    Rows, order and all other columns stay as they are; the data crosses to Python as Arrow
+    Rows, order and all other columns stay as they are; the data leaves the JVM as Arrow
     batches.
 
     Model calls may not be repeatable: write the result before using it twice.

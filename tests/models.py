@@ -1,4 +1,4 @@
-"""Plain Python statements of what the operators compute, used as brute-force checks."""
+"""Plain loop statements of what the operators compute, used as brute-force checks."""
 
 from talkmill.functions.text import WHITESPACE
 

@@ -11,7 +11,7 @@ def apply(spark, values, *columns, schema="s string"):
     return [tuple(r) if len(columns) > 1 else r[0] for r in rows]
 
 
-def test_strip_and_word_count_follow_python(spark):
+def test_strip_and_word_count_follow_str_methods(spark):
     values = ["", " ", " a　", "\x1c a\x1fb \n", "no", "\t\r\n\x0b\x0c x y\u0085", "a  b c"]
     got = apply(spark, values, tx.strip("s"), tx.word_count("s"))
     assert got == [(v.strip(), len(v.split())) for v in values]
