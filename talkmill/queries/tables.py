@@ -193,6 +193,39 @@ def stored_chunks(spark, sf, docs, size, version):
 
 @query(
     "k1_upsert_vectors",
+    sql.with_ctes(
+        sql.cte("again", "select * from documents where doc_id in (select doc_id from labels)"),
+        sql.windows("documents", "doc_id", 1000, 200, "a"),
+        sql.windows("again", "doc_id", 2000, 200, "b"),
+        sql.cte(
+            "rows",
+            f"""select 1 as version, doc_id, chunk_index, text from a_chunks
+                union all select 2, doc_id, chunk_index, text from b_chunks""",
+        ),
+    )
+    + f""" select lower(source) as namespace, source||'_https://youtu.be/'||doc_id||'_'||chunk_index as id,
+        version::bigint as version, text, 'Unknown' as title, 'youtube_gemini' as source_type,
+        null::double as duration
+      from rows join (select doc_id, source from documents) using (doc_id)
+      qualify row_number() over (partition by doc_id, chunk_index order by version desc) = 1""",
+)
+def k1(spark, sf):
+    """Ingest all documents, then again (larger chunks) those that got labels since."""
+    docs = inp.documents(spark, sf)
+    again = docs.join(inp.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    first = stored_chunks(spark, sf, docs, 1000, 1)
+    second = stored_chunks(spark, sf, again, 2000, 2)
+    return st.upsert_vectors(first, second).select(*STORED_COLUMNS)
+
+
+STORED_COLUMNS = [
+    "namespace", "id", "version", "metadata.text", "metadata.title", "metadata.source_type",
+    "metadata.duration",
+]
+
+
+@query(
+    "k1_merge_vectors",
     sql.with_ctes(
         sql.cte("again", "select * from documents where doc_id in (select doc_id from labels)"),
         sql.cte("third", "select * from documents where doc_id in (select doc_id from labels where quality = 1)"),
@@ -213,7 +246,7 @@ def stored_chunks(spark, sf, docs, size, version):
       from rows join (select doc_id, source from documents) using (doc_id)
       qualify row_number() over (partition by doc_id, chunk_index order by version desc, run desc) = 1""",
 )
-def k1(spark, sf):
+def k1_merge(spark, sf):
     """A table on disk after four merges: all documents, a newer run of those that have labels, a
     run of the same version for some of these, and an old run that comes late."""
     docs, labels = inp.documents(spark, sf), inp.table(spark, sf, "labels")
@@ -229,10 +262,7 @@ def k1(spark, sf):
         st.merge_vectors(
             spark, f"{work}/store", stored_chunks(spark, sf, rows, size, version), f"{work}/staging", buckets=2
         )
-    return spark.read.parquet(f"{work}/store").select(
-        "namespace", "id", "version", "metadata.text", "metadata.title", "metadata.source_type",
-        "metadata.duration",
-    )
+    return spark.read.parquet(f"{work}/store").select(*STORED_COLUMNS)
 
 
 NEW_REGISTRY = f"""select 'vid_'||page_id||'.mp4' as video_name, 'https://cdn/'||page_id as video_url
