@@ -46,8 +46,15 @@ def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield begin, len(sizes)
 
 
+def small(batches, rows: int = 500):
+    """Record batches in slices of few rows, so that few texts at a time become objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def worker_value(key: Any, make: Callable[[], Any], large: bool = False) -> Any:
-    """A value kept by a Python worker over its tasks (tokenizers, word caches). The caller
+    """A value kept by a worker process over its tasks (tokenizers, word caches). The caller
     bounds its size; results never depend on what it holds. Of ``large`` ones a worker keeps the
     last only, as operators that follow each other in one worker don't need each other's."""
     home = sys.modules.setdefault("talkmill_worker_values", types.ModuleType("talkmill_worker_values"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import saved, ship, slices, worker_value
+from talkmill.llm.common import saved, ship, slices, small, worker_value
 
 WINDOW, MISMATCHES = 13, 2
 #: Token offsets that count, of each mask.
@@ -182,7 +182,7 @@ def _stretches(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame
 
     def run(batches):
         held = shipped.value
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             rows, firsts, tokens_out, hits_out = [], [], [], []
             for a, b in slices([len(t) for t in texts]):

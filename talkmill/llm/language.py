@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import remainder, ship, slices, worker_value
+from talkmill.llm.common import remainder, ship, slices, small, worker_value
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -84,7 +84,7 @@ def train(docs: DataFrame, use: Column) -> Model | None:
 
     def count(batches):
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             texts, langs = _columns(batch, "text", "lang")
             for a, b in slices([len(t) for t in texts]):
                 bucket, owner = hashed_grams(texts[a:b])
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         learned = Model(*shipped.value) if shipped else None
         letters = worker_value("letters", _letters)
-        for batch in batches:
+        for batch in small(batches):
             texts = _columns(batch, "text")[0]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             real = [i for i, t in enumerate(texts) if t and has_letter(t, letters)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.llm.common import saved, slices
+from talkmill.llm.common import saved, slices, small
 from talkmill.llm.components import components
 
 SHINGLE = 3
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every row; a null text has no words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             found = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def _one_of_repeated(rows: DataFrame, grouped: DataFrame, shingle: int) -> DataF
     own = T.StructType([*rows.schema, T.StructField("__fp", T.LongType())])
 
     def mark(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])

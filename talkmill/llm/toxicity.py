@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import remainder, saved, ship
+from talkmill.llm.common import remainder, saved, ship, small
 
 WINDOW, STEP = 40, 28
 GRAM = 5
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
 
     def run(batches):
         ordinary, toxic = compressor(model.ordinary), compressor(model.toxic)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows == 0:
                 continue
             rows = np.array([features(gains_of(t, ordinary, toxic)) for t in _texts(batch)])
@@ -328,7 +328,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
     def keep(batches):
         ordinary, toxic = compressor(model.ordinary), compressor(model.toxic)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows == 0:
                 continue
             rows = np.array([features(gains_of(t, ordinary, toxic)) for t in _texts(batch)])
