@@ -14,6 +14,7 @@ rewrites only its own. Documents are dealt to tasks by ranges of id, so files ar
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from itertools import chain
 
@@ -24,15 +25,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from talkmill.llm.common import SLICE_CHARS, slices, worker_value
+from talkmill.llm.common import SLICE_CHARS, slices, small, worker_value
 
 #: Ids of a segment; a single longer document gets a larger one.
 SEGMENT_IDS = 1 << 20
 #: Pieces whose ids a worker keeps, in about 150 MB.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 650_000
 #: A character that encodes to one id which nothing else yields.
 MARK = "\x01"
-TAILS = ".,;:!?"
+#: Fixed value: how the vocabulary marks tokens at the end of a word.
+WORD_END = "</w>"
+TAILS = string.punctuation
+KEPT_TAILS = 10_000
 #: Up to here a letter lower-cases to one letter.
 PLAIN = "\u00ff"
 
@@ -109,7 +113,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.mark = self.plain(MARK)
-        self.tails = {c: self.plain(c) for c in TAILS}
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.tails: dict[str, list[int]] = {}
         self.reset()
 
     def plain(self, text: str) -> list[int]:
@@ -119,6 +126,20 @@ class Encoder:
         self.places = Pieces()
         self.pool = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+
+    def forget(self) -> None:
+        """Of a full table keep the pieces used most, half of it at most, and none used once."""
+        pieces, ends, pool, uses = list(self.places), self.ends, self.pool, self.uses
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > KEPT_PIECES // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: KEPT_PIECES // 2]])
+        self.reset()
+        size = ends[kept + 1] - ends[kept]
+        self.places.update((pieces[i], k) for k, i in enumerate(kept.tolist()))
+        self.pool = pool[_runs(ends[kept], size)]
+        self.ends = np.concatenate([[0], np.cumsum(size)])
+        self.uses = uses[kept] // 2
 
     def learn(self) -> None:
         """Ids of the pieces that ``places`` has noted, at the pool's end."""
@@ -126,36 +147,71 @@ class Encoder:
         begin, used = len(self.ends) - 1, int(self.ends[-1])
         whole, joined, heads, tails = [], [], [], []
         for i, p in enumerate(pieces):
-            if p[-1:] in self.tails and p[-2:-1].isalnum() and p[-2] <= PLAIN:
-                head = self.places.get(p[:-1], begin)
+            stem = p.rstrip(TAILS)
+            if stem and len(stem) < len(p) and stem[-1].isalnum() and stem[-1] <= PLAIN and "<|" not in p:
+                head = self.places.get(stem, begin)
                 if head < begin:
                     joined.append(i)
                     heads.append(head)
-                    tails.append(self.tails[p[-1]][0])
+                    tails.append(self.tail(p[len(stem) :]))
                     continue
             whole.append(i)
         ids, n = self._encoded([pieces[i] for i in whole])
         whole, joined, heads = (np.array(x, np.int64) for x in (whole, joined, heads))
         size = np.zeros(len(pieces), np.int64)
         size[whole] = n
-        size[joined] = self.ends[heads + 1] - self.ends[heads] + 1
+        head_size, tail_size = self.ends[heads + 1] - self.ends[heads], np.array([len(t) for t in tails], np.int64)
+        size[joined] = head_size + tail_size
         first = used + np.cumsum(size) - size
         need = used + int(size.sum())
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool[:used], np.zeros(max(need, 2 * len(self.pool)) - used, np.uint32)])
         self.pool[_runs(first[whole], n)] = ids
-        self.pool[_runs(first[joined], size[joined] - 1)] = self.pool[_runs(self.ends[heads], size[joined] - 1)]
-        self.pool[first[joined] + size[joined] - 1] = tails
+        self.pool[_runs(first[joined], head_size)] = self.pool[_runs(self.ends[heads], head_size)]
+        self.pool[_runs(first[joined] + head_size, tail_size)] = [i for t in tails for i in t]
         self.ends = np.concatenate([self.ends, first + size])
 
+    def tail(self, marks: str) -> list[int]:
+        """Ids of a run of punctuation, which is always a word of the tokenizer's own."""
+        found = self.tails.get(marks)
+        if found is None:
+            found = self.plain(marks)
+            if len(self.tails) < KEPT_TAILS:
+                self.tails[marks] = found
+        return found
+
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has."""
+        n = np.zeros(len(pieces), np.int64)
+        plain = [i for i, p in enumerate(pieces) if p.isalpha() and latin(p)]
+        # Pieces of letters alone are one word each, and words end in ids of their own kind.
+        found, ended = self._words([pieces[i] for i in plain])
+        n[plain] = np.diff(np.concatenate([[-1], ended]))
+        rest = np.setdiff1d(np.arange(len(pieces)), plain)
+        others, n[rest] = self._marked([pieces[i] for i in rest])
+        first = np.cumsum(n) - n
+        ids = np.zeros(int(n.sum()), np.uint32)
+        ids[_runs(first[plain], n[plain])] = found
+        ids[_runs(first[rest], n[rest])] = others
+        return ids, n
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and the position of each word's last id."""
+        found = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ended = np.flatnonzero(self.last[found])
+        if len(ended) != len(words):  # a vocabulary that marks no ends, or counts words in another way
+            own = [self.plain(w) for w in words]
+            found = np.array([i for w in own for i in w], np.uint32)
+            ended = np.cumsum([len(w) for w in own], dtype=np.int64) - 1
+        return found, ended
+
+    def _marked(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any pieces, with marks between them."""
         if len(self.mark) == 1 and not any(MARK in p for p in pieces):
             ids = np.array(self.plain("".join(f"{p} {MARK} " for p in pieces)), np.uint32)
             marks = np.flatnonzero(ids == self.mark[0])
             if len(marks) == len(pieces):
-                n = np.diff(np.concatenate([[-1], marks])) - 1
-                return ids[ids != self.mark[0]], n
+                return ids[ids != self.mark[0]], np.diff(np.concatenate([[-1], marks])) - 1
         found = [self.plain(p) for p in pieces]
         return np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)
 
@@ -163,11 +219,13 @@ class Encoder:
         """All ids of ``texts`` in a row, and how many each text has."""
         pieces = [self.cut(t) for t in texts]
         if len(self.places) > KEPT_PIECES:
-            self.reset()
+            self.forget()
         n = [len(own) for own in pieces]
         place = np.fromiter(map(self.places.__getitem__, chain.from_iterable(pieces)), np.int64, sum(n))
         if self.places.new:
             self.learn()
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.ends) - 1 - len(self.uses), np.int32)])
+        self.uses += np.bincount(place, minlength=len(self.uses)).astype(np.int32)
         size = self.ends[place + 1] - self.ends[place]
         ids = self.pool[_runs(self.ends[place], size)]
         bound = np.concatenate([[0], np.cumsum(n)])
@@ -232,7 +290,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> None:
                 columns, names=["part", "seq", "doc_ids", "n_ids", "lengths", "ranks", "control", "data"]
             )
 
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys, names_type = batch.column(0).to_pylist(), batch.column(0).type
             for a, b in slices([len(t) for t in texts], SLICE_CHARS):

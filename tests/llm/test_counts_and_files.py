@@ -111,6 +111,18 @@ def test_pieces_encode_like_whole_texts(text):
     assert ids[: n[0]].tolist() == expected
 
 
+def test_ids_survive_a_full_table(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 40)
+    own = token_files.Encoder(WORDS)
+    r = random.Random(8)
+    for _ in range(60):
+        texts = [words.text(r, words.vocabulary(1), 15) + r.choice(["", ".", "!?", " x***"]) for _ in range(3)]
+        ids, n = own.encode(texts)
+        expected = [own.plain(t) for t in texts]
+        assert ids.tolist() == sum(expected, []) and n.tolist() == [len(e) for e in expected]
+        assert len(own.places) < 40 + 60
+
+
 def expected_file(rows, end_id=2):
     library = Tokenizer.from_file(WORDS)
     out, start = [], 0
