@@ -149,14 +149,16 @@ def own_licenses(docs: DataFrame, directory: Column, threshold: float = THRESHOL
     def anchored(part: Column) -> Column:
         return F.exists(F.split(part, SEPARATOR), lambda t: F.rtrim(t, F.lit(".")).isin(anchors))
 
-    # Texts without any anchor are done; the others are cut into sentences.
-    flagged = docs.select("doc_id", directory.alias("directory"), text.alias("text"), anchored(F.lower(text)).alias("flag"))
-    sentences = F.filter(F.split(F.lower("text"), SENTENCE), anchored)
-    held = flagged.select(
+    held = docs.select(
+        "doc_id",
+        directory.alias("directory"),
+        text.alias("text"),
+        F.filter(F.split(F.lower(text), SENTENCE), anchored).alias("sentences"),
+    ).select(
         "doc_id",
         "directory",
-        F.when(F.col("flag"), sentences).otherwise(F.array().cast("array<string>")).alias("sentences"),
-        F.when(F.col("flag"), F.regexp_count("text", F.lit(r"\S+"))).otherwise(0).alias("all_words"),
+        "sentences",
+        F.when(F.size("sentences") > 0, F.regexp_count("text", F.lit(r"\S+"))).otherwise(0).alias("all_words"),
     )
     windows = F.flatten(F.transform("sentences", lambda s: _windows(_terms(s))))
     cut = held.withColumn("windows", F.filter(windows, lambda w: _within_reach(w, space, threshold)))
