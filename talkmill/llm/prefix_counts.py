@@ -14,6 +14,7 @@ come again and again; a worker keeps their counts, in bounded memory.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from talkmill.llm.common import slices, worker_value
+from talkmill.llm.common import slices, small, worker_value
 
 #: Fixed value: the pattern by which the vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,9 +83,7 @@ class Counter:
 
     def reset(self) -> None:
         self.units = [Units(self, ""), Units(self, " ")]
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 12, np.int64)
-        self.used = self.filled = 0
+        self.pool, self.ends = array("i"), array("q", [0])
 
     def merged(self, parts: list[bytes]) -> list[bytes]:
         """``parts`` after all merges, lowest rank first, leftmost among equals."""
@@ -179,17 +178,9 @@ class Counter:
         return out
 
     def add(self, unit: str) -> int:
-        counts = self.unit_counts(unit)
-        place = self.filled
-        if self.used + len(counts) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(counts)), np.int32)])
-        if place + 2 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.pool[self.used : self.used + len(counts)] = np.frombuffer(counts, np.uint8) if isinstance(counts, bytes) else counts
-        self.used += len(counts)
-        self.ends[place + 1] = self.used
-        self.filled += 1
-        return place
+        self.pool.extend(self.unit_counts(unit))
+        self.ends.append(len(self.pool))
+        return len(self.ends) - 2
 
     def pieces(self, text: str) -> list[str]:
         """``text`` cut where a blank follows a non-blank; all but the first without that blank."""
@@ -234,9 +225,12 @@ class Counter:
             return np.zeros(0, np.int64), ends
         place = np.concatenate(places)
         known = np.maximum(place, 0)
-        size = np.where(place < 0, -place, self.ends[known + 1] - self.ends[known])
-        begin = np.where(place < 0, 0, self.ends[known])
-        total = np.where(place < 0, 1, self.pool[self.ends[known + 1] - 1])
+        pool, unit_ends = np.frombuffer(self.pool, np.int32), np.frombuffer(self.ends, np.int64)
+        if not len(pool):
+            pool, unit_ends = np.zeros(1, np.int32), np.array([0, 1])
+        size = np.where(place < 0, -place, unit_ends[known + 1] - unit_ends[known])
+        begin = np.where(place < 0, 0, unit_ends[known])
+        total = np.where(place < 0, 1, pool[unit_ends[known + 1] - 1])
         first = np.cumsum(size) - size
         text_first = np.concatenate([[0], ends[:-1]])
         before = np.cumsum(total) - total
@@ -245,7 +239,8 @@ class Counter:
         offset = np.append(before, before[-1] + total[-1])[head]
         base = before - offset[np.searchsorted(text_first, first, side="right") - 1]
         where = np.arange(int(size.sum())) + np.repeat(begin - first, size)
-        counts = np.repeat(base, size) + self.pool[np.minimum(where, len(self.pool) - 1)]
+        counts = np.repeat(base, size) + pool[np.minimum(where, len(pool) - 1)]
+        del pool, unit_ends  # else the arrays could not grow
         for start, part, special in specials:
             # A prefix that ends inside a special token is ordinary text going on from the part.
             extra = self.stem_prefixes(part + special[:-1], len(part))
@@ -289,7 +284,7 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = counter(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
             for a, b in slices([len(t) for t in texts], SLICE):
@@ -311,7 +306,7 @@ def answers(docs: DataFrame, path: str, limit: int) -> DataFrame:
 
     def run(batches):
         own = counter(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens, cuts = [], []
             for a, b in slices([len(t) for t in texts], SLICE):
