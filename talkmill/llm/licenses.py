@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 #: Terms of a window, and from one window to the next, in sentences that are longer.
 WINDOW, STEP = 32, 16
 #: A licence file has at least this share of its words in matching sentences.
-FILE_SHARE = 0.6
+FILE_SHARE = 0.9
 
 # Statements by which texts and files declare public licences.
 TEMPLATES = (
