@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -228,3 +229,33 @@ def test_licences_of_hostile_rows(spark):
 def test_the_licence_plan_stays_in_the_jvm(spark):
     plan = licenses.own_licenses(words.frame(spark, [(1, MIT, "", "")]), F.lit(""))._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "UDF" not in plan
+
+
+def judged(spark, texts):
+    rows = [(i, t, "", f"d{i}") for i, t in enumerate(texts)]
+    got = licenses.scan(words.frame(spark, rows), F.col("source")).collect()
+    return [(r["license"], r["origin"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def wrapped(text, width, start=""):
+    return "\n".join(start + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_whole_licence_texts_are_licence_files(spark):
+    texts = [(n, t.replace("Copyright (c)", "Copyright (c) 2024 Some Company, Inc.")) for n, t in licenses.whole_templates()]
+    shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: wrapped(t, 50, " * ")]
+    rows, names = [], []
+    for i, (name, text) in enumerate(texts):
+        for j, shape in enumerate(shapes):
+            rows += [(len(rows), shape(text), "", f"/{i}/{j}"), (len(rows) + 1, "own words", "", f"{i}/{j}/src/lib")]
+            names += [(name, "own"), (name, "inherited")]
+    got = licenses.scan(words.frame(spark, rows), F.col("source")).collect()
+    assert [(r["license"], r["origin"]) for r in sorted(got, key=lambda r: r["doc_id"])] == names
+
+
+def test_a_header_above_other_text_is_no_licence_file(spark):
+    header = dict(licenses.whole_templates()[::-1])["Apache-2.0"]  # the first of the name: the header
+    own = words.text(random.Random(3), words.vocabulary(3), 400)
+    rows = [(1, wrapped(header, 70, "# ") + "\n" + own, "", "a"), (2, "text", "", "a")]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(words.frame(spark, rows), F.col("source")).collect()}
+    assert got == {1: ("Apache-2.0", "own"), 2: (None, "none")}
