@@ -259,3 +259,56 @@ def test_a_header_above_other_text_is_no_licence_file(spark):
     rows = [(1, wrapped(header, 70, "# ") + "\n" + own, "", "a"), (2, "text", "", "a")]
     got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(words.frame(spark, rows), F.col("source")).collect()}
     assert got == {1: ("Apache-2.0", "own"), 2: (None, "none")}
+
+
+def test_statements_inside_sentences_comments_and_wrapped_lines(spark):
+    own = words.text(random.Random(4), words.vocabulary(4), 90)
+    bsd = next(t for n, t in licenses.TEMPLATES if t.startswith("Redistribution"))
+    assert judged(
+        spark,
+        [
+            "This program is licensed under the MIT license (see LICENSE).",
+            f"{own} the library that we use here is released under the MIT License {own}",
+            "Copyright 2024 Foo Authors, all rights reserved, licensed under CC BY-NC 4.0.",
+            "// SPDX-License-Identifier: MIT\n" + own,
+            "/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Linux-syscall-note) */ " + own,
+            own + "\n" + wrapped(bsd, 40, "# ") + "\n" + own,
+            own + "\n * Licensed under the Apache\n * License, Version 2.0 (the \"License\")\n" + own,
+            "SPDX-License-Identifier: Foo-1.0 " + own,
+            own + " Released under " + own,
+        ],
+    ) == [
+        ("MIT", "own"), ("MIT", "own"), ("CC-BY-NC-4.0", "own"), ("MIT", "own"), ("GPL-2.0", "own"), ("BSD-3-Clause", "own"),
+        ("Apache-2.0", "own"), (None, "none"), (None, "none"),
+    ]
+
+
+def plain_inside(low):
+    """Best cosine of any run of terms that is as long as a template."""
+    space, terms, best = licenses.Space(), licenses.terms_of(low), (0.0, "")
+    for (name, v), (_, count) in zip(space.vectors, space.counts):
+        n = sum(count.values())
+        for i in range(len(terms) - n + 1):
+            own = terms[i : i + n]
+            weight = lambda t: space.idf.get(t, space.unknown)
+            norm = math.sqrt(sum((own.count(t) * weight(t)) ** 2 for t in set(own)))
+            best = max(best, (round(sum(weight(t) * v.get(t, 0.0) for t in own) / norm, 6), name))
+    return best if best[0] >= licenses.THRESHOLD else (0.0, None)
+
+
+def test_statements_inside_equal_the_plain_rule(spark):
+    r = random.Random(8)
+    plain = words.vocabulary(4, 60) + ["license", "released", "mit", "under", "the", "version", "public"]
+    rows = []
+    for i in range(150):
+        own = r.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(r.choice([0, 1, 2, 4])):
+            own[r.randrange(len(own))] = r.choice(plain)
+        around = [words.text(r, plain, r.randint(0, 80)) for _ in range(2)]
+        rows.append((i, r.choice([" ", "\n"]).join([around[0], *own, around[1]]), "en", "s"))
+    got = licenses._found(words.frame(spark, rows), F.lit("d"), licenses.THRESHOLD).collect()
+    for x in got:
+        score, name = plain_inside(rows[x["doc_id"]][1].lower())
+        assert (x["inside"] and x["inside"]["name"]) == name, rows[x["doc_id"]]
+        assert (x["inside"]["cosine"] if name else 0.0) == pytest.approx(score, abs=2e-6)
+    assert sum(x["inside"] is not None for x in got) > 50
