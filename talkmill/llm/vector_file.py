@@ -30,6 +30,10 @@ SAMPLE = 4_096
 #: Bytes of one slice of queries, 8 a component.
 SLICE_BYTES = 8 << 20
 BLOCK = 2_048
+#: Entries of the largest matrix of bounds, queries x rows of a block.
+ENTRIES = 1 << 20
+#: Candidates that a task holds before it drops those ruled out since.
+HELD = 2_000_000
 #: Components are saturated here, so that scores of up to 4,096 dimensions fit a long.
 LARGEST = 1 << 25
 
@@ -140,21 +144,26 @@ def _scan(cells: DataFrame, ids: np.ndarray, q: np.ndarray, edges, k: int) -> Da
             ok = parts[3] >= best[parts[0], 0]
             return [p[ok] for p in parts]
 
+        some = max(1, ENTRIES // BLOCK)
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 own = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, len(dims))
-                lower, upper = bounds(q, low_of[dims, own], high_of[dims, own])
-                same = ids[:, None] == part.column(1).to_numpy(zero_copy_only=False)[None, :]
-                lower[same] = upper[same] = -np.inf
-                best = np.sort(np.concatenate([best, lower], axis=1), axis=1)[:, -k:]
-                rows, columns = np.nonzero((upper >= best[:, :1]) & ~same)
-                cids = part.column(0).to_numpy()
-                held.append((rows, cids[columns], lower[rows, columns], upper[rows, columns]))
-                count += len(rows)
-                if count > 2_000_000:
-                    held[:] = [tuple(thinned())]
-                    count = len(held[0][0])
+                low, high = low_of[dims, own], high_of[dims, own]
+                vec_ids, cids = part.column(1).to_numpy(zero_copy_only=False), part.column(0).to_numpy()
+                # A slice of queries in blocks, as the matrices hold an entry for each query and row.
+                for b in range(0, len(ids), some):
+                    lower, upper = bounds(q[b : b + some], low, high)
+                    same = ids[b : b + some, None] == vec_ids[None, :]
+                    lower[same] = upper[same] = -np.inf
+                    top = np.sort(np.concatenate([best[b : b + some], lower], axis=1), axis=1)[:, -k:]
+                    best[b : b + some] = top
+                    rows, columns = np.nonzero((upper >= top[:, :1]) & ~same)
+                    held.append((rows + b, cids[columns], lower[rows, columns], upper[rows, columns]))
+                    count += len(rows)
+                    if count > HELD:
+                        held[:] = [tuple(thinned())]
+                        count = len(held[0][0])
         if held:
             rows, cids, lower, upper = thinned()
             for a in range(0, len(rows), 1 << 16):

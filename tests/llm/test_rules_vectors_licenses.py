@@ -121,6 +121,39 @@ def test_top_k_in_slices_and_blocks(spark, monkeypatch):
     assert top(spark, rows, 4, 10) == plain_top(rows, 4, 10)
 
 
+def test_many_queries_keep_the_matrices_small(spark, monkeypatch):
+    monkeypatch.setattr(vector_file, "BLOCK", 16)
+    monkeypatch.setattr(vector_file, "ENTRIES", 16 * 7)
+    monkeypatch.setattr(vector_file, "HELD", 500)
+    bounds = vector_file.bounds
+
+    def small(q, low, high):
+        assert len(q) * len(low) <= 16 * 7
+        return bounds(q, low, high)
+
+    monkeypatch.setattr(vector_file, "bounds", small)
+    r = np.random.default_rng(5)
+    rows = [(i, (r.integers(-3, 4, 6) / 1024).tolist()) for i in range(400)]
+    edges = (np.tile(np.arange(-2.0, 253.0), (6, 1)), np.full(6, -3.0), np.full(6, 3.0))
+    v = np.array([e for _, e in rows]) * 1024
+    cells = vector_file.cells_of(v, edges[0])
+    file = spark.createDataFrame([(i, i, bytes(c)) for i, c in enumerate(cells)], "cid long, vec_id long, cells binary")
+    seen = {}
+
+    class Kept:  # runs a task's function here, where the patched values hold
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            seen["rows"] = [x for b in run(file.toArrow().to_batches()) for x in b.to_pylist()]
+
+    ids = np.arange(0, 400, 2)
+    vector_file._scan(Kept(), ids, v[ids], edges, 3)
+    got = {(x["query_id"], x["cid"]) for x in seen["rows"]}
+    for i in ids:
+        scores = sorted(((-(v[i] @ v[j]), j) for j in range(400) if j != i))
+        assert all((i, j) in got for s, j in scores if s <= scores[2][0])
+
+
 def test_one_vector_that_most_rows_share(spark):
     r = np.random.default_rng(3)
     hot = [0.5, -0.25, 0.125]
