@@ -106,7 +106,14 @@ def _sample(docs: DataFrame, labels: DataFrame, use, max_toxic: int, max_ordinar
         for side, most in ((1, max_toxic), (0, max_ordinary))
     ]
     chosen = saved(parts[0].unionByName(parts[1]), "toxicity-chosen")  # at most the two limits
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row for each id, however many share it, so that the limits hold for rows too.
+    return (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        .select("doc_id", "text", "toxic")
+    )
 
 
 def _gram_counts(batches):

@@ -166,3 +166,10 @@ def test_windows_cover_the_whole_text():
         assert text[begin : begin + len(w)] == w
         covered[begin : begin + len(w)] = True
     assert covered.all()
+
+
+def test_the_toxicity_sample_has_one_row_for_each_id(spark):
+    docs = words.frame(spark, [(1, f"text {i}", "en", "s") for i in range(50)] + [(2, "b", "en", "s"), (3, None, "en", "s")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity._sample(docs, labels, F.lit(True), 5, 5).collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in got) == [(1, 1), (2, 0), (3, 0)]
