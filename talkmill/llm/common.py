@@ -7,7 +7,9 @@ import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.session import scratch_dir
@@ -69,3 +71,31 @@ def worker_value(key: Any, make: Callable[[], Any], large: bool = False) -> Any:
 def ship(spark: SparkSession, value: Any):
     """Broadcast a value whose size the caller has bounded."""
     return spark.sparkContext.broadcast(value)
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with its place from 1 in the given order as ``number``, written and read again.
+    Ranges of the order number their own rows, then the rows of the ranges before are added, so
+    no task holds more than a range; an order that tells all rows apart keeps ranges even."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "numbered")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            more = [pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__range", "__within"])
+            at += n
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.mapInArrow(run, f"{own}, __range int, __within long").write.parquet(path)
+    rows = spark.read.parquet(path)
+    # One row for each range.
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__range").agg(F.count("*").alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+    )
+    return rows.join(before, "__range").select(
+        *[F.col(f"`{n}`") for n in df.columns], (F.col("__before") + F.col("__within") + 1).alias("number")
+    )

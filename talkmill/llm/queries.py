@@ -14,6 +14,7 @@ from talkmill.llm import (
     licenses,
     mixing,
     prefix_counts,
+    resampling,
     simhash,
     token_files,
     toxicity,
@@ -142,3 +143,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     found = toxicity.score(docs, model)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
