@@ -13,6 +13,7 @@ from talkmill.llm import (
     language,
     licenses,
     mixing,
+    phrases,
     prefix_counts,
     resampling,
     simhash,
@@ -149,3 +150,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    r"""
+    with w as (
+      select coalesce(lang, 'und') as lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w
+      from (select lang, unnest(regexp_split_to_array(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[.,;:!?\n\x0B\x0C\r]')) as piece
+            from documents)),
+    g as (
+      select lang, 1 as words, unnest(w) as phrase from w
+      union all
+      select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+      union all
+      select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
+    f as (select lang, words, phrase, count(*) as f from g group by all having count(*) >= 10),
+    size as (select lang, count(*) as n from g where words = 1 group by lang),
+    c as (select lang, words, phrase, f as a, string_split(phrase, ' ') as p from f where words > 1),
+    cut as (
+      select lang, words, phrase, a, 1 as k, p[1] as head, array_to_string(p[2:], ' ') as tail from c
+      union all
+      select lang, words, phrase, a, 2, p[1] || ' ' || p[2], p[3] from c where words = 3),
+    s as (
+      select cut.*, h.f as l, t.f as r,
+        cast((1000000 * cast(a as hugeint) * a) // (cast(h.f as hugeint) * t.f) as bigint) as score
+      from cut join f h on h.lang = cut.lang and h.phrase = cut.head
+               join f t on t.lang = cut.lang and t.phrase = cut.tail),
+    low as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    inner_pairs as (
+      select lang, phrase, max(a) as longer from (
+        select lang, p[1] || ' ' || p[2] as phrase, a from c where words = 3
+        union all select lang, p[2] || ' ' || p[3], a from c where words = 3) group by all),
+    kept as (
+      select low.* from low left join inner_pairs i on i.lang = low.lang and i.phrase = low.phrase
+      where i.longer is null or 100 * i.longer < 50 * low.a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as "rank" from kept)
+    select lang, cast("rank" as bigint) as "rank", phrase, a, l, r, n, score
+    from ranked join size using (lang) where "rank" <= 2000
+    """
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
