@@ -13,6 +13,7 @@ from talkmill.llm import (
     language,
     licenses,
     mixing,
+    packing,
     phrases,
     prefix_counts,
     resampling,
@@ -193,3 +194,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
