@@ -187,11 +187,11 @@ class Bins:
 
 
 def rounded(rows: np.ndarray, repeats: np.ndarray, left: np.ndarray) -> list[Bins]:
-    """Whole repeats, the largest first, as far as pieces are left; takes them off ``left``."""
+    """Repeats rounded down, as far as pieces are left; takes them off ``left``."""
     out = []
     for i in np.argsort(-repeats, kind="stable"):
         need = Counter(int(v) for v in rows[i] if v)
-        n = min(round(float(repeats[i])), *(int(left[v]) // k for v, k in need.items()))
+        n = min(int(repeats[i]), *(int(left[v]) // k for v, k in need.items()))
         if n > 0:
             for v, k in need.items():
                 left[v] -= n * k
