@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.text import basename, col
 from talkmill.functions.urls import namespace_of, vector_id
+from talkmill.operators.snapshots import StoredTable
 from talkmill.schemas import CHUNK_VECTORS
-from talkmill.session import dir_exists, remove_dir
+from talkmill.session import remove_dir
 
 BUCKETS = 16
-#: Partitions that a merge reads by folder.
-MAX_FOLDERS = 2_000
-#: Fixed value: characters that folder names of partitions escape.
-ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
 YOUTUBE_SOURCE, LOOM_SOURCE = "youtube_gemini", "loom_video"
 
 
@@ -114,56 +111,23 @@ def with_bucket(vectors: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write rows laid out by namespace and bucket.
-
-    The rebalance hint lets Spark split a namespace that is far larger than the others
-    and merge small ones, so file sizes stay even.
-    """
-    (
-        vectors.hint("rebalance", "namespace", "bucket")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("namespace", "bucket")
-        .parquet(path)
-    )
-
-
-def partition_folder(namespace: str | None, bucket: int) -> str:
-    """Folder of a partition, with the escapes that the partition layout prescribes."""
-    if not namespace:
-        name = "__HIVE_DEFAULT_PARTITION__"
-    else:
-        name = "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 0x20 else c for c in namespace)
-    return f"namespace={name}/bucket={bucket}"
+#: Kept for each partition of the vector table, so that reports need no scan of the rows.
+VECTOR_MEASURES = {
+    "with_ts": "count_if(metadata.start > 0 or metadata.end > 0)",
+    "seconds": "sum(metadata.end - metadata.start)",
+    "chars": "sum(length(metadata.text))",
+}
 
 
-def stored_buckets(spark: SparkSession, path: str, buckets: int) -> int:
-    """The bucket count of a stored table: what it was made with, else ``buckets``, noted now."""
-    note = f"{path}/_layout"
-    if dir_exists(spark, note):
-        return spark.read.schema("buckets int").json(note).first()["buckets"]
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(note)
-    return buckets
+def vector_table(spark: SparkSession, path: str) -> StoredTable:
+    """The stored table of chunk vectors, laid out by namespace and bucket."""
+    columns = CHUNK_VECTORS.removeprefix("namespace string, ")
+    return StoredTable(spark, path, columns, {"namespace": "string", "bucket": "int"}, VECTOR_MEASURES)
 
 
-def touched_rows(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
-    """Stored rows of the partitions that receive rows.
-
-    Up to ``MAX_FOLDERS`` of them are read by folder, so that nothing else of the store is even
-    listed; a batch that touches more is joined on the partition columns, with equal results.
-    """
-    pairs = incoming.select("namespace", "bucket").distinct()
-    named = pairs.limit(MAX_FOLDERS + 1).collect()
-    columns = f"{CHUNK_VECTORS}, bucket int"
-    reader = spark.read.schema(columns).option("basePath", path)
-    if len(named) > MAX_FOLDERS:
-        return reader.parquet(path).join(pairs, ["namespace", "bucket"], "left_semi")
-    folders = [f"{path}/{partition_folder(r['namespace'], r['bucket'])}" for r in named]
-    there = [f for f in folders if dir_exists(spark, f)]
-    if not there:
-        return spark.createDataFrame([], columns)
-    return reader.parquet(*there)
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot of a vector table. A reader keeps the snapshot that it began with."""
+    return vector_table(spark, path).rows()
 
 
 def merge_vectors(
@@ -173,25 +137,59 @@ def merge_vectors(
     staging: str,
     buckets: int = BUCKETS,
     replace_video: bool = False,
+    batch: tuple[str, int] | None = None,
 ) -> None:
-    """Upsert into a stored table (made when it is not there), rewriting only the
-    partitions that receive rows.
+    """Upsert into a stored table (made when it is not there): a new snapshot in which only the
+    partitions that receive rows are written anew.
 
     The new rows are written as they come first, so a model behind them is called once and
-    all that follows is an ordinary batch. The merged partitions are staged as well: the
-    table is never overwritten while it is read, and a job that dies in between is repeated
-    from the same inputs with the same result. Each run stages under a name of its own below
-    ``staging`` and removes it after the commit. ``buckets`` counts when the table is made;
-    later merges keep to the number it was made with.
+    all that follows is an ordinary batch. Readers see the old snapshot until the new one is
+    whole; a job that dies in between is repeated from the same inputs with the same result. Each
+    run stages under a name of its own below ``staging`` and removes it at the end. ``buckets``
+    counts when the table is made; later merges keep to the number it was made with. ``batch``
+    names a source and the number of its batch: numbers that were merged before are left alone.
     """
+    table = vector_table(spark, path)
+    head = table.head()
+    if batch and batch_merged(head, *batch):
+        return
     work = f"{staging.rstrip('/')}/run-{uuid.uuid4().hex}"
-    incoming.write.parquet(f"{work}/incoming")
-    buckets = stored_buckets(spark, path, buckets)
-    incoming = with_bucket(spark.read.schema(CHUNK_VECTORS).parquet(f"{work}/incoming"), buckets)
-    merged = upsert_vectors(touched_rows(spark, path, incoming), incoming, replace_video)
-    merged.write.parquet(f"{work}/merged")
-    write_vectors(spark.read.schema(f"{CHUNK_VECTORS}, bucket int").parquet(f"{work}/merged"), path)
-    remove_dir(spark, work)
+    try:
+        incoming.write.parquet(f"{work}/incoming")
+        buckets = head.get("buckets", buckets)
+        rows = with_bucket(spark.read.schema(CHUNK_VECTORS).parquet(f"{work}/incoming"), buckets)
+        rows = rows.withColumn("namespace", F.coalesce("namespace", F.lit("")))
+        touched = rows.select("namespace", "bucket").distinct()
+        merged = upsert_vectors(table.rows(touched, head), rows, replace_video)
+        notes = {"batches": {**head.get("batches", {}), batch[0]: batch[1]}} if batch else {}
+        table.commit(head, merged, touched, buckets=buckets, **notes)
+    finally:
+        remove_dir(spark, work)
+
+
+def stored_figures(spark: SparkSession, path: str) -> DataFrame:
+    """``namespace, vector_count, with_ts, avg_duration, avg_chars`` of a stored table, from the
+    measures that its commits kept: no row of the table is read."""
+    table = vector_table(spark, path)
+    head = table.head()
+    if not head:
+        kinds = "namespace string, vector_count bigint, with_ts bigint, avg_duration double, avg_chars double"
+        return spark.createDataFrame([], kinds)
+    return (
+        table.manifest(head)
+        .groupBy("namespace")
+        .agg(
+            F.sum("n").alias("vector_count"),
+            F.sum("with_ts").alias("with_ts"),
+            (F.sum("seconds") / F.sum("n")).alias("avg_duration"),
+            (F.sum("chars") / F.sum("n")).alias("avg_chars"),
+        )
+    )
+
+
+def batch_merged(head: dict, source: str, number: int) -> bool:
+    """Whether a snapshot already holds this batch of a source; batches come in order."""
+    return number <= head.get("batches", {}).get(source, -1)
 
 
 def registry_rows(files: DataFrame, version: Column) -> DataFrame:
@@ -215,3 +213,33 @@ def merge_registry(left: DataFrame, right: DataFrame) -> DataFrame:
     """Union of two registries; the right side wins."""
     both = left.withColumn("version", F.lit(0)).unionByName(right.withColumn("version", F.lit(1)))
     return latest_wins(both, ["video_name"], "version", "video_url").drop("version")
+
+
+REGISTRY_BUCKETS = 8
+
+
+def registry_table(spark: SparkSession, path: str) -> StoredTable:
+    """The stored video registry ``(video_name, video_url, version)``, laid out by name."""
+    return StoredTable(spark, path, "video_name string, video_url string, version bigint", {"bucket": "int"})
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The current entries of a stored registry, one for each video name."""
+    return registry_table(spark, path).rows().drop("bucket")
+
+
+def store_registry(spark: SparkSession, path: str, incoming: DataFrame, buckets: int = REGISTRY_BUCKETS) -> None:
+    """Upsert ``(video_name, video_url, version)`` rows into a stored registry (made when it is not
+    there). The entry with the higher version stays; of equal versions the later write. Entries
+    without a name are left out, as nothing could ever look them up."""
+    table = registry_table(spark, path)
+    head = table.head()
+    buckets = head.get("buckets", buckets)
+    bucket = F.pmod(F.xxhash64("video_name"), F.lit(buckets)).cast("int")
+    rows = (
+        incoming.where("video_name is not null")
+        .select("video_name", "video_url", F.col("version").cast("bigint").alias("version"))
+        .withColumn("bucket", bucket)
+    )
+    touched = rows.select("bucket").distinct()
+    table.commit(head, upsert_registry(table.rows(touched, head), rows), touched, buckets=buckets)

@@ -8,6 +8,7 @@ from talkmill.functions.text import word_count
 from talkmill.functions.timing import SEGMENTS_TYPE
 from talkmill.operators import transcripts as tr
 from talkmill.operators.model import hashing_embedder
+from talkmill.operators.store import read_vectors
 from talkmill.plans import ingest as ing
 from talkmill.plans import quality, questions
 from talkmill.queries import answers as ans
@@ -354,7 +355,7 @@ def t1(spark, sf):
         stream, f"{work}/store", f"{work}/checkpoint", hashing_embedder(DIM), DIM, available_now=True, buckets=2
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{work}/store").select("namespace", "id", "metadata.text")
+    return read_vectors(spark, f"{work}/store").select("namespace", "id", "metadata.text")
 
 
 @query(

@@ -224,8 +224,7 @@ STORED_COLUMNS = [
 ]
 
 
-@query(
-    "k1_merge_vectors",
+MERGED_SQL = (
     sql.with_ctes(
         sql.cte("again", "select * from documents where doc_id in (select doc_id from labels)"),
         sql.cte("third", "select * from documents where doc_id in (select doc_id from labels where quality = 1)"),
@@ -244,10 +243,12 @@ STORED_COLUMNS = [
         version::bigint as version, text, 'Unknown' as title, 'youtube_gemini' as source_type,
         null::double as duration
       from rows join (select doc_id, source from documents) using (doc_id)
-      qualify row_number() over (partition by doc_id, chunk_index order by version desc, run desc) = 1""",
+      qualify row_number() over (partition by doc_id, chunk_index order by version desc, run desc) = 1"""
 )
-def k1_merge(spark, sf):
-    """A table on disk after four merges: all documents, a newer run of those that have labels, a
+
+
+def merged_store(spark, sf):
+    """Path of a table on disk after four merges: all documents, a newer run of those that have labels, a
     run of the same version for some of these, and an old run that comes late."""
     docs, labels = inp.documents(spark, sf), inp.table(spark, sf, "labels")
     among = lambda rows: docs.join(rows.select("doc_id"), "doc_id", "left_semi")
@@ -262,7 +263,24 @@ def k1_merge(spark, sf):
         st.merge_vectors(
             spark, f"{work}/store", stored_chunks(spark, sf, rows, size, version), f"{work}/staging", buckets=2
         )
-    return spark.read.parquet(f"{work}/store").select(*STORED_COLUMNS)
+    return f"{work}/store"
+
+
+@query("k1_merge_vectors", MERGED_SQL)
+def k1_merge(spark, sf):
+    """The current snapshot of a table on disk after four merges."""
+    return st.read_vectors(spark, merged_store(spark, sf)).select(*STORED_COLUMNS)
+
+
+@query(
+    "a4_stored_figures",
+    f"""select namespace, count(*) as vector_count, 0::bigint as with_ts, 0.0::double as avg_duration,
+          round(avg(length(text)), 6) as avg_chars from ({MERGED_SQL}) group by namespace""",
+)
+def a4_stored(spark, sf):
+    """Counts and figures per namespace after the same merges, from what the commits kept."""
+    figures = st.stored_figures(spark, merged_store(spark, sf))
+    return figures.withColumn("avg_chars", F.round("avg_chars", 6))
 
 
 NEW_REGISTRY = f"""select 'vid_'||page_id||'.mp4' as video_name, 'https://cdn/'||page_id as video_url
@@ -288,6 +306,28 @@ def k2(spark, sf):
     return st.upsert_registry(known, added).drop("version")
 
 
+@query(
+    "k2_stored_registry",
+    f"""select video_name, case when c.page_id is not null then 'https://new/'||c.page_id else m.video_url end as video_url
+      from ({REGISTRY_MERGED}) m left join (select page_id, 'vid_'||page_id||'.mp4' as video_name from pages where page_id % 3 = 0) c
+        using (video_name)
+      union all select 'vid_'||page_id||'.mp4', 'https://new/'||page_id from pages
+        where page_id % 3 = 0 and 'vid_'||page_id||'.mp4' not in (select video_name from ({REGISTRY_MERGED}))""",
+)
+def k2_stored(spark, sf):
+    """A registry on disk after four merges: what is known, new entries, a third batch of still newer
+    ones, and the first again, which is older by then and changes nothing."""
+    known = rd.scan_video_registry(registry(spark, sf)).withColumn("version", F.lit(1))
+    added = st.registry_rows(new_registry(spark, sf), F.lit(2))
+    newest = inp.table(spark, sf, "pages").where("page_id % 3 = 0").selectExpr(
+        "concat('vid_', page_id, '.mp4') as video_name", "concat('https://new/', page_id) as video_url", "3 as version"
+    )
+    path = scratch_dir(spark, "registry")
+    for batch in (known, added, newest, known):
+        st.store_registry(spark, path, batch)
+    return st.read_registry(spark, path).select("video_name", "video_url")
+
+
 @query("k3_write_transcript_logs", f"select doc_id, {LOG_TEXT} as value from ({LOGS})")
 def k3(spark, sf):
     return log_records(spark, sf).select("doc_id", tr.render_log().alias("value"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -38,12 +39,56 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files, on whatever file system it is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def dir_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    where, files = _file_system(spark, path)
+    return files.exists(where)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, hidden ones left out; none if there is no such folder."""
+    where, files = _file_system(spark, path)
+    if not files.exists(where):
+        return []
+    return [n for n in (s.getPath().getName() for s in files.listStatus(where)) if n[0] not in "._"]
+
+
+def read_small_file(spark: SparkSession, path: str) -> str:
+    where, files = _file_system(spark, path)
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def add_small_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with this content, whole or not at all; False if the name is taken."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    where, files = _file_system(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        files.makeQualified(where).toUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    try:
+        context.rename(files.makeQualified(draft), files.makeQualified(where), options)
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True

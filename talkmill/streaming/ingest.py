@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from talkmill.functions.text import basename
 from talkmill.functions.urls import route_source
 from talkmill.operators.chunking import explode_chunks
 from talkmill.operators.model import EMBEDDING_DIM, BatchFn, embed
-from talkmill.operators.store import BUCKETS, latest_wins, merge_vectors, vector_rows
+from talkmill.operators.store import (
+    BUCKETS,
+    batch_merged,
+    latest_wins,
+    merge_vectors,
+    read_registry,
+    vector_rows,
+    vector_table,
+)
 from talkmill.plans.ingest import STANDARD, chunk_prepared
 
 KEEP = ["video_url", "company_name", "route", "title", "duration", "language", "word_count"]
@@ -22,9 +31,26 @@ def read_transcript_stream(
 ) -> DataFrame:
     """Rows of a file or of a folder of files; ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``
     bound what a batch holds after a backlog."""
-    # A single file is only taken by pattern; this one matches just the path, file or folder.
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.format(fmt).schema(schema).options(**options).load(pattern)
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(exact_pattern(path))
+
+
+def exact_pattern(path: str) -> str:
+    """A pattern that matches just this path. A stream takes a single file by pattern only, so the
+    last character stands in brackets and those that mean something in patterns are escaped."""
+    plain = path.rstrip("/")
+    escaped = "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in plain[:-1])
+    last = plain[-1]
+    return escaped + (f"\\{last}" if last in "[]{}*?\\^-" else f"[{last}]")
+
+
+def resolved(transcripts: DataFrame, registry: DataFrame) -> DataFrame:
+    """Transcripts with the registry's address where ``video_url`` ends in a name it knows."""
+    known = registry.select(F.col("video_name").alias("_name"), F.nullif("video_url", F.lit("")).alias("_known"))
+    return (
+        transcripts.join(known, basename("video_url") == F.col("_name"), "left")
+        .withColumn("video_url", F.coalesce("_known", "video_url"))
+        .drop("_name", "_known")
+    )
 
 
 def stream_ingest(
@@ -38,30 +64,40 @@ def stream_ingest(
     available_now: bool = False,
     replace_video: bool = False,
     buckets: int = BUCKETS,
+    registry: str | None = None,
 ) -> StreamingQuery:
     """Start the job. ``transcripts`` has ``video_url, company_name, title, transcription,
     duration, language, word_count, segments`` and the event time ``run_ts``.
 
-    Repeated deliveries of the same run are dropped within the watermark. Chunking is
-    row-local and runs on the stream; choosing among runs of one video and the merge run
-    per batch. The version of a row is the time of its run, so a batch that is repeated
-    after a failure leaves the same state, and late old runs do not replace newer ones.
-    ``replace_video`` drops rows of a video that its newest run no longer has. ``buckets`` counts
-    when the table is made.
+    Repeated deliveries of the same run are dropped within the watermark. Choosing among runs of
+    one video, chunking and the merge run per batch. The version of a row is the time of its run,
+    so late old runs do not replace newer ones. The store notes the last batch of this
+    ``checkpoint`` in the snapshot that the batch made, so one that is repeated after a failure is
+    merged once, and its model calls are not made again. ``replace_video`` drops rows of a video
+    that its newest run no longer has. ``buckets`` counts when the table is made.
+
+    ``registry`` is a stored registry (see ``store_registry``): a ``video_url`` whose last path
+    part is a name in it, as for a local file, is replaced by the address there. Every batch reads
+    the registry's snapshot of that moment.
     """
     spark = transcripts.sparkSession
     once = transcripts.withWatermark("run_ts", watermark).dropDuplicatesWithinWatermark(
         ["video_url", "company_name", "run_ts"]
     )
-    chunked = chunk_prepared(once.withColumn("route", route_source("video_url")), mode)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        if batch_merged(vector_table(spark, store).head(), checkpoint, batch_id):
+            return
+        if registry:
+            batch = resolved(batch, read_registry(spark, registry))
         newest = latest_wins(batch, ["company_name", "video_url"], "run_ts")
-        chunks = explode_chunks(newest, F.col("chunks"), *KEEP, "run_ts")
+        chunked = chunk_prepared(newest.withColumn("route", route_source("video_url")), mode)
+        chunks = explode_chunks(chunked, F.col("chunks"), *KEEP, "run_ts")
         rows = vector_rows(embed(chunks, "text", embedder, dim), F.unix_micros("run_ts"))
-        merge_vectors(spark, store, rows, f"{checkpoint}/staging", buckets, replace_video)
+        source = (checkpoint, batch_id)
+        merge_vectors(spark, store, rows, f"{checkpoint}/staging", buckets, replace_video, source)
 
-    writer = chunked.writeStream.foreachBatch(merge).option(
+    writer = once.writeStream.foreachBatch(merge).option(
         "checkpointLocation", f"{checkpoint}/progress"
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkmill.operators import model as mo
+from talkmill.operators import snapshots
 from talkmill.operators import store as st
 from talkmill.operators import transcripts as tr
 from talkmill.sources import readers as rd
@@ -106,7 +108,7 @@ def test_late_older_run_leaves_newer_rows(spark):
 
 
 def stored_texts(spark, path):
-    return {r.id: r.metadata.text for r in spark.read.parquet(path).collect()}
+    return {r.id: r.metadata.text for r in st.read_vectors(spark, path).collect()}
 
 
 def test_merge_on_disk_touches_only_its_partitions_and_repeats(spark, tmp_path):
@@ -147,8 +149,8 @@ def test_bucket_count_is_the_tables_own(spark, tmp_path):
     rows = vectors(spark, [("a", f"u{i}", 0, "x", 1) for i in range(30)])
     st.merge_vectors(spark, path, rows, str(tmp_path / "s"), 3)
     st.merge_vectors(spark, path, rows, str(tmp_path / "s"), 16)
-    assert spark.read.parquet(path).select("bucket").distinct().count() == 3
-    assert spark.read.parquet(path).count() == 30
+    assert st.read_vectors(spark, path).select("bucket").distinct().count() == 3
+    assert st.read_vectors(spark, path).count() == 30
 
 
 def test_odd_namespaces_on_disk(spark, tmp_path):
@@ -160,24 +162,143 @@ def test_odd_namespaces_on_disk(spark, tmp_path):
     assert sorted(stored_texts(spark, path).values()) == sorted(names)
 
 
+def files_read(df):
+    """Files that the one scan of a plan without exchanges opened; ``df`` was collected before."""
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numFiles").value()
+
+
+def touched(spark, pairs):
+    return spark.createDataFrame(pairs, "namespace string, bucket int")
+
+
 def test_merge_into_a_store_of_many_partitions_reads_few_folders(spark, tmp_path):
     path = str(tmp_path / "store")
     many = vectors(spark, [(f"c{i}", f"u{j}", 0, "x", 1) for i in range(125) for j in range(12)])
     st.merge_vectors(spark, path, many, str(tmp_path / "s"), 8)
-    assert sum(1 for _ in (tmp_path / "store").glob("*/*")) > 700
-    new = st.with_bucket(vectors(spark, [("c7", "u1", 0, "y", 2), ("nobody", "u1", 0, "y", 2)]), 8)
-    found = st.touched_rows(spark, path, new)
-    assert all("namespace=c7/" in f for f in found.inputFiles()) and len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1
+    assert sum(1 for _ in (tmp_path / "store" / "data").glob("*/*/*")) > 700
+    pairs = touched(spark, [(n, b) for n in ("c7", "nobody") for b in range(3)])
+    found = st.vector_table(spark, path).rows(pairs)
+    assert {r.namespace for r in found.collect()} == {"c7"}
+    assert files_read(found) <= 3
 
 
 def test_touching_very_many_partitions_reads_the_same(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
-    first = vectors(spark, [(f"c{i}", "u", 0, "x", 1) for i in range(6)])
-    st.merge_vectors(spark, path, first, str(tmp_path / "s"), 2)
-    new = st.with_bucket(vectors(spark, [(f"c{i}", "u", 0, "y", 2) for i in range(3)]), 2)
-    by_folder = sorted(r.id for r in st.touched_rows(spark, path, new).collect())
-    monkeypatch.setattr(st, "MAX_FOLDERS", 1)
-    assert sorted(r.id for r in st.touched_rows(spark, path, new).collect()) == by_folder == ["c0_u_0", "c1_u_0", "c2_u_0"]
+    for text, n in (("x", 6), ("y", 2)):
+        st.merge_vectors(spark, path, vectors(spark, [(f"c{i}", "u", 0, text, 1) for i in range(n)]), str(tmp_path / "s"), 2)
+    pairs = touched(spark, [(f"c{i}", b) for i in range(3) for b in range(2)])
+    rows = lambda: sorted((r.id, r.metadata.text) for r in st.vector_table(spark, path).rows(pairs).collect())
+    pruned = rows()
+    monkeypatch.setattr(snapshots, "MAX_PRUNED", 1)
+    assert rows() == pruned == [("c0_u_0", "y"), ("c1_u_0", "y"), ("c2_u_0", "x")]
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", ["rows", "manifest", "pointer"])
+def test_a_merge_killed_on_the_way_leaves_the_old_state(spark, tmp_path, monkeypatch, at):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "s")
+    st.merge_vectors(spark, path, vectors(spark, [(c, "u", 0, "old", 1) for c in "abcd"]), staging, 2)
+    before = stored_texts(spark, path)
+    new = vectors(spark, [(c, "u", 0, "new", 2) for c in "abcd"])
+    with monkeypatch.context() as m:
+        if at == "rows":  # some partitions are written, then one fails
+            real = st.upsert_vectors
+
+            def failing(*args):
+                bad = F.when(F.col("namespace") == "c", F.raise_error(F.lit("lost"))).otherwise(F.col("id"))
+                return real(*args).withColumn("id", bad.cast("string"))
+
+            m.setattr(st, "upsert_vectors", failing)
+        else:
+            def kill(*args):
+                raise Killed
+
+            m.setattr(snapshots.StoredTable, "_wrote_rows" if at == "manifest" else "_publish", kill)
+        with pytest.raises(Exception):
+            st.merge_vectors(spark, path, new, staging, 2)
+    assert stored_texts(spark, path) == before
+    assert not list((tmp_path / "s").iterdir())
+    st.merge_vectors(spark, path, new, staging, 2)
+    assert set(stored_texts(spark, path).values()) == {"new"}
+    table = st.vector_table(spark, path)
+    table.remove_unused(keep=1)
+    assert set(stored_texts(spark, path).values()) == {"new"}
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 1
+
+
+def test_a_reader_keeps_its_snapshot(spark, tmp_path):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "s")
+    st.merge_vectors(spark, path, vectors(spark, [("a", "u", 0, "one", 1), ("b", "u", 0, "one", 1)]), staging, 1)
+    began = st.read_vectors(spark, path)
+    st.merge_vectors(spark, path, vectors(spark, [("a", "u", 0, "two", 2)]), staging, 1)
+    assert sorted(r.metadata.text for r in began.collect()) == ["one", "one"]
+    st.vector_table(spark, path).remove_unused(keep=2)
+    assert sorted(r.metadata.text for r in began.collect()) == ["one", "one"]
+    assert stored_texts(spark, path) == {"a_u_0": "two", "b_u_0": "one"}
+
+
+def test_a_batch_is_merged_once(spark, tmp_path):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "s")
+    for batch, text in ((0, "a"), (1, "b"), (1, "again"), (0, "late"), (2, "c")):
+        rows = vectors(spark, [("n", "u", batch, text, 1)])
+        st.merge_vectors(spark, path, rows, staging, 1, batch=("stream", batch))
+    st.merge_vectors(spark, path, vectors(spark, [("n", "u", 9, "other", 1)]), staging, 1, batch=("other", 0))
+    assert sorted(stored_texts(spark, path).values()) == ["a", "b", "c", "other"]
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "s")
+    st.merge_vectors(spark, path, vectors(spark, [("a", "u", 0, "one", 1)]), staging, 1)
+    table = st.vector_table(spark, path)
+    head, rows = table.head(), table.rows()
+    pairs = touched(spark, [("a", 0)])
+    table.commit(head, rows, pairs)
+    with pytest.raises(snapshots.SnapshotConflict):
+        table.commit(head, rows, pairs)
+    assert table.head()["version"] == 2 and stored_texts(spark, path) == {"a_u_0": "one"}
+
+
+def test_counts_and_figures_come_from_the_manifest(spark, tmp_path):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "s")
+    assert st.stored_figures(spark, path).collect() == []
+    for version, text in ((1, "four"), (2, "sixsix"), (3, "x")):
+        rows = vectors(spark, [(c, f"u{i}", j, text, version) for c in "ab" for i in range(5 - version) for j in range(2)])
+        st.merge_vectors(spark, path, rows, staging, 3)
+    got = st.stored_figures(spark, path)
+    assert "embedding" not in got._jdf.queryExecution().toString()
+    assert "/data/" not in got._jdf.queryExecution().toString() and "/manifests/" in str(got.inputFiles())
+    rows = st.read_vectors(spark, path).groupBy("namespace").agg(
+        F.count("*").alias("vector_count"),
+        F.count_if((F.col("metadata.start") > 0) | (F.col("metadata.end") > 0)).alias("with_ts"),
+        F.avg(F.col("metadata.end") - F.col("metadata.start")).alias("avg_duration"),
+        F.avg(F.length("metadata.text")).alias("avg_chars"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_empty_merges(spark, tmp_path):
+    path, staging = str(tmp_path / "store"), str(tmp_path / "s")
+    none = vectors(spark, [("a", "u", 0, "x", 1)]).limit(0)
+    st.merge_vectors(spark, path, none, staging, 2)
+    assert stored_texts(spark, path) == {}
+    st.merge_vectors(spark, path, vectors(spark, [("a", "u", 0, "x", 1)]), staging, 5)
+    st.merge_vectors(spark, path, none, staging, 2)
+    assert stored_texts(spark, path) == {"a_u_0": "x"} and st.vector_table(spark, path).head()["buckets"] == 2
+
+
+def test_stored_registry(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    columns = "video_name string, video_url string, version int"
+    assert st.read_registry(spark, path).collect() == []
+    first = [("a", "1", 1), ("b", "1", 1), (None, "lost", 1), ("a", "0", 1)]
+    for rows in (first, [("b", "2", 2), ("c", "2", 2)], [("b", "late", 1), ("c", "same version", 2)], first):
+        st.store_registry(spark, path, spark.createDataFrame(rows, columns), 3)
+    got = sorted((r.video_name, r.video_url) for r in st.read_registry(spark, path).collect())
+    assert got == [("a", "1"), ("b", "2"), ("c", "same version")]
 
 
 def test_keys_hold_the_company(spark):

@@ -115,7 +115,7 @@ def test_reingest_with_the_same_version_replaces(spark, tmp_path):
     path = str(tmp_path / "store")
     for _ in range(2):
         st.merge_vectors(spark, path, run(spark).vectors, str(tmp_path / "staging"), 2)
-    assert spark.read.parquet(path).count() == 5
+    assert st.read_vectors(spark, path).count() == 5
 
 
 def test_folders_must_be_shared_on_a_cluster():

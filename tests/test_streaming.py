@@ -2,6 +2,7 @@ import datetime as dt
 
 from talkmill.functions.timing import SEGMENTS_TYPE
 from talkmill.operators.model import hashing_embedder
+from talkmill.operators.store import read_vectors, store_registry
 from talkmill.streaming import chunk_live_segments, rocksdb_state, read_transcript_stream, stream_ingest
 
 LIVE = (
@@ -58,7 +59,7 @@ def test_ingest_stream_merges_runs_and_restarts(spark, tmp_path):
     def run():
         stream = read_transcript_stream(spark, src, ARRIVING)
         stream_ingest(stream, store, ck, hashing_embedder(16), 16, available_now=True).awaitTermination()
-        return sorted((r.namespace, r.id, r.metadata.text) for r in spark.read.parquet(store).collect())
+        return sorted((r.namespace, r.id, r.metadata.text) for r in read_vectors(spark, store).collect())
 
     def row(url, text, minute, segments=None):
         return (url, "Acme Co", "T", text, "Unknown", "en", 1, segments, ts(minute))
@@ -100,5 +101,34 @@ def test_stream_leaves_no_staging_and_can_replace_videos(spark, tmp_path):
         stream_ingest(
             stream, store, ck, hashing_embedder(16), 16, available_now=True, replace_video=True, buckets=2
         ).awaitTermination()
-    assert [r.metadata.text for r in spark.read.parquet(store).collect()] == ["c"]
+    assert [r.metadata.text for r in read_vectors(spark, store).collect()] == ["c"]
     assert not list((tmp_path / "ck" / "staging").iterdir())
+
+
+def test_paths_with_pattern_letters(spark, tmp_path):
+    for name in ("plain", "a[1]", "b*c", "q?", "{x,y}", "end]", "dash-"):
+        spark.range(5).coalesce(1).write.parquet(str(tmp_path / name / "in"))
+        (tmp_path / name / "in").rename(tmp_path / name / name)
+        table = f"paths_{abs(hash(name))}"
+        stream = read_transcript_stream(spark, f"{tmp_path}/{name}/{name}/", "id bigint")
+        stream.writeStream.format("memory").queryName(table).trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(table).count() == 5, name
+
+
+def test_ingest_stream_resolves_names_added_between_batches(spark, tmp_path):
+    src, store, ck, reg = (str(tmp_path / n) for n in ("in", "store", "ck", "reg"))
+    entry = lambda n, v: spark.createDataFrame([(f"{n}.mp4", f"https://cdn/{n}", v)], "video_name string, video_url string, version int")
+
+    def run(minute, *names):
+        rows = [(f"/tmp/in/{n}.mp4", "A", "T", "text", "Unknown", "en", 1, None, dt.datetime(2025, 1, 1, 0, minute)) for n in names]
+        write(spark, rows, ARRIVING, src)
+        stream = read_transcript_stream(spark, src, ARRIVING)
+        stream_ingest(
+            stream, store, ck, hashing_embedder(16), 16, available_now=True, buckets=1, registry=reg
+        ).awaitTermination()
+        return sorted(r.metadata.video_url for r in read_vectors(spark, store).collect())
+
+    store_registry(spark, reg, entry("one", 1))
+    assert run(0, "one", "two") == ["/tmp/in/two.mp4", "https://cdn/one"]
+    store_registry(spark, reg, entry("two", 2))
+    assert run(5, "two") == ["/tmp/in/two.mp4", "https://cdn/one", "https://cdn/two"]
