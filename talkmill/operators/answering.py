@@ -200,7 +200,9 @@ def resolve_video_url(best: DataFrame, registry: DataFrame, key: str = "question
     """Add ``resolved_url``: stored URL, original URL, registry entry, or the source itself.
 
     ``best`` has a ``best`` metadata struct. Rows that need no lookup, or have no name to look
-    up, get a key of their own, so they spread over the join instead of meeting in one group.
+    up, get a key of their own, so they spread over the join instead of meeting in one group. Of
+    several registry entries of one name the one with the last address in byte order counts, as
+    for a merge of equal versions.
     """
     m = F.col("best")
     direct = F.coalesce(
@@ -209,8 +211,8 @@ def resolve_video_url(best: DataFrame, registry: DataFrame, key: str = "question
     named = F.nullif(source_name(m["source"]), F.lit(""))
     alone = F.concat(F.lit("\u0000"), F.coalesce(F.col(key).cast("string"), F.lit("")))
     lookup = F.when(direct.isNull(), F.coalesce(named, alone)).otherwise(alone)
-    names = registry.select(
-        F.col("video_name").alias("_name"), F.nullif("video_url", F.lit("")).alias("_mapped")
+    names = registry.groupBy(F.col("video_name").alias("_name")).agg(
+        F.max(F.nullif("video_url", F.lit(""))).alias("_mapped")
     )
     return (
         best.withColumn("_direct", direct)

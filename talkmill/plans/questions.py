@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import strip
@@ -31,10 +31,26 @@ def pin(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def repeated_questions(questions: DataFrame) -> DataFrame:
+    """Quarantine: the rows that :func:`unique_questions` leaves out."""
+    return _numbered_questions(questions).where("_nth > 1").drop("_nth")
+
+
+def unique_questions(questions: DataFrame) -> DataFrame:
+    """One row for each ``question_id``, as answers are told apart by it: of several, the one
+    whose company and text come first."""
+    return _numbered_questions(questions).where("_nth = 1").drop("_nth")
+
+
+def _numbered_questions(questions: DataFrame) -> DataFrame:
+    own = Window.partitionBy("question_id").orderBy("company_name", "question")
+    return questions.withColumn("_nth", F.row_number().over(own))
+
+
 def embed_questions(
     questions: DataFrame, embedder: Callable[[], BatchFn], dim: int = EMBEDDING_DIM
 ) -> DataFrame:
-    return embed(questions, "question", embedder, dim).withColumn(
+    return embed(unique_questions(questions), "question", embedder, dim).withColumn(
         "namespace", namespace_of("company_name")
     )
 
@@ -111,7 +127,8 @@ def ask(
     same_video_only: bool = False,
     digits: int = EXACT_DIGITS,
 ) -> DataFrame:
-    """Answer many questions at once.
+    """Answer many questions at once, one row for each question_id (``repeated_questions`` gives
+    the rows that share an id with another).
 
     ``answerer`` gets the system and the user prompt as one text, separated by a blank
     line. A failed rerank falls back to the first match; a failed answer and a failed embedding
@@ -148,11 +165,12 @@ def summary_prompts(pairs: DataFrame) -> DataFrame:
 
 
 def summarize(pairs: DataFrame, summarizer: Callable[[], BatchFn]) -> DataFrame:
-    """One summary per session; a failed model call leaves ``success`` false and says why in
-    ``error``, for that session alone."""
+    """One summary per session; a failed model call, or a session without a complete pair, leaves
+    ``success`` false and says why in ``error``, for that session alone."""
     out = batch_model(
         summary_prompts(pairs), "prompt", "reply", summarizer, "string", REPLY_BATCH, error_col="cause"
     )
+    why = F.coalesce("cause", F.when(F.col("prompt").isNull(), summaries.NO_PAIRS), F.lit("no reply"))
     return out.select(
         "session_id",
         F.col("reply").isNotNull().alias("success"),
@@ -160,6 +178,6 @@ def summarize(pairs: DataFrame, summarizer: Callable[[], BatchFn]) -> DataFrame:
         "company_name",
         "buyer_name",
         "qa_count",
-        F.when(F.col("reply").isNull(), F.concat(F.lit(summaries.SUMMARY_FAILED), F.coalesce("cause", F.lit("no reply"))))
+        F.when(F.col("reply").isNull(), F.concat(F.lit(summaries.SUMMARY_FAILED), why))
         .alias("error"),
     )

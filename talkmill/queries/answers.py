@@ -120,30 +120,32 @@ def a7(spark, sf):
 
 
 QA_TEXT = """string_agg('Q: '||question||chr(10)||'A: '||answer, chr(10)||chr(10) order by seq)"""
-SESSIONS = f"""select session_id, company_name, buyer_name, {QA_TEXT} as qa_text, count(*) as qa_count
-  from ({inp.QA}) group by all"""
+SESSIONS = f"""select session_id,
+    coalesce(arg_min(company_name, seq) filter (company_name <> ''), max(company_name)) as company_name,
+    coalesce(arg_min(buyer_name, seq) filter (buyer_name <> ''), max(buyer_name)) as buyer_name,
+    {QA_TEXT} filter (answer is not null) as qa_text, count(answer) as qa_count
+  from ({inp.MIXED_QA}) group by session_id"""
 
 
 @query("a8_format_qa_session", SESSIONS)
 def a8(spark, sf):
-    return su.format_qa_session(inp.qa_pairs(spark, sf))
+    """Sessions with names beside some of their pairs, and some without any answer."""
+    return su.format_qa_session(inp.mixed_pairs(spark, sf))
 
 
-def _line(s: str) -> str:
-    return f"chr(10)||'{su.INDENT}'||{s}"
+def _text(s: str) -> str:
+    return "'" + s.replace("\n", "'||chr(10)||'") + "'"
 
 
 PROMPT_SQL = "||".join(
     [
-        f"'{su.SUMMARY_OPENING}'",
-        _line("''"),
-        _line("'Questions and Answers:'"),
-        _line("qa_text"),
-        _line("''"),
-        _line("'Company: '||coalesce(nullif(company_name,''),'Unknown')"),
-        _line("'Buyer: '||coalesce(nullif(buyer_name,''),'Unknown')"),
-        _line("''"),
-        _line("'Summary:'"),
+        _text(su.PROMPT_UP_TO_TEXT),
+        "qa_text",
+        _text(su.PROMPT_UP_TO_COMPANY),
+        "coalesce(nullif(company_name,''),'Unknown')",
+        _text(su.PROMPT_UP_TO_BUYER),
+        "coalesce(nullif(buyer_name,''),'Unknown')",
+        _text(su.PROMPT_END),
     ]
 )
 
@@ -209,18 +211,33 @@ def registry(spark, sf):
 
 
 NAME = trim_sql("string_split(string_split(coalesce(source,''),' [')[1],'[')[1]")
-RESOLVED = f"""select m.*, coalesce(nullif(m.video_url,''), nullif(m.original_video_url,''),
-      nullif(r.video_url,''), m.source) as resolved_url
+REGISTRY = f"select 'vid_'||page_id||'.mp4' as video_name, video_url from ({inp.URLS})"
+
+
+def resolved_sql(entries: str) -> str:
+    return f"""select m.*, coalesce(nullif(m.video_url,''), nullif(m.original_video_url,''),
+      r.video_url, m.source) as resolved_url
   from (select *, {NAME} as nm from ({MATCHES})) m
-  left join (select 'vid_'||page_id||'.mp4' as video_name, video_url from ({inp.URLS})) r
+  left join (select video_name, max(nullif(video_url,'')) as video_url from ({entries}) group by 1) r
     on r.video_name = m.nm"""
 
 
-@query("j3_resolve_video_url", f"select id, resolved_url from ({RESOLVED})")
+RESOLVED = resolved_sql(REGISTRY)
+AGAIN = """select 'vid_'||page_id||'.mp4' as video_name, case page_id%3 when 0 then 'https://www.zz.example/'||page_id
+  when 1 then 'ftp://old/'||page_id end as video_url from pages where page_id%2 = 0"""
+
+
+@query("j3_resolve_video_url", f"select id, resolved_url from ({resolved_sql(f'{REGISTRY} union all {AGAIN}')})")
 def j3(spark, sf):
-    """Every match as if it were the best one of its question."""
+    """Every match as if it were the best one of its question; half of the registry's names stand
+    in it twice, some with an empty address."""
     best = matches(spark, sf).select("id", F.col("metadata").alias("best"))
-    return an.resolve_video_url(best, registry(spark, sf), "id").select("id", "resolved_url")
+    again = inp.table(spark, sf, "pages").where("page_id%2 = 0").selectExpr(
+        "concat('vid_', page_id, '.mp4') as video_name",
+        "case page_id%3 when 0 then concat('https://www.zz.example/', page_id) when 1 then concat('ftp://old/', page_id) end as video_url",
+    )
+    entries = registry(spark, sf).unionByName(again)
+    return an.resolve_video_url(best, entries, "id").select("id", "resolved_url")
 
 
 BUFFERED = """case when e1 > s1 then greatest(0.0, s1 - 0.3) else s1 end as start,

@@ -294,14 +294,16 @@ def q4(spark, sf):
 
 @query(
     "q5_summarize",
-    f"""select session_id, n%7 <> 3 as success, case when n%7 <> 3 then n||' chars' end as summary,
+    f"""select session_id, coalesce(n%7 <> 3, false) as success, case when n%7 <> 3 then n||' chars' end as summary,
       company_name, buyer_name, qa_count,
-      case when n%7 = 3 then '{ans.su.SUMMARY_FAILED}ValueError: no' end as error
+      case when n%7 = 3 then '{ans.su.SUMMARY_FAILED}ValueError: no'
+        when n is null then '{ans.su.SUMMARY_FAILED}{ans.su.NO_PAIRS}' end as error
       from (select *, {len(ans.su.SUMMARY_SYSTEM) + 2} + length({ans.PROMPT_SQL}) as n from ({ans.SESSIONS}))""",
 )
 def q5(spark, sf):
-    """A model that refuses some prompts: those sessions fail, and not those beside them."""
-    return questions.summarize(inp.qa_pairs(spark, sf), length_summarizer)
+    """A model that refuses some prompts: those sessions fail, and not those beside them. Sessions
+    without any answer fail too."""
+    return questions.summarize(inp.mixed_pairs(spark, sf), length_summarizer)
 
 
 @query(

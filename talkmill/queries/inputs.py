@@ -154,6 +154,22 @@ QA = """select a.conv_id as session_id, a.turn as seq, a.text as question, b.tex
     on a.conv_id = b.conv_id and b.turn = a.turn + 1
   where a.role = 'user' and b.role = 'assistant'"""
 
+# Pairs as they come from a form: names stand beside some pairs only, some answers are missing, and
+# of some sessions all.
+def mixed_pairs(spark, sf):
+    return qa_pairs(spark, sf).selectExpr(
+        "session_id", "seq", "question",
+        "case when session_id%11 <> 4 and (session_id + seq)%9 <> 2 then answer end as answer",
+        "case when seq%3 = 0 then null when session_id%4 = 1 then concat(company_name, ' ', seq) else company_name end as company_name",
+        "case when seq%4 <> 0 then buyer_name end as buyer_name",
+    )
+
+
+MIXED_QA = f"""select session_id, seq, question,
+    case when session_id%11 <> 4 and (session_id + seq)%9 <> 2 then answer end as answer,
+    case when seq%3 = 0 then null when session_id%4 = 1 then company_name||' '||seq else company_name end as company_name,
+    case when seq%4 <> 0 then buyer_name end as buyer_name from ({QA})"""
+
 # Replies of the rerank and answer models, one of five kinds per question.
 RERANK_CASE = """case question_id%5 when 0 then 'Chunk 3 is best' when 1 then 'none'
   when 2 then '99' when 3 then '0' else '2 or 4' end"""

@@ -205,3 +205,28 @@ def test_error_messages_and_failures(spark):
     errors = spark.createDataFrame([("x TIMEOUT",), ("timeout: API request failed",), ("odd",)], "e string")
     shown = [r[0] for r in errors.select(rp.classify_error("e")).collect()]
     assert shown == [rp.TIMEOUT_MESSAGE, rp.USER_MESSAGES[0][1], "odd"]
+
+
+def test_one_row_for_each_session_whatever_its_pairs_hold(spark):
+    rows = [
+        (1, 0, "q0", "a0", None, ""), (1, 1, "q1", "a1", "Bea", "Acme"), (1, 2, "q2", "a2", "Other", None),
+        (2, 0, "q", None, "Bob", "Corp"), (2, 1, None, "a", None, None),
+        (None, 0, "q", "a", "", ""),
+    ]
+    fine = lambda: lambda prompts: ["ok"] * len(prompts)
+    got = {r.session_id: r for r in pq.summarize(spark.createDataFrame(rows, QA_PAIRS), fine).collect()}
+    assert len(got) == 3
+    assert (got[1].success, got[1].buyer_name, got[1].company_name, got[1].qa_count) == (True, "Bea", "Acme", 3)
+    assert (got[2].success, got[2].buyer_name, got[2].qa_count) == (False, "Bob", 0)
+    assert got[2].error == su.SUMMARY_FAILED + su.NO_PAIRS
+    assert got[None].success and got[None].company_name == ""
+
+
+def test_repeated_names_and_questions_give_one_answer(spark):
+    best = spark.createDataFrame([(1, {"source": "a.mp4"}), (2, {"source": "b"})], "question_id long, best map<string,string>")
+    best = best.selectExpr("question_id", "named_struct('video_url', best['video_url'], 'original_video_url', '', 'source', best['source']) as best")
+    names = spark.createDataFrame([("a.mp4", "u1"), ("a.mp4", "u2"), ("a.mp4", ""), ("a.mp4", None)], "video_name string, video_url string")
+    assert sorted((r.question_id, r.resolved_url) for r in an.resolve_video_url(best, names).collect()) == [(1, "u2"), (2, "b")]
+    asked = spark.createDataFrame([(1, "B", "x"), (1, "A", "y"), (2, "A", "z")], "question_id long, company_name string, question string")
+    assert sorted(r.question for r in pq.unique_questions(asked).collect()) == ["y", "z"]
+    assert [r.question for r in pq.repeated_questions(asked).collect()] == ["x"]
