@@ -366,10 +366,11 @@ def t1(spark, sf):
     + """ select doc_id::varchar as video_url, 'chunk' as kind, chunk_index, text, start, "end" from f_chunks""",
 )
 def t2(spark, sf):
-    """Lines of documents as live captions; equals the batch fold."""
+    """Lines of documents as live captions, which come shuffled over several triggers; equals the
+    batch fold."""
     work = scratch_dir(spark, "live-chunks")
     lines = (
-        document_stream(spark, sf)
+        inp.documents(spark, sf)
         .selectExpr("cast(doc_id as string) as video_url", "split(text, '\n') as lines")
         .select("video_url", F.size("lines").alias("n"), F.posexplode("lines").alias("p", "text"))
         .selectExpr(
@@ -377,9 +378,11 @@ def t2(spark, sf):
             "p = n - 1 as is_last", "timestamp_seconds(1700000000 + p) as event_ts",
         )
     )
+    lines.repartition(3, F.xxhash64("video_url", "seg_idx")).write.parquet(f"{work}/lines")
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/lines")
     with rocksdb_state(spark):
         job = (
-            chunk_live_segments(lines)
+            chunk_live_segments(arriving, watermark="1 day")
             .writeStream.format("parquet")
             .option("path", f"{work}/chunks")
             .option("checkpointLocation", f"{work}/checkpoint")

@@ -1,11 +1,16 @@
-"""Chunking of live captions: one segment per row, in order within a video."""
+"""Chunking of live captions: one segment per row, in any order within the watermark.
+
+A segment is folded as soon as all before it are, or as soon as the watermark says that those
+missing will not come any more. Until then it waits in a buffer, kept in blocks of segment numbers
+in map state. A task reads a video's rows frame by frame and keeps a bounded number of waiting
+ones at hand; the rest goes to the blocks."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,11 +37,18 @@ STATE = T.StructType(
         T.StructField("next_index", T.IntegerType()),
         T.StructField("last_idx", T.LongType()),
         T.StructField("timer", T.LongType()),
+        T.StructField("idle_at", T.LongType()),
+        T.StructField("blocks", T.StringType()),
     ]
 )
+BLOCK_KEY = T.StructType([T.StructField("block", T.LongType())])
+BLOCK_ROWS = T.StructType([T.StructField("rows", T.StringType())])
 CHUNK, LATE = "chunk", "late"
-INPUT = ["seg_idx", "text", "start", "end", "is_last", "event_ts"]
-NOTHING_OPEN = ("", 0.0, 0.0, 0, -1, 0)
+NOTHING_OPEN = ("", 0.0, 0.0, 0, -1, 0, 0, "")
+#: Segment numbers that share an entry of the buffer.
+BLOCK = 256
+#: Waiting segments that a task keeps at hand before they go to the buffer.
+AT_HAND = 4_096
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -54,11 +66,126 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(PROVIDER, before)
 
 
+class Fold:
+    """One video while its rows or a timer are handled: the open chunk, the waiting segments at
+    hand, and the blocks of the buffer. Segments are ``(text, start, end, is_last, event_ms)``."""
+
+    def __init__(self, owner: LiveChunker, key: tuple, watermark: int):
+        self.owner, self.key, self.watermark = owner, key, watermark
+        state = owner.open.get() or NOTHING_OPEN
+        self.text, self.start, self.end, self.index, self.last, self.timer, self.idle_at, blocks = state
+        self.blocks = {int(b) for b in blocks.split(",") if b}
+        self.waiting: dict[int, tuple] = {}
+        self.out: list[tuple] = []
+
+    def late(self, segment: tuple) -> None:
+        self.out.append((self.key[0], LATE, None, *segment[:3]))
+
+    def take(self, idx: int, segment: tuple) -> None:
+        if idx <= self.last or idx in self.waiting:
+            self.late(segment)
+        elif idx == self.last + 1:
+            self.fold(idx, segment)
+        else:
+            self.waiting[idx] = segment
+
+    def fold(self, idx: int, segment: tuple) -> None:
+        """The rule of the batch fold, for the next segment."""
+        said, s, e, is_last, _ = segment
+        owner, full, self.last = self.owner, False, idx
+        said = (said or "").strip(WHITESPACE)
+        if said:
+            s = 0.0 if s is None or s != s else s
+            self.end = s if e is None or e != e else e
+            self.start, self.text = (self.start, f"{self.text} {said}") if self.text else (s, said)
+            timed = self.start != 0 or not owner.zero_start_compat
+            full = len(self.text) >= owner.size or (timed and self.end - self.start >= owner.cap)
+        if self.text and (full or is_last):
+            self.close()
+
+    def close(self) -> None:
+        times = (max(0.0, self.start), max(self.start, self.end))
+        self.out.append((self.key[0], CHUNK, self.index, self.text, *times))
+        self.text, self.index = "", self.index + 1
+
+    def load(self, block: int) -> None:
+        """Segments of a block from the buffer to those at hand."""
+        self.blocks.discard(block)
+        rows = json.loads(self.owner.held.getValue((block,))[0])
+        self.owner.held.removeKey((block,))
+        for idx, *segment in rows:
+            if idx <= self.last or idx in self.waiting:
+                self.late(segment)
+            else:
+                self.waiting[idx] = tuple(segment)
+
+    def drain(self) -> None:
+        """Fold what follows the last folded segment without a gap."""
+        while True:
+            following = self.last + 1
+            if following not in self.waiting:
+                if following // BLOCK not in self.blocks:
+                    return
+                self.load(following // BLOCK)
+                if following not in self.waiting:
+                    return
+            self.fold(following, self.waiting.pop(following))
+
+    def release(self) -> None:
+        """Fold over gaps that the watermark has closed: the first waiting segment, while nothing
+        before it can come any more."""
+        self.drain()
+        while self.waiting or self.blocks:
+            at_hand = min(self.waiting, default=None)
+            if self.blocks and (at_hand is None or min(self.blocks) <= at_hand // BLOCK):
+                self.load(min(self.blocks))
+                continue
+            if self.waiting[at_hand][-1] > self.watermark:
+                return
+            self.fold(at_hand, self.waiting.pop(at_hand))
+            self.drain()
+
+    def put_away(self) -> None:
+        """All segments at hand to the buffer."""
+        parts: dict[int, list] = {}
+        for idx in sorted(self.waiting):
+            parts.setdefault(idx // BLOCK, []).append((idx, *self.waiting[idx]))
+        for block, rows in parts.items():
+            if block in self.blocks:
+                rows = json.loads(self.owner.held.getValue((block,))[0]) + rows
+            self.owner.held.updateValue((block,), (json.dumps(rows),))
+            self.blocks.add(block)
+        self.waiting = {}
+
+    def frame(self):
+        out = pd.DataFrame(self.out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
+        self.out = []
+        return out
+
+    def finish(self) -> None:
+        """Timer and state. The first waiting segment is due when the watermark reaches it."""
+        self.release()
+        due = [self.waiting[min(self.waiting)][-1]] if self.waiting else []
+        self.put_away()
+        if self.text:
+            due.append(self.idle_at)
+        # The timer is kept in the state: asking for the timers of a key costs a call.
+        if self.timer:
+            self.owner.handle.deleteTimer(self.timer)
+        self.timer = max(min(due), self.watermark + 1) if due else 0
+        if self.timer:
+            self.owner.handle.registerTimer(self.timer)
+        blocks = ",".join(map(str, sorted(self.blocks)))
+        self.owner.open.update(
+            (self.text, self.start, self.end, self.index, self.last, self.timer, self.idle_at, blocks)
+        )
+
+
 class LiveChunker(StatefulProcessor):
-    """State per video: the open chunk and the last segment seen. A chunk is emitted by
-    the same rule as in the batch fold, at the end mark of the video, or after a time
-    without new segments. Segments that come behind the last one seen are given out as
-    ``late`` rows instead of being folded in the wrong place."""
+    """State per video: the open chunk, the number of the last segment folded, and the buffer. A
+    chunk is emitted by the same rule as in the batch fold, at the end mark of the video, or after
+    a time without new segments. Segments that come when a later one has been folded are given
+    out as ``late`` rows instead of being folded in the wrong place; so are repeated numbers."""
 
     def __init__(self, size: int, cap: float, zero_start_compat: bool, idle_ms: int):
         self.size, self.cap = size, cap
@@ -67,59 +194,37 @@ class LiveChunker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", STATE)
+        self.held = handle.getMapState("held", BLOCK_KEY, BLOCK_ROWS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        """Rows of a video in one batch come in any order: their numbers are sorted, and each
-        text is let go once it is folded, so a task holds one copy of the batch's rows."""
-        parts = [{c: part[c].to_numpy() for c in INPUT} for part in rows]
-        got = {c: np.concatenate([p[c] for p in parts]) for c in INPUT}
-        parts.clear()
-        order = np.argsort(got["seg_idx"], kind="stable")
-        seg_idx = got["seg_idx"][order].tolist()
-        texts = got["text"][order].tolist()
-        starts, ends = (got[c][order].astype(float).tolist() for c in ("start", "end"))
-        lasts = got["is_last"][order].tolist()
-        newest_event = got["event_ts"].max()
-        text, start, end, index, last, timer = self.open.get() or NOTHING_OPEN
-        cap, size = self.cap, self.size
-        out = []
-        for i, idx in enumerate(seg_idx):
-            said, texts[i] = texts[i], None
-            if idx <= last:
-                out.append((key[0], LATE, None, said, starts[i], ends[i]))
-                continue
-            last, full = int(idx), False
-            said = (said or "").strip(WHITESPACE)
-            if said:
-                s = 0.0 if starts[i] != starts[i] else starts[i]
-                end = s if ends[i] != ends[i] else ends[i]
-                start, text = (start, f"{text} {said}") if text else (s, said)
-                timed = start != 0 or not self.zero_start_compat
-                full = len(text) >= size or (timed and end - start >= cap)
-            if text and (full or bool(lasts[i])):
-                out.append(self._chunk(key, index, text, start, end))
-                text, index = "", index + 1
-        # The timer is kept in the state: asking for the timers of a key costs a call.
-        if timer:
-            self.handle.deleteTimer(timer)
-            timer = 0
-        if text:
-            newest = int(pd.Timestamp(newest_event).timestamp() * 1000)
-            timer = max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
-            self.handle.registerTimer(timer)
-        self.open.update((text, start, end, index, last, timer))
-        if out:
-            yield pd.DataFrame(out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
+        video = Fold(self, key, timerValues.getCurrentWatermarkInMs())
+        newest = video.watermark
+        for part in rows:
+            event = part["event_ts"].astype("datetime64[ms]").astype("int64")
+            newest = max(newest, int(event.max()))
+            part = part.assign(event_ms=event).sort_values("seg_idx", kind="stable")
+            values = (part[c].tolist() for c in ("seg_idx", "text", "start", "end", "is_last", "event_ms"))
+            for idx, *segment in zip(*values):
+                video.take(int(idx), tuple(segment))
+            video.drain()
+            if len(video.waiting) > AT_HAND:
+                video.put_away()
+            if video.out:
+                yield video.frame()
+        video.idle_at = newest + self.idle_ms
+        video.finish()
+        if video.out:
+            yield video.frame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        text, start, end, index, last, _ = self.open.get() or NOTHING_OPEN
-        if text:
-            self.open.update(("", 0.0, 0.0, index + 1, last, 0))
-            out = [self._chunk(key, index, text, start, end)]
-            yield pd.DataFrame(out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
-
-    def _chunk(self, key, index, text, start, end):
-        return (key[0], CHUNK, index, text, max(0.0, start), max(start, end))
+        video = Fold(self, key, timerValues.getCurrentWatermarkInMs())
+        video.timer = 0
+        video.release()
+        if video.text and not video.waiting and not video.blocks and video.idle_at <= video.watermark:
+            video.close()
+        video.finish()
+        if video.out:
+            yield video.frame()
 
     def close(self) -> None:
         pass
@@ -134,7 +239,8 @@ def chunk_live_segments(
     idle_ms: int = 60_000,
 ) -> DataFrame:
     """Stream of chunks (and ``late`` segments) from a stream of
-    ``video_url, seg_idx, text, start, end, is_last, event_ts``.
+    ``video_url, seg_idx, text, start, end, is_last, event_ts``. Segments are numbered from 0 in
+    the order of their times; they may arrive in any order within ``watermark``.
 
     Needs the RocksDB state store provider (see :func:`rocksdb_state`).
     """

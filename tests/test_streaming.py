@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from types import SimpleNamespace
 
 from talkmill.functions.timing import SEGMENTS_TYPE
 from talkmill.operators.model import hashing_embedder
@@ -132,3 +134,104 @@ def test_ingest_stream_resolves_names_added_between_batches(spark, tmp_path):
     assert run(0, "one", "two") == ["/tmp/in/two.mp4", "https://cdn/one"]
     store_registry(spark, reg, entry("two", 2))
     assert run(5, "two") == ["/tmp/in/two.mp4", "https://cdn/one", "https://cdn/two"]
+
+
+def live(spark, tmp_path, batches, **options):
+    """Rows that the live chunker gives for the batches, one trigger each."""
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for rows in batches:
+        write(spark, rows, LIVE, src)
+        with rocksdb_state(spark):
+            (
+                chunk_live_segments(spark.readStream.schema(LIVE).parquet(src), **options)
+                .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                .trigger(availableNow=True).start().awaitTermination()
+            )
+    return spark.read.parquet(out).collect()
+
+
+def plain_fold(texts, size):
+    chunks, open_ = [], ""
+    for i, text in enumerate(texts):
+        open_ = f"{open_} {text}" if open_ else text
+        if len(open_) >= size or i == len(texts) - 1:
+            chunks.append(open_)
+            open_ = ""
+    return chunks
+
+
+def test_shuffled_segments_within_the_watermark_give_the_batch_fold(spark, tmp_path, monkeypatch):
+    r, rows, expected = random.Random(8), [], {}
+    for video in "abc":
+        texts = [f"{video}{i}" for i in range(700)]
+        expected[video] = plain_fold(texts, 40)
+        rows += [(video, i, t, i * 1.0, i + 1.0, i == 699, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=i)) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    batches = [rows[i::4] for i in range(4)]
+    got = live(spark, tmp_path, batches, chunk_size=40, max_duration=1e9, watermark="1 hour")
+    assert {x.kind for x in got} == {"chunk"}
+    for video, chunks in expected.items():
+        own = sorted((x.chunk_index, x.text) for x in got if x.video_url == video)
+        assert own == list(enumerate(chunks))
+
+
+def test_gaps_wait_for_the_watermark_and_repeats_are_late(spark, tmp_path):
+    at = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    row = lambda i, text, s, last=False, video="v": (video, i, text, s * 1.0, s + 1.0, last, at(s))
+    batches = [
+        [row(0, "a", 0), row(2, "c", 2), row(2, "twice", 2), row(5, "f", 5)],
+        [row(1, "b", 1)],  # fills the first gap
+        [row(0, "pace", 100, True, "w")],  # the watermark passes 5: segments 3 and 4 will not come
+        [row(1, "pace", 101, True, "w")],
+        [row(3, "too late", 103), row(6, "g", 104, True)],
+    ]
+    got = live(spark, tmp_path, batches, chunk_size=1000, max_duration=1e9, watermark="10 seconds", idle_ms=10**9)
+    mine = [x for x in got if x.video_url == "v"]
+    assert [x.text for x in mine if x.kind == "chunk"] == ["a b c f g"]
+    assert sorted(x.text for x in mine if x.kind == "late") == ["too late", "twice"]
+
+
+def test_a_long_backlog_of_one_video_is_held_frame_by_frame():
+    """100,000 segments in one call, backwards by frames: what is at hand stays bounded."""
+    import pandas as pd
+
+    from talkmill.streaming import live_chunks as lc
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Held(dict):
+        getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    n, size = 100_000, 1_000
+    processor = lc.LiveChunker(500, 1e12, True, 1_000)
+    processor.open, processor.held = Value(), Held()
+    processor.handle = SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    most, real = [0], lc.Fold.drain
+
+    def watched(self):
+        real(self)
+        most[0] = max(most[0], len(self.waiting))
+
+    lc.Fold.drain = watched
+    try:
+        def frames():
+            for begin in range(n - size, -1, -size):
+                idx = range(begin, begin + size)
+                yield pd.DataFrame(
+                    {"seg_idx": idx, "text": [f"t{i}" for i in idx], "start": [float(i) for i in idx],
+                     "end": [i + 1.0 for i in idx], "is_last": [i == n - 1 for i in idx],
+                     "event_ts": pd.to_datetime([10**9 + i for i in idx], unit="s")}
+                )
+
+        out = pd.concat(processor.handleInputRows(("v",), frames(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    finally:
+        lc.Fold.drain = real
+    assert out["text"].tolist() == plain_fold([f"t{i}" for i in range(n)], 500)
+    assert most[0] <= lc.AT_HAND + size and not processor.held
