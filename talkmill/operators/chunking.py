@@ -19,6 +19,7 @@ CHUNK_SIZE, OVERLAP, MAX_DURATION = 1000, 200, 60.0
 LOOM_CHUNK_SIZE, LOOM_MAX_DURATION = 600, 30.0
 FIXED_DURATION, FIXED_CHUNK_SIZE, FIXED_OVERLAP = 30.0, 500, 50
 SENTENCE_LOOKBACK = 100
+WINDOWS_AT_A_TIME = 128
 
 
 def _clean(segments: Column, missing_end: Column | None = None) -> Column:
@@ -194,11 +195,16 @@ def chunk_text(text: Column | str, chunk_size: int = CHUNK_SIZE, overlap: int =
                 length = F.when(
                     (pos + chunk_size < n) & (back > 0), F.lit(chunk_size + 2) - back
                 ).otherwise(F.lit(chunk_size))
+                # Windows gather in short arrays, as an array is copied when it grows.
+                full = F.size(acc["texts"]) >= WINDOWS_AT_A_TIME
+                none = F.array().cast("array<string>")
                 return let(
                     length,
                     lambda m: F.struct(
+                        F.when(full, F.concat(acc["done"], F.array(acc["texts"]))).otherwise(acc["done"]).alias("done"),
                         F.concat(
-                            acc["texts"], F.array(strip(F.substr(window, at + 1, m)))
+                            F.when(full, none).otherwise(acc["texts"]),
+                            F.array(strip(F.substr(window, at + 1, m))),
                         ).alias("texts"),
                         (pos + m - overlap).cast("int").alias("pos"),
                     ),
@@ -207,8 +213,13 @@ def chunk_text(text: Column | str, chunk_size: int = CHUNK_SIZE, overlap: int =
             return F.when(pos < n, let(near, cut)).otherwise(acc)
 
         rounds = F.ceil(n / min_step).cast("int") + 1
-        zero = F.struct(F.array().cast("array<string>").alias("texts"), F.lit(0).alias("pos"))
-        texts = F.aggregate(F.sequence(F.lit(1), rounds), zero, step, lambda acc: acc["texts"])
+        zero = F.struct(
+            F.array().cast("array<array<string>>").alias("done"),
+            F.array().cast("array<string>").alias("texts"),
+            F.lit(0).alias("pos"),
+        )
+        every = lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["texts"])))
+        texts = F.aggregate(F.sequence(F.lit(1), rounds), zero, step, every)
         return F.transform(
             F.filter(texts, lambda x: x != ""),
             lambda x: F.struct(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkmill.functions import timing as ti
 from talkmill.functions.text import strip
 from talkmill.operators import chunking as ch
+from talkmill.operators import text_rows as tx
 from talkmill.operators.segment_rows import chunk_rows, chunk_rows_fixed, lead_start
 from talkmill.queries import inputs as inp
 from talkmill.queries import sql
@@ -152,6 +153,15 @@ def c7_small(spark, sf):
     return ch.explode_chunks(inp.documents(spark, sf), chunks, "doc_id")
 
 
+@query(
+    "c7_chunk_text_rows",
+    sql.with_ctes(sql.windows("documents", "doc_id")) + " select doc_id, chunk_index, text from w_chunks",
+)
+def c7_rows(spark, sf):
+    """The same windows where texts of more than 10,000 characters are cut block by block."""
+    return tx.chunk_text_rows(inp.documents(spark, sf), "doc_id", long_text=10_000, block_chars=4_096)
+
+
 # A third of the videos has segments, the others inline timestamps or plain text.
 MIXED_SPARK = "doc_id % 3 = 0"
 
