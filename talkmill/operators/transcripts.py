@@ -14,6 +14,7 @@ from talkmill.sources.readers import (
     NAME_MARK,
     SUMMARY_MARK,
     TRANSCRIPT_MARK,
+    escaped,
 )
 
 # Fixed value: text of the record that stands in for a video without any transcript.
@@ -120,13 +121,13 @@ def log_name(run_ts: Column, video_id: Column) -> Column:
 def write_transcript_logs(transcripts: DataFrame, path: str, partition: str | None = None) -> None:
     """Write rendered logs, many to a file (one file per log would be far too many).
 
-    A record separator stands between them, and each begins with its own file name where
+    A record separator stands between them (its first character is escaped in texts), and each begins with its own file name where
     ``transcripts`` has a column ``file_name``; ``scan_transcript_logs`` reads both back.
     """
     value = render_log()
     if "file_name" in transcripts.columns:
         name = F.coalesce(F.concat(F.lit(NAME_MARK), F.col("file_name"), F.lit("\n")), F.lit(""))
         value = F.concat(name, value)
-    rows = transcripts.select(*([partition] if partition else []), value.alias("value"))
+    rows = transcripts.select(*([partition] if partition else []), escaped(value).alias("value"))
     writer = rows.write.mode("append").option("lineSep", LOG_SEPARATOR)
     (writer.partitionBy(partition) if partition else writer).text(path)

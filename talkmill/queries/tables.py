@@ -23,14 +23,21 @@ DIM = 64
 
 LOG_CASES = """'https://youtu.be/'||doc_id||'?si=x' as video_url, 'Video '||doc_id as title,
   'Unknown' as duration, lang as language, 'gemini_raw_api_analysis' as method,
-  case when doc_id%3 = 0 then 'About '||source else '' end as summary, text as transcription"""
+  case when doc_id%3 = 0 then 'About '||source else '' end as summary,
+  case when doc_id%10 = 3 then substr(text, 1, 50)||chr(30)||chr(10)||'Log File: x'||chr(10)||chr(30)||'.'||text||chr(30) else text end as transcription"""
+LOG_COLUMNS = [
+    "concat('https://youtu.be/', doc_id, '?si=x') as video_url", "concat('Video ', doc_id) as title",
+    "'Unknown' as duration", "lang as language", "'gemini_raw_api_analysis' as method",
+    "case when doc_id%3 = 0 then concat('About ', source) else '' end as summary",
+    "case when doc_id%10 = 3 then concat(substr(text, 1, 50), '\x1e\nLog File: x\n\x1e.', text, '\x1e') else text end as transcription",
+]
 LOGS = f"select doc_id, {LOG_CASES}, {words_sql('text')} as word_count from documents"
 
 
 def log_records(spark, sf):
-    return inp.documents(spark, sf).selectExpr(
-        "doc_id", *[c.strip() for c in LOG_CASES.replace("\n", " ").split(",")]
-    ).withColumn("word_count", word_count("transcription"))
+    """Documents as logs; the text of a tenth holds what separates records."""
+    columns = inp.documents(spark, sf).selectExpr("*", *LOG_COLUMNS)
+    return columns.select("doc_id", *[c.rsplit(" as ", 1)[1] for c in LOG_COLUMNS], word_count("text").alias("word_count"))
 
 
 LOG_TEXT = """'YouTube Video URL: '||video_url||chr(10)||chr(10)||'Title: '||title||chr(10)||
@@ -342,7 +349,7 @@ def k3_files(spark, sf):
     raw = spark.read.text(written_logs(spark, sf), lineSep=rd.LOG_SEPARATOR)
     return raw.select(
         F.regexp_extract("value", f"^{rd.NAME_MARK}([^\n]*)\n", 1).alias("file_name"),
-        F.regexp_replace("value", f"^{rd.NAME_MARK}[^\n]*\n", "").alias("value"),
+        rd.unescaped(F.regexp_replace("value", f"^{rd.NAME_MARK}[^\n]*\n", "")).alias("value"),
     )
 
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill import schemas
@@ -23,6 +23,8 @@ LOG_HEADERS = {
 
 #: Between the records of a file of many logs, and before the file name that a record carries.
 LOG_SEPARATOR = "\x1e\n"
+#: The separator's first character inside a record, and how it stands in the file.
+LOG_MARK, ESCAPED_MARK = "\x1e", "\x1e."
 NAME_MARK = "Log File: "
 
 
@@ -64,14 +66,24 @@ def parse_transcript_logs(logs: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def escaped(record: Column) -> Column:
+    """A record in which nothing looks like a separator."""
+    return F.replace(record, F.lit(LOG_MARK), F.lit(ESCAPED_MARK))
+
+
+def unescaped(record: Column) -> Column:
+    return F.replace(record, F.lit(ESCAPED_MARK), F.lit(LOG_MARK))
+
+
 def scan_transcript_logs(spark: SparkSession, path: str) -> DataFrame:
     """Read a folder of logs: files of one log each, whose name tells the run time, or files of
-    many as :func:`write_transcript_logs` makes them, whose records carry their file name."""
+    many as :func:`write_transcript_logs` makes them, whose records carry their file name. Any text
+    comes back as it was written."""
     files = spark.read.text(path, lineSep=LOG_SEPARATOR).select("value", F.col("_metadata.file_name").alias("_file"))
     named = F.regexp_extract("value", f"^{NAME_MARK}([^\r\n]*)\r?\n", 1)
     records = files.where(F.length("value") > 0).select(
-        F.regexp_replace("value", f"^{NAME_MARK}[^\r\n]*\r?\n", "").alias("value"),
-        F.coalesce(F.nullif(named, F.lit("")), F.col("_file")).alias("file_name"),
+        unescaped(F.regexp_replace("value", f"^{NAME_MARK}[^\r\n]*\r?\n", "")).alias("value"),
+        F.coalesce(F.nullif(unescaped(named), F.lit("")), F.col("_file")).alias("file_name"),
     )
     stamp = F.regexp_extract("file_name", r"(\d{8}_\d{6})", 1)
     run = F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss"))

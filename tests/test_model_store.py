@@ -402,3 +402,12 @@ def test_transcript_choice(spark):
     assert got["a"] == ("m", "from model") and got["b"] == (tr.CAPTIONS_METHOD, "cap b")
     assert got["c"][0] == tr.PLACEHOLDER_METHOD and got["c"][1].startswith("Video ID: c\n\nThis video")
     assert "d" not in got
+
+
+def test_any_text_comes_back_from_log_files(spark, tmp_path):
+    texts = ["one\x1e\ntwo", "\x1e", "\x1e.\x1e\n", "x\x1e", "", "a\n\x1e\n\x1eLog File: y\n", "\\x1e."]
+    rows = [(f"u{i}", "T", "1", "en", 1, "m", t, t, f"v{i}_20250101_000000.txt") for i, t in enumerate(texts)]
+    columns = "video_url string, title string, duration string, language string, word_count int, method string, summary string, transcription string, file_name string"
+    tr.write_transcript_logs(spark.createDataFrame(rows, columns).coalesce(1), str(tmp_path / "logs"))
+    got = {r.video_url: (r.transcription, r.file_name) for r in rd.scan_transcript_logs(spark, str(tmp_path / "logs")).collect()}
+    assert got == {f"u{i}": (t, f"v{i}_20250101_000000.txt") for i, t in enumerate(texts)}
