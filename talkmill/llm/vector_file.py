@@ -8,8 +8,8 @@ scan, exact vectors are read in the order of their bounds: first each query's be
 only those whose upper bound still reaches the k-th exact score. Cells only steer the work; all
 vectors are indexed and the result is exact.
 
-Queries go in slices of bounded bytes, each sent to the scan of the cell file, so nothing that
-is shipped grows with the data. Equal vectors are one group of which the k + 1 smallest ids are
+Queries go in slices of bounded bytes, one after the other: each is sent to a scan of the cell file
+whose candidates are written, and dropped, so nothing that is held or shipped grows with the data. Equal vectors are one group of which the k + 1 smallest ids are
 enough, so a vector that very many rows share stays small.
 """
 
@@ -34,15 +34,19 @@ BLOCK = 2_048
 ENTRIES = 1 << 20
 #: Candidates that a task holds before it drops those ruled out since.
 HELD = 2_000_000
-#: Components are saturated here, so that scores of up to 4,096 dimensions fit a long.
-LARGEST = 1 << 25
+#: From here on doubles no longer tell neighbouring integers apart.
+LARGEST = 1 << 53
 
 
 def integer_vector(embedding: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component, as double."""
-    floor = lambda x: F.floor(x.cast("double") * scale)
-    kept = lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x))
-    return F.transform(embedding, lambda x: kept(floor(x)))
+    """floor(scale * x) of every component, with x as double; an error where that is not exact."""
+    beyond = F.lit(f"a component is not within 2^53 / {scale}, where integers are exact")
+
+    def one(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < LARGEST, F.floor(scaled)).otherwise(F.raise_error(beyond).cast("long"))
+
+    return F.transform(embedding, one)
 
 
 def usable(embedding: Column) -> Column:
@@ -124,12 +128,13 @@ def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     lower, upper = up @ low.T + down @ high.T, up @ high.T + down @ low.T
     reach = np.abs(q).sum(1)[:, None] * np.maximum(np.abs(low), np.abs(high)).max(1, initial=0)[None, :]
-    slack = np.where(reach < 2.0**52, 0.0, reach * 2.0**-48)
+    slack = np.where(reach < 2.0**52, 0.0, reach * (q.shape[1] + 16) * 2.0**-52)
     return lower - slack, upper + slack
 
 
-def _scan(cells: DataFrame, ids: np.ndarray, q: np.ndarray, edges, k: int) -> DataFrame:
-    """``query_id, cid, lower, upper`` of the candidates that the tasks can't rule out."""
+def _scan(cells: DataFrame, ids: np.ndarray, q: np.ndarray, edges, k: int):
+    """``query_id, cid, lower, upper`` of the candidates that the tasks can't rule out, and the
+    broadcast that the scan needs until it has run."""
     shipped = ship(cells.sparkSession, (ids, q, *corners(*edges)))
 
     def run(batches):
@@ -173,14 +178,19 @@ def _scan(cells: DataFrame, ids: np.ndarray, q: np.ndarray, edges, k: int) -> Da
                     names=["query_id", "cid", "lower", "upper"],
                 )
 
-    return cells.mapInArrow(run, "query_id long, cid long, lower double, upper double")
+    return cells.mapInArrow(run, "query_id long, cid long, lower double, upper double"), shipped
 
 
-def _scores(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Exact scores of the candidate pairs."""
+def _scores(pairs: DataFrame, queries: DataFrame, rows: DataFrame, wide: bool) -> DataFrame:
+    """Exact scores of the candidate pairs; ``wide`` where sums on the way may pass a long. A score
+    that no long can hold is an error."""
+    kind = "decimal(38,0)" if wide else "long"
+    own = (lambda x: x.cast("decimal(19,0)")) if wide else (lambda x: x)
     dot = F.aggregate(
-        F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x
-    )
+        F.zip_with("qv", "v", lambda a, b: own(a) * own(b)),
+        F.lit(0).cast(kind),
+        lambda total, x: (total + x).cast(kind),
+    ).cast("long")
     return (
         pairs.join(rows, "cid")
         .join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
@@ -196,6 +206,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     Vectors that are null or hold null or non-finite components and rows without an id take no
     part; vectors meet only those with as many components. A repeated query id counts once, with
     its smallest vector; repeated candidate rows count each, and none with the query's own id.
+    Scores are exact; a component whose scaled value passes 2^53, or a score among the best that
+    passes a long, is an error.
     """
     spark = embeddings.sparkSession
     valid = (
@@ -215,11 +227,12 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     queries = saved(
         valid.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries"
     )
-    found = []
+    found, wide = [], False
     lengths = sorted(r["dims"] for r in queries.select(F.size("v").alias("dims")).distinct().collect())
     for dims in lengths:
         own = rows.where(F.size("v") == dims)
         edges = _borders(own, dims)
+        wide |= dims * float(np.abs(edges[1:]).max(initial=0)) ** 2 >= 2.0**62
         cells = _cell_file(own, edges[0], dims)
         asked = queries.where(F.size("v") == dims)
         n = asked.count()
@@ -230,10 +243,12 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             chosen = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
             ids = chosen["query_id"].to_numpy()
             if len(ids):
-                found.append(_scan(cells, ids, _vectors(chosen["v"], dims), edges, k))
+                scan, shipped = _scan(cells, ids, _vectors(chosen["v"], dims), edges, k)
+                found.append(saved(scan, "slice-candidates"))
+                shipped.destroy()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    candidates = saved(reduce(DataFrame.unionByName, found), "candidates")
+    candidates = reduce(DataFrame.unionByName, found)
     by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"), "cid")
     floor = (
         candidates.withColumn("place", F.row_number().over(by_lower))
@@ -248,7 +263,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     ordered = saved(
         alive.withColumn("place", F.row_number().over(by_upper)).select("query_id", "cid", "upper", "place"), "alive"
     )
-    first = saved(_scores(ordered.where(F.col("place") <= 2 * k), queries, rows), "first-scores")
+    first = saved(_scores(ordered.where(F.col("place") <= 2 * k), queries, rows, wide), "first-scores")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     certain = (
         first.withColumn("place", F.row_number().over(by_score))
@@ -261,7 +276,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         .where("kth is null or upper >= kth")
         .select("query_id", "cid")
     )
-    scored = first.unionByName(_scores(rest, queries, rows))
+    scored = first.unionByName(_scores(rest, queries, rows, wide))
     return (
         scored.withColumn("one", F.explode(F.sequence(F.lit(1), "n")))
         .withColumn("rank", F.row_number().over(by_score))
