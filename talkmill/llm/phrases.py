@@ -6,9 +6,9 @@ phrases whose every part (without its first or its last word) the sample propose
 proposed phrases that can be frequent, plus their negative border: the smallest ones it did not
 propose. No part of a frequent phrase is less frequent than the phrase, so if nothing in the
 border turns out frequent, no frequent phrase was left uncounted. Where the border fails, the
-phrases that turned out frequent join the proposed ones, and a further full pass counts what
-that newly lets in, until nothing fails. Phrases end at three words, so there are at most three
-full passes. The sample only steers the work; counts never depend on it.
+phrases that turned out frequent join the proposed ones, and an expansion pass counts what that
+newly lets in, up to closure: phrases over newly counted parts are counted in the same pass.
+The sample only steers the work; counts never depend on it.
 
 Proposed phrases travel as a bit filter of bounded size. A chance hit in it counts a phrase that
 could have been left out, nothing else: what a pass has counted is told by the filter itself.
@@ -43,7 +43,6 @@ LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else 32 if b in b" \t" else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256)
 )
 STOP = b"."
-COUNTS = "lang string, words int, phrase string, n long"
 
 
 def rotated(x: np.ndarray) -> np.ndarray:
@@ -112,8 +111,8 @@ def _of_worker(lang: str) -> Words:
 
 
 def _streams(batches):
-    """``lang, words, places, hashes`` of the texts of one language, few at a time: words in a
-    row with a stop after each piece, the place of each, and the hash of each place."""
+    """``lang, known, words, places, hashes`` of the texts of one language, few at a time: words in
+    a row with a stop after each piece, the place of each in ``known``, and each place's hash."""
     for batch in small(batches):
         langs = batch.column(1).to_pylist()
         texts = [t or b"" for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
@@ -126,7 +125,7 @@ def _streams(batches):
                 words = line.split()
                 known = _of_worker(lang)
                 places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                yield lang, words, places, np.array(known.hashes, np.uint64)
+                yield lang, known, words, places, np.array(known.hashes, np.uint64)
 
 
 def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +145,7 @@ def sample_keys(docs: DataFrame) -> DataFrame:
     """``key`` of the words and pairs that the sample holds ``SAMPLE_SUPPORT`` times or more."""
 
     def run(batches):
-        for _, _, places, hashes in _streams(batches):
+        for *_, places, hashes in _streams(batches):
             word = places[places > 0]
             for keys in (hashes[word], _pairs(places, hashes)[1]):
                 if len(keys):
@@ -169,55 +168,76 @@ def sample_keys(docs: DataFrame) -> DataFrame:
 def counted(docs: DataFrame, new: Filter, old: Filter | None) -> DataFrame:
     """``lang, words, phrase, n``: exact counts of the phrases that ``new`` lets in and ``old``
     did not. Without ``old`` all words too, and per language the number of all words, as a phrase
-    of none."""
+    of none. With ``old`` the border is closed at once: a pair that has not been counted before
+    counts as one that may be frequent, so triples over it are counted in the same pass."""
     shared = ship(docs.sparkSession, (new, old))
 
-    def table(lang, words, texts, n):
-        m = len(n)
+    def table(texts, n):
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * m, pa.string()), pa.array(np.full(m, words, np.int32)),
-             pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-            names=["lang", "words", "phrase", "n"],
-        )
+            [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["line", "n"]
+        )
+
+    def tallied(lang, known, sums):
+        lead, words = lang.encode("utf-8", "surrogatepass") + b"\n", list(known)
+        found = (np.flatnonzero(sums[1:]) + 1).tolist()
+        yield table([lead, *(lead + words[i] for i in found)], [int(sums[1:].sum()), *sums[found].tolist()])
 
     def run(batches):
         new, old = shared.value
-        for lang, words, places, hashes in _streams(batches):
+        tallies: dict[str, list] = {}
+        for lang, known, words, places, hashes in _streams(batches):
+            lead = lang.encode("utf-8", "surrogatepass") + b"\n"
             if old is None:
-                sums = np.bincount(places, minlength=1)[1:]
-                found = np.flatnonzero(sums) + 1
-                if len(found):
-                    order = np.zeros(len(hashes), np.int64)
-                    order[places] = np.arange(len(places))  # some position of each word
-                    yield table(lang, 0, [b""], [int(sums.sum())])
-                    yield table(lang, 1, [words[i] for i in order[found].tolist()], sums[found - 1])
+                tally = tallies.get(lang)
+                if tally is None or tally[0] is not known:  # the worker began a new table of words
+                    if tally:
+                        yield from tallied(lang, *tally)
+                    tally = tallies[lang] = [known, np.zeros(0, np.int64)]
+                sums = np.bincount(places, minlength=len(hashes))
+                sums[: len(tally[1])] += tally[1]
+                tally[1] = sums
             at, keys = _pairs(places, hashes)
             if not len(at):
                 continue
             word_in, pair_in = new.holds(hashes), new.holds(keys)
             both = word_in[places[at]] & word_in[places[at + 1]]
             triple = np.flatnonzero(np.diff(at) == 1)
-            wanted = both[triple] & both[triple + 1] & pair_in[triple] & pair_in[triple + 1]
+            may = both & pair_in
+            done = np.zeros(len(at), bool)
             if old is not None:
-                word_old, pair_old = old.holds(hashes), old.holds(keys)
+                word_old = old.holds(hashes)
                 both_old = word_old[places[at]] & word_old[places[at + 1]]
-                wanted &= ~(both_old[triple] & both_old[triple + 1] & pair_old[triple] & pair_old[triple + 1])
+                done = both_old & old.holds(keys)
                 both &= ~both_old
+                may |= both
             here = np.flatnonzero(both)
             if len(here):
                 # Places name the words of this worker exactly, so keys cannot collide here.
                 first, n = _first(places[at[here]] << 32 | places[at[here] + 1])
                 begin = at[here[first]].tolist()
-                yield table(lang, 2, [b"%b %b" % (words[i], words[i + 1]) for i in begin], n)
-            here = triple[wanted]
+                yield table([b"%b%b %b" % (lead, words[i], words[i + 1]) for i in begin], n)
+            here = triple[may[triple] & may[triple + 1] & ~(done[triple] & done[triple + 1])]
             if len(here):
                 begin = at[here]
                 _, pair = np.unique(places[begin] << 32 | places[begin + 1], return_inverse=True)
                 first, n = _first(pair.astype(np.int64) << 32 | places[begin + 2])
-                yield table(lang, 3, [b" ".join(words[i : i + 3]) for i in begin[first].tolist()], n)
+                yield table([lead + b" ".join(words[i : i + 3]) for i in begin[first].tolist()], n)
+        for lang, tally in tallies.items():
+            yield from tallied(lang, *tally)
 
+    # One key for language and phrase: no phrase holds a line feed.
+    phrase = F.substring_index("line", "\n", -1)
     return (
-        docs.select("text", "lang").mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        docs.select("text", "lang")
+        .mapInArrow(run, "line string, n long")
+        .groupBy("line")
+        .agg(F.sum("n").alias("n"))
+        .select(
+            F.expr(r"substring(line, 1, length(line) - length(substring_index(line, '\n', -1)) - 1)").alias("lang"),
+            F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"),
+            phrase.alias("phrase"),
+            "n",
+        )
     )
 
 
@@ -228,29 +248,26 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     sampled = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0
     docs = docs.select("text", lang.alias("lang"), sampled.alias("sampled"))
     proposed = saved(sample_keys(docs), "phrases-proposed")
-    new, old, found = filter_of(proposed, proposed.count()), None, []
-    while True:
-        counts = counted(docs, new, old).where((F.col("n") >= support) | (F.col("words") == 0))
-        counts = saved(counts, "phrases-counted")
-        found.append(counts)
-        shared = ship(docs.sparkSession, new)
-        keys = counts.where(F.col("words").isin(1, 2)).select(phrase_key().alias("key"))
-
-        def outside(batches, shared=shared):
-            for batch in batches:
-                own = batch.column(0).to_numpy().view(np.uint64)
-                yield batch.filter(pa.array(~shared.value.holds(own)))
-
-        failed = saved(keys.mapInArrow(outside, "key long"), "phrases-border-failures")
-        n = failed.count()
-        if not n:
-            break
-        old, proposed = new, proposed.unionByName(failed)
-        new = joined(new, filter_of(failed, n))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    new = filter_of(proposed, proposed.count())
+
+    def full_pass(new: Filter, old: Filter | None) -> DataFrame:
+        wanted = (F.col("n") >= support) | (F.col("words") == 0)
+        return saved(counted(docs, new, old).where(wanted), "phrases-counted")
+
+    first = full_pass(new, None)
+    shared = ship(docs.sparkSession, new)
+
+    def outside(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(~shared.value.holds(own)))
+
+    keys = first.where(F.col("words").isin(1, 2)).select(phrase_key().alias("key"))
+    failed = saved(keys.mapInArrow(outside, "key long"), "phrases-border-failures")
+    n = failed.count()
+    if not n:
+        return first
+    return first.unionByName(full_pass(joined(new, filter_of(failed, n)), new))
 
 
 def joined(a: Filter, b: Filter) -> Filter:

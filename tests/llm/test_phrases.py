@@ -49,7 +49,7 @@ def rows(seed, n=250):
     for i in range(n):
         parts = [r.choice(fixed) if r.random() < 0.2 else r.choices(vocabulary, k=1)[0] for _ in range(r.randint(0, 50))]
         text = "".join(p + r.choice([" ", " ", " ", "  ", ". ", ",", "\n", "\t", " : "]) for p in parts)
-        out.append((i, text, r.choice(["en", "fr", None, "und"]), "a"))
+        out.append((i, text, r.choice(["en", "fr", None, "und", "a\nb"]), "a"))
     return out + [(9_000, "many rows share this text, as they do", "en", "b")] * (n // 3) + words.hostile_rows()
 
 
@@ -69,7 +69,7 @@ def test_border_failures_expand_until_closed(spark, monkeypatch, support):
     monkeypatch.setattr(phrases, "counted", lambda *args: passes.append(args) or real(*args))
     own = rows(5, 120)
     assert got(words.frame(spark, own), support=4) == plain(own, support=4)
-    assert len(passes) == 3 if support > 2 else 1 <= len(passes) <= 3
+    assert len(passes) == 2 if support > 2 else len(passes) <= 2
 
 
 def test_a_full_filter_only_costs_work(spark, monkeypatch):
@@ -88,7 +88,8 @@ def test_empty_tables(spark):
 def test_products_pass_64_bits(spark, monkeypatch):
     big = 6_000_000_000
     known = spark.createDataFrame(
-        [("en", 0, "", 10 * big), ("en", 1, "a", big + 7), ("en", 1, "b", big + 1), ("en", 2, "a b", big)], phrases.COUNTS
+        [("en", 0, "", 10 * big), ("en", 1, "a", big + 7), ("en", 1, "b", big + 1), ("en", 2, "a b", big)],
+        "lang string, words int, phrase string, n long",
     )
     monkeypatch.setattr(phrases, "frequent_phrases", lambda docs, support: known)
     assert got(words.frame(spark, [])) == [
