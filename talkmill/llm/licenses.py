@@ -8,7 +8,8 @@ Three rules find a document's own licence, all with the same kind of cosine:
 - the whole text against whole licence texts and file headers (``license_texts``), as one vector
   each, joined on terms, so that wrapping and length do not matter.
 
-A text is cut into sentences, long ones into windows of terms; each is compared with every
+A text that uses no licence word at all (``STATEMENT_WORDS``) states no licence. Others are cut into
+sentences, long ones into windows of terms; each is compared with every
 template by TF-IDF cosine (idf over the templates; an unknown term weighs as one that no template
 has). A sentence can only reach the threshold if it holds some of a template's heaviest terms, so
 sentences without any are passed over first; nothing that would match is lost; texts without any are passed over before they are cut at all. The best
@@ -73,6 +74,9 @@ COMMON = frozenset("1.0 2 2.0 3 4.0 v version use copy file files form forms fre
 #: A whole licence text uses one of these, whatever its cosine; so do all of ``license_texts``.
 LICENCE_WORDS = ("licens", "licenc", "copyright", "permission", "warrant", "redistribut")
 
+#: A text that makes any statement uses one of these, as all templates and SPDX tags do.
+STATEMENT_WORDS = (*LICENCE_WORDS, "public domain", "cc0")
+
 #: SPDX identifiers, lower case, and what they are called here.
 SPDX = {name.lower(): name for name in {n for n, _ in TEMPLATES} | {"BSD-2-Clause", "ISC", "LGPL-2.1"}}
 SPDX |= {i + end: name for i, name in SPDX.items() if "gpl" in i for end in ("+", "-only", "-or-later")}
@@ -289,7 +293,7 @@ def _found(docs: DataFrame, directory: Column, threshold: float) -> DataFrame:
         "doc_id",
         "directory",
         "low",
-        _may_hold(low, anchors).alias("near"),
+        (reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in STATEMENT_WORDS]) & _may_hold(low, anchors)).alias("near"),
         reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in LICENCE_WORDS]).alias("maybe_whole"),
     )
     cut = held.select(
