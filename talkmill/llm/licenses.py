@@ -32,6 +32,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.text import let
 from talkmill.llm.common import saved
 
 THRESHOLD = 0.7
@@ -264,15 +265,19 @@ def _spdx(low: Column) -> Column:
 
 
 def _bag(terms: Column) -> Column:
-    """``(term, n)`` of each distinct term of a sorted array."""
+    """``(term, n)`` of each distinct term of a sorted array, which must be bound by ``let``."""
     places = F.sequence(F.lit(1), F.size(terms))
     first = F.filter(places, lambda i: (i == 1) | (F.get(terms, i - 1) != F.get(terms, i - 2)))
-    return F.transform(
-        first,
-        lambda i, k: F.struct(
-            F.get(terms, i - 1).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(terms) + 1) - i).alias("n")
-        ),
-    )
+
+    def counted(first: Column) -> Column:
+        return F.transform(
+            first,
+            lambda i, k: F.struct(
+                F.get(terms, i - 1).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(terms) + 1) - i).alias("n")
+            ),
+        )
+
+    return let(first, counted)
 
 
 def _found(docs: DataFrame, directory: Column, threshold: float) -> DataFrame:
@@ -311,7 +316,7 @@ def _found(docs: DataFrame, directory: Column, threshold: float) -> DataFrame:
     )
     scored = parts.withColumn(
         "matches", F.filter(F.transform("windows", lambda w: _match(w, space)), lambda m: m["cosine"] >= threshold)
-    ).withColumn("sorted", F.when(F.col("maybe_whole"), F.array_sort("terms")))
+    )
     words = F.aggregate("matches", F.lit(0), lambda a, m: a + m["words"])
     best = F.array_max("matches")
     return scored.select(
@@ -320,7 +325,8 @@ def _found(docs: DataFrame, directory: Column, threshold: float) -> DataFrame:
         F.when(best.isNotNull(), F.struct(best["cosine"].alias("cosine"), best["name"].alias("name"))).alias("best"),
         F.coalesce((F.size("matches") > 0) & (words >= F.col("all_words") * FILE_SHARE), F.lit(False)).alias("is_file"),
         F.greatest(_inside(F.col("stretches"), space, threshold), F.col("spdx")).alias("inside"),
-        F.when(F.size("sorted") > 0, _bag(F.col("sorted"))).alias("bag"),
+        # Bound once: as a plain column the sorted array would be made anew for every term.
+        F.when(F.col("maybe_whole") & (F.size("terms") > 0), let(F.array_sort("terms"), _bag)).alias("bag"),
     )
 
 
