@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from talkmill.functions.text import col
 from talkmill.operators.model import EMBEDDING_DIM
 from talkmill.operators.topk_kernel import EXACT_DIGITS, BestMatches, to_matrix
+from talkmill.session import remove_dir, scratch_dir
 
 TOP_K, SEARCH_K = 6, 5
 #: Bytes of the questions that travel with the tasks at a time.
@@ -62,38 +64,41 @@ def similarity_topk(
     embedding has not ``dim`` components take no part (:func:`wrong_length` gives them).
 
     Questions go in slices of ``slice_bytes``; each slice travels with the tasks and the ids and
-    embeddings of the vectors are read once for it, without any shuffle. A task keeps the best k
+    embeddings of the vectors are read once for it, without any shuffle. Several slices are searched
+    one after the other when this is called, each into a table of its own. A task keeps the best k
     per question and nothing else. The carried columns are joined to the winners only.
     Scores are compared to ``digits`` decimals; at the default that is as far as sums of doubles
     agree whatever their order, so that equal vectors tie and go by the smaller id.
     """
-    # Aliases give the columns identities of their own: both sides may stem from one table.
-    asked = of_length(questions, dim).select(
-        *[F.col(c).alias(c) for c in ("question_id", "namespace", "embedding")]
-    )
     stored = of_length(vectors, dim).select("namespace", "id", "embedding")
     if scope == "global":
-        asked = asked.withColumn("namespace", F.lit(""))
         stored = stored.withColumn("_home", F.col("namespace")).withColumn("namespace", F.lit(""))
     else:
         stored = stored.withColumn("_home", F.col("namespace"))
     schema = T.StructType(
         [
-            asked.schema["question_id"],
+            questions.schema["question_id"],
             T.StructField("score", T.DoubleType()),
             stored.schema["id"],
             stored.schema["_home"],
         ]
     )
-    parts = max(1, -(-asked.count() * dim * 8 // slice_bytes))
-    slices = [
-        asked if parts == 1 else asked.where(F.pmod(F.xxhash64("namespace", "question_id"), F.lit(parts)) == i)
-        for i in range(parts)
-    ]
-    found = reduce(
-        DataFrame.unionByName,
-        [_scan(part, stored, k, dim, digits, schema, prune=scope != "global") for part in slices],
-    )
+    everywhere = scope == "global"
+
+    def one(groups: dict, folder: str | None) -> DataFrame:
+        """Best k per task for one slice; with a folder, those of all tasks, written there."""
+        narrowed = stored if everywhere else prune_namespaces(stored, sorted(groups))
+        if folder is None:
+            return narrowed.mapInArrow(_scan(lambda: groups, k, dim, digits, schema.names), schema)
+        shipped = stored.sparkSession.sparkContext.broadcast(groups)
+        scanned = narrowed.mapInArrow(_scan(lambda: shipped.value, k, dim, digits, schema.names), schema)
+        topk_per_question(scanned, k).drop("rank").write.parquet(folder)
+        shipped.destroy()
+        return stored.sparkSession.read.schema(schema).parquet(folder)
+
+    found = in_slices(questions, dim, slice_bytes, everywhere, one, lazy=True)
+    if found is None:
+        found = stored.sparkSession.createDataFrame([], schema)
     best = topk_per_question(found, k).select("question_id", "rank", "id", "_home", "score")
     if not carry:
         return best.drop("_home")
@@ -108,40 +113,73 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, VECTOR_BLOCK)
 
 
-def _scan(
+def in_slices(
     questions: DataFrame,
-    vectors: DataFrame,
-    k: int,
     dim: int,
-    digits: int,
-    schema: T.StructType,
-    prune: bool,
-) -> DataFrame:
-    """One slice of questions: one pass over the vectors, best k per task."""
-    asked = questions.toArrow()
-    groups: dict[str, tuple[pa.Array, np.ndarray]] = {}
-    codes = asked.column("namespace").combine_chunks().dictionary_encode()
-    if isinstance(codes, pa.ChunkedArray):
-        codes = codes.combine_chunks()
-    which = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    order = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[order], np.arange(len(codes.dictionary) + 1))
-    for code, name in enumerate(codes.dictionary.to_pylist()):
-        rows = asked.take(pa.array(order[bounds[code] : bounds[code + 1]]))
-        groups[name] = (
-            rows.column("question_id").combine_chunks(),
-            to_matrix(rows.column("embedding"), dim),
-        )
-    if prune and len(groups) <= MAX_PRUNE_VALUES:
-        vectors = vectors.where(F.col("namespace").isin(sorted(groups)))
-    elif prune:
-        # At most as many names as questions, whose bytes the slice bounds.
-        names_table = pa.table({"namespace": pa.array(sorted(groups), pa.string())})
-        asked_names = vectors.sparkSession.createDataFrame(names_table)
-        vectors = vectors.join(F.broadcast(asked_names), "namespace", "left_semi")
-    out = schema.names
+    slice_bytes: int,
+    everywhere: bool,
+    search: Callable[[dict, str | None], DataFrame],
+    lazy: bool = False,
+) -> DataFrame | None:
+    """Union of ``search(groups, folder)`` over slices of ``slice_bytes`` of the questions; None if
+    there are none. ``groups`` holds a slice by namespace (one without a name, if ``everywhere``) as
+    ids and matrix.
+
+    Slices are searched one after the other and each writes what it finds to its folder, so the
+    driver holds one at a time. With ``lazy`` a single slice gets no folder and stays a plan.
+    """
+    asked = of_length(questions, dim).select(
+        "question_id", (F.lit("") if everywhere else F.col("namespace")).alias("namespace"), "embedding"
+    )
+    spark = questions.sparkSession
+    n = asked.count()
+    if n == 0:
+        return None
+    parts = -(-n * dim * 8 // slice_bytes)
+    if parts == 1 and lazy:
+        return search(question_groups(asked, dim), None)
+    work, out = scratch_dir(spark, "question-slices"), scratch_dir(spark, "matches")
+    place = F.pmod(F.xxhash64("namespace", "question_id"), F.lit(parts)).cast("int")
+    found = []
+    try:
+        asked.withColumn("_slice", place).repartition("_slice").write.partitionBy("_slice").parquet(work)
+        sliced = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(work)
+        for i in range(parts):
+            groups = question_groups(sliced.where(F.col("_slice") == i).drop("_slice"), dim)
+            if groups:
+                found.append(search(groups, f"{out}/slice-{i}"))
+    finally:
+        remove_dir(spark, work)
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def question_groups(asked: DataFrame, dim: int) -> dict[str, tuple[pa.Array, np.ndarray]]:
+    """Ids and matrix of the questions by namespace; those without one match nothing."""
+    rows = asked.where("namespace is not null").toArrow().sort_by("namespace")
+    names = rows.column("namespace").to_pylist()
+    matrix = to_matrix(rows.column("embedding"), dim) if names else None
+    groups, begin = {}, 0
+    for name, n in Counter(names).items():
+        ids = rows.column("question_id").slice(begin, n).combine_chunks()
+        groups[name] = (pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids, matrix[begin : begin + n])
+        begin += n
+    return groups
+
+
+def prune_namespaces(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of the asked namespaces: by a filter that reaches the scan, or else by a join."""
+    if len(names) <= MAX_PRUNE_VALUES:
+        return vectors.where(F.col("namespace").isin(names))
+    # At most as many names as questions, whose bytes the slice bounds.
+    asked = vectors.sparkSession.createDataFrame(pa.table({"namespace": pa.array(names, pa.string())}))
+    return vectors.join(F.broadcast(asked), "namespace", "left_semi")
+
+
+def _scan(given: Callable[[], dict], k: int, dim: int, digits: int, out: list[str]) -> Callable:
+    """One pass over the vectors for one slice of questions: best k per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = given()
         best: dict[str, BestMatches] = {}
         for batch in pieces(batches):
             codes = batch.column("namespace").dictionary_encode()
@@ -163,7 +201,7 @@ def _scan(
             if table is not None:
                 yield from table.select(out).combine_chunks().to_batches()
 
-    return vectors.mapInArrow(run, schema)
+    return run
 
 
 def company_filter(company: Column | str, stored_company: Column | str) -> Column:

@@ -35,18 +35,27 @@ class BestMatches:
     computed; ties go to the smaller id, so the result does not depend on block order.
     """
 
-    def __init__(self, question_ids: pa.Array, questions: np.ndarray, k: int, digits: int = EXACT_DIGITS):
+    def __init__(
+        self,
+        question_ids: pa.Array,
+        questions: np.ndarray,
+        k: int,
+        digits: int = EXACT_DIGITS,
+        floor: np.ndarray | None = None,
+    ):
+        """``floor``: for each question a score that its k-th match reaches at least."""
         self.ids = question_ids
         unit, usable = unit_rows(questions)
         self.rows = np.nonzero(usable)[0]
         self.unit = unit[self.rows]
         self.k, self.digits = k, digits
-        self.floor = np.full(len(self.rows), -np.inf)
+        self.floor = np.full(len(self.rows), -np.inf) if floor is None else floor[self.rows].copy()
         self.kept: pa.Table | None = None
         self.pending: list[pa.Table] = []
         self.pending_rows = 0
 
-    def offer(self, vectors: np.ndarray, payload: pa.Table) -> None:
+    def offer(self, vectors: np.ndarray, payload: pa.Table, only: np.ndarray | None = None) -> None:
+        """Vectors with their ``id`` and payload; ``only`` names the questions that they concern."""
         unit, usable = unit_rows(vectors)
         if not usable.all():
             keep = np.nonzero(usable)[0]
@@ -57,9 +66,13 @@ class BestMatches:
         # By id, so that the first of equal scores are those with the smaller ids.
         order = pc.sort_indices(payload, sort_keys=[("id", "ascending")])
         unit, payload = unit[order.to_numpy()], payload.take(order)
-        for lo in range(0, len(self.unit), QUESTION_BLOCK):
-            scores = np.round(self.unit[lo : lo + QUESTION_BLOCK] @ unit.T, self.digits) + 0.0
-            picked = scores >= self.floor[lo : lo + QUESTION_BLOCK, None]
+        asked = np.arange(len(self.unit))
+        if only is not None:
+            asked = asked[np.isin(self.rows, only)]
+        for lo in range(0, len(asked), QUESTION_BLOCK):
+            some = asked[lo : lo + QUESTION_BLOCK]
+            scores = np.round(self.unit[some] @ unit.T, self.digits) + 0.0
+            picked = scores >= self.floor[some, None]
             if n > self.k:
                 kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k, None]
                 above, equal = scores > kth, scores == kth
@@ -67,7 +80,7 @@ class BestMatches:
                 picked &= above | equal
             q, v = np.nonzero(picked)
             found = payload.take(pa.array(v))
-            found = found.append_column("_q", pa.array(q + lo))
+            found = found.append_column("_q", pa.array(some[q]))
             found = found.append_column("score", pa.array(scores[q, v]))
             self.pending.append(found)
             self.pending_rows += len(found)
@@ -86,7 +99,7 @@ class BestMatches:
         self.kept = table.take(order.take(pa.array(np.nonzero(rank < self.k)[0])))
         last = np.nonzero(rank == self.k - 1)[0]
         scores = table.column("score").to_numpy()[order.to_numpy()]
-        self.floor[q[last]] = scores[last]
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], scores[last])
         self.pending, self.pending_rows = [], 0
 
     def result(self) -> pa.Table | None:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import strip
 from talkmill.functions.urls import namespace_of
 from talkmill.operators import answering, summaries
+from talkmill.operators.block_search import search_blocks
 from talkmill.operators.model import EMBEDDING_DIM, BatchFn, batch_model, embed
 from talkmill.operators.retrieval import (
     SEARCH_K,
     TOP_K,
+    company_filter,
     search_results,
     similarity_topk,
     similarity_topk_unscoped,
@@ -63,21 +65,36 @@ def retrieve(
     k: int = TOP_K,
     scope: str = "namespace",
     digits: int = EXACT_DIGITS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
-    """Best k stored chunks per question, with metadata.
+    """Best k stored chunks per question, with metadata. With ``blocks`` of the vectors
+    (``block_search.write_blocks``) the search reads those that can hold a match only.
 
     The embedded questions are written once and read back: the search looks at them more
     than once, and the model must not be called again for that.
     """
     asked = pin(embed_questions(questions, embedder, dim), "questions")
-    return best_chunks(asked, vectors, dim, k, scope, digits)
+    return best_chunks(asked, vectors, dim, k, scope, digits, blocks)
 
 
 def best_chunks(
-    asked: DataFrame, vectors: DataFrame, dim: int, k: int, scope: str, digits: int = EXACT_DIGITS
+    asked: DataFrame,
+    vectors: DataFrame,
+    dim: int,
+    k: int,
+    scope: str,
+    digits: int = EXACT_DIGITS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Matches of questions that have their embedding."""
     asked = asked.where("not is_zero")
+    if blocks is not None:
+        found = search_blocks(asked, blocks, k, scope, dim, digits)
+        found = found.join(vectors.select("namespace", "id", "metadata"), ["namespace", "id"])
+        if scope == "global":
+            found = found.join(asked.select("question_id", "company_name"), "question_id")
+            found = found.where(company_filter("company_name", "metadata.company"))
+        return found.select("question_id", "rank", "id", "score", "metadata")
     if scope == "global":
         flat = vectors.withColumn("company", F.col("metadata.company"))
         return similarity_topk_unscoped(asked, flat, k, ("metadata",), dim, digits).select(
@@ -93,8 +110,9 @@ def search(
     dim: int = EMBEDDING_DIM,
     k: int = SEARCH_K,
     digits: int = EXACT_DIGITS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
-    return search_results(retrieve(questions, vectors, embedder, dim, k, digits=digits))
+    return search_results(retrieve(questions, vectors, embedder, dim, k, digits=digits, blocks=blocks))
 
 
 def rerank_prompts(collected: DataFrame) -> DataFrame:
@@ -126,6 +144,7 @@ def ask(
     scope: str = "namespace",
     same_video_only: bool = False,
     digits: int = EXACT_DIGITS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Answer many questions at once, one row for each question_id (``repeated_questions`` gives
     the rows that share an id with another).
@@ -136,7 +155,7 @@ def ask(
     a call that fails fails one question.
     """
     asked = pin(embed_questions(questions, embedder, dim), "questions")
-    matches = best_chunks(asked, vectors, dim, k, scope, digits)
+    matches = best_chunks(asked, vectors, dim, k, scope, digits, blocks)
     collected = answer_prompts(rerank_prompts(answering.collect_matches(asked, matches)))
     prompted = collected.join(asked.select("question_id", F.col("is_zero").alias("unembedded")), "question_id")
     prompted = prompted.withColumn(

@@ -69,8 +69,15 @@ def ingest_inputs(spark, sf):
     return requests, model, captions, asr, pages
 
 
-def ingested(spark, sf, mode=ing.STANDARD):
-    return ing.ingest(*ingest_inputs(spark, sf), hashing_embedder(DIM), DIM, mode, version=1)
+def ingested(spark, sf, mode=ing.STANDARD, embedded_path=None):
+    return ing.ingest(
+        *ingest_inputs(spark, sf), hashing_embedder(DIM), DIM, mode, version=1, embedded_path=embedded_path
+    )
+
+
+def stored_vectors(spark, sf):
+    """Vectors of an ingest that ran: chunks are cut and embedded once, whatever reads them."""
+    return ingested(spark, sf, embedded_path=scratch_dir(spark, "embedded")).vectors
 
 
 def ingest_ctes(mode: str) -> list[str]:
@@ -194,7 +201,7 @@ def found_ctes(k: int) -> list[str]:
     + " select question_id, rank, id, score, text, video_url, title, chunk_index from found",
 )
 def q3(spark, sf):
-    vectors = ingested(spark, sf).vectors
+    vectors = stored_vectors(spark, sf)
     return questions.search(inp.questions(spark, sf), vectors, hashing_embedder(DIM), DIM, digits=6)
 
 
@@ -273,7 +280,7 @@ def q4(spark, sf):
     )
     out = questions.ask(
         asked,
-        ingested(spark, sf).vectors,
+        stored_vectors(spark, sf),
         ans.registry(spark, sf),
         question_embedder,
         length_reranker,

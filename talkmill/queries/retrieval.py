@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkmill.operators import block_search as bs
 from talkmill.operators import retrieval as rt
 from talkmill.queries import inputs as inp
 from talkmill.queries.registry import query
 from talkmill.schemas import METADATA
+from talkmill.session import scratch_dir
 
 
 # Components of the stored vectors, and the decimals to which both engines compare scores.
@@ -65,6 +67,34 @@ def j2(spark, sf):
     )
 
 
+def stored_blocks(spark, sf):
+    stored, path = inp.vectors(spark, sf), scratch_dir(spark, "blocks")
+    bs.write_blocks(stored, path, DIM)
+    return bs.read_blocks(spark, path, stored.schema["id"].dataType.simpleString())
+
+
+@query(
+    "j1_block_search",
+    f"select question_id, rank, id, score from ({topk_sql(6)})",
+)
+def j1_blocks(spark, sf):
+    """The same over blocks that know their centre and radius."""
+    found = bs.search_blocks(asked(spark, sf), stored_blocks(spark, sf), 6, dim=DIM, digits=DIGITS)
+    return found.select("question_id", "rank", "id", "score")
+
+
+@query(
+    "j2_block_search_unscoped",
+    f"""select question_id, rank, t.id, score from ({topk_sql(6, scoped=False)}) t
+        join ({inp.VECTORS}) q on q.id = t.question_id where t.namespace = q.namespace""",
+)
+def j2_blocks(spark, sf):
+    """Best six of all blocks first; then only those of the asking namespace remain."""
+    found = bs.search_blocks(asked(spark, sf), stored_blocks(spark, sf), 6, "global", DIM, DIGITS)
+    own = asked(spark, sf).select("question_id", "namespace")
+    return found.join(own, ["question_id", "namespace"]).select("question_id", "rank", "id", "score")
+
+
 @query(
     "w1_topk_per_question",
     """select user_id as question_id, event_id as id, value as score,

@@ -1,5 +1,6 @@
 """Whole pipelines on hand-made videos, and the shape of plans that must hold at scale."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -148,3 +149,15 @@ def test_short_videos_skip_the_block_chain(spark):
     chunks.toArrow()
     final = chunks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "EmptyRelation" in final and "MapInPandas" not in final
+
+
+def test_registered_search_and_ask_do_not_call_the_embedder_again(spark):
+    """All that is left as a plan is the scan for matches and the two models that reply."""
+    from talkmill.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("driver tables are not here")
+    for key, left in (("q3_search", 1), ("q4_ask", 3)):
+        physical = QUERIES[key](spark, data)._jdf.queryExecution().sparkPlan().toString()
+        assert physical.count("MapInArrow") == left
