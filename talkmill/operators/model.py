@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from talkmill.functions.vectors import is_zero
 EMBEDDING_DIM = 1536
 EMBED_BATCH, LIGHT_EMBED_BATCH = 100, 50
 
+#: Rows that a task holds back at most until a call is full.
+MAX_HELD_ROWS = 20_000
+
 BatchFn = Callable[[list[str]], list]
 
 
@@ -29,7 +33,8 @@ def batch_model(
     default=None,
     error_col: str | None = None,
 ) -> DataFrame:
-    """Append ``out_col = fn(texts)``, calling ``fn`` on at most ``batch_size`` texts.
+    """Append ``out_col = fn(texts)``, calling ``fn`` on ``batch_size`` texts, fewer only at the end of
+    a task (or among very many nulls): calls are filled across Arrow batches.
 
     ``factory`` runs once per task (load the model there). Null texts never reach the model and
     get null. A batch that fails, or that returns another number of results, is tried again text
@@ -45,22 +50,49 @@ def batch_model(
         added.append(T.StructField(error_col, T.StringType()))
     schema = T.StructType(df.schema.fields + added)
 
+    def finished(batch: pa.RecordBatch, results: list, errors: list) -> pa.RecordBatch:
+        columns, names = [*batch.columns, _column(results, arrow_type)], [*batch.schema.names, out_col]
+        if error_col:
+            columns.append(pa.array(errors, pa.string()))
+            names.append(error_col)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = factory()
+        held: deque[pa.RecordBatch] = deque()
+        results: list = []
+        errors: list[str | None] = []
+        # Rows are numbered from the first one held; ``waiting`` are those not yet asked about.
+        waiting: deque[tuple[int, str]] = deque()
+        gone = 0
+
+        def ask(n: int) -> None:
+            part = [waiting.popleft() for _ in range(n)]
+            for (row, _), reply in zip(part, _replies(fn, [t for _, t in part], default)):
+                results[row - gone], errors[row - gone] = reply
+
         for batch in batches:
             texts = batch.column(in_col).to_pylist()
-            results: list = [None] * len(texts)
-            errors: list[str | None] = [None] * len(texts)
-            asked = [i for i, t in enumerate(texts) if t is not None]
-            for begin in range(0, len(asked), batch_size):
-                part = asked[begin : begin + batch_size]
-                for i, (result, error) in zip(part, _replies(fn, [texts[i] for i in part], default)):
-                    results[i], errors[i] = result, error
-            columns, names = [*batch.columns, _column(results, arrow_type)], [*batch.schema.names, out_col]
-            if error_col:
-                columns.append(pa.array(errors, pa.string()))
-                names.append(error_col)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            waiting.extend((gone + len(results) + i, t) for i, t in enumerate(texts) if t is not None)
+            results.extend([None] * len(texts))
+            errors.extend([None] * len(texts))
+            held.append(batch)
+            while len(waiting) >= batch_size:
+                ask(batch_size)
+            if waiting and len(results) > MAX_HELD_ROWS:
+                ask(len(waiting))
+            ready = waiting[0][0] - gone if waiting else len(results)
+            while held and held[0].num_rows <= ready:
+                n = held[0].num_rows
+                yield finished(held.popleft(), results[:n], errors[:n])
+                del results[:n], errors[:n]
+                gone, ready = gone + n, ready - n
+        if waiting:
+            ask(len(waiting))
+        for batch in held:
+            n = batch.num_rows
+            yield finished(batch, results[:n], errors[:n])
+            del results[:n], errors[:n]
 
     return df.mapInArrow(run, schema)
 

@@ -19,6 +19,7 @@ from talkmill.functions.urls import (
     route_source,
 )
 from talkmill.operators import chunking
+from talkmill.operators.kept_vectors import embed_kept
 from talkmill.operators.model import EMBED_BATCH, EMBEDDING_DIM, LIGHT_EMBED_BATCH, BatchFn, embed
 from talkmill.operators.reports import ingest_report, validate_requests
 from talkmill.operators.store import vector_rows
@@ -176,6 +177,7 @@ def ingest(
     version: int,
     embedded_path: str | None = None,
     canonical_ids: bool = False,
+    kept: str | None = None,
 ) -> Ingested:
     """Plan an ingest of many requests.
 
@@ -188,6 +190,9 @@ def ingest(
     report are read from that table, so the model is called exactly once per chunk, and the
     report counts failed embeddings (``zero_vectors``). Without it everything stays a plan: each
     use of the vectors runs the model, and the report counts chunks without running it.
+
+    ``kept`` is a folder of vectors by text (see ``embed_kept``): the model is called at once, and
+    only for texts that no ingest with this folder has embedded.
     """
     checked = validate_requests(requests)
     valid = checked.where("reason is null").select(*KEYS)
@@ -203,7 +208,10 @@ def ingest(
         "n_chunks",
     )
     batch = EMBED_BATCH if mode == STANDARD else LIGHT_EMBED_BATCH
-    embedded = embed(chunks, "text", embedder, dim, batch)
+    if kept is not None:
+        embedded = embed_kept(chunks, "text", embedder, kept, dim, batch)
+    else:
+        embedded = embed(chunks, "text", embedder, dim, batch)
     counted = with_oddities(chunked)
     if embedded_path is not None:
         embedded.write.mode("overwrite").parquet(embedded_path)

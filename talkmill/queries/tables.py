@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.text import word_count
 from talkmill.operators import chunking as ch
+from talkmill.operators import kept_vectors as kv
 from talkmill.operators import model as mo
 from talkmill.operators import reports as rp
 from talkmill.operators import store as st
@@ -502,6 +503,20 @@ def e2(spark, sf):
     return out.select("doc_id", "is_zero", F.size("embedding").alias("dim"))
 
 
+@query(
+    "e1_kept_vectors",
+    f"select doc_id, contains(text, chr(10)) or {words_sql('text')} = 0 as is_zero, "
+    f"{DIM} as dim from documents",
+)
+def e1_kept(spark, sf):
+    """All documents twice with one folder of kept vectors: the second time the model sees only the
+    texts that it refused the first time."""
+    docs, kept = inp.documents(spark, sf), scratch_dir(spark, "kept-vectors")
+    kv.embed_kept(docs, "text", failing_model, kept, DIM)
+    out = kv.embed_kept(docs, "text", failing_model, kept, DIM)
+    return out.select("doc_id", "is_zero", F.size("embedding").alias("dim"))
+
+
 @query(
     "e3_zip_embeddings",
     f"""select vec_id, label, company_name, list_sum(embedding::double[]) * f as total

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from talkmill.functions.text import basename
 from talkmill.functions.urls import route_source
 from talkmill.operators.chunking import explode_chunks
+from talkmill.operators.kept_vectors import embed_kept
 from talkmill.operators.model import EMBEDDING_DIM, BatchFn, embed
 from talkmill.operators.store import (
     BUCKETS,
@@ -65,6 +66,7 @@ def stream_ingest(
     replace_video: bool = False,
     buckets: int = BUCKETS,
     registry: str | None = None,
+    kept: str | None = None,
 ) -> StreamingQuery:
     """Start the job. ``transcripts`` has ``video_url, company_name, title, transcription,
     duration, language, word_count, segments`` and the event time ``run_ts``.
@@ -78,7 +80,8 @@ def stream_ingest(
 
     ``registry`` is a stored registry (see ``store_registry``): a ``video_url`` whose last path
     part is a name in it, as for a local file, is replaced by the address there. Every batch reads
-    the registry's snapshot of that moment.
+    the registry's snapshot of that moment. ``kept`` is a folder of vectors by text: texts embedded
+    before, by this or another job, are not sent to the model again.
     """
     spark = transcripts.sparkSession
     once = transcripts.withWatermark("run_ts", watermark).dropDuplicatesWithinWatermark(
@@ -93,7 +96,11 @@ def stream_ingest(
         newest = latest_wins(batch, ["company_name", "video_url"], "run_ts")
         chunked = chunk_prepared(newest.withColumn("route", route_source("video_url")), mode)
         chunks = explode_chunks(chunked, F.col("chunks"), *KEEP, "run_ts")
-        rows = vector_rows(embed(chunks, "text", embedder, dim), F.unix_micros("run_ts"))
+        if kept:
+            embedded = embed_kept(chunks, "text", embedder, kept, dim)
+        else:
+            embedded = embed(chunks, "text", embedder, dim)
+        rows = vector_rows(embedded, F.unix_micros("run_ts"))
         source = (checkpoint, batch_id)
         merge_vectors(spark, store, rows, f"{checkpoint}/staging", buckets, replace_video, source)
 
