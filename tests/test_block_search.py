@@ -108,3 +108,24 @@ def test_empty_sides_and_rows_that_match_nothing(spark, tmp_path):
     assert bs.search_blocks(asked.limit(0), blocks, 3, dim=2).count() == 0
     none = blocks_of(spark, odd.limit(0), tmp_path / "none", 2)
     assert bs.search_blocks(asked, none, 3, dim=2).count() == 0
+
+
+@pytest.mark.parametrize("scope", ["namespace", "global"])
+def test_questions_find_the_same_with_blocks(spark, tmp_path, scope):
+    from talkmill.operators.model import embed, hashing_embedder
+    from talkmill.plans.questions import retrieve
+
+    texts = [(f"Co{i % 3}", i, " ".join(f"w{(i * j) % 7}" for j in range(1, 5))) for i in range(60)]
+    chunks = spark.createDataFrame(texts, "company string, id long, text string")
+    stored = embed(chunks, "text", hashing_embedder(8), 8).select(
+        F.lower("company").alias("namespace"), "id", "embedding", F.struct("company", "text").alias("metadata")
+    )
+    blocks = blocks_of(spark, stored, tmp_path, 8, 4)
+    vectors = spark.read.parquet(str(tmp_path / "stored"))
+    asked = spark.createDataFrame(
+        [(i, f"Co{i % 4}", f"w{i} w{i + 1}") for i in range(8)], "question_id long, company_name string, question string"
+    )
+    ways = [retrieve(asked, vectors, hashing_embedder(8), 8, 3, scope, 6, b) for b in (None, blocks)]
+    columns = ["question_id", "rank", "id", "score", "metadata"]
+    plain, by_blocks = (sorted(map(str, df.select(*columns).collect())) for df in ways)
+    assert plain == by_blocks and plain
