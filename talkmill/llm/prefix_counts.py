@@ -29,9 +29,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Entries that a worker keeps for units, split words (twice), token pairs and beginnings of words,
 #: in about 350 MB.
 KEPT_UNITS, KEPT_WORDS, KEPT_PAIRS, KEPT_STEMS = 800_000, 250_000, 300_000, 60_000
+#: Counts that the kept units may have in all, and characters of a split word that is kept: very
+#: long unbroken texts are not.
+KEPT_COUNTS, KEPT_LENGTH = 1 << 24, 256
 #: Bytes of a word's beginning whose states are kept: words share them often.
 STEM = 5
-#: Letters beyond are counted by the tokenizer itself, since versions of the letter tables differ.
+#: Texts with letters beyond are split by the tokenizer's own splitter, since versions of the letter
+#: tables differ.
 PLAIN = "\u024f"
 #: Marks that are one token behind a word.
 TAILS = ".,;:!?"
@@ -112,6 +116,8 @@ class Counter:
         known = self.words.get(word) or self.older.get(word)
         if known is None:
             known = self._chain(word.encode("utf-8", "surrogatepass"))
+            if len(word) > KEPT_LENGTH:
+                return known
         elif word in self.words:
             return known
         if len(self.words) >= KEPT_WORDS:
@@ -147,26 +153,18 @@ class Counter:
         if unit[-1] in TAILS and unit[1:-1].isalpha() and max(unit) <= PLAIN and (unit[0] == " " or unit[0].isalpha()):
             own = self.chain(unit[:-1])
             return own + bytes([own[-1] + 1]) if isinstance(own, bytes) and own[-1] < 255 else [*own, own[-1] + 1]
-        if max(unit) > PLAIN:
-            return self._by_tokenizer(unit) if len(unit) <= 64 else self._long(unit)
         return self._by_pattern(unit)
 
-    def _long(self, unit: str) -> list[int]:
-        """A long unit with rare letters: by the pattern, if the tokenizer agrees on its end."""
-        found = self._by_pattern(unit)
-        if found[-1] == len(self.library.encode(unit, add_special_tokens=False).ids):
-            return found
-        return self._by_tokenizer(unit)
-
-    def _by_tokenizer(self, unit: str) -> list[int]:
-        prefixes = [unit[:j] for j in range(1, len(unit) + 1)]
-        return [len(self.library.encode(p, add_special_tokens=False).ids) for p in prefixes]
+    def split_words(self, unit: str) -> list[str]:
+        """The pieces of the pattern."""
+        if max(unit) <= PLAIN:
+            return self.pattern.findall(unit)
+        return [unit[begin:end] for _, (begin, end) in self.library.pre_tokenizer.pre_tokenize_str(unit)]
 
     def _by_pattern(self, unit: str) -> list[int]:
         out: list[int] = []
-        for found in self.pattern.finditer(unit):
-            word, base = found.group(), out[-1] if out else 0
-            own = self.chain(word)
+        for word in self.split_words(unit):
+            base, own = out[-1] if out else 0, self.chain(word)
             if len(word) == 3 and word[0] == "'" and word[1] != "'" and word in ("'re", "'ve", "'ll"):
                 own = [1, self.chain("'")[0] + self.chain(word[1])[0], own[-1]]
             out += [base + n for n in own] if base else own
@@ -202,7 +200,7 @@ class Counter:
 
     def prefix_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts at every character of all texts in one array, and where each text ends."""
-        if sum(map(len, self.units)) > KEPT_UNITS:
+        if sum(map(len, self.units)) > KEPT_UNITS or len(self.pool) > KEPT_COUNTS:
             self.reset()
         first_units, units = self.units
         places: list[np.ndarray] = []

@@ -32,8 +32,47 @@ def test_every_prefix_count_is_the_librarys(text):
     assert counts[ends[2] : ends[3]].tolist() == expected
 
 
+RARE = ["мир", "’s", "’", "'re", "“", "—", "日本語", "の", "😀", "👩‍👩‍👧", "é", " ", "\u3000", "\u2003", "a", "12", "٣", "𝒜", "ⅷ", "\u200d", "\ufeff",
+        "ꟊ", "🫠", "\n", "!", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(RARE), max_size=30).map("".join))
+def test_every_prefix_count_of_other_scripts_is_the_librarys(text):
+    own = prefix_counts.counter(BYTES)
+    counts, ends = own.prefix_counts(["я x", text])
+    assert counts[ends[0] :].tolist() == library_prefixes(own.library, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=80))
+def test_every_prefix_count_of_any_text_is_the_librarys(text):
+    own = prefix_counts.counter(BYTES)
+    assert own.prefix_counts([text])[0].tolist() == library_prefixes(own.library, text)
+
+
+def test_unbroken_texts_are_counted_in_one_pass():
+    """100,000 letters without a blank: no prefix is encoded, and a sample of them agrees."""
+    r = random.Random(8)
+    for letters in ("abcdefgh", "дружба", "日本語漢字仮名", "😀🎉🫠"):
+        own = prefix_counts.Counter(BYTES)
+        text = "".join(r.choice(letters) for _ in range(100_000))
+        library, own.library = own.library, Splitter(own.library)
+        counts, _ = own.prefix_counts([text])
+        assert len(counts) == len(text) and not own.words
+        for j in [1, 2, 3, 64, 65, 1_000, 99_999, 100_000]:
+            assert counts[j - 1] == len(library.encode(text[:j], add_special_tokens=False).ids)
+
+
+class Splitter:
+    """A tokenizer that can split but not encode."""
+
+    def __init__(self, library):
+        self.pre_tokenizer = library.pre_tokenizer
+
+
 def test_counts_survive_full_caches(monkeypatch):
-    for name in ("KEPT_UNITS", "KEPT_WORDS", "KEPT_PAIRS", "KEPT_STEMS"):
+    for name in ("KEPT_UNITS", "KEPT_WORDS", "KEPT_PAIRS", "KEPT_STEMS", "KEPT_COUNTS", "KEPT_LENGTH"):
         monkeypatch.setattr(prefix_counts, name, 5)
     own = prefix_counts.Counter(BYTES)
     r = random.Random(4)
