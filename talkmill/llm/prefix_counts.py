@@ -3,8 +3,8 @@
 In a byte-level merge vocabulary the tokens of a piece of text without its last token are the
 tokens of the shorter piece. So the last token at a prefix of length j is the one w[i:j] that
 may follow the last token at length i, and ``count[j] = count[i] + 1``: one pass gives the
-count at every prefix. Whether two tokens may stand side by side is found once by merging
-their bytes and then remembered.
+count at every prefix. Whether two tokens may stand side by side is found once by undoing
+their merges at the border and then remembered.
 
 A text is cut where a blank follows a non-blank: no piece of the vocabulary's splitting
 pattern spans such a place, so counts of the pieces add up, for every prefix. The same pieces
@@ -80,6 +80,7 @@ class Counter:
         self.older: dict[str, bytes | list[int]] = {}
         self.stems: dict[bytes, tuple[tuple[bytes, ...], tuple[int, ...]]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.origins: dict[bytes, tuple[int, bytes, bytes] | None] = {}  # one a token of the vocabulary at most
         self.pattern, self.blanks = regex.compile(PATTERN), regex.compile(r"\s+")
         self.cut = regex.compile(r"(?<=\S)(?= )")
         self.blank_pair = regex.compile(r"\s ")
@@ -89,27 +90,52 @@ class Counter:
         self.units = [Units(self, ""), Units(self, " ")]
         self.pool, self.ends = array("i"), array("q", [0])
 
-    def merged(self, parts: list[bytes]) -> list[bytes]:
-        """``parts`` after all merges, lowest rank first, leftmost among equals."""
+    def merged(self, parts: list[bytes], least: int = 1) -> list[bytes]:
+        """``parts`` after all merges, lowest rank first, leftmost among equals, down to ``least``."""
         rank = self.rank
-        while len(parts) > 1:
+        while len(parts) > least:
             best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 40))
             if (parts[best], parts[best + 1]) not in rank:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def made(self, token: bytes) -> tuple[int, bytes, bytes] | None:
+        """The merge that makes a token last, as its rank and its two sides; rank -1 for a byte, and
+        None where the token's bytes do not become that token."""
+        if token not in self.origins:
+            parts = self.merged([token[i : i + 1] for i in range(len(token))], 2)
+            rank = self.rank.get(tuple(parts)) if len(parts) == 2 else None
+            own = (-1, token, token) if len(token) == 1 else None
+            self.origins[token] = own if rank is None else (rank, *parts)
+        return self.origins[token]
+
     def follows(self, a: bytes, b: bytes) -> bool:
-        """Whether the tokens of a's and b's bytes together are exactly a and b."""
+        """Whether the tokens of a's and b's bytes together are exactly a and b; a is the token of
+        its bytes, or empty."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            text = a + b
-            known = self.merged([text[i : i + 1] for i in range(len(text))]) == ([a, b] if a else [b])
-            self.pairs[a, b] = known
+            known = self.pairs[a, b] = self.made(b) is not None and (not a or self.apart(a, b))
         return known
 
+    def apart(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge joins a and b across their border. Their own merges are undone, the last
+        one first: the two parts at the border must have no merge that comes before the one undone.
+        Of equal merges the left one comes first."""
+        rank, made, before = self.rank, self.made, len(self.rank)
+        while True:
+            if rank.get((a, b), before) < before:
+                return False
+            (left, _, a_end), (right, b_begin, _) = made(a), made(b)
+            if left > right:
+                before, a = left, a_end
+            elif right >= 0:
+                before, b = right + 1, b_begin
+            else:
+                return True
+
     def chain(self, word: str) -> bytes | list[int]:
         """Counts at each character of one piece of the pattern, taken as a text of its own.
         Words of the last and the current generation are kept."""

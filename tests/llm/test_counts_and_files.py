@@ -51,16 +51,27 @@ def test_every_prefix_count_of_any_text_is_the_librarys(text):
     assert own.prefix_counts([text])[0].tolist() == library_prefixes(own.library, text)
 
 
+def test_neighbours_are_those_that_merging_leaves():
+    own, r = prefix_counts.Counter(BYTES), random.Random(6)
+    tokens = sorted(t for t in own.tokens if own.made(t))
+    short = [t for t in tokens if len(t) < 4]
+    pairs = [(r.choice(short), r.choice(short)) for _ in range(20_000)] + [(r.choice(tokens), r.choice(tokens)) for _ in range(5_000)]
+    pairs += [(t[:i], t[i:]) for t in r.sample(tokens, 3_000) for i in range(1, len(t)) if t[:i] in own.tokens and t[i:] in own.tokens and own.made(t[:i])]
+    for a, b in [*pairs, *((t, t) for t in tokens[::7])]:
+        text = a + b
+        assert own.follows(a, b) == (own.merged([text[i : i + 1] for i in range(len(text))]) == [a, b]), (a, b)
+
+
 def test_unbroken_texts_are_counted_in_one_pass():
-    """100,000 letters without a blank: no prefix is encoded, and a sample of them agrees."""
+    """Many letters without a blank: no prefix is encoded, and a sample of them agrees."""
     r = random.Random(8)
-    for letters in ("abcdefgh", "дружба", "日本語漢字仮名", "😀🎉🫠"):
+    for letters, n in (("abcdefgh", 100_000), ("дружба", 20_000), ("日本語漢字仮名", 20_000), ("😀🎉🫠", 10_000)):
         own = prefix_counts.Counter(BYTES)
-        text = "".join(r.choice(letters) for _ in range(100_000))
+        text = "".join(r.choice(letters) for _ in range(n))
         library, own.library = own.library, Splitter(own.library)
         counts, _ = own.prefix_counts([text])
         assert len(counts) == len(text) and not own.words
-        for j in [1, 2, 3, 64, 65, 1_000, 99_999, 100_000]:
+        for j in [1, 2, 3, 64, 65, 1_000, n - 1, n]:
             assert counts[j - 1] == len(library.encode(text[:j], add_special_tokens=False).ids)
 
 
