@@ -16,6 +16,7 @@ from talkmill.queries import sql
 from talkmill.queries.inputs import words_sql
 from talkmill.queries.registry import query
 from talkmill.session import scratch_dir
+from talkmill.sources import log_source
 from talkmill.sources import readers as rd
 
 DIM = 64
@@ -72,6 +73,34 @@ def s1(spark, sf):
     ).drop("run_ts")
 
 
+LOG_FIELDS = "video_url, title, duration, language, word_count, method, summary, transcription"
+
+
+@query(
+    "s1_log_source_since",
+    f"select {NAME_SQL} as file_name, 1700000000 + doc_id as run_second, {LOG_FIELDS} from ({LOGS}) where doc_id between 50 and 749",
+)
+def s1_since(spark, sf):
+    """Logs of a span of run times through the data source, which skips the others."""
+    span = "run_ts >= timestamp_seconds(1700000050) and run_ts < timestamp_seconds(1700000750)"
+    logs = log_source.read_logs(spark, written_logs(spark, sf)).where(span)
+    return logs.withColumn("run_second", F.unix_seconds("run_ts")).drop("run_ts")
+
+
+@query(
+    "s1_stream_transcript_logs",
+    f"select {NAME_SQL} as file_name, 1700000000 + doc_id as run_second, {LOG_FIELDS} from ({LOGS})",
+)
+def s1_stream(spark, sf):
+    """The same logs as a stream of files."""
+    work = scratch_dir(spark, "log-stream")
+    logs = rd.stream_transcript_logs(spark, written_logs(spark, sf))
+    writer = logs.writeStream.format("parquet").option("path", f"{work}/rows")
+    writer.option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(logs.schema).parquet(f"{work}/rows")
+    return rows.withColumn("run_second", F.unix_seconds("run_ts")).drop("run_ts")
+
+
 @query(
     "s1_parse_transcript_logs",
     f"select doc_id, video_url, title, duration, language, word_count, method, summary, "

@@ -1,5 +1,6 @@
 """Readers. Each takes a path (or a table already read) and declares its schema."""
 
+from talkmill.sources.log_source import read_logs, register_logs
 from talkmill.sources.readers import (
     parse_transcript_logs,
     scan_asr_segments,
@@ -10,10 +11,13 @@ from talkmill.sources.readers import (
     scan_transcript_logs,
     scan_vectors,
     scan_video_registry,
+    stream_transcript_logs,
 )
 
 __all__ = [
     "parse_transcript_logs",
+    "read_logs",
+    "register_logs",
     "scan_asr_segments",
     "scan_caption_items",
     "scan_pages",
@@ -22,4 +26,5 @@ __all__ = [
     "scan_transcript_logs",
     "scan_vectors",
     "scan_video_registry",
+    "stream_transcript_logs",
 ]

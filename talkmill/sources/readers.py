@@ -78,15 +78,25 @@ def unescaped(record: Column) -> Column:
 def scan_transcript_logs(spark: SparkSession, path: str) -> DataFrame:
     """Read a folder of logs: files of one log each, whose name tells the run time, or files of
     many as :func:`write_transcript_logs` makes them, whose records carry their file name. Any text
-    comes back as it was written."""
-    files = spark.read.text(path, lineSep=LOG_SEPARATOR).select("value", F.col("_metadata.file_name").alias("_file"))
-    named = F.regexp_extract("value", f"^{NAME_MARK}([^\r\n]*)\r?\n", 1)
+    comes back as it was written. ``log_source.read_logs`` reads the same and skips by run time."""
+    return _records(spark.read.text(path, lineSep=LOG_SEPARATOR))
+
+
+def stream_transcript_logs(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Logs that keep arriving in a folder, as :func:`scan_transcript_logs` gives them."""
+    return _records(spark.readStream.options(**options).text(path, lineSep=LOG_SEPARATOR))
+
+
+def _records(files: DataFrame) -> DataFrame:
+    """Parsed logs. A record's run time is in its file's name or else in the name it carries."""
+    stamp = lambda name: F.regexp_extract(name, r"(\d{8}_\d{6})", 1)
+    files = files.select("value", F.col("_metadata.file_name").alias("_file"))
+    named = F.when(stamp("_file") == "", F.regexp_extract("value", f"^{NAME_MARK}([^\r\n]*)\r?\n", 1))
     records = files.where(F.length("value") > 0).select(
         unescaped(F.regexp_replace("value", f"^{NAME_MARK}[^\r\n]*\r?\n", "")).alias("value"),
         F.coalesce(F.nullif(unescaped(named), F.lit("")), F.col("_file")).alias("file_name"),
     )
-    stamp = F.regexp_extract("file_name", r"(\d{8}_\d{6})", 1)
-    run = F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss"))
+    run = F.try_to_timestamp(stamp("file_name"), F.lit("yyyyMMdd_HHmmss"))
     return parse_transcript_logs(records.select("value", "file_name", run.alias("run_ts")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from talkmill.functions.text import basename
+from talkmill.functions.timing import SEGMENTS_TYPE
 from talkmill.functions.urls import route_source
 from talkmill.operators.chunking import explode_chunks
 from talkmill.operators.kept_vectors import embed_kept
@@ -44,6 +45,17 @@ def exact_pattern(path: str) -> str:
     return escaped + (f"\\{last}" if last in "[]{}*?\\^-" else f"[{last}]")
 
 
+def logged_transcripts(logs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Logs (``stream_transcript_logs``, or read as a table) in the form that :func:`stream_ingest`
+    takes. ``companies(video_url, company_name)`` says whose videos they are; a video of several
+    companies comes for each, one of none, and a log without a run time, is left out."""
+    owners = companies.select(F.col("video_url").alias("_url"), "company_name").distinct()
+    return logs.where("run_ts is not null").join(owners, F.col("video_url") == F.col("_url")).select(
+        "video_url", "company_name", "title", "transcription", "duration", "language", "word_count",
+        F.lit(None).cast(SEGMENTS_TYPE).alias("segments"), "run_ts",
+    )
+
+
 def resolved(transcripts: DataFrame, registry: DataFrame) -> DataFrame:
     """Transcripts with the registry's address where ``video_url`` ends in a name it knows."""
     known = registry.select(F.col("video_name").alias("_name"), F.nullif("video_url", F.lit("")).alias("_known"))
