@@ -52,8 +52,12 @@ def _numbered_questions(questions: DataFrame) -> DataFrame:
 def embed_questions(
     questions: DataFrame, embedder: Callable[[], BatchFn], dim: int = EMBEDDING_DIM
 ) -> DataFrame:
-    return embed(unique_questions(questions), "question", embedder, dim).withColumn(
-        "namespace", namespace_of("company_name")
+    """Questions with embedding and namespace. One of another length than ``dim`` counts as failed."""
+    other = F.coalesce(F.size("embedding"), F.lit(-1)) != dim
+    return (
+        embed(unique_questions(questions), "question", embedder, dim)
+        .withColumn("is_zero", F.col("is_zero") | other)
+        .withColumn("namespace", namespace_of("company_name"))
     )
 
 

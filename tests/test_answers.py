@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from talkmill.operators import answering as an
@@ -166,6 +167,14 @@ def test_ask_survives_failing_models(spark):
     assert (rows[5].answer, rows[5].error) == (None, an.ANSWER_FAILED)
     assert rows[6].error == an.EMBEDDING_FAILED
 
+    def longer():
+        run = hashing_embedder(32)()
+        return lambda texts: [np.append(v, np.float32(1)) if t == asks_longer else v for t, v in zip(texts, run(texts))]
+
+    asks_longer = "blue two"
+    rows = {r.question_id: r for r in pq.ask(asked, stored, registry(spark), longer, broken, lambda: (lambda ts: ["yes"] * len(ts)), 32).collect()}
+    assert (rows[4].answer, rows[4].error) == (None, an.EMBEDDING_FAILED) and rows[1].answer == "yes"
+
 
 def test_sessions(spark):
     rows = [
