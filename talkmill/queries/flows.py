@@ -17,11 +17,13 @@ from talkmill.queries import inputs as inp
 from talkmill.queries import sql
 from talkmill.queries import tables as tab
 from talkmill.queries.inputs import words_sql
-from talkmill.queries.registry import query
+from talkmill.queries.registry import ORACLES, query
 from talkmill.queries.scalars import MEDIA_SQL, TITLE_SQL, label_sql
 from talkmill.session import scratch_dir
+from talkmill.sources import readers as rd
 from talkmill.streaming import (
     chunk_live_segments,
+    logged_transcripts,
     read_transcript_stream,
     rocksdb_state,
     stream_ingest,
@@ -367,6 +369,26 @@ def t1(spark, sf):
     return read_vectors(spark, f"{work}/store").select("namespace", "id", "metadata.text")
 
 
+@query("t1_stream_ingest_logs", ORACLES["t1_stream_ingest"])
+def t1_logs(spark, sf):
+    """The same documents, written as transcript logs and ingested from the folder as it is read."""
+    work = scratch_dir(spark, "stream-ingest-logs")
+    docs = inp.documents(spark, sf).selectExpr(
+        "*", "concat('https://youtu.be/', doc_id) as video_url", "source as company_name", "'m' as method",
+        "cast(null as string) as title", "'Unknown' as duration", "lang as language", "'' as summary",
+        "text as transcription", "cast(null as int) as word_count",
+    )
+    name = tr.log_name(F.expr(tab.RUN_TS_SPARK), F.concat(F.lit("v"), F.col("doc_id")))
+    tr.write_transcript_logs(docs.withColumn("file_name", name), f"{work}/logs")
+    companies = docs.select("video_url", "company_name")
+    job = stream_ingest(
+        logged_transcripts(rd.stream_transcript_logs(spark, f"{work}/logs"), companies),
+        f"{work}/store", f"{work}/checkpoint", hashing_embedder(DIM), DIM, available_now=True, buckets=2,
+    )
+    job.awaitTermination()
+    return read_vectors(spark, f"{work}/store").select("namespace", "id", "metadata.text")
+
+
 @query(
     "t2_stream_chunk_segments",
     sql.with_ctes(sql.cte("src", inp.SEG), sql.fold("src", "doc_id"))
