@@ -2,7 +2,7 @@
 
 A segment is folded as soon as all before it are, or as soon as the watermark says that those
 missing will not come any more. Until then it waits in a buffer, kept in blocks of segment numbers
-in map state. A task reads a video's rows frame by frame and keeps a bounded number of waiting
+in map state. A task reads a video's rows part by part and keeps a bounded number of waiting
 ones at hand; the rest goes to the blocks."""
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,6 +46,7 @@ STATE = T.StructType(
 BLOCK_KEY = T.StructType([T.StructField("block", T.LongType())])
 BLOCK_ROWS = T.StructType([T.StructField("rows", T.StringType())])
 CHUNK, LATE = "chunk", "late"
+OUT = Row(*OUTPUT.names)
 NOTHING_OPEN = ("", 0.0, 0.0, 0, -1, 0, 0, "")
 #: Segment numbers that share an entry of the buffer.
 BLOCK = 256
@@ -157,9 +160,8 @@ class Fold:
             self.blocks.add(block)
         self.waiting = {}
 
-    def frame(self):
-        out = pd.DataFrame(self.out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
-        self.out = []
+    def given_out(self) -> list[tuple]:
+        out, self.out = self.out, []
         return out
 
     def finish(self) -> None:
@@ -169,12 +171,14 @@ class Fold:
         self.put_away()
         if self.text:
             due.append(self.idle_at)
-        # The timer is kept in the state: asking for the timers of a key costs a call.
-        if self.timer:
-            self.owner.handle.deleteTimer(self.timer)
-        self.timer = max(min(due), self.watermark + 1) if due else 0
-        if self.timer:
-            self.owner.handle.registerTimer(self.timer)
+        # The timer is kept in the state: asking for the timers of a key costs a call, and so does
+        # setting one. One that comes too early sets the next.
+        wanted = max(min(due), self.watermark + 1) if due else 0
+        if wanted and not self.watermark < self.timer <= wanted:
+            if self.timer:
+                self.owner.handle.deleteTimer(self.timer)
+            self.owner.handle.registerTimer(wanted)
+            self.timer = wanted
         blocks = ",".join(map(str, sorted(self.blocks)))
         self.owner.open.update(
             (self.text, self.start, self.end, self.index, self.last, self.timer, self.idle_at, blocks)
@@ -197,39 +201,69 @@ class LiveChunker(StatefulProcessor):
         self.held = handle.getMapState("held", BLOCK_KEY, BLOCK_ROWS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        video = Fold(self, key, timerValues.getCurrentWatermarkInMs())
-        newest = video.watermark
-        for part in rows:
-            event = part["event_ts"].astype("datetime64[ms]").astype("int64")
-            newest = max(newest, int(event.max()))
-            part = part.assign(event_ms=event).sort_values("seg_idx", kind="stable")
-            values = (part[c].tolist() for c in ("seg_idx", "text", "start", "end", "is_last", "event_ms"))
-            for idx, *segment in zip(*values):
+        parts = (_segments(part) for part in rows)
+        yield from map(_frame, self.folded(key, parts, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from map(_frame, self.released(key, timerValues.getCurrentWatermarkInMs()))
+
+    def folded(self, key, parts: Iterator[list[tuple]], watermark: int) -> Iterator[list[tuple]]:
+        """What parts ``(seg_idx, text, start, end, is_last, event_ms)`` of a video give out."""
+        video = Fold(self, key, watermark)
+        newest = watermark
+        for part in parts:
+            newest = max(newest, max(segment[-1] for segment in part))
+            for idx, *segment in sorted(part, key=lambda segment: segment[0]):
                 video.take(int(idx), tuple(segment))
             video.drain()
             if len(video.waiting) > AT_HAND:
                 video.put_away()
             if video.out:
-                yield video.frame()
+                yield video.given_out()
         video.idle_at = newest + self.idle_ms
         video.finish()
         if video.out:
-            yield video.frame()
+            yield video.given_out()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        video = Fold(self, key, timerValues.getCurrentWatermarkInMs())
+    def released(self, key, watermark: int) -> Iterator[list[tuple]]:
+        video = Fold(self, key, watermark)
         video.timer = 0
         video.release()
         if video.text and not video.waiting and not video.blocks and video.idle_at <= video.watermark:
             video.close()
         video.finish()
         if video.out:
-            yield video.frame()
+            yield video.given_out()
 
     def close(self) -> None:
         pass
 
 
+class LiveRowChunker(LiveChunker):
+    """The same on plain rows: a frame for each video costs more than its few segments do. Spark puts
+    what a video gives out in one micro-batch into one record batch."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        values = ((r.seg_idx, r.text, r.start, r.end, r.is_last, r.event_ms) for r in rows)
+        parts = iter(lambda: list(islice(values, AT_HAND)), [])
+        for out in self.folded(key, parts, timerValues.getCurrentWatermarkInMs()):
+            yield from (OUT(*given) for given in out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        for out in self.released(key, timerValues.getCurrentWatermarkInMs()):
+            yield from (OUT(*given) for given in out)
+
+
+def _segments(part: pd.DataFrame) -> list[tuple]:
+    event = part["event_ts"].astype("datetime64[ms]").astype("int64")
+    values = (part[c].tolist() for c in ("seg_idx", "text", "start", "end", "is_last"))
+    return list(zip(*values, event.tolist()))
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=OUTPUT.names).astype({"chunk_index": "Int32"})
+
+
 def chunk_live_segments(
     segments: DataFrame,
     chunk_size: int = CHUNK_SIZE,
@@ -237,20 +271,28 @@ def chunk_live_segments(
     zero_start_compat: bool = True,
     watermark: str = "10 minutes",
     idle_ms: int = 60_000,
+    frames: bool = False,
 ) -> DataFrame:
     """Stream of chunks (and ``late`` segments) from a stream of
     ``video_url, seg_idx, text, start, end, is_last, event_ts``. Segments are numbered from 0 in
     the order of their times; they may arrive in any order within ``watermark``.
 
-    Needs the RocksDB state store provider (see :func:`rocksdb_state`).
+    With ``frames`` a video's chunks leave the task frame by frame, for streams where one micro-batch
+    may bring more of one video than fits in memory; many short videos then take longer. Needs the
+    RocksDB state store provider (see :func:`rocksdb_state`).
     """
+    options = (chunk_size, max_duration, zero_start_compat, idle_ms)
+    stream = segments.withWatermark("event_ts", watermark)
+    if frames:
+        return stream.groupBy("video_url").transformWithStateInPandas(
+            LiveChunker(*options), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
+        )
+    # A segment without a time is as old as can be.
+    event_ms = F.coalesce(F.unix_millis("event_ts"), F.lit(-(2**63)))
     return (
-        segments.withWatermark("event_ts", watermark)
+        stream.withColumn("event_ms", event_ms)
         .groupBy("video_url")
-        .transformWithStateInPandas(
-            LiveChunker(chunk_size, max_duration, zero_start_compat, idle_ms),
-            outputStructType=OUTPUT,
-            outputMode="append",
-            timeMode="eventTime",
+        .transformWithState(
+            LiveRowChunker(*options), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
         )
     )

@@ -191,6 +191,28 @@ def test_gaps_wait_for_the_watermark_and_repeats_are_late(spark, tmp_path):
     assert sorted(x.text for x in mine if x.kind == "late") == ["too late", "twice"]
 
 
+def test_live_segments_reach_python_as_rows_and_a_timer_that_holds_is_kept(spark, tmp_path):
+    """A frame for each short video, and a new timer each time it has segments, took most of the time."""
+    from talkmill.streaming import live_chunks as lc
+
+    arriving = spark.readStream.schema(LIVE).parquet(str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "event_ms" in plan(chunk_live_segments(arriving))
+    assert "event_ms" not in plan(chunk_live_segments(arriving, frames=True))
+
+    states, calls = [None], []
+    processor = lc.LiveRowChunker(500, 1e12, True, 1_000)
+    processor.open = SimpleNamespace(get=lambda: states[-1], update=states.append)
+    processor.handle = SimpleNamespace(registerTimer=lambda t: calls.append(t), deleteTimer=lambda t: calls.append(-t))
+    for i in range(3):
+        rows = [(i, f"t{i}", 1.0, 2.0, False, 10_000 + i)]
+        assert list(processor.folded(("v",), iter([rows]), 5_000)) == []
+    assert calls == [11_000]
+    # The timer that comes too early gives nothing out and sets the one that is due.
+    assert list(processor.released(("v",), 11_000)) == [] and calls == [11_000, 11_002]
+    assert list(processor.released(("v",), 11_002)) == [[("v", lc.CHUNK, 0, "t0 t1 t2", 1.0, 2.0)]]
+
+
 def test_a_long_backlog_of_one_video_is_held_frame_by_frame():
     """100,000 segments in one call, backwards by frames: what is at hand stays bounded."""
     import pandas as pd
