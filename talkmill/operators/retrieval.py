@@ -18,8 +18,8 @@ from talkmill.operators.topk_kernel import EXACT_DIGITS, BestMatches, to_matrix
 from talkmill.session import remove_dir, scratch_dir
 
 TOP_K, SEARCH_K = 6, 5
-#: Bytes of the questions that travel with the tasks at a time.
-SLICE_BYTES = 64 << 20
+#: Bytes of the questions that travel with the tasks at a time. A task holds some ten times as much.
+SLICE_BYTES = 16 << 20
 MAX_PRUNE_VALUES = 256
 VECTOR_BLOCK = 4_096
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 QUESTION_BLOCK = 256
+#: Matches that wait for a selection, at least; from there on as many as are kept.
+PENDING_ROWS = 8_192
 #: Decimals to which sums of doubles agree in whatever order they are added.
 EXACT_DIGITS = 12
 
@@ -84,7 +86,7 @@ class BestMatches:
             found = found.append_column("score", pa.array(scores[q, v]))
             self.pending.append(found)
             self.pending_rows += len(found)
-            if self.pending_rows > max(50_000, 4 * self.k * len(self.unit)):
+            if self.pending_rows > max(PENDING_ROWS, self.k * len(self.unit)):
                 self._compact()
 
     def _compact(self) -> None:

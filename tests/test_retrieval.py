@@ -53,6 +53,24 @@ def test_best_matches_equal_brute_force(spark, way, scope):
     assert all(r.metadata.n == str(int(r.id[2:])) for r in got)
 
 
+def test_a_task_holds_few_matches_beyond_those_it_keeps():
+    """Vectors that come in rising order are all matches for a time: what waits stays in bounds."""
+    from talkmill.operators.topk_kernel import BestMatches
+
+    n, k = 2_000, 6
+    best = BestMatches(pa.array(range(n)), np.tile([1.0, 0.0], (n, 1)), k)
+    most = 0
+    for block in range(60):
+        angle = 1.5 - 0.02 * block - np.arange(k) * 0.001
+        ids = pa.array(range(block * k, block * k + k))
+        best.offer(np.stack([np.cos(angle), np.sin(angle)], axis=1), pa.table({"id": ids}))
+        most = max(most, best.pending_rows)
+    assert most <= n * k and best.result().num_rows == n * k
+    assert set(best.result().column("id").to_pylist()) == set(range(59 * k, 60 * k))
+    # A slice of the questions is held several times by every task of an executor.
+    assert rt.SLICE_BYTES <= 16 << 20
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_both_sides_from_one_table(spark, way):
     stored, *_ = tables(spark)
