@@ -77,11 +77,13 @@ class StoredTable:
             data = data.join(live, ["run", *self.parts], "left_semi")
         return data.drop("run")
 
-    def commit(self, head: dict, rows: DataFrame, touched: DataFrame, **notes) -> dict:
+    def commit(self, head: dict, rows: DataFrame, touched: DataFrame, laid: bool = False, **notes) -> dict:
         """Replace the ``touched`` partitions of snapshot ``head`` by ``rows`` and make that the
-        current snapshot. ``notes`` go into the version; those of ``head`` are kept."""
+        current snapshot. ``notes`` go into the version; those of ``head`` are kept. ``laid`` rows
+        are written by the tasks that hold them, others are brought together by partition."""
         run, number = uuid.uuid4().hex, head.get("version", 0) + 1
-        rows.hint("rebalance", *self.parts).write.partitionBy(*self.parts).parquet(f"{self.path}/data/run={run}")
+        placed = rows if laid else rows.hint("rebalance", *self.parts)
+        placed.write.option("compression", "zstd").partitionBy(*self.parts).parquet(f"{self.path}/data/run={run}")
         own = ", ".join(f"{n} {t}" for n, t in self.parts.items())
         measured = [F.expr(e).alias(n) for n, e in self.measures.items()]
         if dir_exists(self.spark, f"{self.path}/data/run={run}/_SUCCESS") and self._wrote_rows(run):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from talkmill.schemas import CHUNK_VECTORS
 from talkmill.session import remove_dir
 
 BUCKETS = 16
+#: Replaced ids whose hashes travel with the tasks at a merge; 8 bytes each.
+MAX_HASHES = 8_000_000
+#: New rows of a partition, on average, that fill files enough wherever they are written.
+FULL_ROWS = 50_000
 YOUTUBE_SOURCE, LOOM_SOURCE = "youtube_gemini", "loom_video"
 
 
@@ -70,7 +76,9 @@ def newest_rows(incoming: DataFrame) -> DataFrame:
     return latest_wins(marked, ["namespace", "id"], "version", "_mark").drop("_mark")
 
 
-def upsert_vectors(existing: DataFrame, incoming: DataFrame, replace_video: bool = False) -> DataFrame:
+def upsert_vectors(
+    existing: DataFrame, incoming: DataFrame, replace_video: bool = False, verdicts: DataFrame | None = None
+) -> DataFrame:
     """State of the vector table after an upsert by ``(namespace, id)``.
 
     The last write wins: a stored row gives way to an incoming one of the same or a newer
@@ -79,8 +87,11 @@ def upsert_vectors(existing: DataFrame, incoming: DataFrame, replace_video: bool
 
     A video that now has fewer chunks keeps its old tail ids, as an upsert only touches the ids
     it is given; ``replace_video`` drops the rows of re-ingested videos that are not newer than
-    the incoming run, and the incoming rows of videos whose stored run is newer.
+    the incoming run, and the incoming rows of videos whose stored run is newer. A merge on disk
+    gives the ``verdicts`` that it wrote before; then few rows move.
     """
+    if verdicts is not None:
+        return _by_verdicts(existing, incoming, verdicts)
     incoming = newest_rows(incoming)
     if replace_video:
         existing, incoming = _whole_videos(existing, incoming)
@@ -155,18 +166,85 @@ def merge_vectors(
         return
     work = f"{staging.rstrip('/')}/run-{uuid.uuid4().hex}"
     try:
-        incoming.write.parquet(f"{work}/incoming")
+        numbered = incoming.withColumn("_row", F.monotonically_increasing_id())
+        numbered.withColumn("_mark", F.xxhash64("embedding", "metadata")).write.option(
+            "compression", "zstd"
+        ).parquet(f"{work}/incoming")
         buckets = head.get("buckets", buckets)
-        rows = with_bucket(spark.read.schema(CHUNK_VECTORS).parquet(f"{work}/incoming"), buckets)
-        rows = rows.withColumn("namespace", F.coalesce("namespace", F.lit("")))
-        touched = rows.select("namespace", "bucket").distinct()
-        merged = upsert_vectors(table.rows(touched, head), rows, replace_video)
+        staged = spark.read.schema(f"{CHUNK_VECTORS}, _row bigint, _mark bigint").parquet(f"{work}/incoming")
+        rows = with_bucket(staged, buckets).withColumn("namespace", F.coalesce("namespace", F.lit("")))
+        if replace_video:
+            rows = rows.drop("_row", "_mark")
+            touched = rows.select("namespace", "bucket").distinct()
+            merged = upsert_vectors(table.rows(touched, head), rows, replace_video)
+            merged = merged.hint("rebalance", "namespace", "bucket")
+        else:
+            verdicts = _verdicts(table, head, rows, f"{work}/verdicts")
+            touched = verdicts.where("_counts").select("namespace", "bucket").distinct()
+            merged = upsert_vectors(table.rows(touched, head), rows, replace_video, verdicts)
         notes = {"batches": {**head.get("batches", {}), batch[0]: batch[1]}} if batch else {}
-        table.commit(head, merged, touched, buckets=buckets, **notes)
+        table.commit(head, merged, touched, laid=True, buckets=buckets, **notes)
     finally:
         remove_dir(spark, work)
 
 
+def _verdicts(table: StoredTable, head: dict, rows: DataFrame, work: str) -> DataFrame:
+    """What becomes of each new row, found from ids and versions alone and written under ``work``:
+    ``_old`` is the version stored for its id, ``_counts`` whether the row replaces or adds to that."""
+    key = ["namespace", "id"]
+    newest = latest_wins(rows.select(*key, "bucket", "version", "_mark", "_row"), key, "version", "_mark")
+    if head:
+        asked = rows.select("namespace", "bucket").distinct()
+        stored = table.rows(asked, head).select(*key, F.col("version").alias("_old"))
+        found = newest.join(stored, key, "left").withColumn("_counts", F.expr("_old is null or version >= _old"))
+    else:
+        found = newest.withColumns({"_old": F.lit(None).cast("bigint"), "_counts": F.lit(True)})
+    found.select(*key, "bucket", "_row", "_old", "_counts").write.parquet(work)
+    kinds = "namespace string, id string, bucket int, _row bigint, _old bigint, _counts boolean"
+    return table.spark.read.schema(kinds).parquet(work)
+
+
+def _by_verdicts(existing: DataFrame, incoming: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows after an upsert; ``existing`` holds the partitions in which a new row counts. A new row
+    moves once, to the file it stays in."""
+    counting = verdicts.where("_counts")
+    n = counting.count()
+    if n == 0:
+        added = incoming.limit(0)
+    elif n == incoming.count():
+        added = incoming
+    else:
+        added = incoming.join(counting.select("_row").hint("shuffle_hash"), "_row", "left_semi")
+    added = added.drop("_row", "_mark")
+    if n < FULL_ROWS * counting.select("namespace", "bucket").distinct().count():
+        added = added.hint("rebalance", "namespace", "bucket")
+    kept = _without(existing, counting.where("_old is not null").select("namespace", "id"))
+    return kept.unionByName(added, allowMissingColumns=True)
+
+
+def _without(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stored rows but those of the ids ``gone``. Rows whose hash is none of theirs stay where they are
+    read; only the others meet the ids. More than ``MAX_HASHES`` meet all rows."""
+    spark, key = stored.sparkSession, ["namespace", "id"]
+    n = gone.count()
+    if n == 0:
+        return stored
+    if n > MAX_HASHES:
+        return stored.join(gone.hint("shuffle_hash"), key, "left_anti").hint("rebalance", "namespace", "bucket")
+    hashes = gone.select(F.xxhash64(*key).alias("h")).toArrow().column("h").to_numpy()
+    known = spark.sparkContext.broadcast(np.sort(hashes))
+
+    @F.pandas_udf("boolean")
+    def met(h: pd.Series) -> pd.Series:
+        own = h.to_numpy()
+        at = np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)
+        return pd.Series(known.value[at] == own)
+
+    marked = stored.withColumn("_met", met(F.xxhash64(*key)))
+    some = marked.where("_met").join(gone.hint("shuffle_hash"), key, "left_anti").hint("rebalance", "namespace", "bucket")
+    return marked.where("not _met").unionByName(some).drop("_met")
+
+
 def stored_figures(spark: SparkSession, path: str) -> DataFrame:
     """``namespace, vector_count, with_ts, avg_duration, avg_chars`` of a stored table, from the
     measures that its commits kept: no row of the table is read."""

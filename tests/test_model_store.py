@@ -153,6 +153,28 @@ def test_bucket_count_is_the_tables_own(spark, tmp_path):
     assert st.read_vectors(spark, path).count() == 30
 
 
+@pytest.mark.parametrize("hashes", [0, 100])
+def test_a_merge_rewrites_only_partitions_in_which_a_new_row_counts(spark, tmp_path, monkeypatch, hashes):
+    monkeypatch.setattr(st, "MAX_HASHES", hashes)
+    path, staging = str(tmp_path / "v"), str(tmp_path / "s")
+    merge = lambda rows: st.merge_vectors(spark, path, vectors(spark, rows), staging, 1)
+    runs = lambda: {r.namespace: r.run for r in st.vector_table(spark, path).manifest().collect()}
+    merge([("a", "u", i, f"old {i}", 2) for i in range(4)] + [("b", "u", 0, "b", 1), ("c", "u", 0, "c", 3)])
+    first = runs()
+    # Late rows alone change nothing; beside one that counts they go, too.
+    merge([("a", "u", i, "late", 1) for i in range(4)])
+    assert runs() == first
+    merge([("a", "u", 1, "new 1", 2), ("a", "u", 1, "older", 1), ("a", "u", 2, "late", 1), ("a", "u", 9, "new 9", 1), ("c", "u", 0, "late", 2)])
+    last = runs()
+    assert last["a"] != first["a"] and (last["b"], last["c"]) == (first["b"], first["c"])
+    texts = sorted(r.text for r in st.read_vectors(spark, path).select("metadata.text").collect())
+    assert texts == ["b", "c", "new 1", "new 9", "old 0", "old 2", "old 3"]
+    # Rows that are not replaced stay where they are read: no shuffle but that of the few that may be.
+    gone = vectors(spark, [("a", "u", 0, "x", 1)]).select("namespace", "id")
+    plan = st._without(st.read_vectors(spark, path), gone)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Union" in plan) == (hashes > 0)
+
+
 def test_odd_namespaces_on_disk(spark, tmp_path):
     path = str(tmp_path / "store")
     names = ["a/b", "50%", "x=y", "{q}", "a b", "é", "", "c:d*?"]
