@@ -111,10 +111,12 @@ def _cut_blocks(df: DataFrame, key: str, chunk_size: int, overlap: int, block_ch
 
     def tables(batches):
         entries = np.arange(chunk_size)
-        for batch in batches:
+        for batch in in_parts(batches):
             left, text = batch.column(2).to_pylist(), batch.column(3)
             out = [Windows(t.as_py(), n, chunk_size, overlap).walk(entries, block_chars) for n, t in zip(left, text)]
-            exits, chunks = (pa.array([x[i].tolist() for x in out], pa.list_(pa.int64())) for i in (0, 1))
+            ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * chunk_size)
+            flat = (np.concatenate([x[i] for x in out]).astype(np.int64) for i in (0, 1))
+            exits, chunks = (pa.ListArray.from_arrays(ends, pa.array(f)) for f in flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), exits, chunks], names=TABLE)
 
     table_columns = f"key {kind}, block long, exits array<long>, chunks array<long>"
@@ -152,7 +154,7 @@ def _cut_blocks(df: DataFrame, key: str, chunk_size: int, overlap: int, block_ch
     )
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             names, indexes, texts = [], [], []
             for name, left, text, pos, index in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 windows = Windows(text, left, chunk_size, overlap)
@@ -177,6 +179,13 @@ def _cut_blocks(df: DataFrame, key: str, chunk_size: int, overlap: int, block_ch
     )
 
 
+def in_parts(batches):
+    """Record batches in slices of ``GROUP_BLOCKS`` blocks, whose tables and texts a task holds at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, GROUP_BLOCKS):
+            yield batch.slice(lo, GROUP_BLOCKS)
+
+
 TABLE = ["key", "block", "exits", "chunks"]
 
 

@@ -67,3 +67,12 @@ def test_time_of_one_long_text_is_linear(spark):
     df = spark.createDataFrame([(1, "Some words of a talk. And more " * 130_000)], "id long, text string")
     assert ch.explode_chunks(df, ch.chunk_text("text"), "id").count() > 4_000
     assert time.time() - begin < 60
+
+
+def test_a_task_holds_the_tables_of_few_blocks():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"block": list(range(1_000))})
+    parts = list(tx.in_parts(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) == tx.GROUP_BLOCKS
+    assert [b for p in parts for b in p.column(0).to_pylist()] == list(range(1_000))
