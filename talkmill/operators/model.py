@@ -17,8 +17,12 @@ from talkmill.functions.vectors import is_zero
 EMBEDDING_DIM = 1536
 EMBED_BATCH, LIGHT_EMBED_BATCH = 100, 50
 
-#: Rows that a task holds back at most until a call is full.
-MAX_HELD_ROWS = 20_000
+#: Rows, and bytes of rows, that a task holds back at most until a call is full.
+MAX_HELD_ROWS, MAX_HELD_BYTES = 20_000, 32 << 20
+#: Bytes of rows whose texts are Python strings at a time, unless one row alone has more.
+PIECE_BYTES = 1 << 20
+#: Tokens that the stand-in embedder remembers, and characters that it splits at a time.
+MAX_SLOTS, EMBED_CHARS = 1 << 17, 1 << 20
 
 BatchFn = Callable[[list[str]], list]
 
@@ -34,7 +38,7 @@ def batch_model(
     error_col: str | None = None,
 ) -> DataFrame:
     """Append ``out_col = fn(texts)``, calling ``fn`` on ``batch_size`` texts, fewer only at the end of
-    a task (or among very many nulls): calls are filled across Arrow batches.
+    a task (or among very many nulls or very long rows): calls are filled across Arrow batches.
 
     ``factory`` runs once per task (load the model there). Null texts never reach the model and
     get null. A batch that fails, or that returns another number of results, is tried again text
@@ -42,6 +46,9 @@ def batch_model(
     Rows, order and all other columns stay as they are; the data leaves the JVM as Arrow
     batches.
 
+    An Arrow batch may hold very many or very long rows: a task works on ``PIECE_BYTES`` of it at a
+    time and gives rows out as soon as they have their replies.
+
     Model calls may not be repeatable: write the result before using it twice.
     """
     arrow_type = pa.list_(pa.float32()) if "array<float>" in out_type else pa.string()
@@ -64,26 +71,28 @@ def batch_model(
         errors: list[str | None] = []
         # Rows are numbered from the first one held; ``waiting`` are those not yet asked about.
         waiting: deque[tuple[int, str]] = deque()
-        gone = 0
+        gone = held_bytes = 0
 
         def ask(n: int) -> None:
             part = [waiting.popleft() for _ in range(n)]
             for (row, _), reply in zip(part, _replies(fn, [t for _, t in part], default)):
                 results[row - gone], errors[row - gone] = reply
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             texts = batch.column(in_col).to_pylist()
             waiting.extend((gone + len(results) + i, t) for i, t in enumerate(texts) if t is not None)
             results.extend([None] * len(texts))
             errors.extend([None] * len(texts))
             held.append(batch)
+            held_bytes += batch.nbytes
             while len(waiting) >= batch_size:
                 ask(batch_size)
-            if waiting and len(results) > MAX_HELD_ROWS:
+            if waiting and (len(results) > MAX_HELD_ROWS or held_bytes > MAX_HELD_BYTES):
                 ask(len(waiting))
             ready = waiting[0][0] - gone if waiting else len(results)
             while held and held[0].num_rows <= ready:
                 n = held[0].num_rows
+                held_bytes -= held[0].nbytes
                 yield finished(held.popleft(), results[:n], errors[:n])
                 del results[:n], errors[:n]
                 gone, ready = gone + n, ready - n
@@ -97,6 +106,16 @@ def batch_model(
     return df.mapInArrow(run, schema)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``PIECE_BYTES``, or of one row; halved, as rows differ much in length."""
+    if batch.num_rows > 1 and batch.nbytes > PIECE_BYTES:
+        half = batch.num_rows // 2
+        yield from _pieces(batch.slice(0, half))
+        yield from _pieces(batch.slice(half))
+    else:
+        yield batch
+
+
 def _replies(fn: BatchFn, texts: list[str], default) -> list[tuple]:
     """``(result, error)`` of each text."""
     try:
@@ -149,9 +168,9 @@ def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
     def factory() -> BatchFn:
         slots: dict[str, int] = {}
 
-        def run(texts: list[str]) -> list[np.ndarray]:
+        def some(texts: list[str]) -> list[np.ndarray]:
             tokens = [t.lower().split() for t in texts]
-            if len(slots) > 1_000_000:
+            if len(slots) > MAX_SLOTS:
                 slots.clear()
             for token in {t for own in tokens for t in own}.difference(slots):
                 slots[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
@@ -162,6 +181,16 @@ def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
             norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return list((counts / np.where(norms == 0, 1.0, norms)).astype(np.float32))
 
+        def run(texts: list[str]) -> list[np.ndarray]:
+            out, part, chars = [], [], 0
+            for t in texts:
+                if part and chars + len(t) > EMBED_CHARS:
+                    out.extend(some(part))
+                    part, chars = [], 0
+                part.append(t)
+                chars += len(t)
+            return out + some(part) if part else out
+
         return run
 
     return factory

@@ -1,7 +1,10 @@
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmill.operators import model as mo
 from talkmill.operators import snapshots
@@ -40,6 +43,47 @@ def test_null_texts_never_reach_the_model(spark):
     assert [(r.embedding is None, r.is_zero) for r in rows] == [(True, True), (False, False), (True, True)]
 
 
+class TaskOf:
+    """Stands for a data frame: gives what would run in its tasks."""
+
+    schema = T.StructType([T.StructField("t", T.StringType())])
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_a_piece_of_an_arrow_batch_as_strings():
+    batch = pa.RecordBatch.from_pydict({"t": [None if i % 7 == 0 else f"{i:06d}" * 10_000 for i in range(600)]})
+    calls = []
+
+    def factory():
+        return lambda texts: calls.append(len(texts)) or [t[:6] for t in texts]
+
+    run = mo.batch_model(TaskOf(), "t", "r", factory, "string", batch_size=10)
+    out, mb = peak_mb(lambda: [r for b in run(iter([batch, batch])) for r in b.column("r").to_pylist()])
+    assert out == [None if i % 7 == 0 else f"{i:06d}" for i in range(600)] * 2
+    assert set(calls[:-1]) == {10}
+    assert mb < 8
+
+
+def test_the_stand_in_embedder_remembers_few_tokens():
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(1000)]
+    embedder = mo.hashing_embedder(8)()
+    made, mb = peak_mb(lambda: [v for lo in range(0, 1000, 100) for v in embedder(texts[lo : lo + 100])])
+    assert mb < 30
+    assert all((a == mo.hashing_embedder(8)()([t])[0]).all() for a, t in zip(made[::97], texts[::97]))
+    long = ["a b " * (1 << 18), "c", "a " * (1 << 19), "b"]
+    assert [list(v) for v in embedder(long)] == [list(embedder([t])[0]) for t in long]
+
+
 def test_embed_flags_failed_rows(spark):
     def factory():
         inner = mo.hashing_embedder(16)()
