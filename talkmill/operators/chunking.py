@@ -262,9 +262,14 @@ def choose_chunks_fixed(text: Column | str, segments: Column | str) -> Column:
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *keep: str | Column) -> DataFrame:
-    """One row per chunk with its 0-based position; no window is needed for the index."""
+    """One row per chunk with its 0-based position; no window is needed for the index.
+
+    The outer form with a filter behind it: under the plain form Spark puts ``size(chunks) > 0``
+    below the cut, which makes all chunks anew for the test and once more for the rows.
+    """
     return (
-        df.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk"))
+        df.select(*keep, F.posexplode_outer(chunks).alias("chunk_index", "chunk"))
+        .where("chunk_index is not null")
         .select("*", "chunk.text", "chunk.start", "chunk.end")
         .drop("chunk")
     )

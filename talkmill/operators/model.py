@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -166,16 +167,21 @@ def hashing_embedder(dim: int = 64) -> Callable[[], BatchFn]:
     """Offline stand-in for an embedding model: L2-normalised counts of hashed tokens."""
 
     def factory() -> BatchFn:
-        slots: dict[str, int] = {}
+        class Slots(dict):
+            """Slot of a token, worked out when it is first asked for."""
+
+            def __missing__(self, token: str) -> int:
+                self[token] = slot = int.from_bytes(hashlib.md5(token.encode()).digest()[:4]) % dim
+                return slot
+
+        slots = Slots()
 
         def some(texts: list[str]) -> list[np.ndarray]:
             tokens = [t.lower().split() for t in texts]
             if len(slots) > MAX_SLOTS:
                 slots.clear()
-            for token in {t for own in tokens for t in own}.difference(slots):
-                slots[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
             n = [len(own) for own in tokens]
-            found = np.fromiter((slots[t] for own in tokens for t in own), np.int64, sum(n))
+            found = np.fromiter(map(slots.__getitem__, chain.from_iterable(tokens)), np.int64, sum(n))
             rows = np.repeat(np.arange(len(texts)), n)
             counts = np.bincount(rows * dim + found, minlength=len(texts) * dim).reshape(-1, dim).astype(float)
             norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))

@@ -130,3 +130,13 @@ def test_lead_over_block_borders(spark):
     assert len(rows) == 1000
     for r in rows:
         assert r.next_start == (r.start + 3 if r.start + 3 < 1000 else None)
+
+
+def test_chunks_are_cut_once(spark):
+    """No filter below the rows of chunks: it would cut every text for its test as well."""
+    df = spark.createDataFrame([(1, "one two. three"), (2, ""), (3, None)], "i int, t string")
+    chunked = df.withColumn("chunks", F.when(F.col("t") != "", ch.chunk_text("t")))
+    out = ch.explode_chunks(chunked, F.col("chunks"), "i")
+    assert [(r.i, r.chunk_index, r.text) for r in out.collect()] == [(1, 0, "one two. three")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
