@@ -173,3 +173,18 @@ def test_registered_search_and_ask_do_not_call_the_embedder_again(spark):
     for key, left in (("q3_search", 1), ("q4_ask", 3)):
         physical = QUERIES[key](spark, data)._jdf.queryExecution().sparkPlan().toString()
         assert physical.count("MapInArrow") == left
+
+
+@pytest.mark.parametrize("mode", [ing.STANDARD, ing.FIXED30])
+def test_no_filter_of_an_ingest_cuts_texts(spark, mode):
+    """What ``ingest`` embeds is cut where its chunks are made, and nowhere for a test of its size."""
+    plan = run(spark, mode).chunks._jdf.queryExecution().optimizedPlan()
+
+    def nodes(node):
+        yield node
+        children = node.children()
+        for i in range(children.size()):
+            yield from nodes(children.apply(i))
+
+    filters = [n.simpleString(1_000_000) for n in nodes(plan) if n.nodeName() == "Filter"]
+    assert filters and not any("aggregate(" in f for f in filters)
