@@ -55,15 +55,17 @@ def parse_transcript_logs(logs: DataFrame, value: str = "value") -> DataFrame:
         return F.nullif(value, F.lit(""))
 
     summary = F.regexp_extract(head, rf"(?s){SUMMARY_MARK}\r?\n(.*?)(?:\r?\n)*$", 1)
-    return split.select(
-        *keep,
+    fields = [
         *[
             (header(label).try_cast("int") if name == "word_count" else header(label)).alias(name)
             for name, label in LOG_HEADERS.items()
         ],
         summary.alias("summary"),
-        "transcription",
-    )
+        F.col("transcription"),
+    ]
+    # As rows of an array of one: Spark moves filters and join keys below a plain projection, where
+    # each mention of a header would read the whole log again.
+    return split.select(*keep, F.inline_outer(F.array(F.struct(*fields))))
 
 
 def escaped(record: Column) -> Column:

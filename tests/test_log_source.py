@@ -107,3 +107,14 @@ def test_ingest_reads_a_stream_of_logs(spark, tmp_path):
     assert first == [("Acme_s20250301_0", "said on 20250301")]
     single(logs, "20250302")
     assert run() == [*first, ("Acme_s20250302_0", "said on 20250302"), ("B_s20250302_0", "said on 20250302")]
+
+
+def test_a_join_by_address_parses_each_log_once(spark, tmp_path):
+    many(spark, str(tmp_path / "logs"))
+    companies = spark.createDataFrame([(f"u{i}", "Acme") for i in range(len(TEXTS))], "video_url string, company_name string")
+    logs = logged_transcripts(rd.scan_transcript_logs(spark, str(tmp_path / "logs")), companies)
+    plan = logs.where("video_url <> 'u1'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("YouTube Video URL: ") == 1
+    assert plan.count(rd.TRANSCRIPT_MARK) <= 6
+    got = {r.video_url: r.transcription for r in logs.where("video_url <> 'u1'").collect()}
+    assert got == {f"u{i}": t for i, t in enumerate(TEXTS) if i != 1}
