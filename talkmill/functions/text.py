@@ -27,10 +27,11 @@ WHITESPACE = "".join(
     )
 )
 
-# The same set inside a regex character class; one range test rules out most letters.
+# The same set inside a regex character class. Those below U+0100 stand one by one, as Java looks
+# such up in one bit set and asks ranges one after the other; one range test rules out other letters.
 WS = (
-    r"\s\x{1c}-\x{1f}\x{85}\x{a0}"
-    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+    "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE if ord(c) < 0x100)
+    + r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
 
 # Decimal digits of all scripts and what they stand for, from the character database.
@@ -43,6 +44,8 @@ SOURCE_LINK = r"\[source\]\([^)]+\)"
 SPAN = r"\[(\p{Nd}+)-(\p{Nd}+)\]"
 
 SNIPPET_CHARS = 500
+#: Characters at the beginning of a text that tell of most texts that they are not blank.
+BLANK_CHARS = 64
 
 
 def col(c: Column | str) -> Column:
@@ -65,16 +68,23 @@ def to_number(s: Column, kind: str) -> Column:
 
 
 def is_blank(s: Column | str) -> Column:
-    return F.coalesce(strip(s), F.lit("")) == ""
+    """Null, empty or blanks only. Trimming looks at every character, so a text is trimmed as a
+    whole only if its beginning is blank."""
+    begins = strip(F.substring(col(s), 1, BLANK_CHARS)) != ""
+    return F.when(begins, F.lit(False)).otherwise(F.coalesce(strip(s), F.lit("")) == "")
 
 
 def word_count(s: Column | str) -> Column:
     """Number of blank-separated tokens (splitting is several times faster than counting
-    regex matches, which builds every match)."""
-    return let(
-        strip(s),
-        lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+"))),
-    )
+    regex matches, which builds every match). Blanks at an end leave an empty part there, which
+    is cheaper to take off than to trim the text."""
+
+    def count(parts: Column) -> Column:
+        n = F.size(parts)
+        first, last = F.get(parts, F.lit(0)) == "", (n > 1) & (F.get(parts, n - 1) == "")
+        return n - first.cast("int") - last.cast("int")
+
+    return let(F.split(col(s), f"[{WS}]+"), count)
 
 
 def snippet(s: Column | str, n: int = SNIPPET_CHARS) -> Column:

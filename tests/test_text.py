@@ -17,6 +17,25 @@ def test_strip_and_word_count_follow_str_methods(spark):
     assert got == [(v.strip(), len(v.split())) for v in values]
 
 
+def test_blank_class_holds_the_blanks_and_is_quick_to_test(spark):
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF] + ["\U0001f600"]
+    got = apply(spark, chars, F.col("s").rlike(f"^[{tx.WS}]$"))
+    assert {c for c, blank in zip(chars, got) if blank} == set(tx.WHITESPACE)
+    # Java looks single characters below U+0100 up in one bit set, but asks a class or range by itself.
+    below = tx.WS.split("[")[0]
+    assert "-" not in below and r"\s" not in below
+    # Words are counted without trimming the text.
+    assert "trim" not in str(tx.word_count("s"))
+
+
+def test_word_count_and_is_blank_at_the_ends(spark):
+    blank = " " * 2 * tx.BLANK_CHARS
+    values = ["", " ", "a", " a", "a ", " a b ", blank, blank + "a", "a" + blank, "\u3000", "\u3000\x1f" * 70 + "x y\x85"]
+    got = apply(spark, values, tx.word_count("s"), tx.is_blank("s"))
+    assert got == [(len(v.split()), not v.strip()) for v in values]
+    assert apply(spark, [None], tx.word_count("s"), tx.is_blank("s")) == [(None, True)]
+
+
 def test_snippet_cuts_before_it_trims(spark):
     value = "  " + "x" * 497 + "\ny" + "tail"
     assert apply(spark, [value], tx.snippet("s")) == [value[:500].strip().replace("\n", " ")]
