@@ -22,6 +22,8 @@ TOP_K, SEARCH_K = 6, 5
 SLICE_BYTES = 16 << 20
 MAX_PRUNE_VALUES = 256
 VECTOR_BLOCK = 4_096
+#: Winners that travel to the carried columns; of more, both sides are shuffled.
+MAX_SENT_WINNERS = 100_000
 
 
 def topk_per_question(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
@@ -66,7 +68,8 @@ def similarity_topk(
     Questions go in slices of ``slice_bytes``; each slice travels with the tasks and the ids and
     embeddings of the vectors are read once for it, without any shuffle. Several slices are searched
     one after the other when this is called, each into a table of its own. A task keeps the best k
-    per question and nothing else. The carried columns are joined to the winners only.
+    per question and nothing else. The carried columns are joined to the winners only, which are
+    sent to them: stored texts are not shuffled for the few that win.
     Scores are compared to ``digits`` decimals; at the default that is as far as sums of doubles
     agree whatever their order, so that equal vectors tie and go by the smaller id.
     """
@@ -84,9 +87,11 @@ def similarity_topk(
         ]
     )
     everywhere = scope == "global"
+    asked = []
 
     def one(groups: dict, folder: str | None) -> DataFrame:
         """Best k per task for one slice; with a folder, those of all tasks, written there."""
+        asked.append(sum(len(ids) for ids, _ in groups.values()))
         narrowed = stored if everywhere else prune_namespaces(stored, sorted(groups))
         if folder is None:
             return narrowed.mapInArrow(_scan(lambda: groups, k, dim, digits, schema.names), schema)
@@ -103,6 +108,8 @@ def similarity_topk(
     if not carry:
         return best.drop("_home")
     payload = vectors.select(F.col("namespace").alias("_home"), "id", *carry)
+    if sum(asked) * k <= MAX_SENT_WINNERS:
+        best = F.broadcast(best)
     return best.join(payload, ["_home", "id"]).select("question_id", "rank", "id", "score", *carry)
 
 

@@ -116,6 +116,22 @@ def test_plan_has_no_cross_join_and_scans_once(spark, tmp_path):
     assert "PartitionFilters: [namespace" in plan and "WindowGroupLimit" in plan
 
 
+def test_winners_travel_to_the_stored_texts(spark, tmp_path):
+    stored, questions, *_ = tables(spark)
+    path = str(tmp_path / "store")
+    stored.write.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # As for texts of any size: no side of a join is sent unless it is asked for.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = rt.similarity_topk(questions, spark.read.parquet(path), 6, ("metadata",), dim=DIM)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert found.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_other_lengths_are_told_and_do_no_harm(spark):
     stored = spark.createDataFrame(
         [("a", 1, [1.0, 0.0]), ("a", 2, [1.0, 0.0, 0.0]), ("a", 3, None), ("a", 4, [0.0, 1.0])],
